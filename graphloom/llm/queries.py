@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html_extract, quality, simhash, toxicity, urlfilter
+from graphloom.llm import bpe, html_extract, quality, simhash, suffix_dedup, toxicity, urlfilter
 from graphloom.sources.tables import table
 
 QUERIES = {}
@@ -74,3 +74,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.deduplicate(table(spark, sf_dir, "documents")))
