@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html_extract, quality, simhash, suffix_dedup, toxicity, urlfilter
+from graphloom.llm import bpe, html_extract, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
 from graphloom.sources.tables import table
 
 QUERIES = {}
@@ -79,3 +79,9 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_store.checksums(token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
