@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html_extract, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
+from graphloom.llm import additive_ann, bpe, html_extract, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
 from graphloom.sources.tables import table
 
 QUERIES = {}
@@ -85,3 +85,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_store.checksums(token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
+@query
+def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
