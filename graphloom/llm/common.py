@@ -13,6 +13,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -151,3 +153,45 @@ def spans(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def row_of(off: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """The row that holds each byte position."""
     return np.searchsorted(off, pos, side="right") - 1
+
+
+# ---------------------------------------------------------------- dropping rows by id
+
+#: Bits of the filter below: its size is fixed, so it may travel with every task.
+FILTER_BITS = 1 << 22
+
+
+def id_filter(ids: DataFrame, name: str = "doc_id") -> np.ndarray:
+    """A Bloom filter of fixed size over an id column, built by the executors."""
+    one = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(name)), F.lit(FILTER_BITS)) for k in (1, 2)])).alias("p"))
+    words = one.groupBy(F.shiftrightunsigned("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:  # bounded: FILTER_BITS / 64 rows
+        out[r.w] = r.b
+    return out
+
+
+def maybe_in(docs: DataFrame, bits: np.ndarray, name: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_maybe``: false only where the id is surely not in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.ones(b.num_rows, bool)
+            for k in ("_p1", "_p2"):
+                p = np.asarray(b.column(k))
+                found &= (bits[p >> 6] >> (p & 63) & 1) == 1
+            keep = [i for i, f in enumerate(b.schema.names) if f not in ("_p1", "_p2")]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(found)], [*[b.schema.names[i] for i in keep], "_maybe"])
+
+    hashed = docs.select("*", *[F.pmod(F.xxhash64(F.lit(k), F.col(name).cast("long")), F.lit(FILTER_BITS)).alias(f"_p{k}") for k in (1, 2)])
+    return hashed.mapInArrow(run, StructType([*docs.schema.fields, StructField("_maybe", BooleanType())]))
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``ids``. Only rows that a Bloom filter can't
+    rule out are shuffled for the exact anti-join; rows without an id stay."""
+    bits = id_filter(ids, name)
+    marked = maybe_in(docs, bits, name)
+    sure = marked.where("not _maybe").drop("_maybe")
+    rest = marked.where("_maybe").drop("_maybe").join(ids.select(name).distinct(), name, "left_anti")
+    return sure.unionByName(rest.select(*docs.columns))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import additive_ann, bpe, html_extract, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
+from graphloom.llm import additive_ann, bpe, decontaminate, html_extract, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
 from graphloom.sources.tables import table
 
 QUERIES = {}
@@ -90,3 +90,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, partitions, ship
+from graphloom.llm.common import U64, flat, id_filter, materialise, maybe_in, mix, partitions, powers, prefix_sums, row_of, row_slices, ship, span_hash, spans
 from graphloom.llm.graph import components
 
 SEED = 42
@@ -182,3 +182,184 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     of_group = named.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     label = named.join(of_group, "component", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- by similarity
+
+#: Segments of the signature, symbols of a segment. At a similarity of 0.8 one of six
+#: segments of five symbols differs in one symbol at most with probability 0.9996.
+SEGMENTS, SYMBOLS = 6, 5
+SHINGLE, SIMILARITY = 5, 0.8
+#: Buckets up to this size are compared pair by pair; in larger ones each meets the first
+#: and so many neighbours, in another order in each of its buckets.
+SMALL, NEIGHBOURS = 16, 8
+_MULTIPLY = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD1B54A32D192ED03 * (i + 7))) & (2**64 - 1) | 1 for i in range(SEGMENTS * SYMBOLS)], U64)
+PIECE = 1 << 19
+_WORD = np.array([0 if c in (32, 9, 10, 11, 12, 13) else _LOWER[c] for c in range(256)], np.uint8)
+_WORD[0] = 1
+
+
+def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle hash, row, hash of all words in order by row); a text of fewer words is one
+    shingle, one of none has none."""
+    low = _WORD[data]
+    lo, hi = spans(low > 0, off)
+    h = span_hash(prefix_sums(low), lo, hi)
+    row = row_of(off, lo)
+    n = len(off) - 1
+    count = np.bincount(row, minlength=n)
+    first = np.cumsum(count) - count
+    place = np.arange(len(h)) - first[row]
+    p, _ = powers(len(h) + 1)
+    whole = np.zeros(n, U64)
+    full = np.flatnonzero(count)
+    if len(full):
+        whole[full] = np.add.reduceat(h * p[place], first[full]) + mix(count[full].astype(U64))
+    keep = place + size <= count[row]
+    out = np.zeros(len(h), U64)
+    for k in range(size):
+        out[: len(h) - k] += mix(h[k:] + U64(k)) * p[k]
+    short = full[count[full] < size]
+    return np.concatenate([mix(out[keep]), mix(whole[short])]), np.concatenate([row[keep], short]), whole
+
+
+def _whole(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    data, off = flat(b.column("text"))
+    for lo, hi in row_slices(off, PIECE):
+        yield data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id, cls, keys``: equal ``cls`` for equal word sequences; the one-wildcard keys
+    of all segments of the min-wise signature over five-word shingles."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls, keys = [], []
+            for data, off, _ in _whole(b):
+                s, row, whole = shingles(data, off)
+                n = len(off) - 1
+                order = np.argsort(row, kind="stable")
+                s, row = s[order], row[order]
+                full, first = np.unique(row, return_index=True)
+                sig = np.zeros((n, SEGMENTS * SYMBOLS), U64)
+                for i, m in enumerate(_MULTIPLY):
+                    if len(full):
+                        sig[full, i] = np.minimum.reduceat(mix(s * m) if i % 4 == 0 else s * m ^ (s >> U64(29)) * m, first)
+                own = []
+                for g in range(SEGMENTS):
+                    part = mix(sig[:, g * SYMBOLS : (g + 1) * SYMBOLS] + np.arange(SYMBOLS, dtype=U64))
+                    total = part.sum(axis=1, dtype=U64)
+                    own += [mix(total - part[:, w] + U64(g * 64 + w)) for w in range(SYMBOLS)]
+                cls.append(whole)
+                keys.append(np.stack(own, axis=1))
+            k = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, SEGMENTS * SYMBOLS), np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32), pa.array(k.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(cls).view(np.int64) if cls else np.zeros(0, np.int64)), lists], ["doc_id", "cls", "keys"])
+
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return cut.mapInArrow(run, "doc_id long, cls long, keys array<long>")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): pairs of ids that share a key; linear in the size of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def pairs(key, doc):
+            n = len(key)
+            new = np.r_[True, key[1:] != key[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            got = []
+            for d in range(1, SMALL):
+                i = np.arange(n - d) if n > d else np.zeros(0, np.int64)
+                i = i[(key[i] == key[i + d]) & ((size[i] <= SMALL) | (d <= NEIGHBOURS))]
+                got.append(np.column_stack([doc[i], doc[i + d]]))
+            far = np.flatnonzero((size > SMALL) & (np.arange(n) - first > NEIGHBOURS))
+            got.append(np.column_stack([doc[far], doc[first[far]]]))
+            x = np.concatenate(got)
+            x = np.unique(np.sort(x[x[:, 0] != x[:, 1]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+        for b in batches:
+            key = np.concatenate([key, np.asarray(b.column("key"))])
+            doc = np.concatenate([doc, np.asarray(b.column("doc_id"))])
+            if len(key) and key[0] != key[-1]:
+                done = int(np.searchsorted(key, key[-1]))
+                yield pairs(key[:done], doc[:done])
+                key, doc = key[done:], doc[done:]
+        if len(key):
+            yield pairs(key, doc)
+
+    n = partitions(reps.sparkSession)
+    rows = reps.select(F.explode("keys").alias("key"), "doc_id")
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "doc_id"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``doc_id, s``: the distinct shingle hashes of each text, packed in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data, off, lo in _whole(b):
+                s, row, _ = shingles(data, off)
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(len(off)))
+                sets = [np.unique((s[order[ends[i] : ends[i + 1]]] >> U64(24)).astype("<u8")) for i in range(len(off) - 1)]
+                packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(off) - 1), pa.array(packed, pa.binary())], ["doc_id", "s"])
+
+    return docs.mapInArrow(run, "doc_id long, s binary")
+
+
+def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
+    def unpack(x: bytes) -> np.ndarray:
+        raw = np.zeros((len(x) // 5, 8), np.uint8)
+        raw[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+        return raw.view("<u8").reshape(-1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = x.as_py(), y.as_py()
+                n, m = len(x) // 5, len(y) // 5
+                if min(n, m) < similarity * max(n, m):
+                    keep.append(False)
+                    continue
+                both = np.concatenate([unpack(x), unpack(y)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(common >= similarity * (n + m - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` for the documents that have an equal or near copy, that is,
+    a Jaccard similarity of their sets of five-word shingles of at least ``similarity``,
+    verified exactly; components of such links, named by their smallest doc_id.
+
+    The index is the one of ``links``, with min-wise symbols in the place of bits: at 0.8
+    some 10 of 64 SimHash bits differ, where one-bit segments would be too short to tell
+    texts apart. Equal word sequences are one entry of the index."""
+    sigs = materialise(signatures(docs), "signatures")
+    classes = sigs.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    named = materialise(sigs.select("doc_id", "cls").join(classes, "cls").select("doc_id", "rep"), "classes")
+    firsts = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = sigs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pairs = materialise(candidates(reps), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    some = maybe_in(cut, id_filter(ids)).where("_maybe").drop("_maybe")
+    sets = materialise(_sets(some), "sets").dropDuplicates(["doc_id"])
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    groups = components(_jaccard(joined.select("a", "b", "x", "y"), similarity))
+    label = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    sizes = label.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    return label.join(sizes, "component_id", "left_semi").select("doc_id", "component_id")

@@ -57,10 +57,11 @@ def features(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in out]).astype(np.int64), np.concatenate([r for _, r in out])
 
 
-def segments(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def segments(data: np.ndarray, off: np.ndarray, overlap: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(bytes, offsets, first row) pieces of bounded size that cover all texts. A text
     longer than the bound is cut between words, and the next piece starts two words
-    earlier: as features are a set, no pair is lost and none counts twice."""
+    earlier: as features are a set, no pair is lost and none counts twice. Without
+    ``overlap`` the pieces only follow each other."""
     for lo, hi in row_slices(off, SEGMENT):
         if hi - lo > 1 or off[hi] - off[lo] <= 2 * SEGMENT:
             yield data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lo
@@ -74,6 +75,9 @@ def segments(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield text[at:end], np.array([0, end - at]), lo
             if end == len(text):
                 break
+            if not overlap:
+                at = end
+                continue
             back, seen = end, 0
             while back > at + 1 and seen < 2:
                 while back > at + 1 and _LOWER[text[back - 1]] == 0:
