@@ -1,10 +1,5 @@
 """All queries of the engine's own operators, by name, with their SQL equivalents."""
 
-from __future__ import annotations
+from graphloom.plans.queries import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
