@@ -4,8 +4,9 @@ Words are lower-cased runs of letters and digits. All documents are cut into pas
 passage frequencies of hashed terms give the TF-IDF weights. A distributed randomised SVD
 of the passage-term matrix (one pass for the sketch, one for the small Gram matrix) gives a
 latent space; its matrices are bounded by terms and rank, never by the corpus. Windows of
-every document and probes of every benchmark item meet there by cosine. Candidates are
-verified on the words themselves: the longest common subsequence with the item, and with
+every document and probes of every benchmark item meet there by cosine; words in a row that
+an item has are candidates too, as an item of common words is nowhere in that space.
+Candidates are verified on the words themselves: the longest common subsequence with the item, and with
 its answer (the last sentence), in the neighbourhood of the window.
 
 Defined results: null or empty texts and items match nothing; repeated rows are judged each
@@ -24,17 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, flat, materialise, ship
+from graphloom.llm.common import U64, flat, materialise, mix, release, ship
 from graphloom.llm.toxicity import segments, words
 
 TERMS = 1 << 13
 RANK, EXTRA = 64, 8
 #: Words of a passage, of a block, and of the windows for short and long items.
 PASSAGE, BLOCK, SHORT, LONG = 48, 8, 16, 32
-COSINE = 0.6
+COSINE = 0.75
 #: Shares of an item's words, and of its answer's, that must stand in a document in order.
 STRONG, WEAK, ANSWER = 0.8, 0.6, 0.6
 ITEMS = 4096
+#: Share of passages beyond which a term weighs nothing.
+COMMON = 0.005
+#: So many words in a row that an item has are a candidate whatever the latent space says.
+SEED = 6
+#: Share of a probe's words that a candidate's window must hold to be verified.
+OVERLAP = 0.4
 #: Words that are worked on at once.
 AT_ONCE = 1 << 16
 
@@ -60,6 +67,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 for i in range(len(seg_off) - 1):
                     out[first + i].append(h[ends[i] : ends[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([b"".join(x) for x in out], pa.binary())], ["doc_id", "words"])
+        release()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut.mapInArrow(run, "doc_id long, words binary")
@@ -114,6 +122,14 @@ def _frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
     return df[:TERMS], int(df[TERMS])
 
 
+def _rare(t: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms that weigh something, piece of each, first term of each piece that has any)."""
+    piece = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(t)]))
+    keep = weight[t] > 0
+    t, piece = t[keep], piece[keep]
+    return t, piece, np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]][: len(piece)])
+
+
 def _summed(table: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
     """A'A @ basis, or basis'A'A @ basis where ``gram`` holds, for the TF-IDF matrix A."""
     wide = basis.shape[1]
@@ -124,16 +140,21 @@ def _summed(table: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) ->
         for b in batches:
             for w, off, _ in _chunks(b):
                 for t, start in _parts(w, off):
-                    y = np.add.reduceat(weighted[t], start, axis=0)
+                    t, piece, first = _rare(t, start, idf)
+                    if not len(t):
+                        continue
+                    y = np.add.reduceat(weighted[t], first, axis=0)
                     if gram:
                         total += y.T @ y
-                    else:
-                        passage = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(t)]))
-                        order = np.argsort(t, kind="stable")
-                        first = np.flatnonzero(np.r_[True, np.diff(t[order]) > 0])
-                        total[t[order][first]] += np.add.reduceat(y[passage[order]], first, axis=0)
+                        continue
+                    own = np.cumsum(np.r_[False, piece[1:] != piece[:-1]])
+                    order = np.argsort(t, kind="stable")
+                    at = np.flatnonzero(np.r_[True, np.diff(t[order]) > 0])
+                    total[t[order][at]] += np.add.reduceat(y[own[order]], at, axis=0)
         rows = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(total[rows, i].astype(np.float32)) for i in range(wide)]], ["row", *[f"c{i}" for i in range(wide)]])
+        del total
+        release()
 
     schema = "row long, " + ", ".join(f"c{i} float" for i in range(wide))
     sums = table.select("words").mapInArrow(run, schema).groupBy("row").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(wide)])
@@ -144,14 +165,12 @@ def _summed(table: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) ->
 
 
 def latent_space(table: DataFrame, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """(terms, rank): weights that map counts of terms to latent coordinates."""
+    """(terms, rank): weights that map counts of terms to latent coordinates. Terms of many
+    passages say nothing about one and weigh nothing."""
     df, n = _frequencies(table)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    # common words say little about a passage, but would rule the first dimensions
-    idf[df > 0.1 * max(n, 1)] *= 0.2
+    idf = np.where(df > max(COMMON * n, 20), 0.0, np.log((n + 1) / (df + 1)) + 0.1)
     rng = np.random.default_rng(seed)
-    sketch = _summed(table, idf, rng.standard_normal((TERMS, rank + EXTRA)), False)
-    q, _ = np.linalg.qr(sketch)
+    q, _ = np.linalg.qr(_summed(table, idf, rng.standard_normal((TERMS, rank + EXTRA)), False))
     value, turn = np.linalg.eigh(_summed(table, idf, q, True))
     basis = q @ turn[:, np.argsort(-value)[:rank]]
     return (idf[:, None] * basis).astype(np.float32)
@@ -172,6 +191,15 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def _seeds(w: np.ndarray) -> np.ndarray:
+    """A hash of every ``SEED`` words in a row."""
+    n = len(w) - SEED + 1
+    h = np.zeros(n, U64)
+    for k in range(SEED):
+        h = mix(h + w[k : k + n].astype(U64) + U64(k + 1))
+    return h
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -183,6 +211,7 @@ class Probes:
         self.ids, self.words, self.answers = [], [], []
         vectors: dict[int, list[np.ndarray]] = {SHORT: [], LONG: []}
         owners: dict[int, list[int]] = {SHORT: [], LONG: []}
+        probes: dict[int, list[np.ndarray]] = {SHORT: [], LONG: []}
         for item_id, text in items:
             w = tokens(text)
             if not len(w):
@@ -197,21 +226,33 @@ class Probes:
             for at in sorted({*range(0, last + 1, size // 2), last}):
                 vectors[size].append(space[(w[at : at + size] % TERMS).astype(np.int64)].sum(0))
                 owners[size].append(k)
+                probes[size].append(w[at : at + size])
+        self.keys, self.size = {}, {}
+        for s, texts in probes.items():
+            keys = [np.unique(x).astype(U64) | U64(i << 32) for i, x in enumerate(texts)]
+            self.keys[s] = np.sort(np.concatenate(keys)) if keys else np.zeros(1, U64)
+            self.size[s] = np.array([len(x) for x in texts], np.int64)
+        seeds = [(h, k) for k, x in enumerate(self.words) if len(x) >= SEED for h in np.unique(_seeds(np.array(x, "<u4"))).tolist()]
+        seeds.sort()
+        self.seeds, self.seed_owner = np.array([h for h, _ in seeds], U64), np.array([k for _, k in seeds], np.int64)
         self.matrix = {s: _unit(np.array(v)).astype(np.float32).T if v else np.zeros((space.shape[1], 0), np.float32) for s, v in vectors.items()}
         self.owner = {s: np.array(o, np.int64) for s, o in owners.items()}
 
     def candidates(self, w: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word of the window, item, cosine) where a window's cosine is enough."""
+        """(first word of the window, item, cosine) where a window's cosine is enough and it
+        holds enough of the probe's words, or where a seed of an item stands."""
         start = _starts(off, BLOCK)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        sums = np.empty((len(start), space.shape[1]), np.float32)
+        sums = np.zeros((len(start), space.shape[1]), np.float32)
+        weight = np.abs(space).sum(1)
         for i in range(0, len(start), AT_ONCE // BLOCK):
             lo, hi = start[i], start[i + AT_ONCE // BLOCK] if i + AT_ONCE // BLOCK < len(start) else len(w)
-            own = start[i : i + AT_ONCE // BLOCK] - lo
-            sums[i : i + len(own)] = np.add.reduceat(space[(w[lo:hi] % TERMS).astype(np.int64)], own, axis=0)
+            t, piece, first = _rare((w[lo:hi] % TERMS).astype(np.int64), start[i : i + AT_ONCE // BLOCK] - lo, weight)
+            if len(t):
+                sums[i + piece[first]] = np.add.reduceat(space[t], first, axis=0)
         row = np.searchsorted(off, start, side="right") - 1
-        found = []
+        found = [self.seeded(w, off)]
         for size, m in self.matrix.items():
             if not m.shape[1]:
                 continue
@@ -219,16 +260,42 @@ class Probes:
             for k in range(1, size // BLOCK):
                 same = row[k:] == row[:-k]
                 window[:-k][same] += sums[k:][same]
-            cos = _unit(window) @ m
-            at, probe = np.nonzero(cos >= COSINE)
-            found.append((start[at], self.owner[size][probe], cos[at, probe]))
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.zeros(0, np.int64),) * 3
+            window = _unit(window)
+            for i in range(0, len(start), AT_ONCE // BLOCK):
+                cos = window[i : i + AT_ONCE // BLOCK] @ m
+                at, probe = np.nonzero(cos >= COSINE)
+                if not len(at):
+                    continue
+                near = cos[at, probe]
+                # words of the window that the probe has; past a text's end nothing counts
+                place = start[i + at][:, None] + np.arange(size)
+                inside = place < off[row[i + at] + 1][:, None]
+                key = probe[:, None].astype(U64) << U64(32) | w[np.minimum(place, len(w) - 1)].astype(U64)
+                own = self.keys[size]
+                hit = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+                enough = (hit & inside).sum(1) >= OVERLAP * self.size[size][probe]
+                found.append((start[i + at[enough]], self.owner[size][probe[enough]], near[enough]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def seeded(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where ``SEED`` words of an item stand in a row."""
+        z = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if len(w) < SEED or not len(self.seeds):
+            return z
+        h = _seeds(w)
+        at = np.flatnonzero(self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h)
+        row = np.searchsorted(off, at, side="right") - 1
+        at = at[at + SEED <= off[row + 1]]
+        lo, hi = np.searchsorted(self.seeds, h[at]), np.searchsorted(self.seeds, h[at], side="right")
+        n = hi - lo
+        pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.seed_owner[pick], np.zeros(len(pick), np.float32)
 
     def verify(self, doc: np.ndarray, at: np.ndarray, item: int) -> tuple[float, float]:
         """Best (share of the item, share of its answer) around windows at ``at``."""
         own, answer = self.words[item], self.answers[item]
         n = len(own)
-        known = set(own)
+        known = np.array(own, "<u4")
         best = (0.0, 0.0)
         reach: list[list[int]] = []
         for a in sorted(at.tolist()):
@@ -240,8 +307,9 @@ class Probes:
         for lo, hi in reach:
             step = max(1, n // 2)
             for x in range(lo, max(lo + 1, hi - n), step):  # no part longer than two items
-                part = doc[x : min(hi, x + 2 * n)].tolist()
-                if sum(t in known for t in part) < WEAK * n:
+                part = doc[x : min(hi, x + 2 * n)]
+                part = part[np.isin(part, known)].tolist()  # other words can't be common ones
+                if len(part) < WEAK * n:
                     continue
                 share = lcs(own, part) / n
                 if share >= WEAK:
@@ -301,6 +369,7 @@ def _search(table: DataFrame, probes: Probes, space: np.ndarray, schema: str) ->
                 [keys.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.float64())],
                 ["doc_id", "item_id", "cosine", "share", "answer_share"],
             )
+        release()
 
     return table.mapInArrow(run, schema)
 
