@@ -1,5 +1,6 @@
 """All queries of the engine's own operators, by name, with their SQL equivalents."""
 
+from graphloom.plans import code_queries  # noqa: F401  registers its queries
 from graphloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
