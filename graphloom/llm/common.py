@@ -3,6 +3,8 @@ this package to the executors, and vectorised byte-level text primitives."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -23,6 +25,18 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 # ---------------------------------------------------------------- cluster side
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, so that Python workers

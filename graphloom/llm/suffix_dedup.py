@@ -8,10 +8,10 @@ least hash is its anchor, so equal windows have equal anchors at equal places, a
 suffixes that start at anchors matter; an anchor also carries the bytes before it that its
 windows reach. Four passes:
 
-1. Anchors whose token occurs once in the corpus are dropped (packed hashes are dealt by
-   hash, and come back as requests).
-2. The documents answer the requests with the bytes around those anchors. Copies that meet
-   here are settled at once, so that a group of copies sends little.
+1. Packed hashes of anchors are dealt by hash. Anchors whose token occurs once in the corpus
+   are dropped; of those with equal tokens and equal surroundings (two 64-bit hashes) all
+   but the first are settled; what is left comes back as requests.
+2. The documents answer the requests with the bytes around those anchors.
 3. The suffixes are dealt by their leading 16 bytes into ranges between sampled splitters;
    equal leading bytes never straddle a boundary, so that suffixes are compared across
    boundaries by sharing a side of it. A bucket sorts its windows by multikey quicksort on
@@ -34,15 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from graphloom.llm.common import U64, flat, partitions, powers, prefix_sums, row_slices, ship, span_hash
+from graphloom.llm.common import U64, flat, partitions, prefix_sums, release, row_slices, ship, span_hash
 
 LENGTH = 100
 TOKEN = 16
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 #: Low bits of a sort key that hold the place in a piece; more than twice SEGMENT fits.
 PLACE_BITS = 24
 #: Documents in the sample that steers, and in how many of them a token must be to be hot.
@@ -55,13 +56,13 @@ _LEAST = -(1 << 63)
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(token hash, position, bytes before, bytes behind) for each anchor: the windows that
-    it stands for start from ``before`` bytes in front of it, and the last of them ends
-    ``behind`` bytes further on. Positions are in ``data``."""
+    """(token hash, position, bytes before, bytes behind, hash of all these) for each anchor:
+    the windows that it stands for start from ``before`` bytes in front of it, and the last
+    of them ends ``behind`` bytes further on. Positions are in ``data``."""
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.astype(U64), z, z, z
+        return z.astype(U64), z, z, z, z.astype(U64)
     bits = U64(PLACE_BITS)
     s = prefix_sums(data)
     at = np.arange(n - TOKEN + 1)
@@ -77,12 +78,13 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     start = np.flatnonzero(np.arange(len(low)) + length <= ends)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z.astype(U64), z, z, z
+        return z.astype(U64), z, z, z, z.astype(U64)
     anchor = (low[start] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
     last = np.r_[first[1:] - 1, len(start) - 1]
     a = anchor[first]
-    return h[a], a, a - start[first], start[last] + length - a
+    lo, hi = start[first], start[last] + length
+    return h[a], a, a - lo, hi - a, span_hash(s, lo, hi)
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -98,7 +100,7 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np
             yield data[off[lo] + at : off[lo] + end], np.array([0, end - at]), lo, at
 
 
-_PACK = {"kg": "<u8", "db": "<i4", "did": "<i8", "th": "<i8", "pos": "<u4", "l": "u1", "r": "u1", "hot": "u1"}
+_PACK = {"kg": "<u8", "sh": "<u8", "db": "<i4", "did": "<i8", "th": "<i8", "pos": "<u4", "l": "u1", "r": "u1", "hot": "u1"}
 
 
 def _packed(to: np.ndarray, cols: dict[str, np.ndarray], name: str = "to", spans: list | None = None) -> Iterator[pa.RecordBatch]:
@@ -234,6 +236,7 @@ def _split(span: bytes, size: np.ndarray) -> list[bytes]:
 
 
 COVER = "db int, did binary, th binary, lo binary, hi binary"
+REQUEST = "db int, did binary, th binary, pos binary, l binary, r binary, hot binary, lo binary, hi binary"
 ENTRY = "to int, db binary, did binary, th binary, pos binary, l binary, r binary, span binary, lo binary, hi binary"
 
 
@@ -245,7 +248,7 @@ def _steer(docs: DataFrame, length: int, sample_docs: int, hot_docs: int, n: int
         for b in batches:
             data, off = flat(b.column("text"))
             for seg, seg_off, first, _ in _pieces(data, off, length):
-                h, a, _, _ = anchors(seg, seg_off, length)
+                h, a, _, _, _ = anchors(seg, seg_off, length)
                 row = np.searchsorted(seg_off, a, side="right") - 1 + first
                 pick = np.arange(0, len(a), max(1, len(a) // 4096))
                 lead = [seg[i : i + TOKEN].tobytes() for i in a[pick]]
@@ -265,7 +268,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
     n = partitions(spark)
     columns = [c for c in docs.columns if c not in ("text", "kept", "removed")]
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("did"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    whole = whole.select(F.pmod(F.xxhash64("did"), F.lit(4 * n)).cast("int").alias("db"), "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", "row")
+    whole = whole.select(F.pmod(F.xxhash64("did"), F.lit(n)).cast("int").alias("db"), "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", "row")
     slim = whole.select("db", "did", "th", "text")
     cuts, hot = _steer(slim, length, sample_docs, hot_docs, n)
 
@@ -274,44 +277,62 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
             data, off = flat(b.column("text"))
             ids = {k: np.asarray(b.column(k)) for k in ("db", "did", "th")}
             for seg, seg_off, first, shift in _pieces(data, off, length):
-                kg, a, l, r = anchors(seg, seg_off, length)
+                kg, a, l, r, sh = anchors(seg, seg_off, length)
                 if not len(a):
                     continue
                 row = np.searchsorted(seg_off, a, side="right") - 1
-                e = {"kg": kg, **{k: v[row + first] for k, v in ids.items()}, "pos": a - seg_off[row] + shift, "l": l, "r": r}
+                e = {"kg": kg, "sh": sh, **{k: v[row + first] for k, v in ids.items()}, "pos": a - seg_off[row] + shift, "l": l, "r": r}
                 is_hot = np.isin(kg, hot)
                 e["hot"] = is_hot
                 # what is hot needs no count; it goes on by its document
-                to = np.where(is_hot, e["db"] + 4 * n, (kg >> U64(33)).astype(np.int64) % (4 * n)).astype(np.int32)
+                to = np.where(is_hot, e["db"] + n, (kg >> U64(33)).astype(np.int64) % n).astype(np.int32)
                 yield from _packed(to, e)
+        release()
 
-    names = ["kg", "db", "did", "th", "pos", "l", "r", "hot"]
+    keys = ["did", "th", "pos", "l", "r", "hot"]
+    names = ["kg", "sh", "db", *keys]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for b in batches:
-            is_hot = np.asarray(b.column("to")) >= 4 * n
+            is_hot = np.asarray(b.column("to")) >= n
             if is_hot.any():
                 e = _unpacked(b.filter(pa.array(is_hot)), names)
-                yield from _packed(e["db"], {k: e[k] for k in names[2:]}, "db")
+                yield from _as(_packed(e["db"], {k: e[k] for k in keys}, "db"), _REQUEST)
             parts.append(b.filter(pa.array(~is_hot)))
         if parts:
             e = _unpacked(pa.Table.from_batches(parts), names)
             _, back, times = np.unique(e["kg"], return_inverse=True, return_counts=True)
             many = times[back] > 1
             e = {k: v[many] for k, v in e.items()}
-            yield from _packed(e["db"], {k: e[k] for k in names[2:]}, "db")
-
-    request = "db int, did binary, th binary, pos binary, l binary, r binary, hot binary"
-    requests = slim.mapInArrow(scan, "to int, " + ", ".join(f"{k} binary" for k in names)).repartition(n, "to").mapInArrow(count, request)
+            # equal token, equal surroundings: copies, of which the first stays
+            order = np.lexsort((e["pos"], e["did"], e["l"], e["sh"], e["kg"]))
+            e = {k: v[order] for k, v in e.items()}
+            new = np.r_[True, (e["kg"][1:] != e["kg"][:-1]) | (e["sh"][1:] != e["sh"][:-1]) | (e["l"][1:] != e["l"][:-1])][: len(order)]
+            pos = e["pos"].astype(np.int64)
+            late = _later(np.cumsum(new), e["did"], pos)
+            lo, hi = pos - e["l"], pos + e["r"]
+            yield from _as(_covers(e["db"][late], e["did"][late], e["th"][late], lo[late], hi[late]), _REQUEST)
+            # other surroundings of one token: their windows are to be compared
+            group = np.cumsum(np.r_[True, e["kg"][1:] != e["kg"][:-1]][: len(order)])
+            some = new & (np.bincount(group[new], minlength=(group[-1] if len(group) else 0) + 1)[group] > 1)
+            e = {k: v[some] for k, v in e.items()}
+            yield from _as(_packed(e["db"], {k: e[k] for k in keys}, "db"), _REQUEST)
+            del e
+        release()
+
+    requests = slim.mapInArrow(scan, "to int, " + ", ".join(f"{k} binary" for k in names)).repartition(n, "to").mapInArrow(count, REQUEST)
 
     def answer(texts: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
+        told = asked.filter(pc.is_valid(asked.column("lo")))  # already settled
+        out += told.select(["db", "did", "th", "lo", "hi"]).to_batches()
+        asked = asked.filter(pc.is_null(asked.column("lo")))
         if asked.num_rows and texts.num_rows:
             where: dict[tuple[int, int], pa.Scalar] = {}
             for d, t, x in zip(texts.column("did").to_pylist(), texts.column("th").to_pylist(), texts.column("text"), strict=True):
                 where.setdefault((d, t), x)
-            e = _unpacked(asked, names[2:])
+            e = _unpacked(asked, keys)
             e["db"] = np.full(len(e["did"]), asked.column("db")[0].as_py(), np.int32)
             order = np.lexsort((e["pos"], e["th"], e["did"]))
             e = {k: v[order] for k, v in e.items()}
@@ -329,8 +350,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
             cool = reps[e["hot"][reps] == 0]
             lead = np.array([spans[i][l : l + TOKEN] for i, l in zip(cool.tolist(), e["l"][cool].tolist(), strict=True)], f"S{TOKEN}")
             to = np.searchsorted(cuts, lead, side="right").astype(np.int32)
-            keys = ("db", "did", "th", "pos", "l", "r")
-            out += list(_packed(to, {k: e[k][cool] for k in keys}, "to", [spans[i] for i in cool]))
+            sent = ("db", "did", "th", "pos", "l", "r")
+            out += list(_packed(to, {k: e[k][cool] for k in sent}, "to", [spans[i] for i in cool]))
             warm = reps[e["hot"][reps] == 1]
             if len(warm):  # window by window, dealt by their whole content
                 seen: dict[bytes, tuple] = {}
@@ -356,11 +377,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
                 z = np.zeros(len(spans_w), np.int64)
                 out += list(_packed(to, {"db": z + e["db"][0], "did": d, "th": t, "pos": p, "l": z, "r": z + length}, "to", spans_w))
         tables = []
-        for i, b in enumerate(out):
-            cols = {k: b.column(k) for k in b.schema.names}
-            if "lo" in cols:  # already settled: passes through the next step
-                cols["to"] = pa.array([-1 - x for x in cols.pop("db").to_pylist()], pa.int32())
-            tables.append(pa.Table.from_arrays([cols.get(f.name, pa.nulls(b.num_rows, f.type)) for f in _ENTRY], schema=_ENTRY))
+        for b in out:
+            if "lo" in b.schema.names:  # passes through the next step
+                to = pa.array([-1 - x for x in b.column("db").to_pylist()], pa.int32())
+                b = pa.RecordBatch.from_arrays([to, *[b.column(k) for k in ("did", "th", "lo", "hi")]], ["to", "did", "th", "lo", "hi"])
+            tables += [pa.Table.from_batches([x]) for x in _as([b], _ENTRY)]
+        release()
         return pa.concat_tables(tables) if tables else _ENTRY.empty_table()
 
     entries = whole.groupBy("db").cogroup(requests.groupBy("db")).applyInArrow(answer, ENTRY)
@@ -381,6 +403,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
             e = _unpacked(rows, ("db", "did", "th", "pos", "l", "r"))
             spans = _split(b"".join(x.as_py() for x in rows.column("span")), e["l"].astype(np.int64) + e["r"])
             yield from _settle(e, spans, length)
+        held = {}
+        release()
 
     covers = entries.repartition(n, "to").mapInArrow(settle, COVER)
     result = StructType([*(docs.schema[c] for c in columns), StructField("text", StringType())]).add("kept", "binary").add("removed", "binary")
@@ -408,6 +432,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
                 last_end = b
             kept.append(b"".join([*out, raw[last_end:]]) if runs else raw)
             removed.append(np.array(runs, "<u4").tobytes())
+        release()
         row = texts.column("row").combine_chunks()
         row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
         return pa.Table.from_arrays([*[row.field(i) for i in range(len(columns))], texts.column("text"), pa.array(kept, pa.binary()), pa.array(removed, pa.binary())], names=[*columns, "text", "kept", "removed"])
@@ -415,6 +440,13 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
     return whole.groupBy("db").cogroup(covers.groupBy("db")).applyInArrow(drop, result)
 
 
+def _as(batches, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The batches with all columns of ``schema``, null where they have none."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(f.name) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type) for f in schema], schema=schema)
+
+
+_REQUEST = pa.schema([("db", pa.int32()), *[(k, pa.binary()) for k in ("did", "th", "pos", "l", "r", "hot", "lo", "hi")]])
 _ENTRY = pa.schema([("to", pa.int32()), *[(k, pa.binary()) for k in ("db", "did", "th", "pos", "l", "r", "span", "lo", "hi")]])
 
 
