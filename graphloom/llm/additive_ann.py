@@ -82,8 +82,10 @@ class Quantiser:
             np.add.at(rhs, codes[:, a], x)
         # stays near the old words where few vectors speak
         old = q.books.reshape(books * words, -1)
-        ridge = np.float32(1.0)
-        solved = np.linalg.solve(one + ridge * np.eye(len(one), dtype=np.float32), rhs + ridge * old)
+        one.flat[:: len(one) + 1] += np.float32(1.0)
+        rhs += old
+        solved = np.linalg.solve(one, rhs)
+        del one
         better = Quantiser(solved.reshape(q.books.shape).astype(np.float32))
         return better if better.loss(x) < q.loss(x) else q
 
