@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators import ranking
+
 BUGFIX = r"(?i)\b(fix|bug|patch|hotfix)\b"
 
 
@@ -77,19 +79,20 @@ def risk_ranking(files: DataFrame, churned: DataFrame, in_degree: DataFrame) ->
     """Churn percentile times reach times lack of tests, with the rank as percentile."""
     total = files.count()
     rows = files.join(churned, "path", "left").join(in_degree, "path", "left").select("path", F.coalesce("churn_30d", F.lit(0)).alias("churn"), F.coalesce("in_degree", F.lit(0)).alias("dependents"), "tested")
-    scored = rows.withColumn("pct", F.cume_dist().over(W.orderBy("churn")))
+    scored = ranking.cume_dist(rows, "churn", total, "pct")
     risk = F.greatest("pct", F.lit(0.01)) * F.least(F.col("dependents") / total, F.lit(1.0)) * F.greatest(1 - F.col("tested").cast("double"), F.lit(0.01))
     scored = scored.withColumn("risk", F.round(risk, 9))
-    i = F.row_number().over(W.orderBy(F.desc("risk"), "path")) - 1
+    scored = ranking.row_number(scored, [F.desc("risk"), F.asc("path")], total, "place")
+    i = F.col("place") - 1
     return scored.select("path", "churn", "dependents", F.round("pct", 6).alias("churn_pct"), "risk", F.round(F.when(F.lit(total <= 1), 1.0).otherwise((total - 1 - i) / max(total - 1, 1)), 6).alias("percentile"))
 
 
 def importance(files: DataFrame, degrees: DataFrame, churned: DataFrame) -> DataFrame:
     """in * 0.4 + out * 0.1 + recency * 0.3 + churn / max * 0.2; recency by position."""
     rows = files.join(degrees, "path", "left").join(churned, "path", "left")
-    order = W.orderBy(F.desc_nulls_last("last_commit"), "path")
-    rows = rows.withColumn("pos", F.row_number().over(order) - 1)
-    n, most = files.count(), churned.agg(F.max("churn_180d")).first()[0] or 1
+    n = files.count()
+    rows = ranking.row_number(rows, [F.desc_nulls_last("last_commit"), F.asc("path")], n, "pos").withColumn("pos", F.col("pos") - 1)
+    most = churned.agg(F.max("churn_180d")).first()[0] or 1
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     recency = F.when(F.col("last_commit").isNull(), 0.0).otherwise(1 - F.col("pos") / n)
     return rows.select("path", F.round(zero("in_degree") * 0.4 + zero("out_degree") * 0.1 + recency * 0.3 + zero("churn_180d") / most * 0.2, 6).alias("importance"))

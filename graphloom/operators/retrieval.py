@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators import ranking
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.octet_length(w) >= 2)
@@ -36,11 +38,11 @@ def path_signal(files: DataFrame, query: list[str]) -> DataFrame:
 def fuse(signals: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: competition ranks of every weighted signal, summed as
     w * (k + 1) / (k + rank)."""
-    total = None
+    total = F.lit(0.0)
     for c, w in weights.items():
         if w:
-            x = F.lit(float(w)) * (k + 1) / (k + F.rank().over(W.orderBy(F.desc(c))))
-            total = x if total is None else total + x
+            signals = ranking.competition_rank(signals, c, f"_rank_{c}")
+            total = total + F.lit(float(w)) * (k + 1) / (k + F.col(f"_rank_{c}"))
     return signals.select("path", F.round(total, 6).alias("score"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import catalog
-from graphloom.operators import architecture, conventions, graphs, history, retrieval
+from graphloom.operators import architecture, conventions, graphs, history, ranking, retrieval
 from graphloom.streaming import changes as stream
 
 DATA = "/root/testdata/sf0.001"
@@ -110,6 +110,13 @@ def test_stream_of_changes(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(base / "v=0")).collect()] == [("b", 2)]
 
 
+def test_row_number_in_ranges_equals_window(spark):
+    df = spark.range(0, 500).select((F.col("id") * 7919 % 101).alias("v"), "id")
+    order = [F.desc("v"), F.asc("id")]
+    here = {tuple(r) for r in ranking.row_number(df, order, 500, "n").collect()}
+    assert here == {tuple(r) for r in ranking.row_number(df, order, 500, "n", local_rows=0).collect()}
+
+
 def test_empty_edges(spark):
     none = spark.createDataFrame([], "src string, dst string, edge_type string")
     assert graphs.pagerank(none).count() == 0
