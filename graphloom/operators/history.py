@@ -13,13 +13,14 @@ BUGFIX = r"(?i)\b(fix|bug|patch|hotfix)\b"
 
 def churn(history: DataFrame) -> DataFrame:
     """Commits of each file in the last 30 and 180 days, and the day of its last one."""
-    return history.where("age < 180").groupBy("path").agg(F.count(F.when(F.col("age") < 30, 1)).alias("churn_30d"), F.count("*").alias("churn_180d"), F.max("day").alias("last_commit"))
+    return history.where("age <= 180").groupBy("path").agg(F.count(F.when(F.col("age") <= 30, 1)).alias("churn_30d"), F.count("*").alias("churn_180d"), F.max("day").alias("last_commit"))
 
 
-def trend(c30: Column, c180: Column) -> Column:
-    """Hot if the last 30 days, times 6, exceed the 180 days twice; then stabilised,
-    chronic or cold."""
-    return F.when(c30 * 6 > c180 * 2, "hot").when((c180 > 0) & (c30 == 0), "stabilized").when(c180 >= 3, "chronic").otherwise("cold")
+def trend(c30: Column, c180: Column, threshold: int) -> Column:
+    """By which of the two windows reach the threshold: both is hot while the last 30 days
+    outpace the 180, else chronic; the short one alone is hot, the long one stabilized."""
+    short, long = c30 >= threshold, c180 >= threshold
+    return F.when(short & (~long | (c30 * 6 > c180)), "hot").when(short, "chronic").when(long, "stabilized").otherwise("cold")
 
 
 def p75_threshold(counts: DataFrame, column: str) -> int:
@@ -31,7 +32,7 @@ def p75_threshold(counts: DataFrame, column: str) -> int:
 
 def bugfix_density(history: DataFrame, files: DataFrame, is_fix: Column) -> DataFrame:
     """Share of touches that fix something, by directory."""
-    return history.where("age < 180").join(files, "path").groupBy("dir").agg(F.round(F.avg(F.when(is_fix, 1.0).otherwise(0.0)), 6).alias("density"), F.count("*").alias("touches"))
+    return history.where("age <= 180").join(files, "path").groupBy("dir").agg(F.round(F.avg(F.when(is_fix, 1.0).otherwise(0.0)), 6).alias("density"), F.count("*").alias("touches"))
 
 
 def decay(age: Column) -> Column:
@@ -42,7 +43,7 @@ def decay(age: Column) -> Column:
 def co_changes(history: DataFrame, days: int = 180, least_files: int = 2, most_files: int = 200, threshold: int = 1) -> DataFrame:
     """Pairs of files that change together. A commit of more than ``most_files`` files says
     nothing about pairs and is left out, which also bounds the self-join."""
-    recent = history.where(F.col("age") < days)
+    recent = history.where(F.col("age") <= days)
     size = recent.groupBy("sha").agg(F.count("*").alias("n_files")).where(F.col("n_files").between(least_files, most_files))
     kept = recent.join(size, "sha").select("sha", "path", "age")
     a, b = kept.alias("a"), kept.alias("b")
@@ -100,3 +101,51 @@ def importance(files: DataFrame, degrees: DataFrame, churned: DataFrame) -> Data
 
 def recency_score(age: Column, horizon: int = 90) -> Column:
     return F.round(F.least(F.greatest(1 - age / float(horizon), F.lit(0.0)), F.lit(1.0)), 6)
+
+
+def reverts(commits: DataFrame) -> DataFrame:
+    """Commits that revert another: ``sha, reverted, original``, the original's message where
+    the message names its hash. ``commits``: sha, message."""
+    hit = commits.where(F.col("message").rlike(r"(?i)^revert\b")).withColumn("reverted", F.regexp_extract("message", r"([0-9a-f]{7,40})", 1))
+    short = commits.select(F.substring("sha", 1, 7).alias("k"), F.col("sha").alias("full"), F.col("message").alias("original"))
+    joined = hit.withColumn("k", F.substring("reverted", 1, 7)).join(short, "k", "left").where("full is null or startswith(full, reverted)")
+    return joined.select("sha", F.col("full").alias("reverted"), "original")
+
+
+def call_impact(calls: DataFrame, changed: DataFrame) -> DataFrame:
+    """Callers of changed files: sum of 1 (exact) or 0.5, over the largest such sum (of all
+    callers, changed ones included), without the changed. ``calls``: caller, callee, exact."""
+    hit = calls.join(changed.select(F.col("path").alias("callee")), "callee", "left_semi")
+    sums = hit.groupBy(F.col("caller").alias("path")).agg(F.sum(F.when(F.col("exact"), 1.0).otherwise(0.5)).alias("x"))
+    top = sums.agg(F.max("x")).first()[0] or 1.0
+    return sums.join(changed.select("path"), "path", "left_anti").select("path", F.round(F.col("x") / max(top, 1.0), 6).alias("score"))
+
+
+def predict(structural: DataFrame, by_call: DataFrame, by_history: DataFrame) -> DataFrame:
+    """``path, confidence`` from which of the three signals name a path."""
+    flag = lambda df, n: df.select("path").distinct().withColumn(n, F.lit(True))
+    rows = flag(structural, "s").join(flag(by_call, "c"), "path", "full").join(flag(by_history, "h"), "path", "full")
+    s, c, h = (F.coalesce(F.col(x), F.lit(False)) for x in "sch")
+    # fixed values
+    ladder = F.when(s & c & h, 0.90).when(s & c, 0.85).when(s & h, 0.75).when(c & h, 0.70).when(s, 0.60).when(c, 0.50).when(h, 0.40).otherwise(0.0)
+    return rows.select("path", s.alias("structural"), c.alias("by_call"), h.alias("historical"), ladder.alias("confidence"))
+
+
+def timeline(history: DataFrame) -> DataFrame:
+    """Months in order: commits, files, the step from the month before, and key events where
+    the files touched change by over a fifth."""
+    months = history.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.countDistinct("sha").alias("commits"), F.countDistinct("path").alias("files"))
+    order = W.orderBy("month")  # a row for each month
+    step = F.col("files") - F.lag("files").over(order)
+    event = F.when(F.abs(step) > 0.2 * F.lag("files").over(order), "churn")
+    return months.select("month", "commits", "files", step.alias("step"), event.alias("event"))
+
+
+#: conventions, tests, churn stability, coupling, cycles, dead code; fixed values.
+HEALTH = {"conventions": 0.20, "tests": 0.20, "churn": 0.15, "coupling": 0.20, "cycles": 0.15, "dead_code": 0.10}
+
+
+def health(scores: dict[str, float | None]) -> float:
+    """The weighted mean of the dimensions that are there."""
+    have = {k: w for k, w in HEALTH.items() if scores.get(k) is not None}
+    return sum(w * scores[k] for k, w in have.items()) / sum(have.values()) if have else 0.0

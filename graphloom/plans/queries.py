@@ -25,8 +25,8 @@ def query(sql: str | None = None):
     return add
 
 
-CO = "co AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS n, min(a.age) AS age FROM hist a JOIN hist b ON a.sha = b.sha AND a.path < b.path WHERE a.age < 180 AND b.age < 180 AND a.sha IN (SELECT sha FROM hist WHERE age < 180 GROUP BY sha HAVING count(*) BETWEEN 2 AND 200) GROUP BY 1, 2), cw AS (SELECT file_a, file_b, n, round(CASE WHEN age <= 30 THEN 1.0 ELSE 1.0 - 0.7 * (age - 30) / 150.0 END, 6) AS recency_weight FROM co)"
-CHURN = "churn AS (SELECT path, count(*) FILTER (WHERE age < 30) AS churn_30d, count(*) AS churn_180d, max(day) AS last_commit FROM hist WHERE age < 180 GROUP BY path)"
+CO = "co AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS n, min(a.age) AS age FROM hist a JOIN hist b ON a.sha = b.sha AND a.path < b.path WHERE a.age <= 180 AND b.age <= 180 AND a.sha IN (SELECT sha FROM hist WHERE age <= 180 GROUP BY sha HAVING count(*) BETWEEN 2 AND 200) GROUP BY 1, 2), cw AS (SELECT file_a, file_b, n, round(CASE WHEN age <= 30 THEN 1.0 ELSE 1.0 - 0.7 * (age - 30) / 150.0 END, 6) AS recency_weight FROM co)"
+CHURN = "churn AS (SELECT path, count(*) FILTER (WHERE age <= 30) AS churn_30d, count(*) AS churn_180d, max(day) AS last_commit FROM hist WHERE age <= 180 GROUP BY path)"
 DEG = "deg AS (SELECT path, count(*) AS in_degree FROM (SELECT file_a AS path FROM cw UNION ALL SELECT file_b FROM cw) GROUP BY path)"
 CHANGED = "changed AS (SELECT path FROM hist WHERE age < 2 GROUP BY path)"
 
@@ -58,9 +58,13 @@ def churn_windows(spark, d):
     return history.churn(rel.history(spark, d))
 
 
-@query(f"WITH {rel.HISTORY}, {CHURN} SELECT path, CASE WHEN churn_30d * 6 > churn_180d * 2 THEN 'hot' WHEN churn_180d > 0 AND churn_30d = 0 THEN 'stabilized' WHEN churn_180d >= 3 THEN 'chronic' ELSE 'cold' END AS trend FROM churn")
+P75 = "s AS (SELECT churn_180d AS v, row_number() OVER (ORDER BY churn_180d) - 1 AS i, count(*) OVER () AS n FROM churn), t AS (SELECT greatest(3, coalesce(max(v), 3)) AS k FROM s WHERE i = floor(n * 3 / 4.0))"
+
+
+@query(f"WITH {rel.HISTORY}, {CHURN}, {P75} SELECT path, CASE WHEN churn_30d >= k AND (churn_180d < k OR churn_30d * 6 > churn_180d) THEN 'hot' WHEN churn_30d >= k THEN 'chronic' WHEN churn_180d >= k THEN 'stabilized' ELSE 'cold' END AS trend FROM churn, t")
 def churn_trend(spark, d):
-    return history.churn(rel.history(spark, d)).select("path", history.trend(F.col("churn_30d"), F.col("churn_180d")).alias("trend"))
+    c = history.churn(rel.history(spark, d)).persist()
+    return c.select("path", history.trend(F.col("churn_30d"), F.col("churn_180d"), history.p75_threshold(c, "churn_180d")).alias("trend"))
 
 
 @query(f"WITH {rel.HISTORY}, {CHURN}, s AS (SELECT churn_180d AS v, row_number() OVER (ORDER BY churn_180d) - 1 AS i, count(*) OVER () AS n FROM churn) SELECT greatest(3, coalesce(max(v), 3))::BIGINT AS threshold FROM s WHERE i = floor(n * 3 / 4.0)")
@@ -69,7 +73,7 @@ def churn_p75(spark, d):
     return spark.createDataFrame([(n,)], "threshold long")
 
 
-@query(f"WITH {rel.HISTORY}, {S['files']} SELECT dir, round(avg(CASE WHEN message = '1-URGENT' THEN 1.0 ELSE 0.0 END), 6) AS density, count(*) AS touches FROM hist JOIN files USING (path) WHERE age < 180 GROUP BY dir")
+@query(f"WITH {rel.HISTORY}, {S['files']} SELECT dir, round(avg(CASE WHEN message = '1-URGENT' THEN 1.0 ELSE 0.0 END), 6) AS density, count(*) AS touches FROM hist JOIN files USING (path) WHERE age <= 180 GROUP BY dir")
 def bugfix_density(spark, d):
     return history.bugfix_density(rel.history(spark, d), rel.files(spark, d), F.col("message") == "1-URGENT")
 
@@ -393,3 +397,39 @@ def debounce_sessions(spark, d):
 def classify_changes(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("kind"), "ts")
     return stream.classify(e)
+
+
+COMMITS = [("aaaaaaa1", "Add parser"), ("bbbbbbb2", "Revert aaaaaaa1"), ("ccccccc3", "revert something"), ("ddddddd4", "Reverted by hand"), ("eeeeeee5", "Fix bug")]
+
+
+@query("WITH c(sha, message) AS (VALUES ('aaaaaaa1', 'Add parser'), ('bbbbbbb2', 'Revert aaaaaaa1'), ('ccccccc3', 'revert something'), ('ddddddd4', 'Reverted by hand'), ('eeeeeee5', 'Fix bug')), h AS (SELECT *, regexp_extract(message, '([0-9a-f]{7,40})', 1) AS k FROM c WHERE regexp_matches(message, '(?i)^revert\\b')) SELECT h.sha, o.sha AS reverted, o.message AS original FROM h LEFT JOIN c o ON h.k <> '' AND starts_with(o.sha, h.k)")
+def revert_detection(spark, d):
+    return history.reverts(spark.createDataFrame(COMMITS, "sha string, message string"))
+
+
+@query(f"WITH {rel.HISTORY}, m AS (SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT sha) AS commits, count(DISTINCT path) AS files FROM hist GROUP BY 1) SELECT *, files - lag(files) OVER (ORDER BY month) AS step, CASE WHEN abs(files - lag(files) OVER (ORDER BY month)) > 0.2 * lag(files) OVER (ORDER BY month) THEN 'churn' END AS event FROM m")
+def timeline_steps(spark, d):
+    return history.timeline(rel.history(spark, d))
+
+
+IMPACT = f"{S['edges']}, x AS (SELECT src AS path, sum(CASE WHEN edge_type = 'import' THEN 1.0 ELSE 0.5 END) AS x FROM edges WHERE dst IN ('NATION_20', 'NATION_21') GROUP BY 1), ci AS (SELECT path, round(x / greatest((SELECT max(x) FROM x), 1.0), 6) AS score FROM x WHERE path NOT IN ('NATION_20', 'NATION_21'))"
+
+
+def _impact(spark, d):
+    changed = spark.createDataFrame([("NATION_20",), ("NATION_21",)], "path string")
+    return history.call_impact(rel.trade_edges(spark, d).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (F.col("edge_type") == "import").alias("exact")), changed)
+
+
+@query(f"WITH {IMPACT} SELECT path, score FROM ci")
+def call_impact(spark, d):
+    return _impact(spark, d)
+
+
+@query(
+    f"""WITH {IMPACT}, st AS (SELECT n_name AS path FROM nation WHERE n_nationkey % 2 = 0), hi AS (SELECT n_name AS path FROM nation WHERE n_nationkey % 3 = 0),
+    p AS (SELECT path FROM st UNION SELECT path FROM hi UNION SELECT path FROM ci), f AS (SELECT path, path IN (SELECT path FROM st) AS structural, path IN (SELECT path FROM ci) AS by_call, path IN (SELECT path FROM hi) AS historical FROM p)
+    SELECT *, CASE WHEN structural AND by_call AND historical THEN 0.90 WHEN structural AND by_call THEN 0.85 WHEN structural AND historical THEN 0.75 WHEN by_call AND historical THEN 0.70 WHEN structural THEN 0.60 WHEN by_call THEN 0.50 WHEN historical THEN 0.40 ELSE 0.0 END::DOUBLE AS confidence FROM f"""
+)
+def predict_confidence(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("path"), "n_nationkey")
+    return history.predict(n.where("n_nationkey % 2 = 0"), _impact(spark, d), n.where("n_nationkey % 3 = 0"))
