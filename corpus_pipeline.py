@@ -6,10 +6,7 @@ encodes what is left and decodes it again."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that stand earlier; a character that is cut apart goes
     as a whole. No document is dropped."""
-    done, names = suffix_dedup.deduplicate(docs), docs.columns
-
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for b in batches:
-            kept = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(b.column("text").to_pylist(), b.column("kept").to_pylist(), strict=True)]
-            columns = [b.column(c) for c in names]
-            columns[at] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    out = done.select(*names, "kept").mapInArrow(text, docs.schema)
+    out = suffix_dedup.deduplicate(docs, in_text=True).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

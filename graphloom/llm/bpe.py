@@ -25,17 +25,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ship
+from graphloom.llm.common import KEPT, release, ship
 
 LEAF = 40
 NEVER = 1 << 40
 #: Entries that each of the two generations of a worker's memo holds.
-MEMO = 300_000
+MEMO = 200_000
 #: Longer stretches aren't kept in the memo.
 MEMO_CHARS = 48
 OUT_BYTES = 4 << 20
 #: Texts coded together, in characters.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 PLAIN = frozenset(".,;:!?")
 
 
@@ -221,25 +221,26 @@ class Stretches(dict):
     space left out) to what ``code`` makes of it; two generations keep it bounded, and
     frequent stretches stay. ``None`` marks a stretch beside which a text can't be cut."""
 
-    def __init__(self, code: Callable[[list[str]], list]):
-        self.code, self.old = code, {}
+    def __init__(self, code: Callable[[list[str]], list], size: int = MEMO):
+        self.code, self.old, self.first, self.size = code, {}, {}, size
 
     def __missing__(self, s: str):
         found = self.old.get(s, self)
         if found is self:
             found = None if not s or s[0].isspace() or s[-1].isspace() else self.code([" " + s])[0]
         if len(s) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[s] = found
         return found
 
-    def learn(self, texts: list[str]) -> None:
-        """Code at once what is unknown in some texts."""
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """Code at once what is unknown in some texts; returns their stretches."""
         seen: set[str] = set()
-        for t in texts:
-            seen.update(t.split(" ")[1:])
+        cuts = [t.split(" ") for t in texts]
+        for c in cuts:
+            seen.update(c)
         old = self.old
         fresh = []
         for s in seen.difference(self):
@@ -248,19 +249,31 @@ class Stretches(dict):
             elif s and len(s) <= MEMO_CHARS and not s[0].isspace() and not s[-1].isspace():
                 fresh.append(s)
         self.update(zip(fresh, self.code([" " + s for s in fresh]), strict=True))
-        if len(self) > MEMO:
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
+        return cuts
 
-    def of(self, text: str) -> list:
+    def opening(self, s: str):
+        """What a text's first stretch gives, which has no space before it."""
+        found = self.first.get(s)
+        if found is None:
+            found = self.code([s])[0]
+            if len(s) <= MEMO_CHARS:
+                if len(self.first) >= self.size // 8:
+                    self.first.clear()
+                self.first[s] = found
+        return found
+
+    def of(self, text: str, cut: list[str] | None = None) -> list:
         """What the text's stretches give, in order. A single space between two characters
         that aren't white space always begins a match of the pattern, so cutting there
         changes nothing; elsewhere the neighbours are coded together."""
-        cut = text.split(" ")
+        cut = text.split(" ") if cut is None else cut
         out = [self[s] for s in cut[1:]]
         first_safe = bool(cut[0]) and not cut[0][-1].isspace()
         if first_safe and None not in out:
-            return self.code(cut[:1]) + out
+            return [self.opening(cut[0]), *out]
         whole, run = [], cut[0]
         safe = first_safe
         for s, x in zip(cut[1:], out, strict=True):
@@ -299,6 +312,7 @@ def groups(col: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
 
 
 _coders: dict[tuple[str, str], tuple[MonoidBPE, Stretches]] = {}
+KEPT.append(_coders)
 
 
 def coder(path: str, pattern: str) -> tuple[MonoidBPE, Stretches]:
@@ -326,11 +340,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe, memo = coder(path, pattern)
         for b in batches:
             for first, texts in groups(b.column("text"), AT_ONCE):
-                memo.learn(texts)
-                ids = [b"".join(memo.of(t)) for t in texts]
+                cuts = memo.learn(texts)
+                ids = [b"".join(memo.of(t, c)) for t, c in zip(texts, cuts, strict=True)]
                 back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 keys = b.column("doc_id").slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+        release(keep=True)
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut.mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -28,8 +28,16 @@ _INV = pow(_BASE, -1, 1 << 64)
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-def release() -> None:
-    """Give memory that a task has freed back to the system: workers live on."""
+#: What operators keep in a worker from task to task; the next operator's tasks drop it.
+KEPT: list[dict] = []
+
+
+def release(keep: bool = False) -> None:
+    """Give memory that a task has freed back to the system, as workers live on. Unless
+    ``keep``, what other operators have left in the worker goes too."""
+    if not keep:
+        for kept in KEPT:
+            kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -185,19 +193,28 @@ def id_filter(ids: DataFrame, name: str = "doc_id") -> np.ndarray:
     return out
 
 
+def filter_places(name: str = "doc_id") -> list:
+    return [F.pmod(F.xxhash64(F.lit(k), F.col(name).cast("long")), F.lit(FILTER_BITS)).alias(f"_p{k}") for k in (1, 2)]
+
+
+def in_filter(b: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    found = np.ones(b.num_rows, bool)
+    for k in ("_p1", "_p2"):
+        p = np.asarray(b.column(k).fill_null(0))
+        found &= (bits[p >> 6] >> (p & 63) & 1) == 1
+    return found
+
+
 def maybe_in(docs: DataFrame, bits: np.ndarray, name: str = "doc_id") -> DataFrame:
     """``docs`` with ``_maybe``: false only where the id is surely not in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.ones(b.num_rows, bool)
-            for k in ("_p1", "_p2"):
-                p = np.asarray(b.column(k))
-                found &= (bits[p >> 6] >> (p & 63) & 1) == 1
+            found = in_filter(b, bits)
             keep = [i for i, f in enumerate(b.schema.names) if f not in ("_p1", "_p2")]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(found)], [*[b.schema.names[i] for i in keep], "_maybe"])
 
-    hashed = docs.select("*", *[F.pmod(F.xxhash64(F.lit(k), F.col(name).cast("long")), F.lit(FILTER_BITS)).alias(f"_p{k}") for k in (1, 2)])
+    hashed = docs.select("*", *filter_places(name))
     return hashed.mapInArrow(run, StructType([*docs.schema.fields, StructField("_maybe", BooleanType())]))
 
 

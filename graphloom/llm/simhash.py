@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, flat, id_filter, materialise, maybe_in, mix, partitions, powers, prefix_sums, row_of, row_slices, ship, span_hash, spans
+from graphloom.llm.common import U64, filter_places, flat, id_filter, in_filter, materialise, mix, partitions, powers, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
 from graphloom.llm.graph import components
 
 SEED = 42
@@ -167,6 +167,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
                 key, fp = key[done:], fp[done:]
         if len(key):
             yield groups(key, fp)
+        release()
 
     n = partitions(spark)
     spread_out = fps.select("fp").mapInArrow(spread, "key long, fp long")
@@ -194,7 +195,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: and so many neighbours, in another order in each of its buckets.
 SMALL, NEIGHBOURS = 16, 8
 _MULTIPLY = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD1B54A32D192ED03 * (i + 7))) & (2**64 - 1) | 1 for i in range(SEGMENTS * SYMBOLS)], U64)
-PIECE = 1 << 19
+PIECE = 1 << 18
 _WORD = np.array([0 if c in (32, 9, 10, 11, 12, 13) else _LOWER[c] for c in range(256)], np.uint8)
 _WORD[0] = 1
 
@@ -257,6 +258,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, SEGMENTS * SYMBOLS), np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32), pa.array(k.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(cls).view(np.int64) if cls else np.zeros(0, np.int64)), lists], ["doc_id", "cls", "keys"])
+        release()
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     return cut.mapInArrow(run, "doc_id long, cls long, keys array<long>")
@@ -293,6 +295,7 @@ def candidates(reps: DataFrame) -> DataFrame:
                 key, doc = key[done:], doc[done:]
         if len(key):
             yield pairs(key, doc)
+        release()
 
     n = partitions(reps.sparkSession)
     rows = reps.select(F.explode("keys").alias("key"), "doc_id")
@@ -300,11 +303,13 @@ def candidates(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, s``: the distinct shingle hashes of each text, packed in order."""
+def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``doc_id, s``: the distinct shingle hashes of the texts that a filter lets pass,
+    packed in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(in_filter(b, bits)))
             for data, off, lo in _whole(b):
                 s, row, _ = shingles(data, off)
                 order = np.argsort(row, kind="stable")
@@ -312,8 +317,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = [np.unique((s[order[ends[i] : ends[i + 1]]] >> U64(24)).astype("<u8")) for i in range(len(off) - 1)]
                 packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(off) - 1), pa.array(packed, pa.binary())], ["doc_id", "s"])
+        release()
 
-    return docs.mapInArrow(run, "doc_id long, s binary")
+    return docs.select("*", *filter_places()).mapInArrow(run, "doc_id long, s binary")
 
 
 def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -336,6 +342,7 @@ def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(common >= similarity * (n + m - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -356,8 +363,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = materialise(candidates(reps), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    some = maybe_in(cut, id_filter(ids)).where("_maybe").drop("_maybe")
-    sets = materialise(_sets(some), "sets").dropDuplicates(["doc_id"])
+    sets = materialise(_sets(cut, id_filter(ids)), "sets").dropDuplicates(["doc_id"])
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     groups = components(_jaccard(joined.select("a", "b", "x", "y"), similarity))
     label = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))

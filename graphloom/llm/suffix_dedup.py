@@ -261,14 +261,16 @@ def _steer(docs: DataFrame, length: int, sample_docs: int, hot_docs: int, n: int
     return np.unique(cuts), kg[count >= hot_docs]
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE_DOCS, hot_docs: int = HOT_DOCS) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE_DOCS, hot_docs: int = HOT_DOCS, in_text: bool = False) -> DataFrame:
     """Every row of ``docs`` (all its columns) with ``kept`` (the bytes that stay), and
-    ``removed``, the maximal removed runs as packed unsigned 32-bit (start, end) pairs."""
+    ``removed``, the maximal removed runs as packed unsigned 32-bit (start, end) pairs.
+    ``in_text``: the same rows with what stays as their text instead, without characters
+    that are cut apart; a null text stays null."""
     spark = ship(docs.sparkSession)
     n = partitions(spark)
     columns = [c for c in docs.columns if c not in ("text", "kept", "removed")]
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("did"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    whole = whole.select(F.pmod(F.xxhash64("did"), F.lit(n)).cast("int").alias("db"), "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", "row")
+    whole = whole.select(F.pmod(F.xxhash64("did"), F.lit(2 * n)).cast("int").alias("db"), "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", "row")
     slim = whole.select("db", "did", "th", "text")
     cuts, hot = _steer(slim, length, sample_docs, hot_docs, n)
 
@@ -407,7 +409,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
         release()
 
     covers = entries.repartition(n, "to").mapInArrow(settle, COVER)
-    result = StructType([*(docs.schema[c] for c in columns), StructField("text", StringType())]).add("kept", "binary").add("removed", "binary")
+    result = StructType([*(docs.schema[c] for c in columns), StructField("text", StringType())])
+    if not in_text:
+        result = result.add("kept", "binary").add("removed", "binary")
 
     def drop(texts: pa.Table, gone: pa.Table) -> pa.Table:
         e = _unpacked(gone, ("did", "th", "lo", "hi")) if gone.num_rows else {k: np.zeros(0, np.int64) for k in ("did", "th", "lo", "hi")}
@@ -435,6 +439,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE
         release()
         row = texts.column("row").combine_chunks()
         row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
+        if in_text:
+            given = texts.column("text").is_valid().to_pylist()
+            whole = [k.decode("utf-8", "ignore") if v else None for k, v in zip(kept, given, strict=True)]
+            return pa.Table.from_arrays([*[row.field(i) for i in range(len(columns))], pa.array(whole, pa.string())], names=[*columns, "text"])
         return pa.Table.from_arrays([*[row.field(i) for i in range(len(columns))], texts.column("text"), pa.array(kept, pa.binary()), pa.array(removed, pa.binary())], names=[*columns, "text", "kept", "removed"])
 
     return whole.groupBy("db").cogroup(covers.groupBy("db")).applyInArrow(drop, result)

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, flat, mix, prefix_sums, row_of, row_slices, ship, span_hash, spans
+from graphloom.llm.common import U64, flat, mix, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
 
 BITS = 20
 #: At most so many labelled texts are fitted on, half of each label where there are enough.
 TRAIN_ROWS = 8000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 _LOWER = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -187,6 +187,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.setdefault(int(k) + first, []).append(part)
         bags = [np.unique(np.concatenate(found[i])).astype("<u4").tobytes() if i in found else b"" for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary())], ["doc_id", "bag"])
+    release()
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **settings) -> Model:
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **settings
     picked = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted(y), np.int64)})))
     bags = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary").collect()
     bags.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
-    return FTRL(**settings).fit([np.frombuffer(r.bag, "<u4").astype(np.int64) for r in bags], np.array([y[r.doc_id] for r in bags], float))
+    return FTRL(**settings).fit([np.frombuffer(r.bag, "<u4") for r in bags], np.array([y[r.doc_id] for r in bags], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -212,6 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         table = model.table()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(*flat(b.column("text")), table))], ["doc_id", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -224,5 +226,6 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
         table = model.table()
         for b in batches:
             yield b.filter(pa.array(model.scores(*flat(b.column("text")), table) < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
