@@ -20,6 +20,7 @@ sharing their chunks; an empty table gives an empty store; further columns are i
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import AT_ONCE, Stretches, groups, matches
-from graphloom.llm.common import U64, mix, partitions, shared_dir, ship
+from graphloom.llm.common import KEPT, U64, mix, partitions, release, shared_dir, ship
 
 WINDOW = 8
 #: Mean, least and largest ids of a chunk.
@@ -41,6 +42,8 @@ MEAN_BITS, LEAST, MOST = 8, 48, 4096
 #: Chunk ids that a task remembers to have written.
 SEEN = 200_000
 ID_BYTES = 16
+#: Stretches that each of the two generations of a worker's memo holds.
+MEMO = 450_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,12 +54,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Letters, digits, signs and white space of Latin scripts, on whose classes all libraries agree.
+_ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
+
+
+def plain(s: str) -> bool:
+    return not _ODD.search(s)
+
+
 _encoders: dict[tuple[str, str], tuple[Stretches, int]] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str, pattern: str) -> tuple[Stretches, int]:
-    """(memo from stretches of text to packed ids, bytes for each id) of a worker. Stretches
-    of plain letters go to the library's model piece by piece, all others to its encoder."""
+    """(memo from stretches of text to packed ids, bytes for each id) of a worker. Short plain
+    stretches go to the library's model match by match, all others to its encoder."""
     if (path, pattern) not in _encoders:
         from tokenizers import Tokenizer
 
@@ -66,18 +78,35 @@ def encoder(path: str, pattern: str) -> tuple[Stretches, int]:
         letters, model, split = byte_letters(), tok.model, regex.compile(pattern).findall
         width = np.dtype(kind).itemsize
 
+        def ids_of(piece: str) -> list[int]:
+            if piece.isascii() and piece.isprintable():
+                spelled = piece.replace(" ", letters[32])
+            else:
+                spelled = piece.encode().decode("latin-1").translate(letters)
+            return [t.id for t in model.tokenize(spelled)]
+
         def code(stretches: list[str]) -> list[bytes]:
+            cut = [matches(s, split) if len(s) < 64 and plain(s) else None for s in stretches]
+            flat: list[int] = []
+            at: dict[str, slice] = {}
+            for c in cut:
+                for p in c or ():
+                    if p not in at:
+                        lo = len(flat)
+                        flat += ids_of(p)
+                        at[p] = slice(lo * width, len(flat) * width)
+            packed = np.array(flat, kind).tobytes()
             out = []
-            for s in stretches:
-                plain = len(s) < 64 and (s[1:].isalpha() or s[1:-1].isalpha()) and max(s) < "ɐ"
-                if plain:
-                    ids = [t.id for p in matches(s, split) for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]
+            for s, c in zip(stretches, cut, strict=True):
+                if c is None:
+                    out.append(np.array(tok.encode(s, add_special_tokens=False).ids, kind).tobytes())
+                elif len(c) == 1:
+                    out.append(packed[at[c[0]]])
                 else:
-                    ids = tok.encode(s, add_special_tokens=False).ids
-                out.append(b"".join([i.to_bytes(width, "little") for i in ids]))
+                    out.append(b"".join([packed[at[p]] for p in c]))
             return out
 
-        _encoders[path, pattern] = Stretches(code), width
+        _encoders[path, pattern] = Stretches(code, MEMO), width
     return _encoders[path, pattern]
 
 
@@ -169,11 +198,11 @@ def _encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame
         seen: set[bytes] = set()
         for b in batches:
             for first, texts in groups(b.column("text"), AT_ONCE):
-                memo.learn(texts)
+                cuts = memo.learn(texts)
                 rows = []
                 chunks: dict[bytes, bytes] = {}
-                for t, key in zip(texts, b.column("doc_id").slice(first, len(texts)).to_pylist(), strict=True):
-                    raw = b"".join([*memo.of(t), end])
+                for t, cut, key in zip(texts, cuts, b.column("doc_id").slice(first, len(texts)).to_pylist(), strict=True):
+                    raw = b"".join(memo.of(t, cut)) + end
                     at, recipe = 0, []
                     for stop in boundaries(np.frombuffer(raw, kind)):
                         part = raw[at * width : stop * width]
@@ -197,6 +226,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame
                     ],
                     ["is_doc", "doc_id", "n", "name", "payload"],
                 )
+        release(keep=True)
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut.mapInArrow(run, "is_doc boolean, doc_id long, n long, name binary, payload binary")
