@@ -191,9 +191,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 #: segments of five symbols differs in one symbol at most with probability 0.9996.
 SEGMENTS, SYMBOLS = 6, 5
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets up to this size are compared pair by pair; in larger ones each meets the first
-#: and so many neighbours, in another order in each of its buckets.
-SMALL, NEIGHBOURS = 16, 8
+#: Buckets up to this size are compared pair by pair, larger ones by rounds of pivots, each
+#: round with so many times the pivots of the last, and about so many pairs of a bucket.
+SMALL, GROWTH, PAIRS = 16, 8, 1 << 20
 _MULTIPLY = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD1B54A32D192ED03 * (i + 7))) & (2**64 - 1) | 1 for i in range(SEGMENTS * SYMBOLS)], U64)
 PIECE = 1 << 18
 _WORD = np.array([0 if c in (32, 9, 10, 11, 12, 13) else _LOWER[c] for c in range(256)], np.uint8)
@@ -264,43 +264,96 @@ def signatures(docs: DataFrame) -> DataFrame:
     return cut.mapInArrow(run, "doc_id long, cls long, keys array<long>")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): pairs of ids that share a key; linear in the size of a bucket."""
+def _by_key(rows: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+    """``work(*columns)`` on whole buckets: arrays of longs in order of ``key``, the first
+    column; it returns the columns of ``schema``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def pairs(key, doc):
-            n = len(key)
-            new = np.r_[True, key[1:] != key[:-1]]
-            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-            got = []
-            for d in range(1, SMALL):
-                i = np.arange(n - d) if n > d else np.zeros(0, np.int64)
-                i = i[(key[i] == key[i + d]) & ((size[i] <= SMALL) | (d <= NEIGHBOURS))]
-                got.append(np.column_stack([doc[i], doc[i + d]]))
-            far = np.flatnonzero((size > SMALL) & (np.arange(n) - first > NEIGHBOURS))
-            got.append(np.column_stack([doc[far], doc[first[far]]]))
-            x = np.concatenate(got)
-            x = np.unique(np.sort(x[x[:, 0] != x[:, 1]], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in columns]
         for b in batches:
-            key = np.concatenate([key, np.asarray(b.column("key"))])
-            doc = np.concatenate([doc, np.asarray(b.column("doc_id"))])
-            if len(key) and key[0] != key[-1]:
-                done = int(np.searchsorted(key, key[-1]))
-                yield pairs(key[:done], doc[:done])
-                key, doc = key[done:], doc[done:]
-        if len(key):
-            yield pairs(key, doc)
+            held = [np.concatenate([h, np.asarray(b.column(c))]) for h, c in zip(held, columns, strict=True)]
+            if len(held[0]) and held[0][0] != held[0][-1]:
+                done = int(np.searchsorted(held[0], held[0][-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(*[h[:done] for h in held])], names)
+                held = [h[done:] for h in held]
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(*held)], names)
         release()
 
-    n = partitions(reps.sparkSession)
-    rows = reps.select(F.explode("keys").alias("key"), "doc_id")
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("key", "doc_id"))
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select(*columns).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, schema)
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """``key, a, b, n``: all pairs (a < b, key 0) of the buckets of up to ``SMALL`` texts; of
+    larger ones a row for each text a, with b null and the number n of texts."""
+
+    def work(key, doc):
+        n = len(key)
+        new = np.r_[True, key[1:] != key[:-1]]
+        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        got = [np.zeros((0, 2), np.int64)]
+        for d in range(1, min(SMALL, n)):
+            i = np.arange(n - d)
+            i = i[(key[i] == key[i + d]) & (size[i] <= SMALL)]
+            got.append(np.column_stack([doc[i], doc[i + d]]))
+        x = np.concatenate(got)
+        x = np.unique(np.sort(x[x[:, 0] != x[:, 1]], axis=1), axis=0)
+        big = size > SMALL
+        none = np.r_[np.zeros(len(x), bool), np.ones(big.sum(), bool)]
+        zero = np.zeros(len(x), np.int64)
+        return np.r_[zero, key[big]], np.r_[x[:, 0], doc[big]], pa.array(np.r_[x[:, 1], doc[big]], mask=none), np.r_[zero, size[big]]
+
+    rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("a"))
+    return _by_key(rows, ["key", "a"], "key long, a long, b long, n long", work)
+
+
+def pivot_round(members: DataFrame, pivots: int) -> DataFrame:
+    """One round over large buckets. ``members``: key, a (text), centre (the greater, the
+    more texts share its keys), comp (its component so far), done (1 once it was a pivot).
+
+    A pivot is compared with all texts of its bucket that are in other components. A bucket
+    is settled once all texts outside its largest component have been pivots: of two texts
+    in different components one has met the other then. Gives ``key, a, b, centre, done``:
+    pairs to compare (b set), and the members of buckets that aren't known to be settled."""
+
+    def one(doc, centre, comp, done):
+        kind, place, count = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(kind) == 1:
+            return None
+        top = int(np.argmax(count))
+        left = np.flatnonzero((place != top) & (done == 0))
+        if not len(left):
+            return None
+        if count[top] == 1:  # nothing is joined yet: any text may be the one that joins all
+            left = np.flatnonzero(done == 0)
+        chosen = left[np.lexsort([doc[left], -centre[left]])[: max(1, min(pivots, PAIRS // len(doc)))]]
+        pairs = []
+        for p in chosen.tolist():
+            other = np.flatnonzero((comp != comp[p]) & (done == 0))
+            pairs.append(np.column_stack([np.full(len(other), doc[p]), doc[other]]))
+        done = done.copy()
+        done[chosen] = 1
+        x = np.concatenate(pairs)
+        return np.unique(np.sort(x, axis=1), axis=0), done
+
+    def work(key, doc, centre, comp, done):
+        cut = np.flatnonzero(np.diff(key)) + 1
+        pairs, keep, now = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):
+            found = one(doc[i:j], centre[i:j], comp[i:j], done[i:j])
+            if found:
+                pairs.append(found[0])
+                keep.append(np.arange(i, j))
+                now.append(found[1])
+        x, at, now = np.unique(np.concatenate(pairs), axis=0), np.concatenate(keep), np.concatenate(now)
+        zero = np.zeros(len(x), np.int64)
+        none = np.r_[np.zeros(len(x), bool), np.ones(len(at), bool)]
+        return np.r_[zero, key[at]], np.r_[x[:, 0], doc[at]], pa.array(np.r_[x[:, 1], doc[at]], mask=none), np.r_[zero, centre[at]], np.r_[zero, now]
+
+    return _by_key(members, ["key", "a", "centre", "comp", "done"], "key long, a long, b long, centre long, done long", work)
 
 
 def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -347,6 +400,43 @@ def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _settle(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, component`` over all similar pairs that share a bucket: those of small
+    buckets are compared at once, large ones in rounds until each is settled."""
+    def similar(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+        return _jaccard(joined.select("a", "b", "x", "y"), similarity)
+
+    big = dealt.where("b is null")
+    centre = big.groupBy("a").agg(F.sum("n").alias("centre"))
+    members = big.select("key", "a").join(centre, "a").select("key", "a", "centre", F.lit(0).cast("long").alias("done"))
+    pairs = dealt.where("b is not null").select("a", "b").distinct()
+    tried, groups, pivots = None, None, 1
+    while True:
+        labelled = members.withColumn("comp", F.col("a"))
+        if groups is not None:
+            labelled = members.join(groups.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("comp", F.coalesce("component", "a"))
+        now = materialise(pivot_round(labelled, pivots), "round")
+        members = now.where("b is null").select("key", "a", "centre", "done")
+        more = members.limit(1).count() > 0
+        if groups is not None and not more:
+            return groups
+        fresh = now.where("b is not null").select("a", "b").distinct()
+        if tried is not None:
+            fresh = fresh.join(tried, ["a", "b"], "left_anti")
+        else:
+            fresh = fresh.unionByName(pairs).distinct()
+        fresh = materialise(fresh, "candidates")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        found = similar(fresh)
+        if groups is not None:  # what is joined already comes as stars
+            found = found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = materialise(components(found), "groups")
+        pivots *= GROWTH
+        if not more:
+            return groups
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` for the documents that have an equal or near copy, that is,
     a Jaccard similarity of their sets of five-word shingles of at least ``similarity``,
@@ -354,18 +444,18 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     The index is the one of ``links``, with min-wise symbols in the place of bits: at 0.8
     some 10 of 64 SimHash bits differ, where one-bit segments would be too short to tell
-    texts apart. Equal word sequences are one entry of the index."""
+    texts apart. Equal word sequences are one entry of the index. All pairs of a bucket are
+    settled, by comparing them or since they are in one component already."""
     sigs = materialise(signatures(docs), "signatures")
     classes = sigs.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     named = materialise(sigs.select("doc_id", "cls").join(classes, "cls").select("doc_id", "rep"), "classes")
     firsts = classes.select(F.col("rep").alias("doc_id")).distinct()
     reps = sigs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = materialise(candidates(reps), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    dealt = materialise(buckets(reps), "buckets")
+    ids = dealt.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sets = materialise(_sets(cut, id_filter(ids)), "sets").dropDuplicates(["doc_id"])
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    groups = components(_jaccard(joined.select("a", "b", "x", "y"), similarity))
+    groups = _settle(dealt, sets, similarity)
     label = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     sizes = label.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     return label.join(sizes, "component_id", "left_semi").select("doc_id", "component_id")

@@ -211,6 +211,51 @@ def test_near_copies_finds_similar_and_spares_others(spark):
     assert got == {*want, (91, 90)}
 
 
+def test_near_copies_join_many_copies_that_only_resemble_their_original(spark):
+    r = random.Random(8)
+    n, words = 2000, [f"w{i}" for i in range(300)]
+    texts, has = [], np.ones((n + 1, 296), np.float32)
+    for i in range(n + 1):
+        own = list(words)
+        if i != n // 2:  # the original stands in the middle
+            for j in sorted(r.sample(range(5, 295), 5)):
+                own[j] = f"x{i}y{j}"
+                has[i, max(0, j - 4) : j + 1] = 0
+        texts.append(" ".join(own))
+    common = has @ has.T  # edited words are unique, so only the original's shingles are shared
+    jaccard = common / (2 * 296 - common)
+    alike = np.argwhere(np.triu(jaccard >= 0.8, 1))
+    root = n // 2
+    assert (jaccard[root] >= 0.8).all() and len(alike) < 1.02 * n + n * n / 100
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, texts)).collect()}
+    assert got == dict.fromkeys(range(n + 1), 0)
+
+
+def test_pivot_rounds_equal_all_pairs(spark):
+    """One large bucket: groups, chains and lone texts end as all pairs would."""
+    r = random.Random(9)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(12):
+            own = list(base)
+            for j in r.sample(range(100), k % 4):
+                own[j] = f"e{g}x{k}y{j}"
+            texts.append(own)
+    for k in range(20):  # each resembles the next
+        texts.append([f"c{i}" for i in range(10 * k, 10 * k + 120)])
+    texts += [[f"lone{k}w{i}" for i in range(80)] for k in range(15)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    ids = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    packed = [(i, b"".join(int(ids[s]).to_bytes(5, "little") for s in sorted(x, key=ids.get))) for i, x in enumerate(sets)]
+    n = len(texts)
+    dealt = spark.createDataFrame([(7, i, None, n) for i in range(n)], "key long, a long, b long, n long")
+    got = {x.node: x.component for x in simhash._settle(dealt, spark.createDataFrame(packed, "doc_id long, s binary"), 0.8).collect()}
+    assert got == want
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
