@@ -4,8 +4,10 @@ Words are lower-cased runs of letters and digits. All documents are cut into pas
 passage frequencies of hashed terms give the TF-IDF weights. A distributed randomised SVD
 of the passage-term matrix (one pass for the sketch, one for the small Gram matrix) gives a
 latent space; its matrices are bounded by terms and rank, never by the corpus. Windows of
-every document and probes of every benchmark item meet there by cosine; words in a row that
-an item has are candidates too, as an item of common words is nowhere in that space.
+every document and probes of every benchmark item meet there by cosine. That may miss some
+(an item of common words is nowhere in that space), so any stretch of two lengths of an item
+that holds enough of the item's rarest words is a candidate too: a common subsequence of the
+share asked for must have so many of them, wherever other words stand between.
 Candidates are verified on the words themselves: the longest common subsequence with the item, and with
 its answer (the last sentence), in the neighbourhood of the window.
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, flat, materialise, mix, release, ship
+from graphloom.llm.common import U64, flat, materialise, release, ship
 from graphloom.llm.toxicity import segments, words
 
 TERMS = 1 << 13
@@ -38,8 +40,9 @@ STRONG, WEAK, ANSWER = 0.8, 0.6, 0.6
 ITEMS = 4096
 #: Share of passages beyond which a term weighs nothing.
 COMMON = 0.005
-#: So many words in a row that an item has are a candidate whatever the latent space says.
-SEED = 6
+#: Seconds of a hit of a rare word and of a verification; they steer how many rare words
+#: of an item are looked for, never what is found.
+HIT_COST, VERIFY_COST = 1.5e-7, 1.5e-4
 #: Share of a probe's words that a candidate's window must hold to be verified.
 OVERLAP = 0.4
 #: Words that are worked on at once.
@@ -164,16 +167,17 @@ def _summed(table: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) ->
     return out if gram else idf[:, None] * out
 
 
-def latent_space(table: DataFrame, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """(terms, rank): weights that map counts of terms to latent coordinates. Terms of many
-    passages say nothing about one and weigh nothing."""
+def latent_space(table: DataFrame, rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, rank): weights that map counts of terms to latent coordinates, and the share
+    of words that each term is about. Terms of many passages say nothing about one and weigh
+    nothing there."""
     df, n = _frequencies(table)
     idf = np.where(df > max(COMMON * n, 20), 0.0, np.log((n + 1) / (df + 1)) + 0.1)
     rng = np.random.default_rng(seed)
     q, _ = np.linalg.qr(_summed(table, idf, rng.standard_normal((TERMS, rank + EXTRA)), False))
     value, turn = np.linalg.eigh(_summed(table, idf, q, True))
     basis = q @ turn[:, np.argsort(-value)[:rank]]
-    return (idf[:, None] * basis).astype(np.float32)
+    return (idf[:, None] * basis).astype(np.float32), df / max(n * PASSAGE, 1)
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -191,13 +195,26 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _seeds(w: np.ndarray) -> np.ndarray:
-    """A hash of every ``SEED`` words in a row."""
-    n = len(w) - SEED + 1
-    h = np.zeros(n, U64)
-    for k in range(SEED):
-        h = mix(h + w[k : k + n].astype(U64) + U64(k + 1))
-    return h
+def rarest(words: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, int]:
+    """(rare words of an item, how many of its stretch must be such). A common subsequence of
+    at least ``WEAK`` of the n words, so of m at least, leaves out n - m of them: of any
+    n - m + c words it has c or more. The c with the least expected work is taken."""
+    n = len(words)
+    m = max(1, int(np.ceil(WEAK * n - 1e-9)))
+    order = words[np.argsort(share[(words % TERMS).astype(np.int64)], kind="stable")]
+    best = None
+    for c in range(1, m + 1):
+        some = np.unique(order[: n - m + c])
+        rate = float(share[(some % TERMS).astype(np.int64)].sum())
+        often = 6 * n * rate  # in a stretch of 2n words; words of a language come together
+        term, under = np.exp(-min(often, 700.0)), 0.0
+        for k in range(1, c):
+            under += term
+            term *= often / k
+        cost = rate * (HIT_COST + VERIFY_COST * max(0.0, 1.0 - under) / c)
+        if best is None or cost < best[0]:
+            best = (cost, some, c)
+    return best[1], best[2]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -207,7 +224,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Probes:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], space: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], space: np.ndarray, share: np.ndarray):
         self.ids, self.words, self.answers = [], [], []
         vectors: dict[int, list[np.ndarray]] = {SHORT: [], LONG: []}
         owners: dict[int, list[int]] = {SHORT: [], LONG: []}
@@ -232,15 +249,20 @@ class Probes:
             keys = [np.unique(x).astype(U64) | U64(i << 32) for i, x in enumerate(texts)]
             self.keys[s] = np.sort(np.concatenate(keys)) if keys else np.zeros(1, U64)
             self.size[s] = np.array([len(x) for x in texts], np.int64)
-        seeds = [(h, k) for k, x in enumerate(self.words) if len(x) >= SEED for h in np.unique(_seeds(np.array(x, "<u4"))).tolist()]
-        seeds.sort()
-        self.seeds, self.seed_owner = np.array([h for h, _ in seeds], U64), np.array([k for _, k in seeds], np.int64)
+        rare = [rarest(np.array(x, "<u4"), share) for x in self.words]
+        self.need = np.array([c for _, c in rare], np.int64)
+        self.within = np.array([2 * len(x) for x in self.words], np.int64)
+        both = np.concatenate([x for x, _ in rare]) if rare else np.zeros(0, "<u4")
+        item = np.repeat(np.arange(len(rare)), [len(x) for x, _ in rare])
+        order = np.argsort(both, kind="stable")
+        self.rare, first = np.unique(both[order], return_index=True)
+        self.rare_item, self.rare_at = item[order].astype(np.int16), np.r_[first, len(both)]
         self.matrix = {s: _unit(np.array(v)).astype(np.float32).T if v else np.zeros((space.shape[1], 0), np.float32) for s, v in vectors.items()}
         self.owner = {s: np.array(o, np.int64) for s, o in owners.items()}
 
     def candidates(self, w: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word of the window, item, cosine) where a window's cosine is enough and it
-        holds enough of the probe's words, or where a seed of an item stands."""
+        holds enough of the probe's words, or where enough rare words of an item stand."""
         start = _starts(off, BLOCK)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -252,7 +274,7 @@ class Probes:
             if len(t):
                 sums[i + piece[first]] = np.add.reduceat(space[t], first, axis=0)
         row = np.searchsorted(off, start, side="right") - 1
-        found = [self.seeded(w, off)]
+        found = [self.counted(w, off)]
         for size, m in self.matrix.items():
             if not m.shape[1]:
                 continue
@@ -277,35 +299,46 @@ class Probes:
                 found.append((start[i + at[enough]], self.owner[size][probe[enough]], near[enough]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
-    def seeded(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where ``SEED`` words of an item stand in a row."""
+    def counted(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ends of all runs of as many rare words of an item as it needs, within twice
+        its length: nothing that has a long enough common subsequence there is left out."""
         z = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        if len(w) < SEED or not len(self.seeds):
+        if not len(w) or not len(self.rare):
             return z
-        h = _seeds(w)
-        at = np.flatnonzero(self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h)
-        row = np.searchsorted(off, at, side="right") - 1
-        at = at[at + SEED <= off[row + 1]]
-        lo, hi = np.searchsorted(self.seeds, h[at]), np.searchsorted(self.seeds, h[at], side="right")
+        word = np.minimum(np.searchsorted(self.rare, w), len(self.rare) - 1)
+        at = np.flatnonzero(self.rare[word] == w)
+        lo, hi = self.rare_at[word[at]], self.rare_at[word[at] + 1]
         n = hi - lo
-        pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.seed_owner[pick], np.zeros(len(pick), np.float32)
+        item = self.rare_item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order].astype(np.int64), np.repeat(at, n)[order]
+        k = np.arange(len(item))
+        end = k + self.need[item] - 1
+        k, end = k[end < len(item)], end[end < len(item)]
+        near = (item[end] == item[k]) & (at[end] - at[k] < self.within[item[k]])
+        k, end = k[near], end[near]
+        same = np.searchsorted(off, at[k], side="right") == np.searchsorted(off, at[end], side="right")
+        k, end = k[same], end[same]
+        return np.r_[at[k], at[end]], np.r_[item[k], item[k]], np.zeros(2 * len(k), np.float32)
 
     def verify(self, doc: np.ndarray, at: np.ndarray, item: int) -> tuple[float, float]:
         """Best (share of the item, share of its answer) around windows at ``at``."""
         own, answer = self.words[item], self.answers[item]
         n = len(own)
         known = np.array(own, "<u4")
-        best = (0.0, 0.0)
+        best = (False, 0.0, 0.0)  # what is accepted goes before a greater share that isn't
         reach: list[list[int]] = []
-        for a in sorted(at.tolist()):
-            lo, hi = max(0, a - n), min(len(doc), a + LONG + n)
+        for a in np.unique(at).tolist():
+            lo, hi = max(0, a - 2 * n), min(len(doc), a + LONG + 2 * n)
             if reach and lo <= reach[-1][1]:
                 reach[-1][1] = hi
             else:
                 reach.append([lo, hi])
         for lo, hi in reach:
-            step = max(1, n // 2)
+            step = max(1, n // 4)
+            whole = doc[lo:hi]
+            if lcs(own, whole[np.isin(whole, known)].tolist()) < WEAK * n:
+                continue  # no part of it can have more
             for x in range(lo, max(lo + 1, hi - n), step):  # no part longer than two items
                 part = doc[x : min(hi, x + 2 * n)]
                 part = part[np.isin(part, known)].tolist()  # other words can't be common ones
@@ -313,8 +346,9 @@ class Probes:
                     continue
                 share = lcs(own, part) / n
                 if share >= WEAK:
-                    best = max(best, (share, lcs(answer, part) / max(1, len(answer))))
-        return best
+                    of_answer = lcs(answer, part) / max(1, len(answer))
+                    best = max(best, (share >= STRONG or of_answer >= ANSWER, share, of_answer))
+        return best[1:]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -322,7 +356,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item of the benchmark, or most of one in order."""
     spark = ship(docs.sparkSession)
     table = materialise(tokenised(docs), "words")
-    space = latent_space(table)
+    space, share = latent_space(table)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, cosine double, share double, answer_share double"
     out = None
@@ -337,7 +371,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not block:
             break
         last = block[-1].item_id
-        found = _search(table, Probes([(r.item_id, r.text) for r in block], space), space, schema)
+        found = _search(table, Probes([(r.item_id, r.text) for r in block], space, share), space, schema)
         out = found if out is None else out.unionByName(found)
         if len(block) < ITEMS - 1 and not items.where(F.col("item_id") > last).limit(1).count():
             break

@@ -357,6 +357,38 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force_without_word_runs(spark):
+    """Items of common words, with words replaced or put in so that few stay in a row."""
+    r = random.Random(21)
+    common = [f"c{i}" for i in range(150)]
+    items = [[r.choice(common) for _ in range(r.randint(15, 50))] for _ in range(12)]
+    docs = []
+    for k in range(120):
+        own = [r.choice(common) for _ in range(r.randint(60, 140))]
+        x = list(items[k % 12])
+        if k % 4 == 0:  # each sixth word replaced
+            x = [r.choice(common) if j % 6 == 5 else t for j, t in enumerate(x)]
+        elif k % 4 == 1:  # a word put in after each fourth
+            x = [t for j, y in enumerate(x) for t in ([y, r.choice(common)] if j % 4 == 3 else [y])]
+        elif k % 4 == 2:  # after each third, and each twelfth replaced
+            x = [t for j, y in enumerate(x) for t in ([r.choice(common) if j % 12 == 7 else y] + [r.choice(common)] * (j % 3 == 2))]
+        else:
+            x = []
+        at = r.randint(0, len(own))
+        docs.append(own[:at] + x + own[at:])
+    code = {t: i for i, t in enumerate(common)}
+    want = set()
+    for d, doc in enumerate(docs):
+        doc = [code[t] for t in doc]
+        for i, item in enumerate(items):
+            own, n = [code[t] for t in item], len(item)
+            if max(decontaminate.lcs(own, doc[a : a + 3 * n // 2]) for a in range(len(doc))) >= decontaminate.STRONG * n:
+                want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(frame(spark, [" ".join(x) for x in docs]), bench).collect()}
+    assert len(want) >= 90 and want <= got
+
+
 def test_lcs():
     assert decontaminate.lcs([1, 2, 3, 4, 5], [9, 1, 3, 9, 5]) == 3
 
