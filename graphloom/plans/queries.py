@@ -323,6 +323,12 @@ def similar_pairs_jaccard(spark, d):
     return retrieval.similar_pairs(retrieval.terms(rel.documents(spark, d).where("language = 'de'")).select("path", "term"))
 
 
+@query()
+def similar_pairs_jaccard_whole(spark, d):
+    """All documents; the SQL self-join above holds the German ones only."""
+    return retrieval.similar_pairs(retrieval.terms(rel.documents(spark, d)).select("path", "term"))
+
+
 @query("WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7) SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)::DOUBLE[]), 4) AS similarity FROM embeddings ORDER BY similarity DESC, id LIMIT 20")
 def embedding_topk(spark, d):
     e = table(spark, d, "embeddings")

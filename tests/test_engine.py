@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom.operators import architecture, conventions, graphs, history, ranking, retrieval
+from graphloom.sources import relations
 from graphloom.streaming import changes as stream
 
 DATA = "/root/testdata/sf0.001"
@@ -121,3 +122,14 @@ def test_empty_edges(spark):
     none = spark.createDataFrame([], "src string, dst string, edge_type string")
     assert graphs.pagerank(none).count() == 0
     assert graphs.degrees(none).where(F.col("in_degree") > 0).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
+def test_similar_pairs_of_all_documents_equal_brute_force(spark):
+    sets = {}
+    for r in retrieval.terms(relations.documents(spark, DATA)).select("path", "term").collect():
+        sets.setdefault(r.path, set()).add(r.term)
+    paths = sorted(sets)
+    want = {(p, q) for i, p in enumerate(paths) for q in paths[i + 1 :] if round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6) > 0.8}
+    got = {(r.p, r.q) for r in catalog.QUERIES["similar_pairs_jaccard_whole"](spark, DATA).collect()}
+    assert got == want and any("/de/" not in p for p, _ in want)
