@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom.operators import architecture, conventions, graphs, history, ranking, retrieval
+from graphloom.plans import queries
 from graphloom.sources import relations
 from graphloom.streaming import changes as stream
 
@@ -133,3 +134,23 @@ def test_similar_pairs_of_all_documents_equal_brute_force(spark):
     want = {(p, q) for i, p in enumerate(paths) for q in paths[i + 1 :] if round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6) > 0.8}
     got = {(r.p, r.q) for r in catalog.QUERIES["similar_pairs_jaccard_whole"](spark, DATA).collect()}
     assert got == want and any("/de/" not in p for p, _ in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
+def test_whole_trade_edges_equal_brute_force(spark, con):
+    rows = con.execute("select c.n_name, s.n_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey join nation c on c_nationkey = c.n_nationkey join nation s on s_nationkey = s.n_nationkey where c_nationkey < s_nationkey").fetchall()
+    want = set(rows)
+    assert {(r.src, r.dst) for r in relations.whole_trade_edges(spark, DATA).collect()} == want
+    degrees = {r.node: (r.in_degree, r.out_degree) for r in catalog.QUERIES["graph_nodes_whole"](spark, DATA).collect()}
+    assert degrees == {x: (sum(b == x for _, b in want), sum(a == x for a, _ in want)) for x in {y for e in want for y in e}}
+    reach = {"NATION_3"}
+    while more := {b for a, b in want if a in reach} - reach:
+        reach |= more
+    assert {r.node for r in catalog.QUERIES["reachable_whole"](spark, DATA).collect()} == reach
+    hops = {"NATION_0": 0}
+    for h in range(1, 9):
+        for b in {b for a, b in want if hops.get(a) == h - 1} - set(hops):
+            hops[b] = h
+    path = [r.node for r in catalog.QUERIES["graph_shortest_path_whole"](spark, DATA).orderBy("hop").collect()]
+    assert len(path) - 1 == hops.get("NATION_23", -1) and set(zip(path, path[1:])) <= want
+    assert all(f"{name}_whole" in catalog.QUERIES for name in queries.ON_EDGES)
