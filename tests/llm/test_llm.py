@@ -69,6 +69,18 @@ def test_classifiers_held_out(spark, labelled, labels):
         assert right > 0.9
 
 
+def test_quality_statistics_of_a_long_text_are_those_of_the_whole(monkeypatch):
+    r = random.Random(31)
+    line = " ".join(f"w{r.randint(0, 400)}" for _ in range(40))
+    for text in (f"{line}\n" * 60, " ".join(f"w{i % 90}" for i in range(3000)), "x" * 9000, "\n" * 40 + (f"{line}. Ab CD\n" * 3 + "y" * 700 + " ") * 20):
+        data = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(data)])
+        monkeypatch.setattr(quality, "SEGMENT", 1 << 30)
+        want = quality.statistics(data, off)
+        monkeypatch.setattr(quality, "SEGMENT", 512)
+        assert np.array_equal(quality.statistics(data, off), want)
+
+
 def test_toxicity_sees_the_end_of_a_long_text(spark, labelled, labels):
     model = toxicity.train(labelled, labels)
     text = "w1 w2 w3 " * 250_000
