@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import U64, filter_places, flat, id_filter, in_filter, materialise, mix, partitions, powers, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
@@ -191,9 +192,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 #: segments of five symbols differs in one symbol at most with probability 0.9996.
 SEGMENTS, SYMBOLS = 6, 5
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets up to this size are compared pair by pair, larger ones by rounds of pivots, each
-#: round with so many times the pivots of the last, and about so many pairs of a bucket.
-SMALL, GROWTH, PAIRS = 16, 8, 1 << 20
+#: Buckets up to this size are compared pair by pair, larger ones with a hub.
+SMALL = 16
+#: Texts of a class from which on it is hot, as a share of all: such classes are at most
+#: the inverse of this, so they may travel with every task.
+HOT = 0.001
+#: Sizes within this factor of each other stand in one size class.
+SIZES = 1.05
 _MULTIPLY = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD1B54A32D192ED03 * (i + 7))) & (2**64 - 1) | 1 for i in range(SEGMENTS * SYMBOLS)], U64)
 PIECE = 1 << 18
 _WORD = np.array([0 if c in (32, 9, 10, 11, 12, 13) else _LOWER[c] for c in range(256)], np.uint8)
@@ -260,119 +265,119 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(cls).view(np.int64) if cls else np.zeros(0, np.int64)), lists], ["doc_id", "cls", "keys"])
         release()
 
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return cut.mapInArrow(run, "doc_id long, cls long, keys array<long>")
-
+    return docs.mapInArrow(run, "doc_id long, cls long, keys array<long>")
 
-def _by_key(rows: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
-    """``work(*columns)`` on whole buckets: arrays of longs in order of ``key``, the first
-    column; it returns the columns of ``schema``."""
 
-    names = [f.split()[0] for f in schema.split(", ")]
+def buckets(reps: DataFrame) -> DataFrame:
+    """``key, a, b``: all pairs (a < b, key 0) of the buckets of up to ``SMALL`` texts; of
+    larger ones a row for each text a, with b null. A bucket is never held as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in columns]
-        for b in batches:
-            held = [np.concatenate([h, np.asarray(b.column(c))]) for h, c in zip(held, columns, strict=True)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                done = int(np.searchsorted(held[0], held[0][-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(*[h[:done] for h in held])], names)
-                held = [h[done:] for h in held]
-        if len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(*held)], names)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        large = None  # the key whose bucket is known to be large already
+
+        def settle(key: np.ndarray, doc: np.ndarray, done: bool) -> pa.RecordBatch:
+            nonlocal held, large
+            new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            size = np.bincount(np.cumsum(new) - 1, minlength=1)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+            big = (size > SMALL) | (key == large if large is not None else False)
+            wait = np.zeros(len(key), bool) if done or not len(key) else (key == key[-1]) & ~big
+            if len(key):
+                large = key[-1] if big[-1] else None
+            held = key[wait], doc[wait]
+            got = [np.zeros((0, 2), np.int64)]
+            few = ~big & ~wait
+            for d in range(1, min(SMALL, len(key))):
+                i = np.flatnonzero(few[: len(key) - d])
+                i = i[key[i] == key[i + d]]
+                got.append(np.column_stack([doc[i], doc[i + d]]))
+            x = np.concatenate(got)
+            x = np.unique(np.sort(x[x[:, 0] != x[:, 1]], axis=1), axis=0)
+            none = np.r_[np.zeros(len(x), bool), np.ones(big.sum(), bool)]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(len(x), np.int64), key[big]]), pa.array(np.r_[x[:, 0], doc[big]]), pa.array(np.r_[x[:, 1], doc[big]], mask=none)], ["key", "a", "b"])
+
+        for batch in batches:
+            yield settle(np.concatenate([held[0], np.asarray(batch.column("key"))]), np.concatenate([held[1], np.asarray(batch.column("a"))]), False)
+        yield settle(*held, True)
         release()
 
-    dealt = rows.select(*columns).repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, schema)
+    rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("a"))
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+
 
+def hub_pairs(big: DataFrame) -> DataFrame:
+    """``a, b``: every text of a large bucket (key, a) with the bucket's hub, the text that
+    stands in the most large buckets."""
+    centre = big.groupBy("a").agg(F.count("*").alias("centre"))
+    hubs = big.join(centre, "a").groupBy("key").agg(F.max_by("a", F.struct("centre", (-F.col("a")).alias("first"))).alias("hub"))
+    return big.join(hubs, "key").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """``key, a, b, n``: all pairs (a < b, key 0) of the buckets of up to ``SMALL`` texts; of
-    larger ones a row for each text a, with b null and the number n of texts."""
-
-    def work(key, doc):
-        n = len(key)
-        new = np.r_[True, key[1:] != key[:-1]]
-        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-        got = [np.zeros((0, 2), np.int64)]
-        for d in range(1, min(SMALL, n)):
-            i = np.arange(n - d)
-            i = i[(key[i] == key[i + d]) & (size[i] <= SMALL)]
-            got.append(np.column_stack([doc[i], doc[i + d]]))
-        x = np.concatenate(got)
-        x = np.unique(np.sort(x[x[:, 0] != x[:, 1]], axis=1), axis=0)
-        big = size > SMALL
-        none = np.r_[np.zeros(len(x), bool), np.ones(big.sum(), bool)]
-        zero = np.zeros(len(x), np.int64)
-        return np.r_[zero, key[big]], np.r_[x[:, 0], doc[big]], pa.array(np.r_[x[:, 1], doc[big]], mask=none), np.r_[zero, size[big]]
 
-    rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("a"))
-    return _by_key(rows, ["key", "a"], "key long, a long, b long, n long", work)
-
-
-def pivot_round(members: DataFrame, pivots: int) -> DataFrame:
-    """One round over large buckets. ``members``: key, a (text), centre (the greater, the
-    more texts share its keys), comp (its component so far), done (1 once it was a pivot).
-
-    A pivot is compared with all texts of its bucket that are in other components. A bucket
-    is settled once all texts outside its largest component have been pivots: of two texts
-    in different components one has met the other then. Gives ``key, a, b, centre, done``:
-    pairs to compare (b set), and the members of buckets that aren't known to be settled."""
-
-    def one(doc, centre, comp, done):
-        kind, place, count = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(kind) == 1:
-            return None
-        top = int(np.argmax(count))
-        left = np.flatnonzero((place != top) & (done == 0))
-        if not len(left):
-            return None
-        if count[top] == 1:  # nothing is joined yet: any text may be the one that joins all
-            left = np.flatnonzero(done == 0)
-        chosen = left[np.lexsort([doc[left], -centre[left]])[: max(1, min(pivots, PAIRS // len(doc)))]]
-        pairs = []
-        for p in chosen.tolist():
-            other = np.flatnonzero((comp != comp[p]) & (done == 0))
-            pairs.append(np.column_stack([np.full(len(other), doc[p]), doc[other]]))
-        done = done.copy()
-        done[chosen] = 1
-        x = np.concatenate(pairs)
-        return np.unique(np.sort(x, axis=1), axis=0), done
-
-    def work(key, doc, centre, comp, done):
-        cut = np.flatnonzero(np.diff(key)) + 1
-        pairs, keep, now = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist(), strict=True):
-            found = one(doc[i:j], centre[i:j], comp[i:j], done[i:j])
-            if found:
-                pairs.append(found[0])
-                keep.append(np.arange(i, j))
-                now.append(found[1])
-        x, at, now = np.unique(np.concatenate(pairs), axis=0), np.concatenate(keep), np.concatenate(now)
-        zero = np.zeros(len(x), np.int64)
-        none = np.r_[np.zeros(len(x), bool), np.ones(len(at), bool)]
-        return np.r_[zero, key[at]], np.r_[x[:, 0], doc[at]], pa.array(np.r_[x[:, 1], doc[at]], mask=none), np.r_[zero, centre[at]], np.r_[zero, now]
-
-    return _by_key(members, ["key", "a", "centre", "comp", "done"], "key long, a long, b long, centre long, done long", work)
+def unsettled(big: DataFrame, groups: DataFrame) -> DataFrame:
+    """``a, comp, probe``: the texts of large buckets that aren't one component yet, with
+    their components. Those outside the largest of a bucket are probes: of two texts of one
+    bucket in different components one is."""
+    rows = big.join(groups.select(F.col("node").alias("a"), "component"), "a", "left").select("key", "a", F.coalesce("component", "a").alias("comp"))
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("kinds > 1").select("key", "top")
+    return rows.join(tops, "key").groupBy("a", "comp").agg(F.max((F.col("comp") != F.col("top")).cast("int")).alias("probe"))
+
+
+def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: candidates among ``texts`` (a, comp, probe) in different components, one of
+    them a probe, with none left out that is similar enough: two sets with the overlap that
+    the similarity asks for share one of the rarest elements of each, as far from the end of
+    both as that overlap is long. Sizes are dealt into classes, so that an element that many
+    texts hold meets only those whose size leaves room for the overlap."""
+    share = similarity / (1 + similarity)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                raw = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in part.column("s")]
+                size = np.array([len(x) for x in raw], np.int64)
+                wide = np.zeros((size.sum(), 8), np.uint8)
+                wide[:, :5] = np.concatenate(raw) if len(raw) else wide[:, :5]
+                columns = [np.repeat(np.asarray(part.column(c)), size) for c in ("a", "comp", "probe")]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(np.repeat(size, size)), pa.array(wide.view("<i8").reshape(-1))], ["a", "comp", "probe", "size", "token"])
+        release()
+
+    held = texts.join(sets.select(F.col("doc_id").alias("a"), "s"), "a").select("a", "comp", "probe", "s")
+    rows = materialise(held.mapInArrow(explode, "a long, comp long, probe int, size long, token long"), "tokens")
+    often = rows.groupBy("token").agg(F.count("*").alias("df"))
+    order = W.partitionBy("a").orderBy("df", "token")
+    placed = rows.join(often, "token").withColumn("place", F.row_number().over(order) - 1)
+    placed = placed.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9)) & (F.col("df") > 1))
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(SIZES))).cast("int")
+    rest = F.col("size") - F.col("place")
+    least, most = F.col("size") * similarity, F.least(rest / share - F.col("size"), F.col("size") / similarity)
+    of_probes = placed.where("probe = 1").where(most >= least - 1e-9)
+    x = of_probes.select("token", F.explode(F.sequence(size_class(F.floor(least)), size_class(F.ceil(most)))).alias("k"), F.col("a").alias("p"), F.col("comp").alias("pc"), F.col("size").alias("ps"), rest.alias("pr"))
+    y = placed.select("token", size_class(F.col("size")).alias("k"), F.col("a").alias("q"), F.col("comp").alias("qc"), F.col("size").alias("qs"), rest.alias("qr"))
+    room = F.least("pr", "qr") >= (F.col("ps") + F.col("qs")) * share - 1e-9
+    alike = F.least("ps", "qs") >= F.greatest("ps", "qs") * similarity - 1e-9
+    met = x.join(y, ["token", "k"]).where((F.col("pc") != F.col("qc")) & room & alike)
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``doc_id, s``: the distinct shingle hashes of the texts that a filter lets pass,
+    """``doc_id, cls, s``: the distinct shingle hashes of the texts that a filter lets pass,
     packed in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(in_filter(b, bits)))
             for data, off, lo in _whole(b):
-                s, row, _ = shingles(data, off)
+                s, row, whole = shingles(data, off)
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(len(off)))
                 sets = [np.unique((s[order[ends[i] : ends[i + 1]]] >> U64(24)).astype("<u8")) for i in range(len(off) - 1)]
                 packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(off) - 1), pa.array(packed, pa.binary())], ["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(off) - 1), pa.array(whole.view(np.int64)), pa.array(packed, pa.binary())], ["doc_id", "cls", "s"])
         release()
 
-    return docs.select("*", *filter_places()).mapInArrow(run, "doc_id long, s binary")
+    return docs.select("*", *filter_places()).mapInArrow(run, "doc_id long, cls long, s binary")
 
 
 def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -400,62 +405,53 @@ def _jaccard(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _settle(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, component`` over all similar pairs that share a bucket: those of small
-    buckets are compared at once, large ones in rounds until each is settled."""
-    def similar(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-        return _jaccard(joined.select("a", "b", "x", "y"), similarity)
-
-    big = dealt.where("b is null")
-    centre = big.groupBy("a").agg(F.sum("n").alias("centre"))
-    members = big.select("key", "a").join(centre, "a").select("key", "a", "centre", F.lit(0).cast("long").alias("done"))
-    pairs = dealt.where("b is not null").select("a", "b").distinct()
-    tried, groups, pivots = None, None, 1
-    while True:
-        labelled = members.withColumn("comp", F.col("a"))
-        if groups is not None:
-            labelled = members.join(groups.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("comp", F.coalesce("component", "a"))
-        now = materialise(pivot_round(labelled, pivots), "round")
-        members = now.where("b is null").select("key", "a", "centre", "done")
-        more = members.limit(1).count() > 0
-        if groups is not None and not more:
-            return groups
-        fresh = now.where("b is not null").select("a", "b").distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        else:
-            fresh = fresh.unionByName(pairs).distinct()
-        fresh = materialise(fresh, "candidates")
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        found = similar(fresh)
-        if groups is not None:  # what is joined already comes as stars
-            found = found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = materialise(components(found), "groups")
-        pivots *= GROWTH
-        if not more:
-            return groups
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (doc_id, s) are similar enough."""
+    x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
+    return _jaccard(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity)
+
+
+def settle(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, component`` over all similar pairs that share a bucket. Pairs of small buckets,
+    and of large ones those with the hub, are compared first; what they leave apart in a
+    large bucket is searched by its rarest shingles."""
+    big = dealt.where("b is null").select("key", "a").distinct()
+    first = dealt.where("b is not null").select("a", "b").unionByName(hub_pairs(big)).distinct()
+    groups = materialise(components(similar(first, sets, similarity)), "groups")
+    left = materialise(unsettled(big, groups), "unsettled")
+    found = similar(materialise(prefix_pairs(left, sets, similarity), "candidates"), sets, similarity)
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(found.unionByName(stars))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` for the documents that have an equal or near copy, that is,
-    a Jaccard similarity of their sets of five-word shingles of at least ``similarity``,
-    verified exactly; components of such links, named by their smallest doc_id.
+    a Jaccard similarity of their sets of five-word shingles (by 40-bit hashes) of at least
+    ``similarity``; components of such links, named by their smallest doc_id.
 
     The index is the one of ``links``, with min-wise symbols in the place of bits: at 0.8
     some 10 of 64 SimHash bits differ, where one-bit segments would be too short to tell
-    texts apart. Equal word sequences are one entry of the index. All pairs of a bucket are
-    settled, by comparing them or since they are in one component already."""
-    sigs = materialise(signatures(docs), "signatures")
-    classes = sigs.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    named = materialise(sigs.select("doc_id", "cls").join(classes, "cls").select("doc_id", "rep"), "classes")
-    firsts = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = sigs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts apart. Equal word sequences (by a 64-bit hash) are one entry of the index.
+
+    Defined results: texts without words, null or empty, are copies of each other; texts of
+    fewer words than a shingle are one shingle; case and white space don't count; rows
+    without a doc_id take no part; rows of one doc_id are one document, of which the text
+    with the least hash counts; an empty table gives an empty result; further columns,
+    whatever their names, are ignored."""
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    sigs = materialise(signatures(cut), "signatures")
+    one = sigs.groupBy("doc_id").agg(F.min("cls").alias("cls"))
+    classes = materialise(one.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = classes.where(F.col("n") > F.lit(max(1.0, HOT * total))).select("cls", F.col("rep").alias("hot_rep"))
+    marked = one.join(F.broadcast(hot), "cls", "left")  # at most 1 / HOT classes
+    cool = marked.where("hot_rep is null").select("doc_id", "cls").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep")
+    named = materialise(marked.where("hot_rep is not null").select("doc_id", F.col("hot_rep").alias("rep")).unionByName(cool), "named")
+    reps = sigs.join(classes.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").groupBy("doc_id").agg(F.first("keys").alias("keys"))
     dealt = materialise(buckets(reps), "buckets")
     ids = dealt.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null")
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sets = materialise(_sets(cut, id_filter(ids)), "sets").dropDuplicates(["doc_id"])
-    groups = _settle(dealt, sets, similarity)
+    sets = materialise(_sets(cut, id_filter(ids)), "sets").groupBy("doc_id").agg(F.min_by("s", "cls").alias("s"))
+    groups = settle(dealt, sets, similarity)
     label = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     sizes = label.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     return label.join(sizes, "component_id", "left_semi").select("doc_id", "component_id")
