@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import KEPT, release, ship
 
-LEAF = 40
+#: Bytes of a leaf of the tree, at most, and ids of one when decoding.
+LEAF, DECODE_LEAF = 4, 64
+#: Pairs of tokens whose fit a worker remembers.
+FITS = 300_000
 NEVER = 1 << 40
 #: Entries that each of the two generations of a worker's memo holds.
 MEMO = 200_000
@@ -54,30 +57,9 @@ class MonoidBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._pairs: tuple[np.ndarray, np.ndarray] | None = None
 
-    def leaf(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        never = 1 << 60
-        rank = [ranks.get(piece[i : i + 2], never) for i in range(len(piece) - 1)]
-        while rank:
-            low = min(rank)
-            if low == never:
-                break
-            i = rank.index(low)
-            parts[i] += parts.pop(i + 1)
-            rank.pop(i)
-            if i:
-                rank[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
-            if i < len(rank):
-                rank[i] = ranks.get(parts[i] + parts[i + 1], never)
-        return [ranks[p] for p in parts]
-
     def _table(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash table from a pair of ids to the id that it merges to."""
         if self._pairs is None:
@@ -117,8 +99,8 @@ class MonoidBPE:
         return out
 
     def leaves(self, pieces: list[bytes]) -> list[bytes]:
-        """``leaf`` of many short pieces at once, each packed as 32-bit integers: in
-        every round each piece makes its one next merge."""
+        """Ids of many short byte strings by merging alone, each packed as 32-bit integers:
+        in every round each string makes its one next merge."""
         n = len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, n)
         first = np.array([self.ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
@@ -149,68 +131,97 @@ class MonoidBPE:
         return [packed[at[i] : at[i + 1]] for i in range(n)]
 
     def encode_all(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of many matches of the pattern."""
+        """Packed ids of many matches of the pattern, by tree reduction of all at once."""
         out: list[bytes] = [b""] * len(pieces)
-        short = []
+        groups: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             whole = self.ranks.get(p)
-            if whole is not None:
+            if whole is not None:  # a match that is a token stays one
                 out[i] = whole.to_bytes(4, "little")
-            elif len(p) <= LEAF:
-                short.append(i)
-            else:
-                ids = self.encode(p)
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
-        if len(short) > 8:
-            for i, x in zip(short, self.leaves([pieces[i] for i in short]), strict=True):
+            elif p:
+                groups.setdefault(1 << max(0, (len(p) - 1) // LEAF).bit_length(), []).append(i)
+        for n, own in groups.items():
+            for i, x in zip(own, self.reduce([pieces[i] for i in own], n), strict=True):
                 out[i] = x
-        else:
-            for i in short:
-                ids = self.leaf(pieces[i])
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether the two tokens stay as they are where they stand side by side."""
-        key = (a, b)
-        found = self._fits.get(key)
-        if found is None:
-            if len(self._fits) > 200_000:
-                self._fits.clear()
+    def reduce(self, pieces: list[bytes], n: int) -> list[bytes]:
+        """Packed ids of pieces of at least ``n`` bytes: each is halved until there are ``n``
+        parts, those are encoded, and neighbours are joined level by level."""
+        parts = pieces
+        while len(parts) < n * len(pieces):
+            parts = [h for p in parts for h in (p[: len(p) // 2], p[len(p) // 2 :])]
+        leaf = self.leaves(parts)
+        tok = np.frombuffer(b"".join(leaf), "<u4").astype(np.int64)
+        off = np.r_[0, np.cumsum(np.fromiter(map(len, leaf), np.int64, len(leaf)) // 4)]
+        while n > 1:
+            tok, off = self.join_all(tok, off)
+            n //= 2
+        packed, at = tok.astype("<u4").tobytes(), (4 * off).tolist()
+        return [packed[at[i] : at[i + 1]] for i in range(len(pieces))]
+
+    def join_all(self, tok: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join segments 2i and 2i + 1 of the tokens, all i at once. Where the tokens at a
+        boundary don't fit, a window around it is encoded afresh, and grows until the tokens
+        beside it fit what came out, or it is all there is."""
+        lo, mid, hi = off[:-1:2], off[1::2], off[2::2]
+        todo = np.flatnonzero(~self.fits(tok[mid - 1], tok[mid]))
+        done = []
+        size = 1
+        while len(todo):
+            s, e = np.maximum(lo[todo], mid[todo] - size), np.minimum(hi[todo], mid[todo] + size)
+            token = self.token.__getitem__
+            flat = tok.tolist()
+            new = self.leaves([b"".join(map(token, flat[a:z])) for a, z in zip(s.tolist(), e.tolist(), strict=True)])
+            count = np.fromiter(map(len, new), np.int64, len(new)) // 4
+            made = np.frombuffer(b"".join(new), "<u4").astype(np.int64)
+            last = np.cumsum(count)
+            settled = (s == lo[todo]) | self.fits(tok[s - 1], made[last - count])
+            settled &= (e == hi[todo]) | self.fits(made[last - 1], tok[np.minimum(e, len(tok) - 1)])
+            done.append((todo[settled], s[settled], e[settled], count[settled], made[np.repeat(settled, count)]))
+            todo = todo[~settled]
+            size *= 2
+        if not done:
+            return tok, off[::2]
+        pair, s, e, count, made = (np.concatenate([d[i] for d in done]) for i in range(5))
+        gone = np.zeros(len(tok) + 1, np.int64)
+        np.add.at(gone, s, 1)
+        np.add.at(gone, e, -1)
+        stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+        step = np.arange(len(made)) - np.repeat(np.cumsum(count) - count, count)
+        order = np.lexsort((np.r_[np.zeros(len(stay), np.int64), step], np.r_[stay, np.repeat(s, count)]))
+        sizes = hi - lo
+        sizes[pair] += count - (e - s)
+        return np.r_[tok[stay], made][order], np.r_[0, np.cumsum(sizes)]
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether tokens stay as they are where they stand side by side."""
+        key, back = np.unique(a << 20 | b, return_inverse=True)
+        known, keys = self._fits, key.tolist()
+        fresh = [k for k in keys if k not in known]
+        if fresh:
+            if len(known) + len(fresh) > FITS:
+                known.clear()
+                fresh = keys
             # tokens of a vocabulary may be long, but are bounded
-            found = self._fits[key] = self.leaf(self.token[a] + self.token[b]) == [a, b]
-        return found
+            pairs = [(k >> 20, k & ((1 << 20) - 1)) for k in fresh]
+            got = self.leaves([self.token[x] + self.token[y] for x, y in pairs])
+            known.update((k, g == struct.pack("<2I", *p)) for k, p, g in zip(fresh, pairs, got, strict=True))
+        return np.fromiter(map(known.__getitem__, keys), bool, len(keys))[back]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the concatenation of what two id lists stand for."""
         if not left or not right:
             return left or right
-        if self.fits(left[-1], right[0]):
-            return left + right
-        size = 1
-        while True:
-            a, b = max(0, len(left) - size), min(len(right), size)
-            if a == 0 and b == len(right) and size > 1 and len(left) + len(right) <= 4:
-                return self.leaf(self.decode(left + right))
-            window = self.decode(left[a:]) + self.decode(right[:b])
-            mid = self.leaf(window)
-            if (a == 0 or self.fits(left[a - 1], mid[0])) and (b == len(right) or self.fits(mid[-1], right[b])):
-                return left[:a] + mid + right[b:]
-            size *= 2
+        return self.join_all(np.array([*left, *right], np.int64), np.array([0, len(left), len(left) + len(right)]))[0].tolist()
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        if len(piece) <= LEAF:
-            return self.leaf(piece) if piece else []
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        half = len(piece) // 2
-        return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
+        return np.frombuffer(self.encode_all([piece])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for, concatenated up the tree."""
-        if len(ids) <= 4096:
+        """The bytes that ids stand for: those of two halves, one behind the other."""
+        if len(ids) <= DECODE_LEAF:
             return b"".join(map(self.token.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
