@@ -2,19 +2,22 @@
 
 Documents are encoded with a tokenizer file of the ``tokenizers`` library, and an end id is
 put behind each. A rolling hash over the last ids cuts a document's ids into chunks, so
-that equal stretches give equal chunks; each chunk is stored once under the hash of its
-bytes. Recipes, in ascending doc_id order and in numbered shards, name the chunks of each
-document; a Merkle tree over a shard's recipes, and one over the shards, verify the store.
+that equal stretches give equal chunks; a chunk is named by the hash of its bytes and stored
+once, in the row of the first document that holds it. Recipes, in ascending doc_id order
+and in numbered shards, name the chunks of each document; a Merkle tree over a shard's
+recipes, and one over the shards, verify the store.
 
 The store is two tables in a folder that all executors share (any store that Spark writes):
-``chunks`` (chunk_id, n, payload) and ``recipes`` (shard, ordinal, doc_id, start in the
-shard, n_tokens, chunk ids, leaf), and a ``manifest`` (shard, n_docs, n_tokens, root). Ids
-are packed as little-endian unsigned integers of 16 bits, or 32 where the vocabulary is
-larger.
+``documents`` (shard, ordinal, rid, doc_id, start in the shard, n_tokens, the names and sizes
+of its chunks, the chunks it owns in a row, which of its chunks others own, and which of its
+own others use) and ``manifest`` (shard, n_docs, n_tokens, root). Ids are packed as
+little-endian unsigned integers of 16 bits, or 32 where the vocabulary is larger. As most
+chunks stand in the row of their document, reading back moves only those that several share.
 
 Defined results: null or empty text is the end id alone; special-token strings are ordinary
 text; rows without a doc_id come first, and repeated rows are stored one after the other,
-sharing their chunks; an empty table gives an empty store; further columns are ignored.
+sharing their chunks; an empty table gives an empty store; further columns are ignored. A
+damaged chunk, recipe or manifest raises ValueError when it is read.
 """
 
 from __future__ import annotations
@@ -34,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import AT_ONCE, Stretches, groups, matches
-from graphloom.llm.common import KEPT, U64, mix, partitions, release, shared_dir, ship
+from graphloom.llm.common import KEPT, U64, materialise, mix, partitions, release, shared_dir, ship
 
 WINDOW = 8
 #: Mean, least and largest ids of a chunk.
 MEAN_BITS, LEAST, MOST = 8, 48, 4096
-#: Chunk ids that a task remembers to have written.
-SEEN = 200_000
 ID_BYTES = 16
+#: Uses of a chunk that are sent it from one place.
+USES = 1000
 #: Stretches that each of the two generations of a worker's memo holds.
 MEMO = 450_000
 
@@ -138,38 +141,6 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-# crc32 of a concatenation from the parts' crcs: polynomials over two elements
-_POLY = 0xEDB88320
-
-
-def _times(a: int, b: int) -> int:
-    out, m = 0, 1 << 31
-    while m:
-        if a & m:
-            out ^= b
-        m >>= 1
-        b = b >> 1 ^ _POLY if b & 1 else b >> 1
-    return out
-
-
-_shift: dict[int, int] = {}
-
-
-def crc_join(first: int, second: int, size: int) -> int:
-    """The crc32 of two byte strings in a row, the second of ``size`` bytes."""
-    by = _shift.get(size)
-    if by is None:
-        by, square, n = 1 << 31, 1 << 23, size  # one, and x to the power 8
-        while n:
-            if n & 1:
-                by = _times(square, by)
-            square = _times(square, square)
-            n >>= 1
-        if len(_shift) < 100_000:
-            _shift[size] = by
-    return _times(by, first) ^ second
-
-
 @dataclass
 class Store:
     """A written store."""
@@ -192,79 +163,92 @@ class Store:
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
+    """A row for each document: its ids, and the names and sizes of its chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, width = encoder(path, pattern)
         end, kind = end_id.to_bytes(width, "little"), f"<u{width}"
-        seen: set[bytes] = set()
         for b in batches:
             for first, texts in groups(b.column("text"), AT_ONCE):
                 cuts = memo.learn(texts)
-                rows = []
-                chunks: dict[bytes, bytes] = {}
-                for t, cut, key in zip(texts, cuts, b.column("doc_id").slice(first, len(texts)).to_pylist(), strict=True):
+                n, names, sizes, ids = [], [], [], []
+                for t, cut in zip(texts, cuts, strict=True):
                     raw = b"".join(memo.of(t, cut)) + end
-                    at, recipe = 0, []
-                    for stop in boundaries(np.frombuffer(raw, kind)):
-                        part = raw[at * width : stop * width]
-                        name = hashlib.sha256(part).digest()[:ID_BYTES]
-                        recipe.append(name)
-                        if name not in seen:
-                            if len(seen) >= SEEN:
-                                seen.clear()
-                            seen.add(name)
-                            chunks[name] = part
-                        at = stop
-                    rows.append((key, len(raw) // width, b"".join(recipe)))
-                n, m = len(rows), len(chunks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([True] * n + [False] * m),
-                        pa.array([r[0] for r in rows] + [None] * m, pa.int64()),
-                        pa.array([r[1] for r in rows] + [len(x) // width for x in chunks.values()], pa.int64()),
-                        pa.array([r[2] for r in rows] + list(chunks), pa.binary()),
-                        pa.array([None] * n + list(chunks.values()), pa.binary()),
-                    ],
-                    ["is_doc", "doc_id", "n", "name", "payload"],
-                )
+                    stops = boundaries(np.frombuffer(raw, kind))
+                    names.append(b"".join([_name(raw[a * width : z * width]) for a, z in zip([0, *stops], stops, strict=False)]))
+                    sizes.append(np.diff([0, *stops]).astype("<u2").tobytes())
+                    n.append(len(raw) // width)
+                    ids.append(raw)
+                keys = b.column("doc_id").slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (names, sizes, ids)]], ["doc_id", "n_tokens", "names", "sizes", "ids"])
         release(keep=True)
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, "is_doc boolean, doc_id long, n long, name binary, payload binary")
+    return cut.mapInArrow(run, "doc_id long, n_tokens long, names binary, sizes binary, ids binary")
+
+
+def _name(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:ID_BYTES]
+
+
+def _leaf(doc_id: int | None, n: int, names: bytes) -> bytes:
+    return hashlib.sha256(f"{doc_id} {n} ".encode() + names).digest()
+
+
+def _named() -> list:
+    """(seq, name) columns of a document's chunks."""
+    size = ID_BYTES
+    parts = F.expr(f"transform(sequence(0, greatest(cast(octet_length(names) / {size} as int) - 1, 0)), i -> substring(names, i * {size} + 1, {size}))")
+    return [F.posexplode(parts).alias("seq", "name")]
+
+
+def _shared(encoded: DataFrame) -> DataFrame:
+    """``rid, kind, parts``: for each document that shares chunks, the places of its chunks
+    that others own (kind 0) and of its own that others use (kind 1), each with the number
+    of salts its uses are dealt over. The first use, by doc_id and row, owns a chunk."""
+    uses = encoded.select("doc_id", "rid", *_named())
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "rid", "seq"))
+    owner = uses.groupBy("name").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1")
+    owner = materialise(owner.select("name", F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts")), "shared-chunks")
+    own = owner.select(F.col("o_rid").alias("rid"), F.lit(1).alias("kind"), F.struct(F.col("o_seq").alias("seq"), "salts").alias("p"))
+    others = uses.join(owner, "name").where("rid <> o_rid or seq <> o_seq").select("rid", F.lit(0).alias("kind"), F.struct("seq", "salts").alias("p"))
+    return own.unionByName(others).groupBy("rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
 
 
 def write(docs: DataFrame, path: str, pattern: str, end_id: int = 0, folder: str | None = None) -> Store:
     """Encode ``docs`` and write the store into ``folder`` (a new one in the shared folder)."""
     spark = ship(docs.sparkSession)
     folder = folder or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    n = partitions(spark)
-    encoded = _encoded(docs, path, pattern, end_id)
-    encoded.write.option("compression", "zstd").partitionBy("is_doc").parquet(f"{folder}/encoded")
-    staged = spark.read.schema("doc_id long, n long, name binary, payload binary, is_doc boolean").parquet(f"{folder}/encoded")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            keep = []
-            for x in b.column("name").to_pylist():
-                keep.append(x not in seen)
-                seen.add(x)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    chunks = staged.where("not is_doc").select("name", "n", "payload").repartition(n, "name").mapInArrow(once, "name binary, n long, payload binary")
-    chunks.withColumnRenamed("name", "chunk_id").write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    n, width = partitions(spark), _width(path)
+    # the row id is written with the row, so it stays what it is
+    encoded = materialise(_encoded(docs, path, pattern, end_id).withColumn("rid", F.monotonically_increasing_id()), "encoded")
+    marks = materialise(_shared(encoded).join(encoded.select("rid", "doc_id"), "rid"), "marks")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, ordinal = TaskContext.get().partitionId(), 0, 0
+        marked: dict[int, list] = {}
         for b in batches:
-            size = np.asarray(b.column("n"))
-            begin = start + np.cumsum(size) - size
-            leaf = [hashlib.sha256(f"{k} {c} ".encode() + r).digest() for k, c, r in zip(b.column("doc_id").to_pylist(), size.tolist(), b.column("name").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, shard), pa.int32()), pa.array(np.arange(ordinal, ordinal + b.num_rows)), b.column("doc_id"), pa.array(begin), b.column("n"), b.column("name"), pa.array(leaf, pa.binary())], ["shard", "ordinal", "doc_id", "start", "n_tokens", "chunks", "leaf"])
-            start, ordinal = start + int(size.sum()), ordinal + b.num_rows
-
-    recipes = staged.where("is_doc").select("doc_id", "n", "name").repartitionByRange(n, "doc_id", F.xxhash64("name")).sortWithinPartitions("doc_id", F.xxhash64("name"), "name")
-    recipes.mapInArrow(shards, "shard int, ordinal long, doc_id long, start long, n_tokens long, chunks binary, leaf binary").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    store = Store(spark, folder, _width(path))
+            out = []
+            for kind, rid, doc_id, size, names, sizes, ids, parts in zip(*(b.column(c).to_pylist() for c in ("kind", "rid", "doc_id", "n_tokens", "names", "sizes", "ids", "parts")), strict=True):
+                if kind < 2:
+                    marked[kind] = [rid, parts]
+                    continue
+                mine = [marked[k][1] if k in marked and marked[k][0] == rid else [] for k in (0, 1)]
+                own, foreign = ids, {p["seq"] for p in mine[0]}
+                if foreign:
+                    ends = np.cumsum(np.frombuffer(sizes, "<u2").astype(np.int64)) * width
+                    own = b"".join([ids[a:z] for i, (a, z) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)) if i not in foreign])
+                marks_ = [np.array([(p["seq"], p["salts"]) for p in m], "<u4").tobytes() for m in mine]
+                out.append((shard, ordinal, rid, doc_id, start, size, names, sizes, own, *marks_))
+                start, ordinal = start + size, ordinal + 1
+            cols = list(zip(*out, strict=True)) if out else [()] * 11
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROWS, strict=True)], schema=_ROWS)
+        release()
+
+    rows = encoded.withColumn("kind", F.lit(2)).unionByName(marks, allowMissingColumns=True)
+    dealt = rows.repartitionByRange(n, "doc_id", "rid").sortWithinPartitions("doc_id", "rid", "kind")
+    dealt.mapInArrow(shards, ROWS).write.option("compression", "zstd").parquet(f"{folder}/documents")
+    store = Store(spark, folder, width)
     _roots(store).write.parquet(f"{folder}/manifest")
     return store
 
@@ -276,24 +260,25 @@ def _width(path: str) -> int:
 
 
 def _roots(store: Store) -> DataFrame:
-    """The manifest that the recipes as they are give: one row for each shard."""
+    """The manifest that the recipes as they are give: one row for each shard. A leaf is
+    the hash of a recipe's doc_id, count and chunk names, computed afresh."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, leaves, total, now = [], [], 0, None
         for b in batches:
-            for shard, size, leaf in zip(b.column("shard").to_pylist(), b.column("n_tokens").to_pylist(), b.column("leaf").to_pylist(), strict=True):
+            for shard, doc_id, size, names in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n_tokens", "names")), strict=True):
                 if shard != now and now is not None:
                     out.append((now, len(leaves), total, merkle(leaves)))
                     leaves, total = [], 0
                 now = shard
-                leaves.append(leaf)
+                leaves.append(_leaf(doc_id, size, names))
                 total += size
         if now is not None:
             out.append((now, len(leaves), total, merkle(leaves)))
         cols = list(zip(*out, strict=True)) if out else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "n_docs", "n_tokens", "root"])
 
-    rows = store.table("recipes").select("shard", "ordinal", "n_tokens", "leaf")
+    rows = store.table("documents").select("shard", "ordinal", "doc_id", "n_tokens", "names")
     return rows.repartition(partitions(store.spark), "shard").sortWithinPartitions("shard", "ordinal").mapInArrow(roots, "shard int, n_docs long, n_tokens long, root binary")
 
 
@@ -311,56 +296,113 @@ def _starts(store: Store) -> DataFrame:
     return F.broadcast(store.spark.createDataFrame(store.offsets() or [(-1, 0)], "shard int, before long"))
 
 
-def _parts(store: Store) -> DataFrame:
-    """A row for each chunk of each document: key, seq, chunk_id."""
-    size = ID_BYTES
-    seqs = F.expr(f"transform(sequence(0, greatest(cast(octet_length(chunks) / {size} as int) - 1, 0)), i -> substring(chunks, i * {size} + 1, {size}))")
-    return store.table("recipes").select("shard", "ordinal", F.posexplode(seqs).alias("seq", "chunk_id"))
+def _places(raw: bytes) -> list[list[int]]:
+    return np.frombuffer(raw, "<u4").reshape(-1, 2).tolist()
+
+
+def _chunks_of(row: dict, width: int, lent: dict[int, bytes] | None = None) -> list[bytes | None]:
+    """The chunks of a row in order: its own, held against their names, and those lent to
+    it; None where a chunk of another isn't given."""
+    names, sizes, own = row["names"], np.frombuffer(row["sizes"], "<u2").tolist(), row["own"]
+    foreign = {i for i, _ in _places(row["foreign"])}
+    out, at = [], 0
+    for i, n in enumerate(sizes):
+        if i in foreign:
+            part = (lent or {}).get(i)
+        else:
+            part = own[at : at + n * width]
+            at += n * width
+        if part is not None and _name(part) != names[i * ID_BYTES : (i + 1) * ID_BYTES]:
+            raise ValueError("a chunk doesn't match its name")
+        out.append(part)
+    if at != len(own) or len(sizes) * ID_BYTES != len(names):
+        raise ValueError("a document's chunks don't match its recipe")
+    return out
+
+
+def reconstruct(store: Store) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of every document, put together again from its chunks,
+    each held against its name; ids as packed in the store. Rows that hold all their chunks
+    are read where they stand; the others are sent the chunks they share."""
+    spark, width = store.spark, store.width
+    rows = store.table("documents")
+    done = "shard int, doc_id long, start long, n_tokens long, ids binary"
+
+    def finish(out: list) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "doc_id", "start", "n_tokens", "ids"])
+
+    def whole(row: dict, lent: dict[int, bytes] | None = None) -> tuple:
+        parts = _chunks_of(row, width, lent)
+        if None in parts:
+            raise ValueError("a chunk of a document is missing")
+        ids = b"".join(parts)
+        if len(ids) != row["n_tokens"] * width:
+            raise ValueError("a document doesn't have the length that its recipe tells")
+        return row["shard"], row["doc_id"], row["start"], row["n_tokens"], ids
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield finish([whole(r) for r in b.to_pylist()])
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                parts = _chunks_of(r, width)
+                for i, salts in _places(r["lent"]):
+                    name = r["names"][i * ID_BYTES : (i + 1) * ID_BYTES]
+                    out += [(name, salt, parts[i]) for salt in range(salts)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["name", "salt", "payload"])
+
+    def borrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rid, names, foreign in zip(*(b.column(c).to_pylist() for c in ("rid", "names", "foreign")), strict=True):
+                out += [(names[i * ID_BYTES : (i + 1) * ID_BYTES], rid % salts, rid, i) for i, salts in _places(foreign)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["name", "salt", "rid", "seq"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lent = None, {}
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["rid"] != now:
+                    now, lent = r["rid"], {}
+                if r["seq"] is not None:
+                    lent[r["seq"]] = r["payload"]
+                else:
+                    out.append(whole(r, lent))
+            yield finish(out)
+        release()
+
+    complete = rows.where("octet_length(foreign) = 0").select("shard", "doc_id", "start", "n_tokens", "names", "sizes", "own", "foreign").mapInArrow(alone, done)
+    sent = rows.where("octet_length(lent) > 0").select("names", "sizes", "own", "foreign", "lent").mapInArrow(lend, "name binary, salt int, payload binary")
+    partial = rows.where("octet_length(foreign) > 0")
+    wanted = partial.select("rid", "names", "foreign").mapInArrow(borrow, "name binary, salt int, rid long, seq int")
+    got = wanted.join(sent, ["name", "salt"]).select("rid", "seq", "payload")
+    both = got.unionByName(partial.select("rid", "shard", "doc_id", "start", "n_tokens", "names", "sizes", "own", "foreign"), allowMissingColumns=True)
+    dealt = both.repartition(partitions(spark), "rid").sortWithinPartitions("rid", F.asc_nulls_last("seq"))
+    read = complete.unionByName(dealt.mapInArrow(join, done))
+    return read.join(_starts(store), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(store: Store) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the files: each
-    chunk is read once, held against its name and summed up; the sums are combined in the
-    order of the recipes, so that no payload is shuffled."""
-    width = store.width
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from its reconstructed ids
+    as little-endian unsigned 32-bit integers, after the recipes have been verified."""
     verify(store)
+    kind = f"<u{store.width}"
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crc, size = [], []
-            for name, part in zip(b.column("chunk_id").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                if hashlib.sha256(part).digest()[:ID_BYTES] != name:
-                    raise ValueError("a chunk doesn't match its name")
-                ids = np.frombuffer(part, f"<u{width}").astype("<u4")
-                crc.append(zlib.crc32(ids.tobytes()))
-                size.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(crc, pa.int64()), pa.array(size, pa.int64())], ["chunk_id", "crc", "n"])
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, total = [], []
-            for parts in b.column("parts").to_pylist():
-                crc = n = 0
-                for p in parts:
-                    crc = crc_join(crc, p["crc"], 4 * p["n"])
-                    n += p["n"]
-                out.append(crc)
-                total.append(n)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("ordinal"), pa.array(total, pa.int64()), pa.array(out, pa.int64())], ["shard", "ordinal", "n_read", "ids_crc32"])
-
-    chunk = store.table("chunks").select("chunk_id", "payload").mapInArrow(sums, "chunk_id binary, crc long, n long")
-    joined = _parts(store).join(chunk, "chunk_id")
-    lists = joined.groupBy("shard", "ordinal").agg(F.array_sort(F.collect_list(F.struct("seq", "crc", "n"))).alias("parts"))
-    read = lists.mapInArrow(combine, "shard int, ordinal long, n_read long, ids_crc32 long")
-    recipes = store.table("recipes").select("shard", "ordinal", "doc_id", "start", "n_tokens")
-    return recipes.join(read, ["shard", "ordinal"]).join(_starts(store), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32")
+            ids = [np.frombuffer(x, kind) for x in b.column("ids").to_pylist()]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    return reconstruct(store).mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-def reconstruct(store: Store) -> DataFrame:
-    """``doc_id, start, ids`` of every document, put together again from its chunks; ids as
-    packed in the store."""
-    joined = _parts(store).join(store.table("chunks").select("chunk_id", "payload"), "chunk_id")
-    lists = joined.groupBy("shard", "ordinal").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
-    whole = lists.select("shard", "ordinal", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.payload))").alias("ids"))
-    recipes = store.table("recipes").select("shard", "ordinal", "doc_id", "start")
-    return recipes.join(whole, ["shard", "ordinal"]).join(_starts(store), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "ids")
+
+ROWS = "shard int, ordinal long, rid long, doc_id long, start long, n_tokens long, names binary, sizes binary, own binary, foreign binary, lent binary"
+_ROWS = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in ROWS.split(", ")])
