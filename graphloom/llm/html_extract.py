@@ -1,34 +1,42 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A linear classifier over a block's place and shape (its
-containers, link share, length) gives log-odds of content, which become the capacities to
-the two terminals; blocks that stand next to each other, or follow each other in the same
-container, are joined by smoothness edges whose capacity falls with their distance in the
-DOM. A minimum cut, found by max-flow, separates content from boilerplate. Nodes whose
-terminal outweighs all their other edges are settled beforehand, which leaves the cut
-as it is.
+A page is cut into text blocks. A logistic classifier over a block's own text (its length,
+link share, punctuation, kind of element, place in the page) gives log-odds of content,
+which become the capacities to the two terminals. Elements whose tag, role or class says
+what they hold (an article; a menu, notice or comment section) are nodes that markup ties to
+one terminal for good; a block is joined to the one that it stands in. Blocks that follow
+each other in the page or in one container are joined by smoothness edges, whose capacity
+falls with their distance in the DOM. A minimum cut, found by max-flow, separates content
+from boilerplate. All capacities are log-odds.
+
+The classifier is fitted on the blocks of a bounded sample of pages that mark their article
+(``SAMPLE`` pages): blocks in it are content, all others are not. The weights that it starts
+from, ``PRIOR``, are those of a Gaussian prior, and are what is used without such pages.
 
 Defined results: null or empty html, and a page without content, give an empty text;
 unclosed and stray tags are tolerated; a page cut off in the middle is read as far as it
-goes; repeated rows are treated each for itself; further columns are ignored.
+goes, an unclosed tag or comment up to the end of the page; depth has no bound, and the work
+grows with a page's size; repeated rows are treated each for itself; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden|aria-label|itemtype)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +44,7 @@ SKIPPED = frozenset("script style noscript template svg math iframe object selec
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p")}
+SAYING = frozenset("class id role style hidden aria-hidden itemtype".split())
 MAIN_TAGS = frozenset(["article", "main"])
 BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_ROLES = frozenset(["main", "article"])
@@ -49,20 +58,35 @@ BAD_WORDS = frozenset(
     popup overlay dialog alert toast copyright legal skip search form""".split()
 )
 
+#: What a block's statistics weigh before any page is seen, in order of ``_shape``.
+PRIOR = np.array([-0.5, 1.0, -0.6, -3.0, 0.3, 0.8, 0.8, 0.2, -0.2, 0.0])
+#: Pages that the classifier is fitted on, at most, and how firmly the prior holds.
+SAMPLE, FIRMNESS = 2000, 4.0
+#: Log-odds of a block are held within this, so that one block never outweighs its element.
+MOST = 2.5
+#: Capacities between a block and the element that says what it holds: one that says
+#: boilerplate, an article, a page that has its article elsewhere, and a hopeful class.
+IN_BAD, IN_MAIN, NOT_MAIN, HALF_MAIN = 6.0, 3.5, 3.2, 1.5
+
+
 @dataclass
 class Block:
+    """A text block: its statistics, its container, and the capacity (negative to the sink)
+    between it and the element that says what it holds."""
+
     text: str
-    logit: float
-    path: tuple[int, ...]
+    shape: list[float]
+    container: int
+    tie: float
 
 
 class _Open:
     """An open element: what it inherits and adds."""
 
-    __slots__ = ("tag", "main", "bad", "path", "link", "leaf")
+    __slots__ = ("tag", "main", "bad", "container", "link", "leaf")
 
-    def __init__(self, tag, main, bad, path, link, leaf):
-        self.tag, self.main, self.bad, self.path, self.link, self.leaf = tag, main, bad, path, link, leaf
+    def __init__(self, tag, main, bad, container, link, leaf):
+        self.tag, self.main, self.bad, self.container, self.link, self.leaf = tag, main, bad, container, link, leaf
 
 
 def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[float, float]:
@@ -75,6 +99,8 @@ def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[float, float]:
         words: set[str] = set()
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
+            if name not in SAYING:
+                continue
             if name == "role":
                 main, bad = max(main, value.lower() in MAIN_ROLES), max(bad, value.lower() in BAD_ROLES)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
@@ -90,14 +116,16 @@ def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[float, float]:
     return main, bad
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, each with its log-odds of content."""
-    stack = [_Open("", 0.0, 0.0, (), False, "")]
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The text blocks of a page, and the container that each container stands in."""
+    stack = [_Open("", 0.0, 0.0, 0, False, "")]
+    open_tags: Counter[str] = Counter()
+    up = [0]
     found: list[tuple[str, int, _Open]] = []
     pieces: list[str] = []
+    unclosed: set[str] = set()
     linked = 0
     owner = stack[0]
-    made = 0
     any_main = False
 
     def close() -> None:
@@ -120,14 +148,16 @@ def blocks(page: str) -> list[Block]:
         if stack[-1].link:
             linked += len(text.strip())
 
+    def shut(i: int) -> None:
+        for x in stack[i:]:
+            open_tags[x.tag] -= 1
+        del stack[i:]
+
     at, n = 0, len(page)
-    for_search = TOKEN.search
     while at < n:
-        m = for_search(page, at)
+        m = TOKEN.search(page, at)
         if m is None:
-            rest = page[at:]
-            cut = re.search(r"<(?:/?[a-zA-Z]|!)[^>]*\Z", rest)  # a tag that the page's end cuts off
-            say(rest[: cut.start()] if cut else rest)
+            say(page[at:])
             break
         if m.start() > at:
             say(page[at : m.start()])
@@ -139,15 +169,18 @@ def blocks(page: str) -> list[Block]:
         if end:
             if tag not in INLINE:
                 close()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                shut(i)
             continue
         if tag in SKIPPED and not attributes.endswith("/"):
             if tag == "head":  # its elements are skipped one by one
                 continue
-            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            over = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+            if over is None:
+                unclosed.add(tag)  # nor will a later one be
             if tag in ("title", "script", "style", "noscript", "template", "svg", "iframe", "textarea", "button", "select") or over:
                 at = over.end() if over else n
                 continue
@@ -161,91 +194,116 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             close()
-            for shut in CLOSES.get(tag, ("p",) if tag not in LEAVES or tag[0] == "h" else ()):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == shut:
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in INLINE and stack[i].tag not in LEAVES and shut != stack[i].tag:
-                        break
+            for other in CLOSES.get(tag, ("p",) if tag not in LEAVES or tag[0] == "h" else ()):
+                if open_tags[other]:
+                    i = len(stack) - 1
+                    while i and stack[i].tag != other and (stack[i].tag in INLINE or stack[i].tag in LEAVES):
+                        i -= 1
+                    if i and stack[i].tag == other:
+                        shut(i)
         if attributes.endswith("/") and tag not in INLINE:
             continue
-        up = stack[-1]
-        main, bad = _hints(tag, attributes, up.main >= 1)
+        above = stack[-1]
+        main, bad = _hints(tag, attributes, above.main >= 1)
         any_main |= main >= 1
-        path = up.path
+        container = above.container
         if tag not in INLINE and tag not in LEAVES:
-            made += 1
-            path = (*path, made) if len(path) < 64 else path
-        stack.append(_Open(tag, max(up.main, main), max(up.bad, bad), path, up.link or tag == "a", tag if tag in LEAVES else up.leaf if tag in INLINE else ""))
+            container = len(up)
+            up.append(above.container)
+        open_tags[tag] += 1
+        stack.append(_Open(tag, max(above.main, main), max(above.bad, bad), container, above.link or tag == "a", tag if tag in LEAVES else above.leaf if tag in INLINE else ""))
     close()
-    return [Block(text, _logit(text, links, o, any_main), o.path) for text, links, o in found]
-
-
-def _logit(text: str, links: int, o: _Open, any_main: bool) -> float:
-    """The classifier: fixed weights, chosen by hand."""
+    out = []
+    for i, (text, links, o) in enumerate(found):
+        if o.bad > 0:
+            tie = -IN_BAD
+        elif o.main >= 1:
+            tie = IN_MAIN
+        else:
+            tie = -NOT_MAIN if any_main else HALF_MAIN if o.main > 0 else 0.0
+        out.append(Block(text, _shape(text, links, o.leaf, i / len(found)), o.container, tie))
+    return out, up
+
+
+def _shape(text: str, links: int, leaf: str, place: float) -> list[float]:
+    """Statistics of a block's own text: no element around it but its own is looked at."""
     words = text.count(" ") + 1
-    share = min(1.0, links / max(1, len(text)))
-    s = -0.5 + min(1.5, max(-1.0, (words - 10) / 10))
-    s += 3.5 if o.main >= 1 else 1.5 * (o.main > 0)
-    s -= 7.0 * (o.bad > 0)
-    if any_main and o.main < 1:
-        s -= 3.0
-    if o.leaf:
-        s += 0.8 if o.leaf[0] in "ph" else 0.2
-    if share > 0.6:
-        s -= 1.0 if o.main >= 1 else 3.0
-    return s
-
-
-def smoothness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """Capacity between blocks: halved for each container to climb to their common one."""
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
+    return [
+        1.0,
+        min(1.5, max(-1.0, (words - 10) / 10)),
+        1.0 if words < 4 else 0.0,
+        1.0 if links > 0.6 * len(text) else 0.0,
+        1.0 if text[-1] in ".!?\u2026\"" else 0.0,
+        1.0 if leaf == "p" else 0.0,
+        1.0 if leaf[:1] == "h" else 0.0,
+        1.0 if leaf and leaf[0] not in "ph" else 0.0,
+        1.0 if "\u00a9" in text[:80] else 0.0,
+        place,
+    ]
+
+
+def log_odds(found: list[Block], weight: np.ndarray) -> list[float]:
+    if not found:
+        return []
+    return np.clip(np.array([b.shape for b in found]) @ weight, -MOST, MOST).tolist()
+
+
+def fit(x: np.ndarray, y: np.ndarray, count: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Weights of the logistic classifier for rows that stand ``count`` times: Newton steps,
+    held by the prior."""
+    w = PRIOR.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (count * (p - y)) + FIRMNESS * (w - PRIOR)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + FIRMNESS * np.eye(len(w)), grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
             break
-        k += 1
-    return 0.6 * 0.5 ** (len(a) + len(b) - 2 * k)
+    return w
 
 
-def minimum_cut(logit: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+def edges_of(found: list[Block], up: list[int]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: between neighbours, halved for each container to climb to their
+    common one, and between a block and the one before it in its container."""
+    depth = [0] * len(up)
+    for i in range(1, len(up)):
+        depth[i] = depth[up[i]] + 1
+    edges, last = [], {}
+    for i, b in enumerate(found):
+        if i:
+            x, y, climbed = found[i - 1].container, b.container, 0
+            while x != y:
+                if depth[x] >= depth[y]:
+                    x = up[x]
+                else:
+                    y = up[y]
+                climbed += 1
+            if climbed < 24:  # beyond that less than a rounding error
+                edges.append((i - 1, i, 0.6 * 0.5**climbed))
+        before = last.get(b.container)
+        if before is not None and before != i - 1:
+            edges.append((before, i, 0.4))
+        last[b.container] = i
+    return edges
+
+
+def minimum_cut(logit: list[float], edges: list[tuple[int, int, float]], tie: list[float] | None = None) -> list[bool]:
     """True for the nodes on the source's (content) side of a minimum cut; a tie goes to
-    the sink."""
+    the sink. ``tie``: capacities to elements that are part of a terminal already."""
     n = len(logit)
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    tie = tie or [0.0] * n
+    flow = _MaxFlow(n + 2)
+    s, t = n, n + 1
+    for i, (a, b) in enumerate(zip(logit, tie, strict=True)):
+        # what goes straight through the node, from one terminal to the other, is saturated
+        rest = a + b
+        if rest > 0:
+            flow.add(s, i, rest, 0.0)
+        elif rest < 0:
+            flow.add(i, t, -rest, 0.0)
     for a, b, c in edges:
-        near[a].append((b, c))
-        near[b].append((a, c))
-    label: list[bool | None] = [None] * n
-    own = list(logit)
-    pull = [sum(c for _, c in x) for x in near]
-    todo = deque(range(n))
-    while todo:  # a terminal that outweighs all other edges decides
-        i = todo.popleft()
-        if label[i] is None and abs(own[i]) > pull[i]:
-            label[i] = own[i] > 0
-            for j, c in near[i]:
-                if label[j] is None:
-                    own[j] += c if label[i] else -c
-                    pull[j] -= c
-                    todo.append(j)
-    left = [i for i in range(n) if label[i] is None]
-    if left:
-        at = {x: k for k, x in enumerate(left)}
-        flow = _MaxFlow(len(left) + 2)
-        s, t = len(left), len(left) + 1
-        for i in left:
-            if own[i] > 0:
-                flow.add(s, at[i], own[i], 0.0)
-            elif own[i] < 0:
-                flow.add(at[i], t, -own[i], 0.0)
-        for a, b, c in edges:
-            if a in at and b in at:
-                flow.add(at[a], at[b], c, c)
-        side = flow.source_side(s, t)
-        for i in left:
-            label[i] = side[at[i]]
-    return [bool(x) for x in label]
+        flow.add(a, b, c, c)
+    return flow.source_side(s, t)[:n]
 
 
 class _MaxFlow:
@@ -303,29 +361,49 @@ class _MaxFlow:
         return [x >= 0 for x in level]
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, smoothness(found[i - 1].path, b.path)))
-        before = last.get(b.path)
-        if before is not None and before != i - 1:
-            edges.append((before, i, 0.4))
-        last[b.path] = i
-    keep = minimum_cut([b.logit for b in found], edges)
-    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+def label(found: list[Block], up: list[int], weight: np.ndarray) -> list[bool]:
+    return minimum_cut(log_odds(found, weight), edges_of(found, up), [b.tie for b in found])
+
 
+def main_text(page: str | None, weight: np.ndarray = PRIOR) -> str:
+    found, up = blocks(page or "")
+    return " ".join(b.text for b, k in zip(found, label(found, up, weight), strict=True) if k)
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text`` of every row."""
+
+def train(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights fitted on the blocks of about ``sample`` pages, chosen by the hash of their id;
+    only sums over equal statistics reach the driver."""
+    ship(pages.sparkSession)
+    share = sample / max(1, pages.count())
+    picked = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col("html").cast("string").alias("html")) if share < 1 else pages.select(F.col("html").cast("string").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x in b.column("html"):
+                found, _ = blocks(x.as_py() or "")
+                if any(f.tie == IN_MAIN for f in found):
+                    rows += [([round(v, 1) for v in f.shape], int(f.tie == IN_MAIN)) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], ["x", "y"])
+
+    sums = picked.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().collect()
+    if len({r.y for r in sums}) < 2:
+        return PRIOR
+    sums.sort(key=lambda r: (r.x, r.y))
+    total = sum(r["count"] for r in sums)
+    return fit(np.array([r.x for r in sums]), np.array([r.y for r in sums], float), np.array([r["count"] for r in sums]) * (min(total, 1000) / total))
+
+
+def extract(pages: DataFrame, weight: np.ndarray | None = None) -> DataFrame:
+    """``page_id, url, text`` of every row; without ``weight`` the classifier is fitted first."""
     ship(pages.sparkSession)
+    weight = train(pages) if weight is None else weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                text = pa.array([main_text(x.as_py()) for x in part.column("html")], pa.string())
+                text = pa.array([main_text(x.as_py(), weight) for x in part.column("html")], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), text], ["page_id", "url", "text"])
 
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
