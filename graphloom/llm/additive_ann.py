@@ -5,8 +5,11 @@ Codebooks are fitted on a bounded sample: k-means on residuals, then a joint lea
 step for all codebooks given the codes. Encoding is a beam search over the codebooks that
 keeps the best partial sums; the squared norm of each sum and the length of what it leaves
 are stored with the codes. A query looks its inner products with all codewords up in a
-table, adds them up for every code, shortlists, and reranks the shortlist exactly on the
-original vectors.
+table and adds them up for every code. The best of these are scored exactly, and the
+``k``-th of them sets a bar: further entries are scored exactly where the sum, plus what the
+rest of the vector may add (``SIGMAS`` standard deviations of an inner product with a
+residual of the stored length in any direction), reaches it, and where the stored norms
+allow such a product at all. So the shortlist has no fixed length.
 
 Rows with equal vectors are one entry of the index with the ids that can matter (the
 ``k`` + 1 smallest), so copies never crowd a shortlist. Queries and index meet in blocks of
@@ -36,8 +39,9 @@ CODEBOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE = 8000
 #: Distinct vectors of the index, and queries, in a block.
 BLOCK, QUERIES = 16_384, 2048
-#: Entries of each cell of blocks that are reranked for a query.
-SHORTLIST = 400
+#: Entries of each cell of blocks that are reranked first for a query, and how far beyond
+#: its estimate an entry's product is looked for, in standard deviations.
+SHORTLIST, SIGMAS = 100, 2.0
 #: Queries that are scored at once, to bound memory.
 AT_ONCE = 128
 
@@ -137,25 +141,37 @@ def approximate(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_cell(quantiser: Quantiser, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, members: list[list[int]], k: int, shortlist: int) -> tuple[np.ndarray, ...]:
-    """(query id, id, score) of the ``k`` nearest found for each query in one block."""
+def search_cell(quantiser: Quantiser, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray], members: list[list[int]], k: int, shortlist: int) -> tuple[np.ndarray, ...]:
+    """(query id, id, score) of the ``k`` nearest found for each query in one block; ``coded``:
+    codes, squared norms and squared lengths of the residuals of its entries."""
+    codes, norm, left = coded
     out_q, out_v, out_s = [], [], []
     size = np.fromiter(map(len, members), np.int64, len(members))
     flat_ids = np.fromiter((i for m in members for i in m), np.int64, int(size.sum()))
     start = np.cumsum(size) - size
-    take = min(shortlist, len(codes))
+    take = min(max(shortlist, k + 1), len(codes))
+    spread = np.sqrt(left / max(1, vectors.shape[1])).astype(np.float32) * SIGMAS
+    longest = np.sqrt(norm) + np.sqrt(left)
     for lo in range(0, len(queries), AT_ONCE):
-        q = queries[lo : lo + AT_ONCE]
+        q = queries[lo : lo + AT_ONCE].astype(np.float64)
         rough = approximate(quantiser.tables(q), codes).T
-        short = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+        first = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+        length = np.linalg.norm(q, axis=1)
         for row, (own, one) in enumerate(zip(ids[lo : lo + AT_ONCE].tolist(), q, strict=True)):
-            who = np.sort(short[row])
-            exact = vectors[who].astype(np.float64) @ one.astype(np.float64)
-            best = who if len(who) <= k + 1 else who[exact >= np.partition(exact, -(k + 1))[-(k + 1)]]
-            score = vectors[best].astype(np.float64) @ one.astype(np.float64) if len(best) != len(who) else exact
-            n = size[best]
-            at = np.repeat(start[best], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            v, s = flat_ids[at], np.repeat(score, n)
+            who = first[row]
+            exact = vectors[who].astype(np.float64) @ one
+            if take < len(codes):  # the query's own entry may be among the k + 1
+                bar = np.partition(exact, -(k + 1))[-(k + 1)]
+                more = (rough[row] + length[row] * spread >= bar) & (length[row] * longest >= bar)
+                more[who] = False
+                more = np.flatnonzero(more)
+                who, exact = np.r_[who, more], np.r_[exact, vectors[more].astype(np.float64) @ one]
+            if len(who) > k + 1:
+                best = exact >= np.partition(exact, -(k + 1))[-(k + 1)]
+                who, exact = who[best], exact[best]
+            n = size[who]
+            at = np.repeat(start[who], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            v, s = flat_ids[at], np.repeat(exact, n)
             v, s = v[v != own], s[v != own]
             order = np.lexsort((v, -s))[:k]
             out_q.append(np.full(len(order), own))
@@ -182,9 +198,12 @@ def nearest(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", shor
     found = valid(rows, vec)
     # copies: the smallest ids are enough, as no other can be among k results
     first = W.partitionBy("v").orderBy("vec_id")
-    members = found.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    entries = members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    picked = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()
+    members = found.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
+    entries = members.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    # thinned by hash first, so that the tasks together send about ``sample`` vectors
+    share = min(1.0, 1.5 * sample / max(1, found.count()))
+    thin = found.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30))).distinct()
+    picked = thin.orderBy(F.xxhash64("v"), "v").limit(sample).collect()
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     quantiser = Quantiser.fit(np.array([r.v for r in picked]))
@@ -200,7 +219,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", shor
     n_index, n_asked = index.count(), asked.count()
     blocks, query_blocks = -(-n_index // block), max(1, -(-n_asked // query_block))
     all_queries, all_blocks = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (query_blocks, blocks))
-    left = index.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"), all_queries.alias("qb"), "v", "ids", "codes")
+    left = index.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"), all_queries.alias("qb"), "v", "ids", "codes", "norm", "residual")
     right = asked.select(all_blocks.alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), "vec_id", "v")
 
     def cell(own: pa.Table, queries: pa.Table) -> pa.Table:
@@ -208,7 +227,8 @@ def nearest(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", shor
         if own.num_rows and queries.num_rows:
             matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
             codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.uint8).reshape(own.num_rows, -1)
-            q = search_cell(quantiser, matrix(queries), np.asarray(queries.column("vec_id")), matrix(own), codes, own.column("ids").to_pylist(), k, shortlist)
+            coded = codes, np.asarray(own.column("norm")), np.asarray(own.column("residual"))
+            q = search_cell(quantiser, matrix(queries), np.asarray(queries.column("vec_id")), matrix(own), coded, own.column("ids").to_pylist(), k, shortlist)
         return pa.table({"query_id": pa.array(q[0], pa.int64()), "vec_id": pa.array(q[1], pa.int64()), "score": pa.array(q[2], pa.float64())})
 
     cells = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(cell, "query_id long, vec_id long, score double")
