@@ -230,10 +230,12 @@ class MonoidBPE:
 class Stretches(dict):
     """Memo from a stretch of text (what stands between two single spaces, its leading
     space left out) to what ``code`` makes of it; two generations keep it bounded, and
-    frequent stretches stay. ``None`` marks a stretch beside which a text can't be cut."""
+    frequent stretches stay. ``None`` marks a stretch beside which a text can't be cut.
+    ``words`` codes stretches of one space and no white space at their ends, if it can do so
+    faster."""
 
-    def __init__(self, code: Callable[[list[str]], list], size: int = MEMO):
-        self.code, self.old, self.first, self.size = code, {}, {}, size
+    def __init__(self, code: Callable[[list[str]], list], size: int = MEMO, words: Callable[[list[str]], list] | None = None):
+        self.code, self.words, self.old, self.first, self.size = code, words or code, {}, {}, size
 
     def __missing__(self, s: str):
         found = self.old.get(s, self)
@@ -259,7 +261,7 @@ class Stretches(dict):
                 self[s] = old[s]
             elif s and len(s) <= MEMO_CHARS and not s[0].isspace() and not s[-1].isspace():
                 fresh.append(s)
-        self.update(zip(fresh, self.code([" " + s for s in fresh]), strict=True))
+        self.update(zip(fresh, self.words([" " + s for s in fresh]), strict=True))
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()

@@ -84,7 +84,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_store.checksums(token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+    return token_store.checksums(token_store.write(table(spark, sf_dir, "documents"), path))
 
 
 @query

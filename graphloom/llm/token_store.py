@@ -23,7 +23,6 @@ damaged chunk, recipe or manifest raises ValueError when it is read.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,12 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import AT_ONCE, Stretches, groups, matches
+from graphloom.llm.bpe import AT_ONCE, Stretches, groups
 from graphloom.llm.common import KEPT, U64, materialise, mix, partitions, release, shared_dir, ship
 
 WINDOW = 8
@@ -45,72 +43,50 @@ MEAN_BITS, LEAST, MOST = 8, 48, 4096
 ID_BYTES = 16
 #: Uses of a chunk that are sent it from one place.
 USES = 1000
-#: Stretches that each of the two generations of a worker's memo holds.
-MEMO = 450_000
+#: Stretches that each of the two generations of a worker's memo holds, and of a row.
+MEMO, ROW = 450_000, 4096
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for
-    themselves, the others for letters from 256 on, in order."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in keep]
-    return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-#: Letters, digits, signs and white space of Latin scripts, on whose classes all libraries agree.
-_ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]")
-
-
-def plain(s: str) -> bool:
-    return not _ODD.search(s)
-
-
-_encoders: dict[tuple[str, str], tuple[Stretches, int]] = {}
+_encoders: dict[str, tuple[Stretches, int]] = {}
 KEPT.append(_encoders)
 
 
-def encoder(path: str, pattern: str) -> tuple[Stretches, int]:
-    """(memo from stretches of text to packed ids, bytes for each id) of a worker. Short plain
-    stretches go to the library's model match by match, all others to its encoder."""
-    if (path, pattern) not in _encoders:
+def encoder(path: str) -> tuple[Stretches, int]:
+    """(memo from stretches of text to packed ids, bytes for each id) of a worker. Stretches
+    that aren't known go to the library in rows; the lengths of the tokens tell them apart."""
+    if path not in _encoders:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        kind = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
-        letters, model, split = byte_letters(), tok.model, regex.compile(pattern).findall
-        width = np.dtype(kind).itemsize
+        vocabulary = tok.get_vocab(with_added_tokens=False)
+        width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
+        length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for letters, i in vocabulary.items():  # a letter of a byte-level vocabulary is a byte
+            length[i] = len(letters)
 
-        def ids_of(piece: str) -> list[int]:
-            if piece.isascii() and piece.isprintable():
-                spelled = piece.replace(" ", letters[32])
-            else:
-                spelled = piece.encode().decode("latin-1").translate(letters)
-            return [t.id for t in model.tokenize(spelled)]
+        def ids_of(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
         def code(stretches: list[str]) -> list[bytes]:
-            cut = [matches(s, split) if len(s) < 64 and plain(s) else None for s in stretches]
-            flat: list[int] = []
-            at: dict[str, slice] = {}
-            for c in cut:
-                for p in c or ():
-                    if p not in at:
-                        lo = len(flat)
-                        flat += ids_of(p)
-                        at[p] = slice(lo * width, len(flat) * width)
-            packed = np.array(flat, kind).tobytes()
-            out = []
-            for s, c in zip(stretches, cut, strict=True):
-                if c is None:
-                    out.append(np.array(tok.encode(s, add_special_tokens=False).ids, kind).tobytes())
-                elif len(c) == 1:
-                    out.append(packed[at[c[0]]])
-                else:
-                    out.append(b"".join([packed[at[p]] for p in c]))
+            return [np.array(ids, f"<u{width}").tobytes() for ids in ids_of(stretches)]
+
+        def code_words(stretches: list[str]) -> list[bytes]:
+            """Of stretches with one space in front and no white space at their ends: that
+            space always begins a match, so the encoding of a row of them is the row of
+            their encodings."""
+            out: list[bytes] = []
+            for lo in range(0, len(stretches), ROW):
+                parts = stretches[lo : lo + ROW]
+                ids = np.array(ids_of(["".join(parts)])[0], np.int64)
+                ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+                at = (np.searchsorted(np.cumsum(length[ids]), ends, side="left") + 1) * width
+                packed, at = ids.astype(f"<u{width}").tobytes(), [0, *at.tolist()]
+                out += [packed[a:z] for a, z in zip(at, at[1:], strict=False)]
             return out
 
-        _encoders[path, pattern] = Stretches(code, MEMO), width
-    return _encoders[path, pattern]
+        _encoders[path] = Stretches(code, MEMO, code_words), width
+    return _encoders[path]
 
 
 def boundaries(ids: np.ndarray) -> list[int]:
@@ -162,11 +138,11 @@ class Store:
         return out
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """A row for each document: its ids, and the names and sizes of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, width = encoder(path, pattern)
+        memo, width = encoder(path)
         end, kind = end_id.to_bytes(width, "little"), f"<u{width}"
         for b in batches:
             for first, texts in groups(b.column("text"), AT_ONCE):
@@ -215,13 +191,13 @@ def _shared(encoded: DataFrame) -> DataFrame:
     return own.unionByName(others).groupBy("rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
 
 
-def write(docs: DataFrame, path: str, pattern: str, end_id: int = 0, folder: str | None = None) -> Store:
+def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None) -> Store:
     """Encode ``docs`` and write the store into ``folder`` (a new one in the shared folder)."""
     spark = ship(docs.sparkSession)
     folder = folder or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     n, width = partitions(spark), _width(path)
     # the row id is written with the row, so it stays what it is
-    encoded = materialise(_encoded(docs, path, pattern, end_id).withColumn("rid", F.monotonically_increasing_id()), "encoded")
+    encoded = materialise(_encoded(docs, path, end_id).withColumn("rid", F.monotonically_increasing_id()), "encoded")
     marks = materialise(_shared(encoded).join(encoded.select("rid", "doc_id"), "rid"), "marks")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
