@@ -118,7 +118,7 @@ def test_token_store_round_trip(spark):
     w = ["the ", "word", "é ", "中", "12", "  ", "\n", "!", "<|endoftext|>"]
     texts = ["".join(r.choice(w) for _ in range(r.randint(0, 900))) for _ in range(60)]
     texts += texts[:10] + [None, ""]
-    store = token_store.write(frame(spark, texts).repartition(5), JSON, public_tokenizers.PATTERN)
+    store = token_store.write(frame(spark, texts).repartition(5), JSON)
     rows, start = {x.doc_id: x for x in token_store.checksums(store).collect()}, 0
     whole = {x.doc_id: x for x in token_store.reconstruct(store).collect()}
     for i, t in enumerate(texts):
@@ -127,8 +127,8 @@ def test_token_store_round_trip(spark):
         assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids), zlib.crc32(raw))
         assert np.frombuffer(bytes(whole[i].ids), "<u2").tolist() == ids
         start += len(ids)
-    assert token_store.checksums(token_store.write(odd(spark), JSON, public_tokenizers.PATTERN)).count() == 10
-    assert token_store.checksums(token_store.write(odd(spark).limit(0), JSON, public_tokenizers.PATTERN)).count() == 0
+    assert token_store.checksums(token_store.write(odd(spark), JSON)).count() == 10
+    assert token_store.checksums(token_store.write(odd(spark).limit(0), JSON)).count() == 0
 
 
 def brute_repeats(rows, n=100):

@@ -24,7 +24,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def store(docs):
-    return token_store.write(docs, JSON, public_tokenizers.PATTERN)
+    return token_store.write(docs, JSON)
 
 
 def brute(docs):
@@ -57,7 +57,7 @@ def test_a_chunk_is_stored_once(store):
 
 def test_hot_chunks_are_dealt_over_salts(docs, monkeypatch):
     monkeypatch.setattr(token_store, "USES", 2)
-    store = token_store.write(docs, JSON, public_tokenizers.PATTERN)
+    store = token_store.write(docs, JSON)
     assert sorted((tuple(r) for r in token_store.checksums(store).collect()), key=lambda r: r[1]) == brute(docs)
 
 
