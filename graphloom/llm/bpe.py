@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import KEPT, release, ship
+from graphloom.llm.common import KEPT, flat, prefix_sums, release, row_slices, ship, span_hash
 
 #: Bytes of a leaf of the tree, at most, and ids of one when decoding.
 LEAF, DECODE_LEAF = 4, 64
@@ -35,10 +35,9 @@ NEVER = 1 << 40
 #: Entries that each of the two generations of a worker's memo holds.
 MEMO = 200_000
 #: Longer stretches aren't kept in the memo.
-MEMO_CHARS = 48
-OUT_BYTES = 4 << 20
-#: Texts coded together, in characters.
-AT_ONCE = 1 << 20
+MEMO_BYTES = 64
+#: Texts coded together, in bytes.
+AT_ONCE = 2 << 20
 PLAIN = frozenset(".,;:!?")
 
 
@@ -227,78 +226,85 @@ class MonoidBPE:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-class Stretches(dict):
-    """Memo from a stretch of text (what stands between two single spaces, its leading
-    space left out) to what ``code`` makes of it; two generations keep it bounded, and
-    frequent stretches stay. ``None`` marks a stretch beside which a text can't be cut.
-    ``words`` codes stretches of one space and no white space at their ends, if it can do so
-    faster."""
-
-    def __init__(self, code: Callable[[list[str]], list], size: int = MEMO, words: Callable[[list[str]], list] | None = None):
-        self.code, self.words, self.old, self.first, self.size = code, words or code, {}, {}, size
-
-    def __missing__(self, s: str):
-        found = self.old.get(s, self)
-        if found is self:
-            found = None if not s or s[0].isspace() or s[-1].isspace() else self.code([" " + s])[0]
-        if len(s) <= MEMO_CHARS:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[s] = found
-        return found
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Code at once what is unknown in some texts; returns their stretches."""
-        seen: set[str] = set()
-        cuts = [t.split(" ") for t in texts]
-        for c in cuts:
-            seen.update(c)
-        old = self.old
-        fresh = []
-        for s in seen.difference(self):
-            if s in old:
-                self[s] = old[s]
-            elif s and len(s) <= MEMO_CHARS and not s[0].isspace() and not s[-1].isspace():
-                fresh.append(s)
-        self.update(zip(fresh, self.words([" " + s for s in fresh]), strict=True))
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-        return cuts
-
-    def opening(self, s: str):
-        """What a text's first stretch gives, which has no space before it."""
-        found = self.first.get(s)
-        if found is None:
-            found = self.code([s])[0]
-            if len(s) <= MEMO_CHARS:
-                if len(self.first) >= self.size // 8:
-                    self.first.clear()
-                self.first[s] = found
-        return found
-
-    def of(self, text: str, cut: list[str] | None = None) -> list:
-        """What the text's stretches give, in order. A single space between two characters
-        that aren't white space always begins a match of the pattern, so cutting there
-        changes nothing; elsewhere the neighbours are coded together."""
-        cut = text.split(" ") if cut is None else cut
-        out = [self[s] for s in cut[1:]]
-        first_safe = bool(cut[0]) and not cut[0][-1].isspace()
-        if first_safe and None not in out:
-            return [self.opening(cut[0]), *out]
-        whole, run = [], cut[0]
-        safe = first_safe
-        for s, x in zip(cut[1:], out, strict=True):
-            starts = bool(s) and not s[0].isspace()
-            if safe and starts:
-                whole.append(run)
-                run = " " + s
-            else:
-                run += " " + s
-            safe = bool(s) and not s[-1].isspace()
-        whole.append(run)
-        return self.code(whole) if len(text) else []
+# last and middle bytes of white space beyond ASCII, and its first bytes
+_LAST = np.isin(np.arange(256), [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F])
+_MIDDLE = np.isin(np.arange(256), [0xC2, 0x9A, 0x80, 0x81])
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the stretches of some texts: each text's start, and every single space
+    between two characters that aren't white space. Such a space always begins a match of
+    the pattern, so coding stretches one by one changes nothing."""
+    n = len(data)
+    before, two, after = np.full(n, 32, np.uint8), np.full(n, 32, np.uint8), np.full(n, 32, np.uint8)
+    before[1:], two[2:], after[:-1] = data[:-1], data[:-2], data[1:]
+    cut = (data == 32) & (before > 32) & ~(_LAST[before] & _MIDDLE[two]) & (after > 32) & ~_LEAD[after]
+    full = off[:-1][np.diff(off) > 0]
+    cut[off[1:][np.diff(off) > 0] - 1] = False
+    cut[full] = True
+    return np.flatnonzero(cut)
+
+
+class Stretches:
+    """Codes texts by their stretches, with a memo in front: equal stretches of a batch are
+    found by two hashes, and each distinct one is looked up once by its bytes. Two generations
+    keep the memo bounded, and what is frequent stays. ``code`` gives the packed ids of
+    strings; ``words`` those of strings that begin with one space and end with no white
+    space, of which any row could be coded as one."""
+
+    def __init__(self, code: Callable[[list[str]], list[bytes]], width: int, size: int = MEMO, words: Callable[[list[str]], list[bytes]] | None = None):
+        self.code, self.words, self.width, self.size = code, words or code, width, size
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct stretches."""
+        new, old, out = self.new, self.old, []
+        plain, rest = [], []
+        for i, k in enumerate(keys):
+            v = new.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    last = k[-1]
+                    (plain if k[0] == 32 and last > 32 and (last < 128 or not k.decode()[-1].isspace()) and len(k) <= MEMO_BYTES else rest).append(i)
+                else:
+                    new[k] = v
+            out.append(v)
+        for group, coder in ((plain, self.words), (rest, self.code)):
+            for i, v in zip(group, coder([keys[i].decode() for i in group]) if group else (), strict=True):
+                out[i] = v
+                if len(keys[i]) <= MEMO_BYTES:
+                    new[keys[i]] = v
+        if len(new) > self.size:
+            self.old, self.new = new, {}
+        return out
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, first id of each text and the end)."""
+        kind = f"<u{self.width}"
+        n = len(off) - 1
+        if not len(data):
+            return np.zeros(0, kind), np.zeros(n + 1, np.int64)
+        start = cuts(data, off)
+        end = np.r_[start[1:], len(data)]
+        h = span_hash(prefix_sums(data), start, end)
+        other = span_hash(prefix_sums(data, 1), start, end, 1)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if not np.array_equal(other[first][which], other):  # a collision: tell apart by both
+            _, first, which = np.unique(np.column_stack([h, other]), axis=0, return_index=True, return_inverse=True)
+            which = which.reshape(-1)
+        raw = data.tobytes()
+        got = self.of([raw[a:z] for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        flat_ids = np.frombuffer(b"".join(got), kind)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.width
+        begin = np.cumsum(size) - size
+        count = size[which]
+        upto = np.cumsum(count)
+        ids = flat_ids[np.repeat(begin[which] - upto + count, count) + np.arange(upto[-1])]
+        total = np.r_[0, upto]
+        return ids, total[np.searchsorted(start, off, side="left")]
 
 
 def matches(s: str, split: Callable[[str], list[str]]) -> list[str]:
@@ -311,19 +317,6 @@ def matches(s: str, split: Callable[[str], list[str]]) -> list[str]:
     return split(s)
 
 
-def groups(col: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of about ``limit`` characters; null is empty."""
-    texts, size, first = [], 0, 0
-    for i, x in enumerate(col):
-        texts.append(x.as_py() or "")
-        size += len(texts[-1])
-        if size >= limit:
-            yield first, texts
-            texts, size, first = [], 0, i + 1
-    if texts:
-        yield first, texts
-
-
 _coders: dict[tuple[str, str], tuple[MonoidBPE, Stretches]] = {}
 KEPT.append(_coders)
 
@@ -340,7 +333,7 @@ def coder(path: str, pattern: str) -> tuple[MonoidBPE, Stretches]:
             ids = bpe.encode_all([p.encode() for p in distinct])
             return [ids[distinct[c[0]]] if len(c) == 1 else b"".join([ids[distinct[p]] for p in c]) for c in cut]
 
-        _coders[path, pattern] = bpe, Stretches(code)
+        _coders[path, pattern] = bpe, Stretches(code, 4)
     return _coders[path, pattern]
 
 
@@ -352,12 +345,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo = coder(path, pattern)
         for b in batches:
-            for first, texts in groups(b.column("text"), AT_ONCE):
-                cuts = memo.learn(texts)
-                ids = [b"".join(memo.of(t, c)) for t, c in zip(texts, cuts, strict=True)]
-                back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                keys = b.column("doc_id").slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
+            data, off = flat(b.column("text"))
+            for lo, hi in row_slices(off, AT_ONCE):
+                ids, at = memo.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                parts = [ids[a:z] for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                back = [bpe.decode(x.tolist()) for x in parts]
+                keys = b.column("doc_id").slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
         release(keep=True)
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
+#: Bases of the two independent rolling hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 # ---------------------------------------------------------------- cluster side
@@ -72,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if sc.getCheckpointDir():
         return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -125,31 +127,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the rolling base and of its inverse modulo 2^64."""
-    if len(_powers.get("p", ())) < n:
-        m = max(n, 1 << 16)
-        for key, base in (("p", _BASE), ("i", _INV)):
-            a = np.full(m, U64(base), dtype=U64)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a rolling base and of its inverse modulo 2^64."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            a = np.full(max(n, 1 << 16), U64(base), dtype=U64)
             a[0] = 1
-            _powers[key] = np.cumprod(a)
-    return _powers["p"][:n], _powers["i"][:n]
+            made.append(np.cumprod(a))
+        _powers[which] = tuple(made)
+    return _powers[which][0][:n], _powers[which][1][:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
     """S with S[j]-S[i] = polynomial hash of data[i:j], times the i-th power."""
-    p, _ = powers(len(data) + 1)
+    p, _ = powers(len(data) + 1, which)
     s = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=s[1:])
     return s
 
 
-def span_hash(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def span_hash(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of data[lo:hi] from prefix sums, the same wherever the bytes stand."""
-    _, inv = powers(len(s))
+    _, inv = powers(len(s), which)
     return mix((s[hi] - s[lo]) * inv[lo])
 
 
@@ -181,6 +184,9 @@ def row_of(off: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 #: Bits of the filter below: its size is fixed, so it may travel with every task.
 FILTER_BITS = 1 << 22
+#: Columns that go along for a step, under names that no table has.
+PLACES = {1: "__graphloom_place_1", 2: "__graphloom_place_2"}
+MAYBE = "__graphloom_maybe"
 
 
 def id_filter(ids: DataFrame, name: str = "doc_id") -> np.ndarray:
@@ -194,28 +200,28 @@ def id_filter(ids: DataFrame, name: str = "doc_id") -> np.ndarray:
 
 
 def filter_places(name: str = "doc_id") -> list:
-    return [F.pmod(F.xxhash64(F.lit(k), F.col(name).cast("long")), F.lit(FILTER_BITS)).alias(f"_p{k}") for k in (1, 2)]
+    return [F.pmod(F.xxhash64(F.lit(k), F.col(name).cast("long")), F.lit(FILTER_BITS)).alias(f) for k, f in PLACES.items()]
 
 
 def in_filter(b: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
     found = np.ones(b.num_rows, bool)
-    for k in ("_p1", "_p2"):
+    for k in PLACES.values():
         p = np.asarray(b.column(k).fill_null(0))
         found &= (bits[p >> 6] >> (p & 63) & 1) == 1
     return found
 
 
 def maybe_in(docs: DataFrame, bits: np.ndarray, name: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_maybe``: false only where the id is surely not in the filter."""
+    """``docs`` with ``MAYBE``: false only where the id is surely not in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = in_filter(b, bits)
-            keep = [i for i, f in enumerate(b.schema.names) if f not in ("_p1", "_p2")]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(found)], [*[b.schema.names[i] for i in keep], "_maybe"])
+            keep = [i for i, f in enumerate(b.schema.names) if f not in PLACES.values()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(found)], [*[b.schema.names[i] for i in keep], MAYBE])
 
     hashed = docs.select("*", *filter_places(name))
-    return hashed.mapInArrow(run, StructType([*docs.schema.fields, StructField("_maybe", BooleanType())]))
+    return hashed.mapInArrow(run, StructType([*docs.schema.fields, StructField(MAYBE, BooleanType())]))
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -223,6 +229,6 @@ def drop_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame
     rule out are shuffled for the exact anti-join; rows without an id stay."""
     bits = id_filter(ids, name)
     marked = maybe_in(docs, bits, name)
-    sure = marked.where("not _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe").join(ids.select(name).distinct(), name, "left_anti")
+    sure = marked.where(~F.col(MAYBE)).drop(MAYBE)
+    rest = marked.where(F.col(MAYBE)).drop(MAYBE).join(ids.select(name).distinct(), name, "left_anti")
     return sure.unionByName(rest.select(*docs.columns))

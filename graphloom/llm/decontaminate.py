@@ -11,10 +11,11 @@ share asked for must have so many of them, wherever other words stand between.
 Candidates are verified on the words themselves: the longest common subsequence with the item, and with
 its answer (the last sentence), in the neighbourhood of the window.
 
-Defined results: null or empty texts and items match nothing; repeated rows are judged each
-for itself; an item_id given twice counts as two items with one id and is reported once;
-empty tables give an empty result; further columns are ignored. Items are searched in
-blocks of a bounded number, so the benchmark may be large.
+Defined results: null or empty texts and items match nothing; rows of one doc_id, or
+without one, are judged each for itself and reported once for an item, with the best of
+their shares; so are the texts of an item_id given several times; empty tables give an
+empty result; further columns are ignored. Items are searched in blocks of about ``ITEMS``,
+dealt by hash, so the benchmark may be large.
 """
 
 from __future__ import annotations
@@ -244,11 +245,21 @@ class Probes:
                 vectors[size].append(space[(w[at : at + size] % TERMS).astype(np.int64)].sum(0))
                 owners[size].append(k)
                 probes[size].append(w[at : at + size])
-        self.keys, self.size = {}, {}
+        self.keys, self.size, self.index = {}, {}, {}
         for s, texts in probes.items():
             keys = [np.unique(x).astype(U64) | U64(i << 32) for i, x in enumerate(texts)]
             self.keys[s] = np.sort(np.concatenate(keys)) if keys else np.zeros(1, U64)
-            self.size[s] = np.array([len(x) for x in texts], np.int64)
+            self.size[s] = np.array([len(np.unique(x)) for x in texts], np.int64)
+            rare_words = []
+            for i, x in enumerate(texts):
+                x = np.unique(x)
+                x = x[np.argsort(share[(x % TERMS).astype(np.int64)], kind="stable")]
+                keep = len(x) - int(np.ceil(OVERLAP * len(x) - 1e-9)) + 1
+                rare_words.append(np.column_stack([x[:keep].astype(np.int64), np.full(keep, i)]))
+            flat_ = np.concatenate(rare_words) if rare_words else np.zeros((0, 2), np.int64)
+            flat_ = flat_[np.argsort(flat_[:, 0], kind="stable")]
+            own, first = np.unique(flat_[:, 0], return_index=True)
+            self.index[s] = own.astype("<u4"), flat_[:, 1], np.r_[first, len(flat_)]
         rare = [rarest(np.array(x, "<u4"), share) for x in self.words]
         self.need = np.array([c for _, c in rare], np.int64)
         self.within = np.array([2 * len(x) for x in self.words], np.int64)
@@ -261,8 +272,14 @@ class Probes:
         self.owner = {s: np.array(o, np.int64) for s, o in owners.items()}
 
     def candidates(self, w: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of the window, item, cosine) where a window is near a probe in the
+        latent space, or where enough rare words of an item stand."""
+        both = self.latent(w, off, space), self.counted(w, off)
+        return tuple(np.concatenate([f[i] for f in both]) for i in range(3))
+
+    def latent(self, w: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word of the window, item, cosine) where a window's cosine is enough and it
-        holds enough of the probe's words, or where enough rare words of an item stand."""
+        holds enough of the probe's words."""
         start = _starts(off, BLOCK)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -274,31 +291,52 @@ class Probes:
             if len(t):
                 sums[i + piece[first]] = np.add.reduceat(space[t], first, axis=0)
         row = np.searchsorted(off, start, side="right") - 1
-        found = [self.counted(w, off)]
-        for size, m in self.matrix.items():
-            if not m.shape[1]:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for size in self.matrix:
+            if not self.matrix[size].shape[1]:
                 continue
             window = sums.copy()
             for k in range(1, size // BLOCK):
                 same = row[k:] == row[:-k]
                 window[:-k][same] += sums[k:][same]
-            window = _unit(window)
-            for i in range(0, len(start), AT_ONCE // BLOCK):
-                cos = window[i : i + AT_ONCE // BLOCK] @ m
-                at, probe = np.nonzero(cos >= COSINE)
-                if not len(at):
+            at, probe = self.met(w, off, start, row, size)
+            for i in range(0, len(at), AT_ONCE):
+                a, p = at[i : i + AT_ONCE], probe[i : i + AT_ONCE]
+                near = np.einsum("ij,ij->i", _unit(window[a]), self.matrix[size].T[p])
+                a, p, near = a[near >= COSINE], p[near >= COSINE], near[near >= COSINE]
+                if not len(a):
                     continue
-                near = cos[at, probe]
                 # words of the window that the probe has; past a text's end nothing counts
-                place = start[i + at][:, None] + np.arange(size)
-                inside = place < off[row[i + at] + 1][:, None]
-                key = probe[:, None].astype(U64) << U64(32) | w[np.minimum(place, len(w) - 1)].astype(U64)
+                place = start[a][:, None] + np.arange(size)
+                inside = place < off[row[a] + 1][:, None]
+                key = p[:, None].astype(U64) << U64(32) | w[np.minimum(place, len(w) - 1)].astype(U64)
                 own = self.keys[size]
                 hit = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
-                enough = (hit & inside).sum(1) >= OVERLAP * self.size[size][probe]
-                found.append((start[i + at[enough]], self.owner[size][probe[enough]], near[enough]))
+                enough = (hit & inside).sum(1) >= OVERLAP * self.size[size][p]
+                found.append((start[a[enough]], self.owner[size][p[enough]], near[enough]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
+    def met(self, w: np.ndarray, off: np.ndarray, start: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, probe) pairs that share one of the rarest words of the probe, so many of
+        them that a window with ``OVERLAP`` of its words can't do without all: only these
+        are compared in the latent space."""
+        words_, probes, first = self.index[size]
+        word = np.minimum(np.searchsorted(words_, w), len(words_) - 1)
+        at = np.flatnonzero(words_[word] == w)
+        lo, hi = first[word[at]], first[word[at] + 1]
+        n = hi - lo
+        probe = probes[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        # the windows that hold a place start at its block and at those before it
+        block = np.repeat(np.searchsorted(start, at, side="right") - 1, n)
+        pairs = []
+        for k in range(size // BLOCK):
+            b = block - k
+            ok = b >= 0
+            ok[ok] = row[b[ok]] == row[block[ok]]
+            pairs.append(b[ok] * len(self.size[size]) + probe[ok])
+        both = np.unique(np.concatenate(pairs))
+        return both // len(self.size[size]), both % len(self.size[size])
+
     def counted(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ends of all runs of as many rare words of an item as it needs, within twice
         its length: nothing that has a long enough common subsequence there is left out."""
@@ -359,23 +397,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     space, share = latent_space(table)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, cosine double, share double, answer_share double"
+    items = items.distinct()
+    blocks = -(-items.count() // ITEMS)
     out = None
-    last = None
-    while True:  # blocks of items, each bounded
-        block = (items if last is None else items.where(F.col("item_id") > last)).orderBy("item_id", "text").limit(ITEMS).collect()
-        if last is None and not block:
-            return spark.createDataFrame([], schema)
-        if len(block) == ITEMS:  # items that share the last id come with the next block, if others are left
-            whole = [r for r in block if r.item_id < block[-1].item_id]
-            block = whole or block
-        if not block:
-            break
-        last = block[-1].item_id
+    for k in range(blocks):  # about ITEMS items each, dealt by hash
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         found = _search(table, Probes([(r.item_id, r.text) for r in block], space, share), space, schema)
         out = found if out is None else out.unionByName(found)
-        if len(block) < ITEMS - 1 and not items.where(F.col("item_id") > last).limit(1).count():
-            break
-    return out
+    if out is None:
+        return spark.createDataFrame([], schema)
+    best = F.max(F.struct(((F.col("share") >= STRONG) | (F.col("answer_share") >= ANSWER)).alias("sure"), "share", "answer_share", "cosine"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.cosine", "b.share", "b.answer_share")
 
 
 def _search(table: DataFrame, probes: Probes, space: np.ndarray, schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ suffixes that start at anchors matter; an anchor also carries the bytes before i
 windows reach. Four passes:
 
 1. Packed hashes of anchors are dealt by hash. Anchors whose token occurs once in the corpus
-   are dropped; of those with equal tokens and equal surroundings (two 64-bit hashes) all
+   are dropped; of those with equal tokens and equal surroundings (two independent 64-bit hashes) all
    but the first are settled; what is left comes back as requests.
 2. The documents answer the requests with the bytes around those anchors.
 3. The suffixes are dealt by their leading 16 bytes into ranges between sampled splitters;
@@ -84,7 +84,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     last = np.r_[first[1:] - 1, len(start) - 1]
     a = anchor[first]
     lo, hi = start[first], start[last] + length
-    return h[a], a, a - lo, hi - a, span_hash(s, lo, hi)
+    return h[a], a, a - lo, hi - a, span_hash(prefix_sums(data, 1), lo, hi, 1)
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -242,7 +242,10 @@ ENTRY = "to int, db binary, did binary, th binary, pos binary, l binary, r binar
 
 def _steer(docs: DataFrame, length: int, sample_docs: int, hot_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(splitters, hot token hashes) from a bounded sample of documents."""
-    picked = docs.orderBy(F.xxhash64("did", "th"), "did").limit(sample_docs)
+    # thinned by hash first, so that the tasks together send about ``sample_docs`` texts
+    place = F.pmod(F.xxhash64("did", "th"), F.lit(1 << 30))
+    share = min(1.0, 1.5 * sample_docs / max(1, docs.count()))
+    picked = docs.where(place <= int(share * (1 << 30))).orderBy(place, "did").limit(sample_docs)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,11 +267,12 @@ def _steer(docs: DataFrame, length: int, sample_docs: int, hot_docs: int, n: int
 def deduplicate(docs: DataFrame, length: int = LENGTH, sample_docs: int = SAMPLE_DOCS, hot_docs: int = HOT_DOCS, in_text: bool = False) -> DataFrame:
     """Every row of ``docs`` (all its columns) with ``kept`` (the bytes that stay), and
     ``removed``, the maximal removed runs as packed unsigned 32-bit (start, end) pairs.
-    ``in_text``: the same rows with what stays as their text instead, without characters
-    that are cut apart; a null text stays null."""
+    A table's own columns of these two names give way to them. ``in_text``: the same rows, all
+    their columns, with what stays as their text instead, without characters that are cut
+    apart; a null text stays null."""
     spark = ship(docs.sparkSession)
     n = partitions(spark)
-    columns = [c for c in docs.columns if c not in ("text", "kept", "removed")]
+    columns = [c for c in docs.columns if c != "text" and (in_text or c not in ("kept", "removed"))]
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("did"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     whole = whole.select(F.pmod(F.xxhash64("did"), F.lit(2 * n)).cast("int").alias("db"), "did", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", "row")
     slim = whole.select("db", "did", "th", "text")

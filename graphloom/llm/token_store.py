@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import AT_ONCE, Stretches, groups
-from graphloom.llm.common import KEPT, U64, materialise, mix, partitions, release, shared_dir, ship
+from graphloom.llm.bpe import AT_ONCE, Stretches
+from graphloom.llm.common import KEPT, U64, flat, materialise, mix, partitions, release, row_slices, shared_dir, ship
 
 WINDOW = 8
 #: Mean, least and largest ids of a chunk.
@@ -47,13 +47,13 @@ USES = 1000
 MEMO, ROW = 450_000, 4096
 
 
-_encoders: dict[str, tuple[Stretches, int]] = {}
+_encoders: dict[str, Stretches] = {}
 KEPT.append(_encoders)
 
 
-def encoder(path: str) -> tuple[Stretches, int]:
-    """(memo from stretches of text to packed ids, bytes for each id) of a worker. Stretches
-    that aren't known go to the library in rows; the lengths of the tokens tell them apart."""
+def encoder(path: str) -> Stretches:
+    """The memo of a worker. Stretches that aren't known go to the library in rows; the
+    lengths of the tokens tell them apart."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
@@ -85,7 +85,7 @@ def encoder(path: str) -> tuple[Stretches, int]:
                 out += [packed[a:z] for a, z in zip(at, at[1:], strict=False)]
             return out
 
-        _encoders[path] = Stretches(code, MEMO, code_words), width
+        _encoders[path] = Stretches(code, width, MEMO, code_words)
     return _encoders[path]
 
 
@@ -142,20 +142,22 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """A row for each document: its ids, and the names and sizes of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, width = encoder(path)
+        memo = encoder(path)
+        width = memo.width
         end, kind = end_id.to_bytes(width, "little"), f"<u{width}"
         for b in batches:
-            for first, texts in groups(b.column("text"), AT_ONCE):
-                cuts = memo.learn(texts)
+            data, off = flat(b.column("text"))
+            for lo, hi in row_slices(off, AT_ONCE):
+                all_ids, at = memo.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 n, names, sizes, ids = [], [], [], []
-                for t, cut in zip(texts, cuts, strict=True):
-                    raw = b"".join(memo.of(t, cut)) + end
+                for a, z in zip(at.tolist(), at[1:].tolist(), strict=False):
+                    raw = all_ids[a:z].tobytes() + end
                     stops = boundaries(np.frombuffer(raw, kind))
-                    names.append(b"".join([_name(raw[a * width : z * width]) for a, z in zip([0, *stops], stops, strict=False)]))
+                    names.append(b"".join([_name(raw[x * width : y * width]) for x, y in zip([0, *stops], stops, strict=False)]))
                     sizes.append(np.diff([0, *stops]).astype("<u2").tobytes())
                     n.append(len(raw) // width)
                     ids.append(raw)
-                keys = b.column("doc_id").slice(first, len(texts))
+                keys = b.column("doc_id").slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (names, sizes, ids)]], ["doc_id", "n_tokens", "names", "sizes", "ids"])
         release(keep=True)
 

@@ -168,7 +168,11 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> list[tuple[int,
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("y"))
     )
-    got = {y: one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect() for y in (0, 1)}
+    # thinned by hash first, so that the tasks together send about ``rows`` ids of each label
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    count = {r.y: r["count"] for r in one.groupBy("y").count().collect()}
+    share = {y: min(1.0, 1.5 * rows / max(1, count.get(y, 0))) for y in (0, 1)}
+    got = {y: one.where((F.col("y") == y) & (place <= int(share[y] * (1 << 30)))).orderBy(place, "doc_id").limit(rows).collect() for y in (0, 1)}
     least = min(len(got[0]), len(got[1]))
     take = {y: max(rows // 2, rows - least) for y in (0, 1)}
     return [(int(r.doc_id), y) for y in (0, 1) for r in got[y][: take[y]]]
