@@ -37,7 +37,7 @@ MEMO = 200_000
 #: Longer stretches aren't kept in the memo.
 MEMO_BYTES = 64
 #: Texts coded together, in bytes.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 PLAIN = frozenset(".,;:!?")
 
 
@@ -289,6 +289,14 @@ class Stretches:
             return np.zeros(0, kind), np.zeros(n + 1, np.int64)
         start = cuts(data, off)
         end = np.r_[start[1:], len(data)]
+        begin = np.unique(np.searchsorted(start, np.arange(0, len(data), AT_ONCE)))
+        parts = [self._coded(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]) for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(start)], strict=True) if j > i]
+        total = np.r_[0, np.cumsum(np.concatenate([c for _, c in parts]))]
+        return np.concatenate([x for x, _ in parts]), total[np.searchsorted(start, off, side="left")]
+
+    def _coded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each stretch) of the stretches of a piece of bytes."""
+        kind = f"<u{self.width}"
         h = span_hash(prefix_sums(data), start, end)
         other = span_hash(prefix_sums(data, 1), start, end, 1)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
@@ -297,14 +305,11 @@ class Stretches:
             which = which.reshape(-1)
         raw = data.tobytes()
         got = self.of([raw[a:z] for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        flat_ids = np.frombuffer(b"".join(got), kind)
         size = np.fromiter(map(len, got), np.int64, len(got)) // self.width
-        begin = np.cumsum(size) - size
         count = size[which]
         upto = np.cumsum(count)
-        ids = flat_ids[np.repeat(begin[which] - upto + count, count) + np.arange(upto[-1])]
-        total = np.r_[0, upto]
-        return ids, total[np.searchsorted(start, off, side="left")]
+        at = np.repeat((np.cumsum(size) - size)[which] - upto + count, count) + np.arange(upto[-1])
+        return np.frombuffer(b"".join(got), kind)[at], count
 
 
 def matches(s: str, split: Callable[[str], list[str]]) -> list[str]:

@@ -44,7 +44,7 @@ ID_BYTES = 16
 #: Uses of a chunk that are sent it from one place.
 USES = 1000
 #: Stretches that each of the two generations of a worker's memo holds, and of a row.
-MEMO, ROW = 450_000, 4096
+MEMO, ROW = 300_000, 4096
 
 
 _encoders: dict[str, Stretches] = {}
