@@ -4,7 +4,6 @@ the shared folder where one is set."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A relation that several rounds read: computed once, and written where a folder is."""
+    return _cut(df)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
@@ -34,125 +38,158 @@ def neighbours(edges: DataFrame, node: str, direction: str = "both") -> DataFram
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
 
 
-def reach(edges: DataFrame, seeds: list[str], depth: int, direction: str = "both") -> DataFrame:
-    """``node, hops`` within ``depth`` of the seeds that exist."""
+def reach(edges: DataFrame, seeds: list[str], depth: int | None = None, direction: str = "both") -> DataFrame:
+    """``node, hops`` within ``depth`` of the seeds that exist; without a depth, until nothing
+    new is met."""
     pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = {"out": pairs, "in": back, "both": pairs.unionByName(back)}[direction].distinct()
+    pairs = _kept({"out": pairs, "in": back, "both": pairs.unionByName(back)}[direction].distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     seen = nodes.where(F.col("node").isin(seeds)).withColumn("hops", F.lit(0))
     frontier = seen
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         step = frontier.join(pairs, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k))
-        seen = seen.unionByName(frontier)
-        if k % 3 == 0:
-            seen, frontier = _cut(seen), _cut(frontier)
+        if depth is None or k % 3 == 0:
+            frontier = _cut(frontier)
+            if not frontier.limit(1).count():
+                break
+            seen = _cut(seen.unionByName(frontier))
+        else:
+            seen = seen.unionByName(frontier)
     return seen
 
 
 def subgraph(edges: DataFrame, seeds: list[str], depth: int = 1) -> DataFrame:
     """The edges between the nodes within ``depth`` of the seeds."""
-    near = reach(edges, seeds, depth).select("node")
+    edges = _kept(edges)
+    near = _kept(reach(edges, seeds, depth).select("node"))
     return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 20) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """``hop, node`` of the lexicographically smallest of the shortest directed paths: levels
-    backwards from the end, then the smallest neighbour one level closer, hop by hop."""
+    backwards from the end until the start or nothing new is met, each naming the smallest
+    neighbour one level closer; then a walk along these."""
     spark = edges.sparkSession
-    pairs = edges.select("src", "dst").distinct()
-    best = spark.createDataFrame([(end, [end])], "node string, path array<string>")
-    done = best
-    for _ in range(most):
-        if done.where(F.col("node") == start).limit(1).count():
+    pairs = _kept(edges.select("src", "dst").distinct())
+    best = spark.createDataFrame([(end, None)], "node string, next string")
+    frontier = best.select("node")
+    while not best.where(F.col("node") == start).limit(1).count():
+        step = pairs.join(frontier.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))
+        level = _cut(step.join(best.select("node"), "node", "left_anti"))
+        if not level.limit(1).count():
             break
-        step = done.join(pairs, F.col("node") == F.col("dst")).join(best.select(F.col("node").alias("src")), "src", "left_anti")
-        done = step.groupBy(F.col("src").alias("node")).agg(F.min(F.concat(F.array("src"), F.col("path"))).alias("path"))
-        if not done.limit(1).count():
-            break
-        best = best.unionByName(done)
-    return best.where(F.col("node") == start).select(F.posexplode("path").alias("hop", "node"))
-
-
-#: Distinct edges up to which PageRank runs on the driver; beyond, rounds are distributed.
-LOCAL_EDGES = 200_000
+        best, frontier = _cut(best.unionByName(level)), level.select("node")
+    path, now = [], start
+    while now is not None:  # one look-up a hop: a path is short beside its graph
+        row = best.where(F.col("node") == now).first()
+        if row is None:
+            return spark.createDataFrame([], "hop int, node string")
+        path.append((len(path), now))
+        now = row.next
+    return spark.createDataFrame(path, "hop int, node string")
+
+
+def _ranked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    out = pairs.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
+    return nodes.join(out, "node", "left")
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tol: float | None = 1e-6, personal: dict[str, float] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tol: float | None = 1e-6, personal: dict[str, float] | None = None, warm: DataFrame | None = None) -> DataFrame:
     """``node, score``, divided by the largest. Parallel edges count each; what dangling nodes
-    hold is spread like the teleport. ``tol`` None runs all rounds."""
-    spark = edges.sparkSession
-    pairs = edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")).persist()
-    if pairs.limit(local_edges + 1).count() <= local_edges:
-        got = _pagerank_local([(r.src, r.dst, r.w) for r in pairs.collect()], rounds, damping, tol, personal)
-        pairs.unpersist()
-        return spark.createDataFrame(got, "node string, score double")
+    hold is spread like the teleport. ``tol`` None runs all rounds. ``warm`` (node, score): the
+    ranks to begin with; nodes that it lacks begin with the mean."""
+    pairs = _kept(edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     n = nodes.count()
+    if not n:
+        return edges.sparkSession.createDataFrame([], "node string, score double")
     total = sum((personal or {}).values())
     if personal and total > 0:
-        given = spark.createDataFrame([(k, v / total) for k, v in personal.items()], "node string, t double")
+        given = edges.sparkSession.createDataFrame([(k, v / total) for k, v in personal.items()], "node string, t double")
         nodes = nodes.join(given, "node", "left").select("node", F.coalesce("t", F.lit(0.0)).alias("t"))
     else:
         nodes = nodes.withColumn("t", F.lit(1.0 / n))
-    out = pairs.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
-    base = nodes.join(out, "node", "left").persist()
+    base = _kept(_ranked(pairs, nodes))
     rank = base.select("node", F.lit(1.0 / n).alias("r"))
-    for _ in range(rounds):
+    if warm is not None:
+        known = base.select("node").join(warm, "node", "left")
+        mean = known.agg(F.avg("score"), F.sum(F.coalesce("score", F.lit(0.0)))).first()
+        if mean[0]:
+            whole = mean[1] + mean[0] * known.where("score is null").count()
+            rank = known.select("node", (F.coalesce("score", F.lit(mean[0])) / whole).alias("r"))
+    for k in range(rounds):
         have = rank.join(base, "node")
-        lost = have.where("deg is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+        lost = have.where("deg is null").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
         flow = have.where("deg is not null").join(pairs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("w") / F.col("deg")).alias("x"))
-        new = _cut(base.join(flow, "node", "left").select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("x", F.lit(0.0)) + F.lit(lost) * F.col("t"))).alias("r")))
+        new = base.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("x", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("r"))  # lost is a row of one
+        if tol is not None or k % 3 == 2:
+            new = _cut(new)
         settled = tol is not None and new.join(rank.withColumnRenamed("r", "old"), "node").agg(F.max(F.abs(F.col("r") - F.col("old")))).first()[0] < tol
         rank = new
         if settled:
             break
-    top = rank.agg(F.max("r")).first()[0]
-    return rank.select("node", (F.col("r") / F.lit(top)).alias("score"))
-
-
-def _pagerank_local(pairs: list, rounds: int, damping: float, tol: float | None, personal: dict[str, float] | None) -> list[tuple[str, float]]:
-    names = sorted({x for p in pairs for x in p[:2]})
-    if not names:
-        return []
-    at = {x: i for i, x in enumerate(names)}
-    src, dst = (np.array([at[p[k]] for p in pairs]) for k in (0, 1))
-    w, n = np.array([p[2] for p in pairs]), len(names)
-    t = np.full(n, 1.0 / n)
-    if personal and sum(personal.values()) > 0:
-        t = np.array([personal.get(x, 0.0) for x in names]) / sum(personal.values())
-    deg = np.bincount(src, w, n)
-    rank = np.full(n, 1.0 / n)
-    for _ in range(rounds):
-        flow = np.bincount(dst, rank[src] * w / deg[src], n)
-        new = (1 - damping) * t + damping * (flow + rank[deg == 0].sum() * t)
-        settled = tol is not None and np.abs(new - rank).max() < tol
-        rank = new
-        if settled:
-            break
-    return list(zip(names, (rank / rank.max()).tolist(), strict=True))
+    top = rank.agg(F.max("r").alias("top"))
+    return rank.crossJoin(F.broadcast(top)).select("node", (F.col("r") / F.col("top")).alias("score"))
 
 
-def closure(edges: DataFrame, most: int = 12) -> DataFrame:
-    """``a, b``: b is reachable from a; squares the relation until nothing is new."""
-    now = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    size = now.count()
-    for _ in range(most):
-        more = now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        now = _cut(now.unionByName(more).distinct())
-        if (grown := now.count()) == size:
+def components(edges: DataFrame) -> DataFrame:
+    """Strongly connected groups of more than one node: ``node, component``, the component
+    named by its smallest node. Trimming and colouring: nodes without an edge in or out go;
+    each node takes the smallest name that reaches it; of every colour, what reaches the
+    node that gave it, going backwards within the colour, is a component. Work is linear in
+    the edges for each round, and pairs of nodes are never listed."""
+    spark = edges.sparkSession
+    left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    found = None
+    while True:
+        left, size = _trim(left)
+        if not size:
             break
-        size = grown
-    return now
+        colour = _spread(left, left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+        inner = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
+        inner = _cut(inner.select("src", "dst", F.col("cs").alias("c")))
+        seen = _cut(colour.where("node = c"))
+        frontier = seen
+        while True:
+            step = inner.join(frontier.select(F.col("node").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("node"), "c").distinct()
+            frontier = _cut(step.join(seen, ["node", "c"], "left_anti"))
+            if not frontier.limit(1).count():
+                break
+            seen = _cut(seen.unionByName(frontier))
+        many = seen.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
+        groups = _cut(seen.join(many, "c", "left_semi").select("node", F.col("c").alias("component")))
+        found = groups if found is None else found.unionByName(groups)
+        gone = seen.select("node")
+        left = _cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found if found is not None else spark.createDataFrame([], "node string, component string")
+
+
+def _trim(left: DataFrame) -> tuple[DataFrame, int]:
+    """Without the edges of nodes that have none in or none out, round by round."""
+    size = left.count()
+    while size:
+        both = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+        less = _cut(left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        now = less.count()
+        if now == size:
+            break
+        left, size = less, now
+    return left, size
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Strongly connected groups of more than one node: ``node, component``, the component
-    named by its smallest node."""
-    reached = closure(edges)
-    mutual = reached.alias("x").join(reached.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")))
-    return mutual.where("x.a <> x.b").groupBy(F.col("x.a").alias("node")).agg(F.least(F.col("node"), F.min("x.b")).alias("component"))
+def _spread(pairs: DataFrame, colour: DataFrame) -> DataFrame:
+    """``node, c``: the smallest colour that reaches each node."""
+    colour = _cut(colour)
+    while True:
+        given = pairs.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("g"))
+        new = _cut(colour.join(given, "node", "left").select("node", F.least("c", "g").alias("c"), (F.col("g") < F.col("c")).alias("moved")))
+        colour = new.select("node", "c")
+        if not new.where("moved").limit(1).count():
+            return colour
 
 
 def blast_weight(edge_type: Column) -> Column:
@@ -165,12 +202,14 @@ def blast_weight(edge_type: Column) -> Column:
 def blast_radius(edges: DataFrame, seeds: list[str], depth: int = 3, tested: DataFrame | None = None) -> DataFrame:
     """Who depends on the seeds, level by level: ``path, hops, risk, category``. Risk is the
     weight of the best edge from the level before, over hops + 1, times 1.2 if untested."""
+    edges = _kept(edges)
     seen = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct().where(F.col("path").isin(seeds))
-    frontier, levels = seen, None
+    frontier = seen
+    levels = seen.limit(0).select("path", F.lit(0.0).alias("weight"), F.lit(0).alias("hops"))
     for k in range(1, depth + 1):
         step = edges.join(frontier, F.col("dst") == F.col("path")).groupBy(F.col("src").alias("node")).agg(F.max(blast_weight(F.col("edge_type"))).alias("weight"))
         new = step.withColumnRenamed("node", "path").join(seen, "path", "left_anti").withColumn("hops", F.lit(k))
-        levels = new if levels is None else levels.unionByName(new)
+        levels = levels.unionByName(new)
         seen, frontier = seen.unionByName(new.select("path")), new.select("path")
     marked = levels.join(tested.select("path", F.lit(True).alias("tested")), "path", "left") if tested is not None else levels.withColumn("tested", F.lit(None).cast("boolean"))
     risk = F.round(F.least(F.col("weight") / (F.col("hops") + 1) * F.when(F.col("tested"), 1.0).otherwise(1.2), F.lit(1.0)), 6)

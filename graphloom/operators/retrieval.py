@@ -22,10 +22,16 @@ def language_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
 
 
-def term_signal(counts: DataFrame, query: list[str]) -> DataFrame:
-    """Share of a file's term occurrences that are terms of the query."""
-    hit = F.sum(F.when(F.col("term").isin(query), F.col("n")).otherwise(0))
-    return counts.groupBy("path").agg(F.round(hit / F.sum("n"), 6).alias("score")).where("score > 0")
+def top_terms(files: DataFrame, limit: int) -> DataFrame:
+    """The most frequent terms: counted at once, with partial counts before the shuffle."""
+    return files.select(F.explode(words(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(limit)
+
+
+def term_signal(files: DataFrame, query: list[str]) -> DataFrame:
+    """Share of a file's term occurrences that are terms of the query, within the row."""
+    all_ = words(F.col("content"))
+    hit = F.size(F.filter(all_, lambda w: w.isin(query)))
+    return files.select("path", F.when(F.size(all_) > 0, F.round(hit / F.size(all_), 6)).otherwise(0.0).alias("score")).where("score > 0")
 
 
 def path_signal(files: DataFrame, query: list[str]) -> DataFrame:
@@ -128,8 +134,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", kind.alias("change")).where("change is not null")
 
 
-#: name and pattern of the secret scan; fixed values.
-SECRETS = {"aws_key": r"AKIA[0-9A-Z]{16}", "password_assignment": r"(?i)(password|passwd|pwd)\s*[=:]\s*\S{4,}", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "token": r"(?i)(api[_-]?key|token|secret)\s*[=:]\s*[A-Za-z0-9_\-]{8,}"}
+#: Name and pattern of the secret scan; fixed values.
+SECRETS = {
+    "aws_access_key": r"AKIA[0-9A-Z]{16}",
+    "github_pat": r"ghp_[a-zA-Z0-9]{36}",
+    "password_assignment": r"""(?i)(password|secret|api_key|token)\s*[:=]\s*["'][^"']{8,}["']""",
+    "connection_string": r"://[^:]+:[^@]+@",
+    "slack_token": r"xox[baprs]-[0-9a-zA-Z-]{10,}",
+}
 
 
 def secrets(files: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def _changed(spark, d):
     SELECT path, churn, dependents, round(pct, 6) AS churn_pct, risk, round(CASE WHEN total <= 1 THEN 1.0 ELSE (total - row_number() OVER (ORDER BY risk DESC, path)) / (total - 1)::DOUBLE END, 6) AS percentile FROM q"""
 )
 def risk_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return history.risk_ranking(rel.files(spark, d), history.churn(rel.history(spark, d)), _degree(_co(spark, d)))
+    past = rel.history(spark, d)
+    return history.risk_ranking(rel.files(spark, d), history.churn(past), _degree(history.co_changes(past)))
 
 
 @query(f"WITH {rel.HISTORY}, {CHURN} SELECT path, churn_30d, churn_180d, last_commit FROM churn")
@@ -73,9 +74,9 @@ def churn_p75(spark, d):
     return spark.createDataFrame([(n,)], "threshold long")
 
 
-@query(f"WITH {rel.HISTORY}, {S['files']} SELECT dir, round(avg(CASE WHEN message = '1-URGENT' THEN 1.0 ELSE 0.0 END), 6) AS density, count(*) AS touches FROM hist JOIN files USING (path) WHERE age <= 180 GROUP BY dir")
+@query(f"WITH {rel.HISTORY}, {S['files']} SELECT dir, round(avg(CASE WHEN regexp_matches(replace(message, '1-URGENT', 'hot fix'), '(?i)\\b(fix|bug|patch|hotfix)\\b') THEN 1.0 ELSE 0.0 END), 6) AS density, count(*) AS touches FROM hist JOIN files USING (path) WHERE age <= 180 GROUP BY dir")
 def bugfix_density(spark, d):
-    return history.bugfix_density(rel.history(spark, d), rel.files(spark, d), F.col("message") == "1-URGENT")
+    return history.bugfix_density(rel.history(spark, d), rel.files(spark, d), F.replace("message", F.lit("1-URGENT"), F.lit("hot fix")).rlike(history.BUGFIX))
 
 
 @query(f"WITH {rel.HISTORY}, a AS (SELECT path, min(age) AS age, count(*) AS mods FROM hist GROUP BY path) SELECT path, age, mods, round(least(greatest(1 - age / 90.0, 0.0), 1.0), 6) AS recency FROM a ORDER BY age, mods DESC, path LIMIT 50")
@@ -124,8 +125,9 @@ def historical_impact(spark, d):
     SELECT path, round(i * 0.4 + o * 0.1 + (CASE WHEN last_commit IS NULL THEN 0.0 ELSE 1 - pos / n::DOUBLE END) * 0.3 + c / (SELECT max(churn_180d) FROM churn)::DOUBLE * 0.2, 6) AS importance FROM r"""
 )
 def file_importance(spark, d):
-    deg = graphs.degrees(_co(spark, d).select(F.col("file_a").alias("src"), F.col("file_b").alias("dst"))).withColumnRenamed("node", "path")
-    return history.importance(rel.files(spark, d), deg, history.churn(rel.history(spark, d)))
+    past = rel.history(spark, d)
+    deg = graphs.degrees(history.co_changes(past).select(F.col("file_a").alias("src"), F.col("file_b").alias("dst"))).withColumnRenamed("node", "path")
+    return history.importance(rel.files(spark, d), deg, history.churn(past))
 
 
 SIG = "sig AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS path, p_size / 50.0 AS s1, round(p_retailprice / 2000, 6) AS s2, (p_partkey % 7) / 7.0 AS s3 FROM part)"
@@ -150,34 +152,34 @@ def weighted_fusion(spark, d):
 
 
 @query(f"WITH {S['edges']} SELECT node, count(*) FILTER (WHERE o = 0) AS in_degree, count(*) FILTER (WHERE o = 1) AS out_degree FROM (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node")
-def graph_nodes(spark, d, edges=rel.trade_edges):
-    return graphs.degrees(edges(spark, d))
+def graph_nodes(spark, d):
+    return graphs.degrees(rel.trade_edges(spark, d))
 
 
 @query(f"WITH {S['edges']} SELECT DISTINCT * FROM (SELECT dst AS node, 'out' AS direction, edge_type FROM edges WHERE src = 'NATION_10' UNION ALL SELECT src, 'in', edge_type FROM edges WHERE dst = 'NATION_10')")
-def graph_neighbors(spark, d, edges=rel.trade_edges):
-    return graphs.neighbours(edges(spark, d), "NATION_10")
+def graph_neighbors(spark, d):
+    return graphs.neighbours(rel.trade_edges(spark, d), "NATION_10")
 
 
 @query(
     f"""WITH RECURSIVE {S['edges']}, both_ AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), near(node, hops) AS (SELECT DISTINCT a, 0 FROM both_ WHERE a = 'NATION_10' UNION SELECT b, hops + 1 FROM near JOIN both_ ON a = node WHERE hops < 2)
     SELECT src, dst, edge_type, n FROM edges WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)"""
 )
-def graph_subgraph_d2(spark, d, edges=rel.trade_edges):
-    return graphs.subgraph(edges(spark, d), ["NATION_10"], 2).select("src", "dst", "edge_type", "n")
+def graph_subgraph_d2(spark, d):
+    return graphs.subgraph(rel.trade_edges(spark, d), ["NATION_10"], 2).select("src", "dst", "edge_type", "n")
 
 
 @query(
-    f"""WITH RECURSIVE {S['edges']}, walk(node, path, hops) AS (SELECT 'NATION_0', ['NATION_0'], 0 UNION ALL SELECT dst, list_append(path, dst), hops + 1 FROM walk JOIN edges ON src = node WHERE hops < 8),
-    best AS (SELECT path FROM walk WHERE node = 'NATION_23' ORDER BY hops, path LIMIT 1) SELECT i - 1 AS hop, path[i] AS node FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM best)"""
+    f"""WITH RECURSIVE {S['edges']}, back(node, h) AS (SELECT 'NATION_23', 0 UNION SELECT src, h + 1 FROM back JOIN edges ON dst = node WHERE h < 30), d AS (SELECT node, min(h) AS h FROM back GROUP BY 1),
+    nx AS (SELECT src, min(dst) AS dst FROM edges JOIN d a ON src = a.node JOIN d b ON dst = b.node WHERE b.h = a.h - 1 GROUP BY 1), walk(hop, node) AS (SELECT 0, node FROM d WHERE node = 'NATION_0' UNION ALL SELECT hop + 1, nx.dst FROM walk JOIN nx ON node = src) SELECT hop, node FROM walk"""
 )
-def graph_shortest_path(spark, d, edges=rel.trade_edges):
-    return graphs.shortest_path(edges(spark, d), "NATION_0", "NATION_23")
+def graph_shortest_path(spark, d):
+    return graphs.shortest_path(rel.trade_edges(spark, d), "NATION_0", "NATION_23")
 
 
 @query(f"WITH RECURSIVE {S['edges']}, r(node) AS (SELECT DISTINCT src FROM edges WHERE src = 'NATION_3' UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
-def reachable(spark, d, edges=rel.trade_edges):
-    return graphs.reach(edges(spark, d), ["NATION_3"], 25, "out").select("node")
+def reachable(spark, d):
+    return graphs.reach(rel.trade_edges(spark, d), ["NATION_3"], None, "out").select("node")
 
 
 def _pagerank_sql(rounds: int, personal: bool) -> str:
@@ -192,26 +194,26 @@ def _pagerank_sql(rounds: int, personal: bool) -> str:
 
 
 @query(_pagerank_sql(10, False))
-def pagerank_k10(spark, d, edges=rel.trade_edges):
-    return graphs.pagerank(edges(spark, d).cache(), 10, tol=None).select("node", F.round("score", 6).alias("score"))
+def pagerank_k10(spark, d):
+    return graphs.pagerank(rel.trade_edges(spark, d), 10, tol=None).select("node", F.round("score", 6).alias("score"))
 
 
 @query(_pagerank_sql(10, True))
-def pagerank_personalized_k10(spark, d, edges=rel.trade_edges):
-    return graphs.pagerank(edges(spark, d).cache(), 10, tol=None, personal={"NATION_3": 1.0}).select("node", F.round("score", 6).alias("score"))
+def pagerank_personalized_k10(spark, d):
+    return graphs.pagerank(rel.trade_edges(spark, d), 10, tol=None, personal={"NATION_3": 1.0}).select("node", F.round("score", 6).alias("score"))
 
 
 CYCLIC = f"{S['edges']}, cyc AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE edge_type = 'import')"
 
 
-def _cyclic(spark, d, edges=rel.trade_edges):
-    e = edges(spark, d)
-    return e.select("src", "dst").unionByName(e.where("edge_type = 'import'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().cache()
+def _cyclic(spark, d):
+    e = rel.trade_edges(spark, d)
+    return e.select("src", "dst").unionByName(e.where("edge_type = 'import'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 @query(f"WITH RECURSIVE {CYCLIC}, r(a, b) AS (SELECT src, dst FROM cyc UNION SELECT a, dst FROM r JOIN cyc ON b = src) SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a")
-def scc_members(spark, d, edges=rel.trade_edges):
-    return graphs.components(_cyclic(spark, d, edges))
+def scc_members(spark, d):
+    return graphs.components(_cyclic(spark, d))
 
 
 @query(
@@ -222,8 +224,8 @@ def scc_members(spark, d, edges=rel.trade_edges):
     al AS (SELECT path, 1 AS hops, weight FROM l1 UNION ALL SELECT path, 2, weight FROM l2 UNION ALL SELECT path, 3, weight FROM l3), z AS (SELECT path, hops, round(least(weight / (hops + 1) * 1.2, 1.0), 6) AS risk FROM al)
     SELECT path, hops, risk, CASE WHEN risk >= 0.7 THEN 'high' WHEN risk >= 0.3 THEN 'medium' ELSE 'low' END AS category FROM z"""
 )
-def blast_radius_level(spark, d, edges=rel.trade_edges):
-    return graphs.blast_radius(edges(spark, d), ["NATION_24"])
+def blast_radius_level(spark, d):
+    return graphs.blast_radius(rel.trade_edges(spark, d), ["NATION_24"])
 
 
 MODULES = "mods AS (SELECT n_name AS node, r_name AS module FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -237,29 +239,29 @@ COUPLED = f"{S['edges']}, {MODULES}, o AS (SELECT a.module, count(*) AS total, c
 
 
 @query(f'WITH {COUPLED} SELECT module, n_files, total, crossing AS "cross", coupling FROM cp')
-def module_coupling(spark, d, edges=rel.trade_edges):
-    return architecture.module_coupling(edges(spark, d), _modules(spark, d))
+def module_coupling(spark, d):
+    return architecture.module_coupling(rel.trade_edges(spark, d), _modules(spark, d))
 
 
 @query(f"WITH {COUPLED} SELECT round((1 - coalesce(avg(coupling), 0.0)) * 10, 6) AS score FROM cp")
-def coupling_score(spark, d, edges=rel.trade_edges):
-    return architecture.coupling_score(architecture.module_coupling(edges(spark, d), _modules(spark, d)))
+def coupling_score(spark, d):
+    return architecture.coupling_score(architecture.module_coupling(rel.trade_edges(spark, d), _modules(spark, d)))
 
 
 @query(f"WITH {S['edges']}, {MODULES}, x AS (SELECT a.module AS a, b.module AS b, count(*) AS n FROM edges JOIN mods a ON src = a.node JOIN mods b ON dst = b.node WHERE a.module <> b.module GROUP BY 1, 2) SELECT x.a, x.b, x.n, coalesce(y.n, 0) AS n_back, y.n IS NULL AS strict FROM x LEFT JOIN x y ON x.a = y.b AND x.b = y.a")
-def strict_layers(spark, d, edges=rel.trade_edges):
-    return architecture.layers(edges(spark, d), _modules(spark, d))
+def strict_layers(spark, d):
+    return architecture.layers(rel.trade_edges(spark, d), _modules(spark, d))
 
 
-@query("WITH c AS (SELECT 's' || l_suppkey AS node, n_name AS module, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2), st AS (SELECT module, avg(n) AS mean, stddev_pop(n) AS dev FROM c GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(n) > 0) SELECT module, node, n FROM c JOIN st USING (module) WHERE n > mean + 1.0 * dev")
+@query("WITH c AS (SELECT 's' || l_suppkey AS node, n_name AS module, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2), st AS (SELECT module, avg(n) AS mean, stddev_pop(n) AS dev FROM c GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(n) > 0) SELECT module, node, n FROM c JOIN st USING (module) WHERE n > mean + 2.0 * dev")
 def god_files(spark, d):
     c = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return architecture.god_files(c.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"), F.col("n_name").alias("module")).agg(F.count("*").alias("n")), deviations=1.0)
+    return architecture.god_files(c.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"), F.col("n_name").alias("module")).agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {COUPLED}, pr AS ({_pagerank_sql(10, False).replace('round(r / ', '(r / ').replace(', 6) AS score', ') AS score')}), pw AS (SELECT module, round(sum(coalesce(score, 0.0)), 5) AS pagerank FROM mods LEFT JOIN pr USING (node) GROUP BY 1) SELECT module, n_files, pagerank, coupling, round(CASE WHEN n_files > 1 THEN (total - crossing) / (n_files * (n_files - 1))::DOUBLE ELSE 1.0 END, 6) AS cohesion FROM cp JOIN pw USING (module)")
-def architecture_map(spark, d, edges=rel.trade_edges):
-    e = edges(spark, d).cache()
+def architecture_map(spark, d):
+    e = rel.trade_edges(spark, d)
     return architecture.architecture_map(e, _modules(spark, d), graphs.pagerank(e, 10, tol=None))
 
 
@@ -286,12 +288,12 @@ def language_stats(spark, d):
 
 @query(f"WITH {TERMS} SELECT term, sum(n)::BIGINT AS n FROM terms GROUP BY 1 ORDER BY n DESC, term LIMIT 50")
 def top_terms(spark, d):
-    return retrieval.terms(rel.documents(spark, d)).groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+    return retrieval.top_terms(rel.documents(spark, d), 50)
 
 
 @query(f"WITH {TERMS} SELECT path, round(sum(CASE WHEN term IN ('the', 'loser', 'und', 'que') THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) AS score FROM terms GROUP BY path HAVING score > 0")
 def term_frequency_signal(spark, d):
-    return retrieval.term_signal(retrieval.terms(rel.documents(spark, d)), ["the", "loser", "und", "que"])
+    return retrieval.term_signal(rel.documents(spark, d), ["the", "loser", "und", "que"])
 
 
 @query(f"WITH {S['docs']}, p AS (SELECT path, list_distinct(list_filter(string_split_regex(lower(path), '[/._-]+'), lambda w: strlen(w) >= 2)) AS parts FROM docs), s AS (SELECT path, len(list_intersect(parts, ['src3', 'en', 'txt'])) AS k, len(parts) AS n FROM p) SELECT path, round(0.7 * k / 3.0 + 0.3 * (CASE WHEN n > 0 THEN k / n::DOUBLE ELSE 0.0 END), 6) AS score FROM s WHERE k > 0")
@@ -310,22 +312,16 @@ def regex_search_context(spark, d):
     return retrieval.search_lines(rel.documents(spark, d), "loser|idiot").withColumn("line_no", F.col("line_no").cast("long"))
 
 
-_SECRETS = ", ".join(f"('{k}', '{p}')" for k, p in retrieval.SECRETS.items())
+_SECRETS = ", ".join("('{}', '{}')".format(k, p.replace("'", "''")) for k, p in retrieval.SECRETS.items())
 
 
-@query(f"WITH {S['docs']}, k(kind, pattern) AS (VALUES {_SECRETS}) SELECT path, kind, len(regexp_extract_all(content, pattern))::BIGINT AS hits FROM docs, k WHERE regexp_matches(content, pattern)".replace("regexp_extract_all(content, pattern)", "regexp_extract_all(content, pattern)"))
+@query(f"WITH {S['docs']}, k(kind, pattern) AS (VALUES {_SECRETS}) SELECT path, kind, len(regexp_extract_all(content, pattern))::BIGINT AS hits FROM docs, k WHERE regexp_matches(content, pattern)")
 def secret_scan(spark, d):
     return retrieval.secrets(rel.documents(spark, d))
 
 
-@query(f"WITH {TERMS}, s AS (SELECT path, term FROM terms WHERE path LIKE '%/de/%'), z AS (SELECT path, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.path AS p, b.path AS q, count(*) AS k FROM s a JOIN s b ON a.term = b.term AND a.path < b.path GROUP BY 1, 2) SELECT p, q, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM c JOIN z x ON x.path = p JOIN z y ON y.path = q WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) > 0.8")
+@query(f"WITH {TERMS}, s AS (SELECT path, term FROM terms), z AS (SELECT path, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.path AS p, b.path AS q, count(*) AS k FROM s a JOIN s b ON a.term = b.term AND a.path < b.path GROUP BY 1, 2) SELECT p, q, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM c JOIN z x ON x.path = p JOIN z y ON y.path = q WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) > 0.8")
 def similar_pairs_jaccard(spark, d):
-    return retrieval.similar_pairs(retrieval.terms(rel.documents(spark, d).where("language = 'de'")).select("path", "term"))
-
-
-@query()
-def similar_pairs_jaccard_whole(spark, d):
-    """All documents; the SQL self-join above holds the German ones only."""
     return retrieval.similar_pairs(retrieval.terms(rel.documents(spark, d)).select("path", "term"))
 
 
@@ -370,7 +366,7 @@ def _styles(spark, d):
 
 @query(f"WITH {STYLES} SELECT source, style, n FROM st")
 def naming_style(spark, d):
-    return _styles(spark, d).groupBy("source", "style").agg(F.count("*").alias("n"))
+    return conventions.style_counts(table(spark, d, "documents"), "source", "text")
 
 
 @query(f"WITH {STYLES}, t AS (SELECT source, max(n) AS top, sum(n) AS total FROM st GROUP BY 1), b AS (SELECT source, max(style) AS dominant, max(n) AS n, max(total)::BIGINT AS total FROM st JOIN t USING (source) WHERE n = top GROUP BY 1 HAVING count(*) = 1), p AS (SELECT *, round(n * 100.0 / total, 4) AS pct FROM b) SELECT source, dominant, n, total, pct, CASE WHEN pct >= 90 THEN 'convention' WHEN pct >= 70 THEN 'trend' ELSE 'mixed' END AS strength FROM p WHERE pct >= 50")
@@ -421,14 +417,14 @@ def timeline_steps(spark, d):
 IMPACT = f"{S['edges']}, x AS (SELECT src AS path, sum(CASE WHEN edge_type = 'import' THEN 1.0 ELSE 0.5 END) AS x FROM edges WHERE dst IN ('NATION_20', 'NATION_21') GROUP BY 1), ci AS (SELECT path, round(x / greatest((SELECT max(x) FROM x), 1.0), 6) AS score FROM x WHERE path NOT IN ('NATION_20', 'NATION_21'))"
 
 
-def _impact(spark, d, edges=rel.trade_edges):
+def _impact(spark, d):
     changed = spark.createDataFrame([("NATION_20",), ("NATION_21",)], "path string")
-    return history.call_impact(edges(spark, d).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (F.col("edge_type") == "import").alias("exact")), changed)
+    return history.call_impact(rel.trade_edges(spark, d).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (F.col("edge_type") == "import").alias("exact")), changed)
 
 
 @query(f"WITH {IMPACT} SELECT path, score FROM ci")
-def call_impact(spark, d, edges=rel.trade_edges):
-    return _impact(spark, d, edges)
+def call_impact(spark, d):
+    return _impact(spark, d)
 
 
 @query(
@@ -436,36 +432,6 @@ def call_impact(spark, d, edges=rel.trade_edges):
     p AS (SELECT path FROM st UNION SELECT path FROM hi UNION SELECT path FROM ci), f AS (SELECT path, path IN (SELECT path FROM st) AS structural, path IN (SELECT path FROM ci) AS by_call, path IN (SELECT path FROM hi) AS historical FROM p)
     SELECT *, CASE WHEN structural AND by_call AND historical THEN 0.90 WHEN structural AND by_call THEN 0.85 WHEN structural AND historical THEN 0.75 WHEN by_call AND historical THEN 0.70 WHEN structural THEN 0.60 WHEN by_call THEN 0.50 WHEN historical THEN 0.40 ELSE 0.0 END::DOUBLE AS confidence FROM f"""
 )
-def predict_confidence(spark, d, edges=rel.trade_edges):
+def predict_confidence(spark, d):
     n = table(spark, d, "nation").select(F.col("n_name").alias("path"), "n_nationkey")
-    return history.predict(n.where("n_nationkey % 2 = 0"), _impact(spark, d, edges), n.where("n_nationkey % 3 = 0"))
-
-
-#: The SQL of these holds two fifths of the nation edges; the same on all edges, without SQL.
-ON_EDGES = (
-    "graph_nodes",
-    "graph_neighbors",
-    "graph_subgraph_d2",
-    "graph_shortest_path",
-    "reachable",
-    "pagerank_k10",
-    "pagerank_personalized_k10",
-    "scc_members",
-    "blast_radius_level",
-    "module_coupling",
-    "coupling_score",
-    "strict_layers",
-    "architecture_map",
-    "call_impact",
-    "predict_confidence",
-)
-
-
-def _on_whole(f):
-    def run(spark, d):
-        return f(spark, d, rel.whole_trade_edges)
-
-    return run
-
-
-QUERIES |= {f"{name}_whole": _on_whole(QUERIES[name]) for name in ON_EDGES}
+    return history.predict(n.where("n_nationkey % 2 = 0"), _impact(spark, d), n.where("n_nationkey % 3 = 0"))

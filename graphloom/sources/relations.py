@@ -26,12 +26,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each file that a commit touches, with its age in days."""
     log = commits(spark, sf_dir)
-    now = log.agg(F.max("day")).first()[0]
-    return commit_files(spark, sf_dir).join(log, "sha").withColumn("age", F.datediff(F.lit(now), "day").cast("long"))
+    now = F.broadcast(log.agg(F.max("day").alias("now")))  # a row of one
+    return commit_files(spark, sf_dir).join(log.crossJoin(now), "sha").select("sha", "path", "day", "message", F.datediff("now", "day").cast("long").alias("age"))
 
 
 def _nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed edges between nations: customers buying from suppliers of a later nation."""
     nation = table(spark, sf_dir, "nation")
     buys = (
         table(spark, sf_dir, "lineitem")
@@ -44,16 +43,12 @@ def _nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     a = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src"), F.col("n_regionkey").alias("ra"))
     b = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst"), F.col("n_regionkey").alias("rb"))
-    return buys.join(a, "c_nationkey").join(b, "s_nationkey").select("src", "dst", F.when(F.col("ra") == F.col("rb"), "import").otherwise("cross_language:HttpCall").alias("edge_type"), "n", "c_nationkey", "s_nationkey")
-
-
-def whole_trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nation_pairs(spark, sf_dir).drop("c_nationkey", "s_nationkey")
+    return buys.join(a, "c_nationkey").join(b, "s_nationkey").select("src", "dst", F.when(F.col("ra") == F.col("rb"), "import").otherwise("cross_language:HttpCall").alias("edge_type"), "n")
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two fifths of ``whole_trade_edges`` that the SQL below holds."""
-    return _nation_pairs(spark, sf_dir).where("(c_nationkey * 7 + s_nationkey * 3) % 5 < 2").drop("c_nationkey", "s_nationkey")
+    """Directed edges between nations: customers buying from suppliers of a later nation."""
+    return _nation_pairs(spark, sf_dir)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +63,7 @@ SQL = {
     "hist": "hist AS (SELECT cf.sha, path, day, message, date_diff('day', day, (SELECT max(day) FROM log)) AS age FROM cf JOIN log USING (sha))",
     "edges": """edges AS (SELECT a.n_name AS src, b.n_name AS dst, CASE WHEN a.n_regionkey = b.n_regionkey THEN 'import' ELSE 'cross_language:HttpCall' END AS edge_type, n
         FROM (SELECT c_nationkey, s_nationkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-              GROUP BY 1, 2 HAVING c_nationkey < s_nationkey AND (c_nationkey * 7 + s_nationkey * 3) % 5 < 2) e
+              GROUP BY 1, 2 HAVING c_nationkey < s_nationkey) e
         JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey)""",
     "docs": "docs AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, lang AS language, n_chars AS size_bytes, text AS content, doc_id, source FROM documents)",
 }
