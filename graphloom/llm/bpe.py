@@ -32,10 +32,8 @@ LEAF, DECODE_LEAF = 4, 64
 #: Pairs of tokens whose fit a worker remembers.
 FITS = 300_000
 NEVER = 1 << 40
-#: Entries that each of the two generations of a worker's memo holds.
-MEMO = 200_000
-#: Longer stretches aren't kept in the memo.
-MEMO_BYTES = 64
+#: Entries of a worker's memo, and ids that one piece may add to it.
+MEMO, MEMO_IDS = 1_000_000, 1 << 20
 #: Texts coded together, in bytes.
 AT_ONCE = 1 << 20
 PLAIN = frozenset(".,;:!?")
@@ -247,69 +245,110 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """Codes texts by their stretches, with a memo in front: equal stretches of a batch are
-    found by two hashes, and each distinct one is looked up once by its bytes. Two generations
-    keep the memo bounded, and what is frequent stays. ``code`` gives the packed ids of
-    strings; ``words`` those of strings that begin with one space and end with no white
-    space, of which any row could be coded as one."""
+    """Codes texts by their stretches, with a memo in front. A stretch is known by two
+    independent 64-bit hashes; the memo is a table of them with free slots, and the ids of
+    all known stretches stand in one array. A full memo begins anew. ``code`` gives the packed
+    ids of strings; ``words`` those of strings that begin with one space and end with no
+    white space, of which any row could be coded as one."""
 
     def __init__(self, code: Callable[[list[str]], list[bytes]], width: int, size: int = MEMO, words: Callable[[list[str]], list[bytes]] | None = None):
         self.code, self.words, self.width, self.size = code, words or code, width, size
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.bits = (2 * size - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        n = 1 << self.bits
+        self.first, self.second, self.entry = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self.known, self.used = 0, 0
+        self.begin, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.ids = np.zeros(1 << 12, f"<u{self.width}")
+
+    def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The entry of each stretch, -1 where it isn't known."""
+        out = np.full(len(h), -1, np.int64)
+        todo, slot = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            got = self.first[slot]
+            hit = (got == h[todo]) & (self.second[slot] == other[todo])
+            out[todo[hit]] = self.entry[slot[hit]]
+            go = ~hit & (got != 0)
+            todo, slot = todo[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
 
-    def of(self, keys: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct stretches."""
-        new, old, out = self.new, self.old, []
+    def put(self, h: np.ndarray, other: np.ndarray, entry: np.ndarray) -> None:
+        """Give slots to distinct stretches that aren't known."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            at, who = np.unique(slot, return_index=True)
+            who = who[self.first[at] == 0]
+            self.first[slot[who]], self.second[slot[who]], self.entry[slot[who]] = h[who], other[who], entry[who]
+            rest = np.ones(len(h), bool)
+            rest[who] = False
+            h, other, entry, slot = h[rest], other[rest], entry[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def add(self, coded: list[bytes]) -> np.ndarray:
+        """New entries for packed ids."""
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.width
+        total, n = int(size.sum()), len(coded)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + n > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(coded), self.ids.dtype)
+        self.begin[self.known : self.known + n] = self.used + np.cumsum(size) - size
+        self.count[self.known : self.known + n] = size
+        self.known, self.used = self.known + n, self.used + total
+        return np.arange(self.known - n, self.known)
+
+    def coded(self, keys: list[bytes]) -> list[bytes]:
         plain, rest = [], []
         for i, k in enumerate(keys):
-            v = new.get(k)
-            if v is None:
-                v = old.get(k)
-                if v is None:
-                    last = k[-1]
-                    (plain if k[0] == 32 and last > 32 and (last < 128 or not k.decode()[-1].isspace()) and len(k) <= MEMO_BYTES else rest).append(i)
-                else:
-                    new[k] = v
-            out.append(v)
+            (plain if k[0] == 32 and k[-1] > 32 and (k[-1] < 128 or not k.decode()[-1].isspace()) else rest).append(i)
+        out = [b""] * len(keys)
         for group, coder in ((plain, self.words), (rest, self.code)):
             for i, v in zip(group, coder([keys[i].decode() for i in group]) if group else (), strict=True):
                 out[i] = v
-                if len(keys[i]) <= MEMO_BYTES:
-                    new[keys[i]] = v
-        if len(new) > self.size:
-            self.old, self.new = new, {}
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and the end)."""
-        kind = f"<u{self.width}"
         n = len(off) - 1
         if not len(data):
-            return np.zeros(0, kind), np.zeros(n + 1, np.int64)
+            return np.zeros(0, f"<u{self.width}"), np.zeros(n + 1, np.int64)
         start = cuts(data, off)
         end = np.r_[start[1:], len(data)]
         begin = np.unique(np.searchsorted(start, np.arange(0, len(data), AT_ONCE)))
-        parts = [self._coded(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]) for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(start)], strict=True) if j > i]
+        parts = [self._piece(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]) for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(start)], strict=True) if j > i]
         total = np.r_[0, np.cumsum(np.concatenate([c for _, c in parts]))]
         return np.concatenate([x for x, _ in parts]), total[np.searchsorted(start, off, side="left")]
 
-    def _coded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _piece(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, ids of each stretch) of the stretches of a piece of bytes."""
-        kind = f"<u{self.width}"
-        h = span_hash(prefix_sums(data), start, end)
+        h = span_hash(prefix_sums(data), start, end) | np.uint64(1)
         other = span_hash(prefix_sums(data, 1), start, end, 1)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if not np.array_equal(other[first][which], other):  # a collision: tell apart by both
-            _, first, which = np.unique(np.column_stack([h, other]), axis=0, return_index=True, return_inverse=True)
-            which = which.reshape(-1)
-        raw = data.tobytes()
-        got = self.of([raw[a:z] for a, z in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        size = np.fromiter(map(len, got), np.int64, len(got)) // self.width
-        count = size[which]
+        which = self.find(h, other)
+        fresh = np.flatnonzero(which < 0)
+        known, used = self.known, self.used
+        if len(fresh):
+            _, first, back = np.unique(h[fresh], return_index=True, return_inverse=True)
+            if not np.array_equal(other[fresh[first]][back], other[fresh]):  # tell apart by both
+                _, first, back = np.unique(np.column_stack([h, other])[fresh], axis=0, return_index=True, return_inverse=True)
+                back = back.reshape(-1)
+            at = fresh[first]
+            raw = data.tobytes()
+            entry = self.add(self.coded([raw[a:z] for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+            which[fresh] = entry[back]
+        count = self.count[which]
         upto = np.cumsum(count)
-        at = np.repeat((np.cumsum(size) - size)[which] - upto + count, count) + np.arange(upto[-1])
-        return np.frombuffer(b"".join(got), kind)[at], count
+        out = self.ids[np.repeat(self.begin[which] - upto + count, count) + np.arange(upto[-1])]
+        if len(fresh):
+            if self.known > self.size:
+                self.clear()
+            elif used + MEMO_IDS < self.used:  # what a single piece may leave behind
+                self.known, self.used = known, used
+            else:
+                self.put(h[at], other[at], entry)
+        return out, count
 
 
 def matches(s: str, split: Callable[[str], list[str]]) -> list[str]:

@@ -43,8 +43,8 @@ MEAN_BITS, LEAST, MOST = 8, 48, 4096
 ID_BYTES = 16
 #: Uses of a chunk that are sent it from one place.
 USES = 1000
-#: Stretches that each of the two generations of a worker's memo holds, and of a row.
-MEMO, ROW = 300_000, 4096
+#: Stretches that a worker's memo holds, and of a row.
+MEMO, ROW = 1_500_000, 4096
 
 
 _encoders: dict[str, Stretches] = {}
