@@ -1,6 +1,6 @@
 """All queries of the engine's own operators, by name, with their SQL equivalents."""
 
-from graphloom.plans import code_queries, codebase_queries  # noqa: F401  register their queries
+from graphloom.plans import code_queries, codebase_queries, repository_queries  # noqa: F401  register their queries
 from graphloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -214,3 +214,78 @@ def blast_radius(edges: DataFrame, seeds: list[str], depth: int = 3, tested: Dat
     marked = levels.join(tested.select("path", F.lit(True).alias("tested")), "path", "left") if tested is not None else levels.withColumn("tested", F.lit(None).cast("boolean"))
     risk = F.round(F.least(F.col("weight") / (F.col("hops") + 1) * F.when(F.col("tested"), 1.0).otherwise(1.2), F.lit(1.0)), 6)
     return marked.select("path", "hops", risk.alias("risk")).withColumn("category", F.when(F.col("risk") >= 0.7, "high").when(F.col("risk") >= 0.3, "medium").otherwise("low"))
+
+
+def column_blast_radius(edges: DataFrame, tab: str, col: str, depth: int = 3, tested: DataFrame | None = None) -> DataFrame:
+    """Who depends on a column: the blast radius of its node, without other column nodes."""
+    return blast_radius(edges, [f"col:{tab}.{col}".lower()], depth, tested).where(~F.col("path").startswith("col:"))
+
+
+def with_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """The graph with further edges; an edge stands once."""
+    return edges.unionByName(more.select(*edges.columns)).distinct()
+
+
+def without_edges_of(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """The graph without the edges that start at some paths."""
+    return edges.join(paths.select(F.col("path").alias("src")), "src", "left_anti").select(*edges.columns)
+
+
+def edge_delta(old: DataFrame, changed: DataFrame, removed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The graph after an edit: edges of changed and removed files go, those that were found
+    afresh for the changed ones come, and none may lead to a removed file."""
+    gone = changed.select("path").unionByName(removed.select("path")).distinct()
+    kept = without_edges_of(old, gone)
+    now = with_edges(kept, fresh.join(changed.select(F.col("path").alias("src")), "src", "left_semi").select(*old.columns))
+    return now.join(removed.select(F.col("path").alias("dst")), "dst", "left_anti").select(*old.columns)
+
+
+def call_graph(calls: DataFrame, target: str | None, depth: int = 1, focus: str | None = None) -> DataFrame:
+    """The calls (caller_path, caller, callee, callee_path) around what a name is part of: the
+    files of matching callers or callees, widened by files that call each other ``depth`` - 1
+    times, and the calls between those; at depth 1 the matching calls themselves."""
+    known = calls.where("callee_path is not null")
+    if target is None:
+        found = known
+    else:
+        hit = known.where(F.lower("caller").contains(target.lower()) | F.lower("callee").contains(target.lower()))
+        if depth <= 1:
+            found = hit
+        else:
+            seeds = hit.select(F.explode(F.array("caller_path", "callee_path")).alias("path")).distinct()
+            pairs = known.select(F.col("caller_path").alias("a"), F.col("callee_path").alias("b"))
+            pairs = _kept(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+            for _ in range(depth - 1):
+                seeds = _cut(seeds.unionByName(seeds.join(pairs, F.col("path") == F.col("a")).select(F.col("b").alias("path"))).distinct())
+            found = known.join(seeds.withColumnRenamed("path", "caller_path"), "caller_path", "left_semi").join(seeds.withColumnRenamed("path", "callee_path"), "callee_path", "left_semi")
+    return found.where(F.col("caller_path").startswith(focus)) if focus else found
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """``node, layer`` of an acyclic graph: the longest path from a node without incoming
+    edges. Settles in as many rounds as there are layers; raises on a cycle."""
+    pairs = _kept(edges.select("src", "dst").distinct())
+    now = _cut(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("layer", F.lit(0)))
+    n = now.count()
+    for _ in range(n + 1):
+        pushed = pairs.join(now, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg((F.max("layer") + 1).alias("p"))
+        new = _cut(now.join(pushed, "node", "left").select("node", F.greatest("layer", F.coalesce("p", F.lit(0))).alias("layer"), (F.coalesce("p", F.lit(0)) > F.col("layer")).alias("moved")))
+        now = new.select("node", "layer")
+        if not new.where("moved").limit(1).count():
+            return now
+    raise ValueError("the graph has a cycle")
+
+
+def query(edges: DataFrame, op: str, **params) -> DataFrame:
+    """Dispatch of graph queries: node, nodes, neighbors, path, subgraph."""
+    if op == "nodes":
+        return degrees(edges)
+    if op == "node":
+        return degrees(edges).where(F.col("node") == params["id"])
+    if op == "neighbors":
+        return neighbours(edges, params["id"], params.get("direction", "both"))
+    if op == "path":
+        return shortest_path(edges, params["start"], params["end"])
+    if op == "subgraph":
+        return subgraph(edges, params["seeds"], params.get("depth", 1))
+    raise ValueError(f"not a graph query: {op!r}")
