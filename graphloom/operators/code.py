@@ -8,10 +8,10 @@ from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import parsing
+from graphloom.operators import graphs, predicates
 
 
 def language(path: Column) -> Column:
@@ -211,23 +211,43 @@ def function_density(parsed: DataFrame) -> DataFrame:
     return f.groupBy("language").agg(F.count("*").alias("functions"), F.round(F.avg((F.col("visibility") == "public").cast("double")), 6).alias("public_share"), F.round(F.avg(F.col("end_line") - F.col("start_line") + 1), 6).alias("mean_lines"))
 
 
-#: directory names, suffixes and markers of noise; fixed values.
-NOISE_DIRS = "node_modules vendor dist build target .git __pycache__".split()
-NOISE_SUFFIXES = [".min.js", ".lock", ".map", ".snap"]
-GENERATED = ["@generated", "DO NOT EDIT", "auto-generated"]
-
-
 def noise(files: DataFrame) -> DataFrame:
-    """``path, reason`` for every file: blocklist, generated, or null to keep."""
-    suffix = F.lit(False)
-    for x in NOISE_SUFFIXES:
-        suffix = suffix | F.col("path").endswith(x)
-    head = F.array_join(F.slice(F.split("content", "\n"), 1, 5), "\n")
-    marked = F.lit(False)
-    for x in GENERATED:
-        marked = marked | head.contains(x)
-    blocked = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in NOISE_DIRS])) | suffix
-    return files.select("path", F.when(blocked, "blocklist").when(marked, "generated").alias("reason"))
+    """``path, reason`` for every file: on the block list, generated, or null to keep."""
+    return files.select("path", F.coalesce(predicates.noise_reason(F.col("path")), F.when(predicates.generated(F.col("content")), "generated_file")).alias("reason"))
+
+
+def filter_noise(scored: DataFrame, files: DataFrame, symbols: DataFrame, rank: DataFrame, floor: float = 0.15, alike: float = 0.8) -> DataFrame:
+    """``path, score, reason``: why a candidate (path, score) goes, null for those that stay. In
+    turn: the block list and generated files; files whose sets of symbol names are alike
+    (Jaccard over ``alike``) to one of a higher score, then rank, then smaller path, that
+    itself stays; scores under ``floor``. The similar pairs come from an inverted index; who
+    stays is settled in rounds along the order of preference, each of which decides at least
+    the best undecided of every group."""
+    from graphloom.operators import retrieval
+
+    rows = scored.join(files.select("path", "content"), "path", "left").join(rank.select(F.col("node").alias("path"), F.col("score").alias("pr")), "path", "left")
+    rows = rows.select("path", "score", F.coalesce("pr", F.lit(0.0)).alias("pr"), F.coalesce(predicates.noise_reason(F.col("path")), F.when(predicates.generated(F.coalesce("content", F.lit(""))), "generated_file")).alias("reason"))
+    rows = graphs._cut(rows)
+    left = rows.where("reason is null")
+    terms = symbols.join(left.select("path"), "path", "left_semi").select("path", F.col("name").alias("term")).distinct()
+    pairs = retrieval.similar_pairs(terms, alike)
+    order = lambda df, c, pre: df.join(left.select(F.col("path").alias(c), F.struct((-F.col("score")).alias("s"), (-F.col("pr")).alias("r"), F.col("path").alias("p")).alias(pre)), c)
+    ranked = order(order(pairs.select("p", "q"), "p", "op"), "q", "oq")
+    better = graphs._cut(ranked.select(F.when(F.col("op") < F.col("oq"), F.col("p")).otherwise(F.col("q")).alias("better"), F.when(F.col("op") < F.col("oq"), F.col("q")).otherwise(F.col("p")).alias("worse"), F.least("op", "oq").alias("o")))
+    gone, stays = None, None
+    open_ = better
+    while open_.limit(1).count():
+        # those that nobody open is better than stay; what is alike to them goes
+        sure = open_.select(F.col("better").alias("path")).distinct().join(open_.select(F.col("worse").alias("path")).distinct(), "path", "left_anti")
+        hit = open_.join(sure.select(F.col("path").alias("better")), "better", "left_semi").groupBy(F.col("worse").alias("path")).agg(F.min_by("better", "o").alias("kept"))
+        hit = graphs._cut(hit)
+        gone = hit if gone is None else gone.unionByName(hit)
+        names = hit.select("path")
+        open_ = graphs._cut(open_.join(names.withColumnRenamed("path", "worse"), "worse", "left_anti").join(names.withColumnRenamed("path", "better"), "better", "left_anti"))
+    if gone is None:
+        return rows.select("path", "score", F.coalesce("reason", F.when(F.col("score") < floor, "below_relevance_floor")).alias("reason"))
+    rows = rows.join(gone, "path", "left")
+    return rows.select("path", "score", F.coalesce("reason", F.when(F.col("kept").isNotNull(), F.concat(F.lit("similar_to: "), F.col("kept"))), F.when(F.col("score") < floor, "below_relevance_floor")).alias("reason"))
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -236,4 +256,4 @@ def canonical(edges: DataFrame) -> DataFrame:
 
 
 def rank_by_churn(history: DataFrame, limit: int = 20) -> DataFrame:
-    return history.groupBy("path").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(W.orderBy(F.desc("n"), "path"))).where(F.col("i") <= limit).drop("i")
+    return history.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(limit)

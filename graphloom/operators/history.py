@@ -25,9 +25,14 @@ def trend(c30: Column, c180: Column, threshold: int) -> Column:
 
 def p75_threshold(counts: DataFrame, column: str) -> int:
     """The value at index n * 3 // 4 of the sorted counts, at least 3; 5 if there are none."""
-    ranked = counts.select(F.col(column).alias("v"), (F.row_number().over(W.orderBy(column)) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
-    row = ranked.where(F.col("i") == F.floor(F.col("n") * 3 / 4)).first()
-    return max(3, row.v) if row else 5
+    by_value = counts.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    rows = sorted((r.v, r.k) for r in by_value.collect())  # a row for each distinct count, of which there are few
+    place, seen = sum(k for _, k in rows) * 3 // 4, 0
+    for v, k in rows:
+        seen += k
+        if seen > place:
+            return max(3, v)
+    return 5
 
 
 def bugfix_density(history: DataFrame, files: DataFrame, is_fix: Column) -> DataFrame:

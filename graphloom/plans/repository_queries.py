@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import code, scan, schema, surface
+from graphloom.plans.code_queries import expected_rows as rows
 from graphloom.plans.queries import query
 from graphloom.sources import codebase as cb
 from graphloom.sources import relations as rel
@@ -61,20 +62,6 @@ def repository(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REPOSITORY, "path string, content string")
 
 
-def _sql(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    return str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-
-
-def rows(columns: str, *values) -> str:
-    """SQL of the rows that are expected."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql, v)) + ')' for v in values)}) AS t({columns})"
-
-
-FILES_SQL = "rp AS (" + rows("path, content", *REPOSITORY) + ")"
 
 
 def _columns(spark):
