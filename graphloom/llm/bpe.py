@@ -33,9 +33,9 @@ LEAF, DECODE_LEAF = 4, 64
 FITS = 300_000
 NEVER = 1 << 40
 #: Entries of a worker's memo, and ids that one piece may add to it.
-MEMO, MEMO_IDS = 1_000_000, 1 << 20
+MEMO, MEMO_IDS = 500_000, 1 << 20
 #: Texts coded together, in bytes.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 PLAIN = frozenset(".,;:!?")
 
 

@@ -44,7 +44,7 @@ ID_BYTES = 16
 #: Uses of a chunk that are sent it from one place.
 USES = 1000
 #: Stretches that a worker's memo holds, and of a row.
-MEMO, ROW = 1_500_000, 4096
+MEMO, ROW = 700_000, 4096
 
 
 _encoders: dict[str, Stretches] = {}
