@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import parsing
-from graphloom.operators import graphs, predicates
+from graphloom.operators import predicates
+from graphloom.operators.lineage import cut
 
 
 def language(path: Column) -> Column:
@@ -227,23 +228,23 @@ def filter_noise(scored: DataFrame, files: DataFrame, symbols: DataFrame, rank:
 
     rows = scored.join(files.select("path", "content"), "path", "left").join(rank.select(F.col("node").alias("path"), F.col("score").alias("pr")), "path", "left")
     rows = rows.select("path", "score", F.coalesce("pr", F.lit(0.0)).alias("pr"), F.coalesce(predicates.noise_reason(F.col("path")), F.when(predicates.generated(F.coalesce("content", F.lit(""))), "generated_file")).alias("reason"))
-    rows = graphs._cut(rows)
+    rows = cut(rows)
     left = rows.where("reason is null")
     terms = symbols.join(left.select("path"), "path", "left_semi").select("path", F.col("name").alias("term")).distinct()
     pairs = retrieval.similar_pairs(terms, alike)
     order = lambda df, c, pre: df.join(left.select(F.col("path").alias(c), F.struct((-F.col("score")).alias("s"), (-F.col("pr")).alias("r"), F.col("path").alias("p")).alias(pre)), c)
     ranked = order(order(pairs.select("p", "q"), "p", "op"), "q", "oq")
-    better = graphs._cut(ranked.select(F.when(F.col("op") < F.col("oq"), F.col("p")).otherwise(F.col("q")).alias("better"), F.when(F.col("op") < F.col("oq"), F.col("q")).otherwise(F.col("p")).alias("worse"), F.least("op", "oq").alias("o")))
+    better = cut(ranked.select(F.when(F.col("op") < F.col("oq"), F.col("p")).otherwise(F.col("q")).alias("better"), F.when(F.col("op") < F.col("oq"), F.col("q")).otherwise(F.col("p")).alias("worse"), F.least("op", "oq").alias("o")))
     gone, stays = None, None
     open_ = better
     while open_.limit(1).count():
         # those that nobody open is better than stay; what is alike to them goes
         sure = open_.select(F.col("better").alias("path")).distinct().join(open_.select(F.col("worse").alias("path")).distinct(), "path", "left_anti")
         hit = open_.join(sure.select(F.col("path").alias("better")), "better", "left_semi").groupBy(F.col("worse").alias("path")).agg(F.min_by("better", "o").alias("kept"))
-        hit = graphs._cut(hit)
+        hit = cut(hit)
         gone = hit if gone is None else gone.unionByName(hit)
         names = hit.select("path")
-        open_ = graphs._cut(open_.join(names.withColumnRenamed("path", "worse"), "worse", "left_anti").join(names.withColumnRenamed("path", "better"), "better", "left_anti"))
+        open_ = cut(open_.join(names.withColumnRenamed("path", "worse"), "worse", "left_anti").join(names.withColumnRenamed("path", "better"), "better", "left_anti"))
     if gone is None:
         return rows.select("path", "score", F.coalesce("reason", F.when(F.col("score") < floor, "below_relevance_floor")).alias("reason"))
     rows = rows.join(gone, "path", "left")

@@ -7,20 +7,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut as _cut
+
 #: Weight of an edge type in a blast radius; fixed values.
 BLAST_WEIGHTS = {"import": 1.0, "foreign_key": 1.0, "orm_model": 1.0, "column_reference": 0.9, "embedded_sql": 0.8, "view_reference": 0.8, "function_reference": 0.8, "trigger_target": 0.6, "index_target": 0.6, "migration_sequence": 0.5}
 CROSS_LANGUAGE_WEIGHT = 0.5
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, where the session names one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-
-
 def _kept(df: DataFrame) -> DataFrame:
     """A relation that several rounds read: computed once, and written where a folder is."""
     return _cut(df)

@@ -88,7 +88,7 @@ def risk_ranking(files: DataFrame, churned: DataFrame, in_degree: DataFrame) ->
     scored = ranking.cume_dist(rows, "churn", total, "pct")
     risk = F.greatest("pct", F.lit(0.01)) * F.least(F.col("dependents") / total, F.lit(1.0)) * F.greatest(1 - F.col("tested").cast("double"), F.lit(0.01))
     scored = scored.withColumn("risk", F.round(risk, 9))
-    scored = ranking.row_number(scored, [F.desc("risk"), F.asc("path")], total, "place")
+    scored = ranking.row_number(scored, [-F.col("risk"), F.col("path")], "place")
     i = F.col("place") - 1
     return scored.select("path", "churn", "dependents", F.round("pct", 6).alias("churn_pct"), "risk", F.round(F.when(F.lit(total <= 1), 1.0).otherwise((total - 1 - i) / max(total - 1, 1)), 6).alias("percentile"))
 
@@ -97,7 +97,7 @@ def importance(files: DataFrame, degrees: DataFrame, churned: DataFrame) -> Data
     """in * 0.4 + out * 0.1 + recency * 0.3 + churn / max * 0.2; recency by position."""
     rows = files.join(degrees, "path", "left").join(churned, "path", "left")
     n = files.count()
-    rows = ranking.row_number(rows, [F.desc_nulls_last("last_commit"), F.asc("path")], n, "pos").withColumn("pos", F.col("pos") - 1)
+    rows = ranking.row_number(rows, [F.col("last_commit").isNull(), -F.unix_date("last_commit"), F.col("path")], "pos").withColumn("pos", F.col("pos") - 1)
     most = churned.agg(F.max("churn_180d")).first()[0] or 1
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     recency = F.when(F.col("last_commit").isNull(), 0.0).otherwise(1 - F.col("pos") / n)

@@ -1,4 +1,8 @@
-"""Ranks over a whole relation that don't sort it in one task."""
+"""Ranks over a whole relation that don't sort it in one task.
+
+Rows are dealt into ranges of their sort key by splitters from a bounded sample. The range of a
+row is an expression of its key, so it is the same whenever it is computed; each range is
+sorted for itself and numbered from the rows in the ranges before it."""
 
 from __future__ import annotations
 
@@ -6,15 +10,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows up to which a plain window over everything is the cheaper plan.
-LOCAL_ROWS = 1_000_000
+from graphloom.operators.lineage import cut
+
+#: Rows of the sample for each range.
+PER_RANGE = 32
+
+
+def _ranges(df: DataFrame, key: Column) -> DataFrame:
+    """``df`` with its sort key ``_k`` and range ``_r``."""
+    spark = df.sparkSession
+    n = max(1, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    keyed = cut(df.withColumn("_k", key))
+    place = F.pmod(F.xxhash64("_k"), F.lit(1 << 30))
+    share = min(1.0, 2.0 * n * PER_RANGE / max(1, keyed.count()))
+    sample = sorted(keyed.where(place <= int(share * (1 << 30))).select("_k", place.alias("p")).orderBy("p").limit(n * PER_RANGE).select("_k").distinct().collect(), key=lambda r: _order(r[0]))
+    cuts = [sample[i * len(sample) // n][0] for i in range(1, n)] if len(sample) > n else []
+    range_ = F.lit(0)
+    for least in cuts:
+        range_ = range_ + (F.col("_k") >= _literal(least, keyed.schema["_k"].dataType)).cast("int")
+    return keyed.withColumn("_r", range_)
+
+
+def _order(v) -> tuple:
+    return tuple((x is not None, x if x is not None else 0) for x in v)
+
+
+def _literal(v, kind) -> Column:
+    return F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(v, kind.fields, strict=True)])
+
+
+def _upto(df: DataFrame, key: Column, weight: Column, name: str) -> DataFrame:
+    """``name``: sum of the weights of all rows up to and with each, in order of the key."""
+    dealt = _ranges(df, key)
+    sums = {r["_r"]: r["w"] for r in dealt.groupBy("_r").agg(F.sum(weight).alias("w")).collect()}  # a row for each range
+    before, total = [], 0
+    for r in range(max(sums, default=0) + 1):
+        before.append(total)
+        total += sums.get(r, 0)
+    own = F.sum(weight).over(W.partitionBy("_r").orderBy("_k").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return dealt.withColumn(name, own + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_r"))).drop("_k", "_r")
 
 
 def _totals(df: DataFrame, value: str, descending: bool) -> DataFrame:
     """Value, its rows, and the rows up to and with it: only distinct values are ordered."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    order = W.orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return counts.withColumn("_upto", F.sum("_n").over(order))
+    return _upto(counts, F.struct((-F.col(value) if descending else F.col(value)).alias("v")), F.col("_n"), "_upto")
 
 
 def cume_dist(df: DataFrame, value: str, total: int, name: str) -> DataFrame:
@@ -27,16 +67,7 @@ def competition_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(_totals(df, value, True).select(value, (F.col("_upto") - F.col("_n") + 1).alias(name)), value)
 
 
-def row_number(df: DataFrame, order: list[Column], total: int, name: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """``name``: place in a total order, from 1. Large relations are dealt into ranges, sorted
-    there, and numbered from each range's offset; only a count per range is collected."""
-    if total <= local_rows:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}).persist()
-    counts = sorted(tuple(r) for r in sorted_.groupBy("_p").agg(F.min("_i"), F.count("*")).collect())
-    rows, before = [], 0
-    for p, first, n in counts:
-        rows.append((p, before - first + 1))
-        before += n
-    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_p int, _offset long"))  # a row for each range
-    return sorted_.join(offsets, "_p").withColumn(name, F.col("_i") + F.col("_offset")).drop("_p", "_i", "_offset")
+def row_number(df: DataFrame, key: list[Column], name: str) -> DataFrame:
+    """``name``: place in ascending order of the key's columns, which must be a total order,
+    from 1; nulls come first."""
+    return _upto(df, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)]), F.lit(1), name)

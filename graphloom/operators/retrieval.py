@@ -80,6 +80,20 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", F.round(sim, 4).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def holders(files: DataFrame, items: DataFrame) -> DataFrame:
+    """``query, path``: the files whose content holds an item's text (query, text) as it is.
+    An item's longest inner word stands whole in such a file, so the two meet by a word; items
+    without an inner word are the only ones compared with every file."""
+    inner = F.expr("filter(slice(split(text, '\\\\s+'), 2, greatest(size(split(text, '\\\\s+')) - 2, 0)), w -> w <> '')")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)
+    keyed = items.where("text is not null").withColumn("w", F.when(F.size(inner) > 0, longest["w"]))
+    words_ = files.select("path", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("w"))
+    met = words_.join(keyed.where("w is not null").select("query", "w"), "w").select("query", "path").distinct()
+    held = met.join(files.select("path", "content"), "path").join(items, "query").where(F.contains("content", "text")).select("query", "path")
+    short = keyed.where("w is null").select("query", "text")
+    return held.unionByName(files.join(short, F.contains("content", "text")).select("query", "path")).distinct()
+
+
 def recall_mrr(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query: share of the truth that is ranked, and the reciprocal of the first hit's rank."""
     hits = ranked.join(truth, ["query", "path"], "left_semi").groupBy("query").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))

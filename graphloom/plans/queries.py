@@ -336,8 +336,7 @@ def embedding_topk(spark, d):
 def recall_mrr(spark, d):
     from pyspark.sql import Window as W
 
-    # the benchmark is a small table of items
-    truth = rel.documents(spark, d).join(table(spark, d, "benchmark"), F.col("content").contains(F.col("text"))).select(F.col("item_id").alias("query"), "path")
+    truth = retrieval.holders(rel.documents(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"))
     ranked = truth.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("path"))).where("rank <= 2")
     return retrieval.recall_mrr(ranked, truth)
 
