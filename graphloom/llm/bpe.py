@@ -33,7 +33,7 @@ LEAF, DECODE_LEAF = 4, 64
 FITS = 300_000
 NEVER = 1 << 40
 #: Entries of a worker's memo, and ids that one piece may add to it.
-MEMO, MEMO_IDS = 500_000, 1 << 20
+MEMO, MEMO_IDS = 1_000_000, 1 << 20
 #: Texts coded together, in bytes.
 AT_ONCE = 1 << 19
 PLAIN = frozenset(".,;:!?")
@@ -248,19 +248,20 @@ class Stretches:
     """Codes texts by their stretches, with a memo in front. A stretch is known by two
     independent 64-bit hashes; the memo is a table of them with free slots, and the ids of
     all known stretches stand in one array. A full memo begins anew. ``code`` gives the packed
-    ids of strings; ``words`` those of strings that begin with one space and end with no
-    white space, of which any row could be coded as one."""
+    ids of strings; ``words`` those of encoded strings that begin with one space and end with
+    no white space, of which any row could be coded as one."""
 
-    def __init__(self, code: Callable[[list[str]], list[bytes]], width: int, size: int = MEMO, words: Callable[[list[str]], list[bytes]] | None = None):
-        self.code, self.words, self.width, self.size = code, words or code, width, size
-        self.bits = (2 * size - 1).bit_length()
+    def __init__(self, code: Callable[[list[str]], list[bytes]], width: int, size: int = MEMO, words: Callable[[list[bytes]], list[bytes]] | None = None):
+        self.code, self.width, self.size = code, width, size
+        self.words = words or (lambda keys: code([k.decode() for k in keys]))
+        self.bits = (4 * size // 3).bit_length()
         self.clear()
 
     def clear(self) -> None:
         n = 1 << self.bits
         self.first, self.second, self.entry = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
         self.known, self.used = 0, 0
-        self.begin, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.begin, self.count = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32)
         self.ids = np.zeros(1 << 12, f"<u{self.width}")
 
     def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -305,9 +306,10 @@ class Stretches:
         for i, k in enumerate(keys):
             (plain if k[0] == 32 and k[-1] > 32 and (k[-1] < 128 or not k.decode()[-1].isspace()) else rest).append(i)
         out = [b""] * len(keys)
-        for group, coder in ((plain, self.words), (rest, self.code)):
-            for i, v in zip(group, coder([keys[i].decode() for i in group]) if group else (), strict=True):
-                out[i] = v
+        for i, v in zip(plain, self.words([keys[i] for i in plain]) if plain else (), strict=True):
+            out[i] = v
+        for i, v in zip(rest, self.code([keys[i].decode() for i in rest]) if rest else (), strict=True):
+            out[i] = v
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +340,7 @@ class Stretches:
             raw = data.tobytes()
             entry = self.add(self.coded([raw[a:z] for a, z in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
             which[fresh] = entry[back]
-        count = self.count[which]
+        count = self.count[which].astype(np.int64)
         upto = np.cumsum(count)
         out = self.ids[np.repeat(self.begin[which] - upto + count, count) + np.arange(upto[-1])]
         if len(fresh):

@@ -41,10 +41,11 @@ WINDOW = 8
 #: Mean, least and largest ids of a chunk.
 MEAN_BITS, LEAST, MOST = 8, 48, 4096
 ID_BYTES = 16
+_ROLL = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], U64)
 #: Uses of a chunk that are sent it from one place.
 USES = 1000
 #: Stretches that a worker's memo holds, and of a row.
-MEMO, ROW = 700_000, 4096
+MEMO, ROW = 1_500_000, 4096
 
 
 _encoders: dict[str, Stretches] = {}
@@ -71,15 +72,15 @@ def encoder(path: str) -> Stretches:
         def code(stretches: list[str]) -> list[bytes]:
             return [np.array(ids, f"<u{width}").tobytes() for ids in ids_of(stretches)]
 
-        def code_words(stretches: list[str]) -> list[bytes]:
+        def code_words(keys: list[bytes]) -> list[bytes]:
             """Of stretches with one space in front and no white space at their ends: that
             space always begins a match, so the encoding of a row of them is the row of
             their encodings."""
             out: list[bytes] = []
-            for lo in range(0, len(stretches), ROW):
-                parts = stretches[lo : lo + ROW]
-                ids = np.array(ids_of(["".join(parts)])[0], np.int64)
-                ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+            for lo in range(0, len(keys), ROW):
+                parts = keys[lo : lo + ROW]
+                ids = np.array(ids_of([b"".join(parts).decode()])[0], np.int64)
+                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
                 at = (np.searchsorted(np.cumsum(length[ids]), ends, side="left") + 1) * width
                 packed, at = ids.astype(f"<u{width}").tobytes(), [0, *at.tolist()]
                 out += [packed[a:z] for a, z in zip(at, at[1:], strict=False)]
@@ -96,7 +97,7 @@ def boundaries(ids: np.ndarray) -> list[int]:
     h = np.zeros(n, U64)
     x = ids.astype(U64) + U64(1)
     for k in range(min(WINDOW, n)):
-        h[k:] += x[: n - k] * U64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+        h[k:] += x[: n - k] * _ROLL[k]
     cut = np.flatnonzero(mix(h) >> U64(64 - MEAN_BITS) == 0) + 1
     out, last = [], 0
     for c in [*cut.tolist(), n]:
