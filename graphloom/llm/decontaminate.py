@@ -35,7 +35,7 @@ TERMS = 1 << 13
 RANK, EXTRA = 64, 8
 #: Words of a passage, of a block, and of the windows for short and long items.
 PASSAGE, BLOCK, SHORT, LONG = 48, 8, 16, 32
-COSINE = 0.75
+COSINE = 0.6
 #: Shares of an item's words, and of its answer's, that must stand in a document in order.
 STRONG, WEAK, ANSWER = 0.8, 0.6, 0.6
 ITEMS = 4096
