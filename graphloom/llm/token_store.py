@@ -321,8 +321,18 @@ def reconstruct(store: Store) -> DataFrame:
         return row["shard"], row["doc_id"], row["start"], row["n_tokens"], ids
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256
         for b in batches:
-            yield finish([whole(r) for r in b.to_pylist()])
+            for n, names, sizes, own in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "names", "sizes", "own")), strict=True):
+                view = memoryview(own)
+                ends = (np.cumsum(np.frombuffer(sizes, "<u2").astype(np.int64)) * width).tolist()
+                named = b"".join([digest(view[x:y]).digest()[:ID_BYTES] for x, y in zip([0, *ends], ends, strict=False)])
+                at = ends[-1] if ends else 0
+                if named != names:
+                    raise ValueError("a chunk doesn't match its name")
+                if at != len(own) or at != n * width:
+                    raise ValueError("a document doesn't have the length that its recipe tells")
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("shard", "doc_id", "start", "n_tokens", "own")], ["shard", "doc_id", "start", "n_tokens", "ids"])
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,7 +367,7 @@ def reconstruct(store: Store) -> DataFrame:
             yield finish(out)
         release()
 
-    complete = rows.where("octet_length(foreign) = 0").select("shard", "doc_id", "start", "n_tokens", "names", "sizes", "own", "foreign").mapInArrow(alone, done)
+    complete = rows.where("octet_length(foreign) = 0").select("shard", "doc_id", "start", "n_tokens", "names", "sizes", "own").mapInArrow(alone, done)
     sent = rows.where("octet_length(lent) > 0").select("names", "sizes", "own", "foreign", "lent").mapInArrow(lend, "name binary, salt int, payload binary")
     partial = rows.where("octet_length(foreign) > 0")
     wanted = partial.select("rid", "names", "foreign").mapInArrow(borrow, "name binary, salt int, rid long, seq int")
