@@ -146,11 +146,18 @@ def timeline(history: DataFrame) -> DataFrame:
     return months.select("month", "commits", "files", step.alias("step"), event.alias("event"))
 
 
-#: conventions, tests, churn stability, coupling, cycles, dead code; fixed values.
-HEALTH = {"conventions": 0.20, "tests": 0.20, "churn": 0.15, "coupling": 0.20, "cycles": 0.15, "dead_code": 0.10}
+def sampled(history: DataFrame, most: int) -> DataFrame:
+    """``month, files, pairs``: every so many-th month, so that at most ``most`` are left, with
+    the pairs that its files make."""
+    months = history.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.countDistinct("path").alias("files"))
+    order = W.orderBy("month")  # a row for each month
+    numbered = months.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
+    kept = numbered.where(F.col("i") % F.ceil(F.col("n") / float(most)) == 0)
+    return kept.select("month", "files", F.expr("files * (files - 1) div 2").alias("pairs"))
 
 
-def health(scores: dict[str, float | None]) -> float:
-    """The weighted mean of the dimensions that are there."""
-    have = {k: w for k, w in HEALTH.items() if scores.get(k) is not None}
-    return sum(w * scores[k] for k, w in have.items()) / sum(have.values()) if have else 0.0
+def step(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``kind, n``: files (path) added, removed and kept between two snapshots."""
+    a, b = after.select("path", F.lit(True).alias("a")), before.select("path", F.lit(True).alias("b"))
+    kind = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("kept")
+    return a.join(b, "path", "full").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

@@ -161,3 +161,16 @@ SECRETS = {
 def secrets(files: DataFrame) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(F.regexp_extract_all("content", F.lit(p), F.lit(0))).alias("hits")) for k, p in SECRETS.items()])
     return files.select("path", F.explode(kinds).alias("k")).select("path", "k.kind", F.col("k.hits").cast("long").alias("hits")).where("hits > 0")
+
+
+def gate(base: DataFrame, now: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """``metric, change, ok``: no metric (metric, value) may fall by more than the tolerance; one
+    that is missing now fails."""
+    both = base.join(now.select("metric", F.col("value").alias("now")), "metric", "left")
+    return both.select("metric", F.round(F.col("now") - F.col("value"), 6).alias("change"), F.coalesce(F.col("now") >= F.col("value") - tolerance, F.lit(False)).alias("ok"))
+
+
+def set_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``change`` and the columns of two sets of rows: what came and what went."""
+    a, b = old.distinct(), new.select(*old.columns).distinct()
+    return b.subtract(a).select(F.lit("added").alias("change"), "*").unionByName(a.subtract(b).select(F.lit("removed").alias("change"), "*"))

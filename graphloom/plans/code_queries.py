@@ -251,7 +251,9 @@ def _sql(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return "true" if v else "false"
-    return str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"CAST({v} AS DOUBLE)"
+    return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
 def expected_rows(columns: str, *values) -> str:

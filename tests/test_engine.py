@@ -4,11 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom.operators import architecture, conventions, graphs, history, ranking, retrieval
-from graphloom.plans import queries
 from graphloom.sources import relations
 from graphloom.streaming import changes as stream
 
@@ -103,20 +103,39 @@ def test_classify_and_upsert(spark):
 
 
 def test_stream_of_changes(spark, tmp_path):
-    src, base = tmp_path / "src", tmp_path / "table"
-    spark.createDataFrame([("a", 1), ("b", 1)], "path string, v long").write.parquet(str(base / "base"))
-    spark.createDataFrame([("a", "removed", 5), ("b", "modified", 6)], "path string, kind string, ts long").coalesce(1).write.parquet(str(src))
-    changes = spark.readStream.schema("path string, kind string, ts long").parquet(str(src))
-    read = lambda s, states: s.createDataFrame([("b", 2)], "path string, v long")
-    stream.run_incremental(changes, read, str(base), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(base / "v=0")).collect()] == [("b", 2)]
+    """Versions by bucket: a start, an edit and a removal, an overflow, and a retried batch."""
+    src, base = tmp_path / "src", str(tmp_path / "table")
+    content = {"a": 1, "b": 1, "c": 1}
+    schema = "path string, v long"
+
+    def read(s, states):
+        return s.createDataFrame([(r.path, content[r.path]) for r in states.where("state = 'modified'").collect()], schema)
+
+    def everything(s):
+        return s.createDataFrame([(p, v * 100) for p, v in content.items()], schema)
+
+    def step(rows, name, bound):
+        spark.createDataFrame(rows, "path string, kind string, ts long").coalesce(1).write.mode("append").parquet(str(src))
+        changes = spark.readStream.schema("path string, kind string, ts long").parquet(str(src))
+        stream.run_incremental(changes, read, everything, base, str(tmp_path / "ck"), bound, 4).trigger(availableNow=True).start().awaitTermination()
+
+    like = spark.createDataFrame([], schema)
+    step([(p, "created", 1) for p in content], "one", 100)
+    assert {tuple(r) for r in stream.published(spark, base, 1, like).collect()} == {("a", 1), ("b", 1), ("c", 1)}
+    content["b"] = 2
+    step([("a", "removed", 5), ("b", "modified", 6)], "two", 100)
+    assert {tuple(r) for r in stream.published(spark, base, 2, like).collect()} == {("b", 2), ("c", 1)}
+    assert {tuple(r) for r in stream.published(spark, base, 1, like).collect()} == {("a", 1), ("b", 1), ("c", 1)}
+    step([("b", "modified", 7), ("c", "modified", 8)], "three", 1)  # more events than fit: all is read afresh
+    assert {tuple(r) for r in stream.published(spark, base, 3, like).collect()} == {("a", 100), ("b", 200), ("c", 100)}
 
 
 def test_row_number_in_ranges_equals_window(spark):
     df = spark.range(0, 500).select((F.col("id") * 7919 % 101).alias("v"), "id")
-    order = [F.desc("v"), F.asc("id")]
-    here = {tuple(r) for r in ranking.row_number(df, order, 500, "n").collect()}
-    assert here == {tuple(r) for r in ranking.row_number(df, order, 500, "n", local_rows=0).collect()}
+    want = {tuple(r) for r in df.withColumn("n", F.row_number().over(W.orderBy(F.desc("v"), F.asc("id")))).collect()}
+    assert {tuple(r) for r in ranking.row_number(df, [-F.col("v"), F.col("id")], "n").collect()} == want
+    nulls = spark.createDataFrame([(1, None), (2, 5), (3, None)], "id long, v long")
+    assert {tuple(r) for r in ranking.row_number(nulls, [F.col("v").isNull(), F.col("v"), F.col("id")], "n").select("id", "n").collect()} == {(2, 1), (1, 2), (3, 3)}
 
 
 def test_empty_edges(spark):
@@ -132,7 +151,7 @@ def test_similar_pairs_of_all_documents_equal_brute_force(spark):
         sets.setdefault(r.path, set()).add(r.term)
     paths = sorted(sets)
     want = {(p, q) for i, p in enumerate(paths) for q in paths[i + 1 :] if round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6) > 0.8}
-    got = {(r.p, r.q) for r in catalog.QUERIES["similar_pairs_jaccard_whole"](spark, DATA).collect()}
+    got = {(r.p, r.q) for r in catalog.QUERIES["similar_pairs_jaccard"](spark, DATA).collect()}
     assert got == want and any("/de/" not in p for p, _ in want)
 
 
@@ -140,17 +159,16 @@ def test_similar_pairs_of_all_documents_equal_brute_force(spark):
 def test_whole_trade_edges_equal_brute_force(spark, con):
     rows = con.execute("select c.n_name, s.n_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey join nation c on c_nationkey = c.n_nationkey join nation s on s_nationkey = s.n_nationkey where c_nationkey < s_nationkey").fetchall()
     want = set(rows)
-    assert {(r.src, r.dst) for r in relations.whole_trade_edges(spark, DATA).collect()} == want
-    degrees = {r.node: (r.in_degree, r.out_degree) for r in catalog.QUERIES["graph_nodes_whole"](spark, DATA).collect()}
+    assert {(r.src, r.dst) for r in relations.trade_edges(spark, DATA).collect()} == want
+    degrees = {r.node: (r.in_degree, r.out_degree) for r in catalog.QUERIES["graph_nodes"](spark, DATA).collect()}
     assert degrees == {x: (sum(b == x for _, b in want), sum(a == x for a, _ in want)) for x in {y for e in want for y in e}}
     reach = {"NATION_3"}
     while more := {b for a, b in want if a in reach} - reach:
         reach |= more
-    assert {r.node for r in catalog.QUERIES["reachable_whole"](spark, DATA).collect()} == reach
+    assert {r.node for r in catalog.QUERIES["reachable"](spark, DATA).collect()} == reach
     hops = {"NATION_0": 0}
     for h in range(1, 9):
         for b in {b for a, b in want if hops.get(a) == h - 1} - set(hops):
             hops[b] = h
-    path = [r.node for r in catalog.QUERIES["graph_shortest_path_whole"](spark, DATA).orderBy("hop").collect()]
+    path = [r.node for r in catalog.QUERIES["graph_shortest_path"](spark, DATA).orderBy("hop").collect()]
     assert len(path) - 1 == hops.get("NATION_23", -1) and set(zip(path, path[1:])) <= want
-    assert all(f"{name}_whole" in catalog.QUERIES for name in queries.ON_EDGES)
