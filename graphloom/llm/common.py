@@ -175,6 +175,12 @@ def spans(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(mask & ~after) + 1
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; on many wide integers faster than hashing them."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def row_of(off: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """The row that holds each byte position."""
     return np.searchsorted(off, pos, side="right") - 1

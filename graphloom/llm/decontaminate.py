@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, flat, materialise, release, ship
+from graphloom.llm.common import U64, distinct, flat, materialise, release, ship
 from graphloom.llm.toxicity import segments, words
 
 TERMS = 1 << 13
@@ -113,7 +113,7 @@ def _frequencies(table: DataFrame) -> tuple[np.ndarray, int]:
             for w, off, _ in _chunks(b):
                 for t, start in _parts(w, off):
                     passage = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(t)]))
-                    df[:TERMS] += np.bincount(np.unique(passage * TERMS + t) % TERMS, minlength=TERMS)
+                    df[:TERMS] += np.bincount(distinct(passage * TERMS + t) % TERMS, minlength=TERMS)
                     n += len(start)
         df[TERMS] = n
         at = np.flatnonzero(df)
@@ -222,6 +222,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+_LOW = 1 << 18
+
+
+def _some(known: np.ndarray) -> np.ndarray:
+    """A table over the low bits of words: false where no known word has them."""
+    out = np.zeros(_LOW, bool)
+    out[known.astype(np.int64) & (_LOW - 1)] = True
+    return out
+
+
+def _places_of(w: np.ndarray, known: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words that are known, which they are); ``known`` is sorted."""
+    at = np.flatnonzero(some[w & np.uint32(_LOW - 1)])
+    if not len(at) or not len(known):
+        return at[:0], at[:0]
+    word = np.minimum(np.searchsorted(known, w[at]), len(known) - 1)
+    hit = known[word] == w[at]
+    return at[hit], word[hit]
+
+
 class Probes:
     """A block of benchmark items, ready to be searched for."""
 
@@ -259,7 +279,7 @@ class Probes:
             flat_ = np.concatenate(rare_words) if rare_words else np.zeros((0, 2), np.int64)
             flat_ = flat_[np.argsort(flat_[:, 0], kind="stable")]
             own, first = np.unique(flat_[:, 0], return_index=True)
-            self.index[s] = own.astype("<u4"), flat_[:, 1], np.r_[first, len(flat_)]
+            self.index[s] = own.astype("<u4"), flat_[:, 1], np.r_[first, len(flat_)], _some(own)
         rare = [rarest(np.array(x, "<u4"), share) for x in self.words]
         self.need = np.array([c for _, c in rare], np.int64)
         self.within = np.array([2 * len(x) for x in self.words], np.int64)
@@ -269,6 +289,8 @@ class Probes:
         self.rare, first = np.unique(both[order], return_index=True)
         self.rare_item, self.rare_at = item[order].astype(np.int16), np.r_[first, len(both)]
         self.matrix = {s: _unit(np.array(v)).astype(np.float32).T if v else np.zeros((space.shape[1], 0), np.float32) for s, v in vectors.items()}
+        self.rows = {s: np.ascontiguousarray(m.T) for s, m in self.matrix.items()}
+        self.some_rare = _some(self.rare)
         self.owner = {s: np.array(o, np.int64) for s, o in owners.items()}
 
     def candidates(self, w: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,14 +317,18 @@ class Probes:
         for size in self.matrix:
             if not self.matrix[size].shape[1]:
                 continue
-            window = sums.copy()
+            at, probe = self.met(w, start, row, size)
+            some = distinct(at)
+            window = sums[some]
             for k in range(1, size // BLOCK):
-                same = row[k:] == row[:-k]
-                window[:-k][same] += sums[k:][same]
-            at, probe = self.met(w, off, start, row, size)
+                b = np.minimum(some + k, len(row) - 1)
+                same = (some + k < len(row)) & (row[b] == row[some])
+                window[same] += sums[b[same]]
+            length = np.maximum(np.linalg.norm(window, axis=1), 1e-9)
             for i in range(0, len(at), AT_ONCE):
                 a, p = at[i : i + AT_ONCE], probe[i : i + AT_ONCE]
-                near = np.einsum("ij,ij->i", _unit(window[a]), self.matrix[size].T[p])
+                own = np.searchsorted(some, a)
+                near = np.einsum("ij,ij->i", window[own], self.rows[size][p]) / length[own]
                 a, p, near = a[near >= COSINE], p[near >= COSINE], near[near >= COSINE]
                 if not len(a):
                     continue
@@ -316,26 +342,28 @@ class Probes:
                 found.append((start[a[enough]], self.owner[size][p[enough]], near[enough]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
-    def met(self, w: np.ndarray, off: np.ndarray, start: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def met(self, w: np.ndarray, start: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, probe) pairs that share one of the rarest words of the probe, so many of
         them that a window with ``OVERLAP`` of its words can't do without all: only these
         are compared in the latent space."""
-        words_, probes, first = self.index[size]
-        word = np.minimum(np.searchsorted(words_, w), len(words_) - 1)
-        at = np.flatnonzero(words_[word] == w)
-        lo, hi = first[word[at]], first[word[at] + 1]
+        words_, probes, first, some = self.index[size]
+        at, word = _places_of(w, words_, some)
+        lo, hi = first[word], first[word + 1]
         n = hi - lo
         probe = probes[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        # the windows that hold a place start at its block and at those before it
-        block = np.repeat(np.searchsorted(start, at, side="right") - 1, n)
+        many = len(self.size[size])
+        # a block and a probe, once
+        met = distinct(np.repeat(np.searchsorted(start, at, side="right") - 1, n) * many + probe)
+        block, probe = met // many, met % many
+        # the windows that hold a block start at it and at those before it
         pairs = []
         for k in range(size // BLOCK):
             b = block - k
             ok = b >= 0
             ok[ok] = row[b[ok]] == row[block[ok]]
-            pairs.append(b[ok] * len(self.size[size]) + probe[ok])
-        both = np.unique(np.concatenate(pairs))
-        return both // len(self.size[size]), both % len(self.size[size])
+            pairs.append(b[ok] * many + probe[ok])
+        both = distinct(np.concatenate(pairs))
+        return both // many, both % many
 
     def counted(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ends of all runs of as many rare words of an item as it needs, within twice
@@ -343,9 +371,8 @@ class Probes:
         z = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         if not len(w) or not len(self.rare):
             return z
-        word = np.minimum(np.searchsorted(self.rare, w), len(self.rare) - 1)
-        at = np.flatnonzero(self.rare[word] == w)
-        lo, hi = self.rare_at[word[at]], self.rare_at[word[at] + 1]
+        at, word = _places_of(w, self.rare, self.some_rare)
+        lo, hi = self.rare_at[word], self.rare_at[word + 1]
         n = hi - lo
         item = self.rare_item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
         order = np.argsort(item, kind="stable")

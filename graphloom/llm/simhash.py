@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, filter_places, flat, id_filter, in_filter, materialise, mix, partitions, powers, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
+from graphloom.llm.common import U64, distinct, filter_places, flat, id_filter, in_filter, materialise, mix, partitions, powers, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
 from graphloom.llm.graph import components
 
 SEED = 42
@@ -372,7 +372,7 @@ def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 s, row, whole = shingles(data, off)
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(len(off)))
-                sets = [np.unique((s[order[ends[i] : ends[i + 1]]] >> U64(24)).astype("<u8")) for i in range(len(off) - 1)]
+                sets = [distinct((s[order[ends[i] : ends[i + 1]]] >> U64(24)).astype("<u8")) for i in range(len(off) - 1)]
                 packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(off) - 1), pa.array(whole.view(np.int64)), pa.array(packed, pa.binary())], ["doc_id", "cls", "s"])
         release()

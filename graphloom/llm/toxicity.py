@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, flat, mix, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
+from graphloom.llm.common import U64, distinct, flat, mix, prefix_sums, release, row_of, row_slices, ship, span_hash, spans
 
 BITS = 20
 #: At most so many labelled texts are fitted on, half of each label where there are enough.
@@ -145,7 +145,7 @@ class Model:
             pairs.append((r[hit] + first << BITS) | f[hit])
         total = np.zeros(len(off) - 1)
         if pairs:
-            once = np.unique(np.concatenate(pairs))
+            once = distinct(np.concatenate(pairs))
             np.add.at(total, once >> BITS, table[once & ((1 << BITS) - 1)])
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
 
