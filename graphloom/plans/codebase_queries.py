@@ -343,7 +343,7 @@ def cross_references(spark, d):
     return _terms(spark, d).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CODE}, {DOCTERMS}, {IMPORTANCE} SELECT path, name, kind, start_line, importance FROM si")
+@query(f"WITH {CODE}, {DOCTERMS}, {IMPORTANCE} SELECT path, name, kind, start_line, importance::DOUBLE AS importance FROM si")
 def symbol_importance(spark, d):
     return signals.symbol_importance(cb.symbols(spark, d), _terms(spark, d)).select("path", "name", "kind", "start_line", "importance")
 

@@ -91,7 +91,7 @@ def symbol_search_ranked(spark, d):
     return got.withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {CODE}, s AS (SELECT DISTINCT path FROM sy WHERE lower(name) = 'saveuser'), n AS (SELECT dst AS path FROM im JOIN s ON src = s.path UNION SELECT src FROM im JOIN s ON dst = s.path) SELECT path, 0 AS hops, 0.5 AS share FROM s UNION ALL SELECT path, 1, 0.25 FROM n WHERE path NOT IN (SELECT path FROM s)")
+@query(f"WITH {CODE}, s AS (SELECT DISTINCT path FROM sy WHERE lower(name) = 'saveuser'), n AS (SELECT dst AS path FROM im JOIN s ON src = s.path UNION SELECT src FROM im JOIN s ON dst = s.path) SELECT path, 0 AS hops, 0.5::DOUBLE AS share FROM s UNION ALL SELECT path, 1, 0.25::DOUBLE FROM n WHERE path NOT IN (SELECT path FROM s)")
 def trace_symbol(spark, d):
     return context.trace(cb.files(spark, d), cb.symbols(spark, d), cb.imports(spark, d), "SaveUser")
 
