@@ -216,14 +216,14 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     place = np.arange(len(h)) - first[row]
-    p, _ = powers(len(h) + 1)
+    p, _ = powers(len(h) + size)
     whole = np.zeros(n, U64)
     full = np.flatnonzero(count)
     if len(full):
         whole[full] = np.add.reduceat(h * p[place], first[full]) + mix(count[full].astype(U64))
     keep = place + size <= count[row]
     out = np.zeros(len(h), U64)
-    for k in range(size):
+    for k in range(min(size, len(h))):
         out[: len(h) - k] += mix(h[k:] + U64(k)) * p[k]
     short = full[count[full] < size]
     return np.concatenate([mix(out[keep]), mix(whole[short])]), np.concatenate([row[keep], short]), whole
