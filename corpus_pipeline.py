@@ -2,7 +2,13 @@
 
 Every stage takes what its predecessor kept, as a table. Toxicity, near-duplicates and
 decontamination drop documents; suffix-array deduplication shortens texts; the last stage
-encodes what is left and decodes it again."""
+encodes what is left and decodes it again.
+
+Defined results: null and empty texts are clean, hold nothing of a benchmark, lose nothing
+and have no ids; as they are copies of each other, one stays. Rows without a doc_id are
+never copies nor leaks, and stay; rows of one doc_id are one document, and go or stay
+together. Every text is judged whole. An empty table stays empty. Columns of any name go
+along unchanged, up to the last stage."""
 
 from __future__ import annotations
 
@@ -19,12 +25,13 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half."""
+    """Documents that score under one half; without labels of both kinds all stay."""
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies, the document with the smallest doc_id."""
+    """Of each group of copies and near copies, the document with the smallest doc_id; a text
+    of fewer than five words is a copy of those with the same words only."""
     return drop_ids(docs, materialise(simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id"), "copies"))
 
 
@@ -36,13 +43,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; without items all stay."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
     return drop_ids(docs, materialise(found.select("doc_id").distinct(), "leaks"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of the ids of each text, and of what they decode to."""
+    """Counts and digests of the ids of each text, and of what they decode to; a row for
+    each row."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN))
 

@@ -5,7 +5,8 @@ with one word skipped, over lower-cased runs of letters, digits and non-ASCII by
 The model is fitted with per-coordinate rates and L1; the few weights that are not zero
 are a compact table, bounded by the number of buckets, that travels with the tasks.
 
-Defined results: null or empty text has no feature and scores the bias alone; repeated
+Defined results: without labels of both kinds every text scores under one half; null or empty
+text has no feature and scores the bias alone; repeated
 rows are scored each for itself; rows of an empty table give an empty result; columns
 beside ``doc_id`` and ``text`` are ignored (``classify`` passes them through untouched).
 Labels that are null or whose doc_id is null don't take part; if a doc_id has several
@@ -29,6 +30,8 @@ BITS = 20
 #: At most so many labelled texts are fitted on, half of each label where there are enough.
 TRAIN_ROWS = 8000
 SEGMENT = 1 << 19
+#: The bias of a model that has seen no labels of both kinds: every text counts as clean.
+UNKNOWN = -2.0
 
 _LOWER = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -199,9 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **settings
     sample reach the driver."""
     spark = ship(docs.sparkSession)
     ids = labelled_sample(labels, "toxic", rows)
-    if not ids:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     y = dict(ids)
+    if len(set(y.values())) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0), UNKNOWN)
     # bounded: at most ``rows`` ids
     picked = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted(y), np.int64)})))
     bags = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary").collect()
