@@ -228,17 +228,24 @@ class MonoidBPE:
 _LAST = np.isin(np.arange(256), [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F])
 _MIDDLE = np.isin(np.arange(256), [0xC2, 0x9A, 0x80, 0x81])
 _LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+# letters of ASCII, last bytes of those that begin with 0xC3, and signs but the apostrophe
+_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+_LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
+_SIGN = np.array([33 <= c <= 126 and not chr(c).isalnum() and c != 39 for c in range(256)])
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the stretches of some texts: each text's start, and every single space
-    between two characters that aren't white space. Such a space always begins a match of
-    the pattern, so coding stretches one by one changes nothing."""
+    """Starts of the stretches of some texts: each text's start, every single space between
+    two characters that aren't white space, and every sign (but an apostrophe) behind a
+    letter. Such a space or sign always begins a match of the pattern, as letters and signs
+    only share one where the sign comes first; so coding stretches one by one changes nothing."""
     n = len(data)
     before, two, after = np.full(n, 32, np.uint8), np.full(n, 32, np.uint8), np.full(n, 32, np.uint8)
     before[1:], two[2:], after[:-1] = data[:-1], data[:-2], data[1:]
     cut = (data == 32) & (before > 32) & ~(_LAST[before] & _MIDDLE[two]) & (after > 32) & ~_LEAD[after]
     full = off[:-1][np.diff(off) > 0]
+    sign = np.flatnonzero(_SIGN[data])
+    cut[sign[_LETTER[before[sign]] | ((two[sign] == 0xC3) & _LATIN[before[sign]])]] = True
     cut[off[1:][np.diff(off) > 0] - 1] = False
     cut[full] = True
     return np.flatnonzero(cut)
