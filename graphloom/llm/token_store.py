@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import AT_ONCE, Stretches
-from graphloom.llm.common import KEPT, U64, flat, materialise, mix, partitions, release, row_slices, shared_dir, ship
+from graphloom.llm.common import KEPT, U64, flat, forget, materialise, mix, partitions, release, row_slices, shared_dir, ship
 
 WINDOW = 8
 #: Mean, least and largest ids of a chunk.
@@ -90,23 +90,29 @@ def encoder(path: str) -> Stretches:
     return _encoders[path]
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash of the last ``WINDOW`` ids says so, at
-    least ``LEAST`` and at most ``MOST`` ids after the previous end."""
-    n = len(ids)
-    h = np.zeros(n, U64)
+def boundaries(ids: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of documents whose ids stand in a row from ``at`` on, each with an
+    end id behind it: where the rolling hash of the last ``WINDOW`` ids of the document says
+    so, at least ``LEAST`` and at most ``MOST`` ids after the previous end."""
+    h = np.zeros(len(ids), U64)
     x = ids.astype(U64) + U64(1)
-    for k in range(min(WINDOW, n)):
-        h[k:] += x[: n - k] * _ROLL[k]
-    cut = np.flatnonzero(mix(h) >> U64(64 - MEAN_BITS) == 0) + 1
-    out, last = [], 0
-    for c in [*cut.tolist(), n]:
-        while c - last > MOST:
-            last += MOST
-            out.append(last)
-        if c - last >= LEAST or (c == n and c > last):
-            out.append(c)
-            last = c
+    place = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
+    for k in range(min(WINDOW, len(ids))):
+        h[k:] += x[: len(ids) - k] * _ROLL[k] * (place[k:] >= k)
+    cut = np.flatnonzero(mix(h) >> U64(64 - MEAN_BITS) == 0)
+    first = np.searchsorted(cut, at).tolist()
+    cuts, begin = (cut + 1).tolist(), at.tolist()
+    out = []
+    for d in range(len(begin) - 1):
+        n, own, last = begin[d + 1] - begin[d] + 1, [], 0
+        for c in [*[c - begin[d] for c in cuts[first[d] : first[d + 1]]], n]:
+            while c - last > MOST:
+                last += MOST
+                own.append(last)
+            if c - last >= LEAST or (c == n and c > last):
+                own.append(c)
+                last = c
+        out.append(own)
     return out
 
 
@@ -145,15 +151,14 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = encoder(path)
         width = memo.width
-        end, kind = end_id.to_bytes(width, "little"), f"<u{width}"
+        end = end_id.to_bytes(width, "little")
         for b in batches:
             data, off = flat(b.column("text"))
             for lo, hi in row_slices(off, AT_ONCE):
                 all_ids, at = memo.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 n, names, sizes, ids = [], [], [], []
-                for a, z in zip(at.tolist(), at[1:].tolist(), strict=False):
+                for a, z, stops in zip(at.tolist(), at[1:].tolist(), boundaries(all_ids, at), strict=False):
                     raw = all_ids[a:z].tobytes() + end
-                    stops = boundaries(np.frombuffer(raw, kind))
                     names.append(b"".join([_name(raw[x * width : y * width]) for x, y in zip([0, *stops], stops, strict=False)]))
                     sizes.append(np.diff([0, *stops]).astype("<u2").tobytes())
                     n.append(len(raw) // width)
@@ -182,13 +187,20 @@ def _named() -> list:
 
 
 def _shared(encoded: DataFrame) -> DataFrame:
-    """``rid, kind, parts``: for each document that shares chunks, the places of its chunks
-    that others own (kind 0) and of its own that others use (kind 1), each with the number
-    of salts its uses are dealt over. The first use, by doc_id and row, owns a chunk."""
+    """``name, o_rid, o_seq, salts`` of the chunks that are used more than once. The first use,
+    by doc_id and row, owns a chunk."""
     uses = encoded.select("doc_id", "rid", *_named())
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "rid", "seq"))
     owner = uses.groupBy("name").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1")
-    owner = materialise(owner.select("name", F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts")), "shared-chunks")
+    owner = owner.select("name", F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts"))
+    return materialise(owner, "shared-chunks")
+
+
+def _marks(encoded: DataFrame, owner: DataFrame) -> DataFrame:
+    """``rid, kind, parts``: for each document that shares chunks, the places of its chunks
+    that others own (kind 0) and of its own that others use (kind 1), each with the number
+    of salts its uses are dealt over."""
+    uses = encoded.select("rid", *_named())
     own = owner.select(F.col("o_rid").alias("rid"), F.lit(1).alias("kind"), F.struct(F.col("o_seq").alias("seq"), "salts").alias("p"))
     others = uses.join(owner, "name").where("rid <> o_rid or seq <> o_seq").select("rid", F.lit(0).alias("kind"), F.struct("seq", "salts").alias("p"))
     return own.unionByName(others).groupBy("rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
@@ -201,7 +213,8 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
     n, width = partitions(spark), _width(path)
     # the row id is written with the row, so it stays what it is
     encoded = materialise(_encoded(docs, path, end_id).withColumn("rid", F.monotonically_increasing_id()), "encoded")
-    marks = materialise(_shared(encoded).join(encoded.select("rid", "doc_id"), "rid"), "marks")
+    owner = _shared(encoded)
+    marks = materialise(_marks(encoded, owner).join(encoded.select("rid", "doc_id"), "rid"), "marks")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, ordinal = TaskContext.get().partitionId(), 0, 0
@@ -229,6 +242,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
     dealt.mapInArrow(shards, ROWS).write.option("compression", "zstd").parquet(f"{folder}/documents")
     store = Store(spark, folder, width)
     _roots(store).write.parquet(f"{folder}/manifest")
+    forget(encoded, marks, owner)
     return store
 
 
