@@ -87,3 +87,14 @@ def test_damage_is_found(spark, store, tmp_path, table, change):
     with pytest.raises(Exception, match="match|missing|length"):
         token_store.checksums(damaged(spark, store, change, tmp_path, table)).collect()
 
+
+def test_boundaries_depend_on_their_document_alone():
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 50, n) for n in (0, 1, 7, 40, 900, 9000, 3, 20_000)] + [np.zeros(10_000, np.int64)]
+    at = np.r_[0, np.cumsum([len(x) for x in docs])]
+    together = token_store.boundaries(np.concatenate(docs).astype(np.uint16), at)
+    for x, got in zip(docs, together, strict=True):
+        assert token_store.boundaries(x.astype(np.uint16), np.array([0, len(x)])) == [got]
+        sizes = np.diff([0, *got])
+        assert got[-1] == len(x) + 1 and (sizes[:-1] >= token_store.LEAST).all() and (sizes <= token_store.MOST).all()
+    assert len(together[7]) > 20
