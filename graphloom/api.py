@@ -311,9 +311,8 @@ def review(base: Codebase, old: DataFrame, focus: str | None = None) -> dict:
     """What changed since a snapshot (path, content): files, symbols, and who depends on them."""
     before = Codebase(old)
     changes = cut(_focus(retrieval.snapshot_diff(old, base.files), focus))
-    names = [r.path for r in changes.where("change <> 'new'").orderBy("path").limit(1000).collect()]  # seeds of one review
     sets = retrieval.set_diff(before.symbols.select("path", "name"), base.symbols.select("path", "name"))
-    return {"changes": changes, "symbols": _focus(sets, focus), "affected": graphs.blast_radius(base.edges, names).where("path not like 'col:%'")}
+    return {"changes": changes, "symbols": _focus(sets, focus), "affected": graphs.blast_radius(base.edges, changes.where("change <> 'new'")).where("path not like 'col:%'")}
 
 
 @operation

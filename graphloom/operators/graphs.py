@@ -192,11 +192,12 @@ def blast_weight(edge_type: Column) -> Column:
     return out
 
 
-def blast_radius(edges: DataFrame, seeds: list[str], depth: int = 3, tested: DataFrame | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, seeds: list[str] | DataFrame, depth: int = 3, tested: DataFrame | None = None) -> DataFrame:
     """Who depends on the seeds, level by level: ``path, hops, risk, category``. Risk is the
     weight of the best edge from the level before, over hops + 1, times 1.2 if untested."""
     edges = _kept(edges)
-    seen = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct().where(F.col("path").isin(seeds))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
+    seen = nodes.join(seeds.select("path"), "path", "left_semi") if isinstance(seeds, DataFrame) else nodes.where(F.col("path").isin(seeds))
     frontier = seen
     levels = seen.limit(0).select("path", F.lit(0.0).alias("weight"), F.lit(0).alias("hops"))
     for k in range(1, depth + 1):
