@@ -290,7 +290,7 @@ def predict(base: Codebase, files: list[str], depth: int = 3, focus: str | None
     structural = graphs.blast_radius(base.edges, names, depth).select("path")
     by_call = history.call_impact(base.calls.where("callee_path is not null").select(F.col("caller_path").alias("caller"), F.col("callee_path").alias("callee"), (F.col("confidence") == "exact").alias("exact")), changed)
     hit = _focus(history.predict(structural, by_call, history.historical_impact(base.co_changes(), changed)), focus)
-    return {"impact": hit, "tests": hit.join(base.tests.withColumnRenamed("source", "path"), "path").select("test", "confidence")}
+    return {"impact": hit, "tests": hit.join(base.tests.select(F.col("source").alias("path"), "test"), "path").groupBy("test").agg(F.max("confidence").alias("confidence"))}
 
 
 # ---------------------------------------------------------------- data, reviews
