@@ -164,13 +164,14 @@ def containing_symbol(lines: DataFrame, syms: DataFrame) -> DataFrame:
 def data_flow(calls: DataFrame, start: str, most: int = 10) -> DataFrame:
     """``nodes, truncated``: simple paths of calls from a symbol, at most ``most`` nodes; each
     round extends the open paths by a join."""
-    pairs = calls.where("callee_path is not null").select(F.concat_ws("::", "caller_path", "caller").alias("a"), F.concat_ws("::", "callee_path", "callee").alias("b")).distinct()
+    pairs = cut(calls.where("callee_path is not null").select(F.concat_ws("::", "caller_path", "caller").alias("a"), F.concat_ws("::", "callee_path", "callee").alias("b")).distinct())
     now = pairs.where(F.element_at(F.split("a", "::"), -1) == start).select(F.array("a").alias("nodes")).distinct()
-    done = None
+    done = now.limit(0).withColumn("truncated", F.lit(True))
     for _ in range(most - 1):
-        step = now.join(pairs, F.element_at("nodes", -1) == F.col("a"), "left").withColumn("cyclic", F.array_contains("nodes", F.col("b")))
-        ended = step.where("b is null or cyclic").select("nodes", F.coalesce("cyclic", F.lit(False)).alias("truncated")).distinct()
-        done = ended if done is None else done.unionByName(ended)
+        step = cut(now.join(pairs, F.element_at("nodes", -1) == F.col("a"), "left").withColumn("cyclic", F.array_contains("nodes", F.col("b"))))
+        if not step.limit(1).count():
+            break
+        done = done.unionByName(step.where("b is null or cyclic").select("nodes", F.coalesce("cyclic", F.lit(False)).alias("truncated")).distinct())
         now = step.where("b is not null and not cyclic").select(F.concat("nodes", F.array("b")).alias("nodes"))
     return done.unionByName(now.withColumn("truncated", F.lit(True))).distinct()
 
