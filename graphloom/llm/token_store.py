@@ -23,6 +23,7 @@ damaged chunk, recipe or manifest raises ValueError when it is read.
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -160,7 +161,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 for a, z, stops in zip(at.tolist(), at[1:].tolist(), boundaries(all_ids, at), strict=False):
                     raw = all_ids[a:z].tobytes() + end
                     names.append(b"".join([_name(raw[x * width : y * width]) for x, y in zip([0, *stops], stops, strict=False)]))
-                    sizes.append(np.diff([0, *stops]).astype("<u2").tobytes())
+                    sizes.append(struct.pack(f"<{len(stops)}H", *[y - x for x, y in zip([0, *stops], stops, strict=False)]))
                     n.append(len(raw) // width)
                     ids.append(raw)
                 keys = b.column("doc_id").slice(lo, hi - lo)
@@ -187,23 +188,23 @@ def _named() -> list:
 
 
 def _shared(encoded: DataFrame) -> DataFrame:
-    """``name, o_rid, o_seq, salts`` of the chunks that are used more than once. The first use,
+    """``name, o_doc, o_rid, o_seq, salts`` of the chunks that are used more than once. The first use,
     by doc_id and row, owns a chunk."""
     uses = encoded.select("doc_id", "rid", *_named())
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "rid", "seq"))
     owner = uses.groupBy("name").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1")
-    owner = owner.select("name", F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts"))
+    owner = owner.select("name", F.nullif(F.col("o.d"), F.lit(-(1 << 63))).alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts"))
     return materialise(owner, "shared-chunks")
 
 
 def _marks(encoded: DataFrame, owner: DataFrame) -> DataFrame:
-    """``rid, kind, parts``: for each document that shares chunks, the places of its chunks
-    that others own (kind 0) and of its own that others use (kind 1), each with the number
-    of salts its uses are dealt over."""
-    uses = encoded.select("rid", *_named())
-    own = owner.select(F.col("o_rid").alias("rid"), F.lit(1).alias("kind"), F.struct(F.col("o_seq").alias("seq"), "salts").alias("p"))
-    others = uses.join(owner, "name").where("rid <> o_rid or seq <> o_seq").select("rid", F.lit(0).alias("kind"), F.struct("seq", "salts").alias("p"))
-    return own.unionByName(others).groupBy("rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    """``doc_id, rid, kind, parts``: for each document that shares chunks, the places of its
+    chunks that others own (kind 0) and of its own that others use (kind 1), each with the
+    number of salts its uses are dealt over."""
+    uses = encoded.select("doc_id", "rid", *_named())
+    own = owner.select(F.col("o_doc").alias("doc_id"), F.col("o_rid").alias("rid"), F.lit(1).alias("kind"), F.struct(F.col("o_seq").alias("seq"), "salts").alias("p"))
+    others = uses.join(owner, "name").where("rid <> o_rid or seq <> o_seq").select("doc_id", "rid", F.lit(0).alias("kind"), F.struct("seq", "salts").alias("p"))
+    return own.unionByName(others).groupBy("doc_id", "rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None) -> Store:
@@ -214,7 +215,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
     # the row id is written with the row, so it stays what it is
     encoded = materialise(_encoded(docs, path, end_id).withColumn("rid", F.monotonically_increasing_id()), "encoded")
     owner = _shared(encoded)
-    marks = materialise(_marks(encoded, owner).join(encoded.select("rid", "doc_id"), "rid"), "marks")
+    marks = materialise(_marks(encoded, owner), "marks")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, ordinal = TaskContext.get().partitionId(), 0, 0
@@ -230,7 +231,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
                 if foreign:
                     ends = np.cumsum(np.frombuffer(sizes, "<u2").astype(np.int64)) * width
                     own = b"".join([ids[a:z] for i, (a, z) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)) if i not in foreign])
-                marks_ = [np.array([(p["seq"], p["salts"]) for p in m], "<u4").tobytes() for m in mine]
+                marks_ = [np.array([(p["seq"], p["salts"]) for p in m], "<u4").tobytes() if m else b"" for m in mine]
                 out.append((shard, ordinal, rid, doc_id, start, size, names, sizes, own, *marks_))
                 start, ordinal = start + size, ordinal + 1
             cols = list(zip(*out, strict=True)) if out else [()] * 11
@@ -370,14 +371,15 @@ def reconstruct(store: Store) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lent = None, {}
         for b in batches:
+            docs = {i: r for i, r in zip(np.flatnonzero(~np.asarray(b.column("seq").is_valid())).tolist(), b.filter(b.column("seq").is_null()).to_pylist(), strict=True)}
             out = []
-            for r in b.to_pylist():
-                if r["rid"] != now:
-                    now, lent = r["rid"], {}
-                if r["seq"] is not None:
-                    lent[r["seq"]] = r["payload"]
+            for i, (rid, seq, payload) in enumerate(zip(*(b.column(c).to_pylist() for c in ("rid", "seq", "payload")), strict=True)):
+                if rid != now:
+                    now, lent = rid, {}
+                if seq is not None:
+                    lent[seq] = payload
                 else:
-                    out.append(whole(r, lent))
+                    out.append(whole(docs[i], lent))
             yield finish(out)
         release()
 
