@@ -31,8 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import AT_ONCE, Stretches
@@ -207,6 +206,25 @@ def _marks(encoded: DataFrame, owner: DataFrame) -> DataFrame:
     return own.unionByName(others).groupBy("doc_id", "rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
 
 
+#: Rows for each shard, of which the splitters between shards are drawn.
+PER_SHARD = 32
+
+
+def _part(encoded: DataFrame, n: int) -> Column:
+    """The shard of a document, as an expression of its doc_id and row: by splitters from a
+    bounded sample, so that ids are read, but no payload."""
+    key = lambda: F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("rid").alias("r"))
+    place = F.pmod(F.xxhash64("rid"), F.lit(1 << 30))
+    share = min(1.0, 1.5 * n * PER_SHARD / max(1, encoded.count()))
+    some = encoded.select("doc_id", "rid").where(place <= int(share * (1 << 30))).select(key().alias("k"), place.alias("p")).orderBy("p").limit(n * PER_SHARD)
+    sample = sorted(tuple(r.k) for r in some.collect())
+    cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    if not cuts:
+        return F.lit(0)
+    known = F.array(*[F.struct(F.lit(d).cast("long").alias("d"), F.lit(r).cast("long").alias("r")) for d, r in cuts])
+    return F.size(F.filter(known, lambda c: c <= key()))
+
+
 def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None) -> Store:
     """Encode ``docs`` and write the store into ``folder`` (a new one in the shared folder)."""
     spark = ship(docs.sparkSession)
@@ -218,11 +236,13 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
     marks = materialise(_marks(encoded, owner), "marks")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, ordinal = TaskContext.get().partitionId(), 0, 0
+        shard, start, ordinal = None, 0, 0
         marked: dict[int, list] = {}
         for b in batches:
             out = []
-            for kind, rid, doc_id, size, names, sizes, ids, parts in zip(*(b.column(c).to_pylist() for c in ("kind", "rid", "doc_id", "n_tokens", "names", "sizes", "ids", "parts")), strict=True):
+            for part, kind, rid, doc_id, size, names, sizes, ids, parts in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "rid", "doc_id", "n_tokens", "names", "sizes", "ids", "parts")), strict=True):
+                if part != shard:
+                    shard, start, ordinal = part, 0, 0
                 if kind < 2:
                     marked[kind] = [rid, parts]
                     continue
@@ -239,7 +259,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
         release()
 
     rows = encoded.withColumn("kind", F.lit(2)).unionByName(marks, allowMissingColumns=True)
-    dealt = rows.repartitionByRange(n, "doc_id", "rid").sortWithinPartitions("doc_id", "rid", "kind")
+    dealt = rows.withColumn("part", _part(encoded, n)).repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "rid", "kind")
     dealt.mapInArrow(shards, ROWS).write.option("compression", "zstd").parquet(f"{folder}/documents")
     store = Store(spark, folder, width)
     _roots(store).write.parquet(f"{folder}/manifest")
