@@ -35,7 +35,7 @@ NEVER = 1 << 40
 #: Entries of a worker's memo, and ids that one piece may add to it.
 MEMO, MEMO_IDS = 1_000_000, 1 << 20
 #: Texts coded together, in bytes.
-AT_ONCE = 1 << 19
+AT_ONCE = 3 << 17
 PLAIN = frozenset(".,;:!?")
 
 

@@ -45,7 +45,7 @@ _ROLL = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)
 #: Uses of a chunk that are sent it from one place.
 USES = 1000
 #: Stretches that a worker's memo holds, and of a row.
-MEMO, ROW = 1_500_000, 4096
+MEMO, ROW = 780_000, 4096
 
 
 _encoders: dict[str, Stretches] = {}
