@@ -231,8 +231,8 @@ def filter_noise(scored: DataFrame, files: DataFrame, symbols: DataFrame, rank:
     rows = rows.select("path", "score", F.coalesce("pr", F.lit(0.0)).alias("pr"), F.coalesce(predicates.noise_reason(F.col("path")), F.when(predicates.generated(F.coalesce("content", F.lit(""))), "generated_file")).alias("reason"))
     rows = cut(rows)
     left = rows.where("reason is null")
-    terms = symbols.join(left.select("path"), "path", "left_semi").select("path", F.col("name").alias("term")).distinct()
-    pairs = retrieval.similar_pairs(terms, alike)
+    names = symbols.where("name is not null").join(left.select("path"), "path", "left_semi").groupBy("path").agg(F.collect_set(F.xxhash64("name")).alias("terms"))
+    pairs = retrieval.similar_pairs(names, alike)
     order = lambda df, c, pre: df.join(left.select(F.col("path").alias(c), F.struct((-F.col("score")).alias("s"), (-F.col("pr")).alias("r"), F.col("path").alias("p")).alias(pre)), c)
     ranked = order(order(pairs.select("p", "q"), "p", "op"), "q", "oq")
     better = cut(ranked.select(F.when(F.col("op") < F.col("oq"), F.col("p")).otherwise(F.col("q")).alias("better"), F.when(F.col("op") < F.col("oq"), F.col("q")).otherwise(F.col("p")).alias("worse"), F.least("op", "oq").alias("o")))
