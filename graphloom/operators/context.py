@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import code, packing, signals
 from graphloom.operators import predicates as P
+from graphloom.operators.lineage import cut, written
 
 #: Extensions and folders by which a task mentions files; fixed values.
 MENTION = re.compile(r"\b[\w/.-]+\.(?:rs|ts|js|py|go|java|rb|c|cpp|h|cs|swift|kt)\b|\b(?:src|lib|tests?|spec|app|pkg)/[\w/.-]+\b")
@@ -87,17 +88,22 @@ def context(files: DataFrame, symbols: DataFrame, imports: DataFrame, edges: Dat
     their neighbours, the noise pipeline, the focus, then their tests; files are packed
     first, tests into what is left."""
     words = signals.expand(signals.query_tokens(task), expand or {})
-    scored = signals.score_all(files, symbols, imports, last_change, rank, words).select("path", "score")
-    chosen = signals.seeds(scored, edges)
-    kept = code.filter_noise(chosen.select("path", "score"), files, symbols, rank).where("reason is null").select("path", "score")
+    scored = written(signals.score_all(files, symbols, imports, last_change, rank, words).select("path", "score"))
+    chosen = cut(signals.seeds(scored, edges).select("path", "score"))
+    # bounded: ``signals.SEEDS`` rows travel to the relations, which stay where they are
+    seeds = F.broadcast(chosen.select("path"))
+    near = rank.join(seeds.withColumnRenamed("path", "node"), "node", "left_semi")
+    noise = code.filter_noise(chosen, files.join(seeds, "path", "left_semi"), symbols.join(seeds, "path", "left_semi"), near)
+    kept = F.broadcast(cut(noise.where("reason is null").select("path", "score")))
     if focus:
         kept = kept.where(P.focused(F.col("path"), focus))
-    targets = kept.join(files.select("path", "content"), "path").select(F.lit(0).alias("part"), "path", "score", "content")
+    targets = files.select("path", "content").join(kept, "path").select(F.lit(0).alias("part"), "path", "score", "content")
     rows = targets
     if include_tests:
-        mapped = kept.join(tests.select(F.col("source").alias("path"), "test"), "path").select(F.col("test").alias("path"))
-        own = kept.join(files, "path").where(P.inline_tests(F.col("language"), F.col("content"))).select("path")
-        more = mapped.unionByName(own).distinct().join(files.select("path", "content"), "path")
+        mapped = tests.select(F.col("source").alias("path"), "test").join(kept, "path").select(F.col("test").alias("path"))
+        own = files.join(kept, "path").where(P.inline_tests(F.col("language"), F.col("content"))).select("path")
+        more = cut(mapped.unionByName(own).distinct())
+        more = files.select("path", "content").join(F.broadcast(more) if more.limit(signals.FEW + 1).count() <= signals.FEW else more, "path")
         rows = rows.unionByName(more.select(F.lit(1).alias("part"), "path", F.lit(0.0).alias("score"), "content"))
     # tests come behind all files: their order is below that of any score
     ordered = rows.select(F.lit(0).alias("g"), F.concat(F.col("part").cast("string"), F.lit(":"), "path").alias("path"), (F.col("score") - 10.0 * F.col("part")).alias("score"), "content")
