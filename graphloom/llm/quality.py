@@ -1,10 +1,10 @@
 """Quality: Bradley-Terry pairwise ranking of documents, thresholded by score quantile.
 
 A document's strength is a linear function of statistics of its whole text (shares of
-character classes, word shapes, repetition). Training draws preference pairs (a row
-labelled good against a row labelled bad), and fits the strengths by logistic loss on the
-differences of their features. The threshold is a quantile of the training scores: the
-share of bad rows among the labelled ones. Scores are squashed so that this threshold
+character classes, word shapes, repetition). Training pairs all labelled rows (one labelled
+good against one labelled bad), and fits the strengths by logistic loss on the
+differences of their features. The threshold is a quantile of the scores of all training
+rows: the share of bad rows among them. Scores are squashed so that this threshold
 falls on ``CUT``.
 
 Defined results: a text's statistics are those of the whole text at every length (a line of
@@ -19,17 +19,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, distinct, flat, mix, prefix_sums, row_of, row_slices, ship, span_hash, spans
-from graphloom.llm.toxicity import held_out, labelled_sample
+from graphloom.llm.common import U64, distinct, flat, forget, materialise, mix, prefix_sums, row_of, row_slices, ship, span_hash, spans
+from graphloom.llm.toxicity import held_out
 
-#: At most so many labelled texts are fitted on.
-TRAIN_ROWS = 8000
-PAIRS = 60000
+#: Labelled rows of a group, the least of each label that a group should have, and draws of
+#: pairs; ranges of a count of strengths, and the most strengths that are sent.
+GROUP, LEAST, DRAWS = 8000, 50, 8
+BINS, SENT = 4096, 10_000
 CUT = 0.3
 SEGMENT = 1 << 20
 
@@ -159,57 +159,127 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, bad_share: float | None = None, pairs: int = PAIRS, l2: float = 1e-3, steps: int = 25, seed: int = 5) -> Model:
-    """Bradley-Terry by Newton steps on the logistic loss of feature differences."""
-    e = expand(x)
-    centre, spread = e.mean(0), e.std(0) + 1e-9
-    z = (e - centre) / spread
+def _pairs(z: np.ndarray, y: np.ndarray, group: int) -> np.ndarray:
+    """Differences of the features of a group's pairs, ``DRAWS`` times as many as it has rows
+    of the larger label: each draw goes through all rows of that label, and through those of
+    the other in an order of its own, so that every row takes part."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(z.shape[1])
-    for _ in range(steps):
+    if not len(good) or not len(bad):
+        return np.zeros((0, z.shape[1]))
+    rng, n = np.random.default_rng((5, group)), max(len(good), len(bad))
+    through = lambda x: np.concatenate([np.resize(rng.permutation(x), n) for _ in range(DRAWS)])
+    return z[through(good)] - z[through(bad)]
+
+
+def _each(groups: DataFrame, f) -> list[np.ndarray]:
+    """``f(group, x, y)`` of every group, a short vector each, in order of the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, x, y in zip(*(b.column(k).to_pylist() for k in ("g", "x", "y")), strict=True):
+                out = f(g, np.frombuffer(x).reshape(-1, N_FEATURES), np.frombuffer(y, np.int8))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([out], pa.list_(pa.float64()))], ["g", "v"])
+
+    return [np.array(r.v) for r in sorted(groups.mapInArrow(run, "g long, v array<double>").collect(), key=lambda r: r.g)]
+
+
+def fit(groups: DataFrame, l2: float = 1e-3, steps: int = 25) -> Model:
+    """Bradley-Terry by Newton steps on the logistic loss of feature differences, summed over
+    all groups (g, x, y); a vector of fixed size for each group reaches the driver."""
+    k = 2 * N_FEATURES
+    sums = lambda g, x, y: np.r_[expand(x).sum(0), len(y), (y == 0).sum()]
+    total = np.sum(_each(groups, sums), axis=0)
+    n, n_bad = int(total[k]), int(total[k + 1])
+    centre = total[:k] / n
+    spread = np.sqrt(np.sum(_each(groups, lambda g, x, y: ((expand(x) - centre) ** 2).sum(0)), axis=0) / n) + 1e-9
+    w = np.zeros(k)
+
+    def slope(g, x, y, w):
+        d = _pairs((expand(x) - centre) / spread, y, g)
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (p - 1) / pairs + l2 * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + l2 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
+        return np.r_[d.T @ (p - 1), ((d * (p * (1 - p))[:, None]).T @ d).ravel(), len(d)]
+
+    for _ in range(steps):
+        got = np.sum(_each(groups, lambda g, x, y, w=w: slope(g, x, y, w)), axis=0)
+        grad = got[:k] / got[-1] + l2 * w
+        step = np.linalg.solve(got[k:-1].reshape(k, k) / got[-1] + l2 * np.eye(k), grad)
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     m = Model(centre, spread, w)
-    s = m.strength(x)
-    share = (y == 0).mean() if bad_share is None else bad_share
-    # each row weighs as its label does among all labelled rows
-    weight = np.where(y == 0, share / max((y == 0).sum(), 1), (1 - share) / max((y == 1).sum(), 1))
-    order = np.argsort(s, kind="stable")
-    at = int(np.searchsorted(np.cumsum(weight[order]), share))
-    at = min(max(at, 0), len(order) - 2)
-    m.threshold = float((s[order[at]] + s[order[at + 1]]) / 2)
+    # as many rows as are bad lie under the threshold
+    at = min(max(n_bad - 1, 0), n - 2)
+    m.threshold = (_smallest(groups, m, at) + _smallest(groups, m, at + 1)) / 2
     return m
 
 
+def _smallest(groups: DataFrame, m: Model, at: int) -> float:
+    """The strength of the row at place ``at``, from 0, of all in ascending order: counts of
+    ``BINS`` ranges, narrowed until few enough strengths are left in one to be sent."""
+    ends = np.array(_each(groups, lambda g, x, y: np.r_[m.strength(x).min(), m.strength(x).max()]))
+    lo, hi = ends[:, 0].min(), ends[:, 1].max()
+    while True:
+        edges = np.linspace(lo, hi, BINS + 1)[1:-1]
+
+        def places(x, lo=lo, hi=hi, edges=edges):
+            s = m.strength(x)
+            return s[(s >= lo) & (s <= hi)], (s < lo).sum(), edges
+
+        def count(g, x, y):
+            s, under, e = places(x)
+            return np.r_[under, np.bincount(np.searchsorted(e, s, side="right"), minlength=BINS)]
+
+        got = np.sum(_each(groups, count), axis=0)
+        upto = got[0] + np.cumsum(got[1:])
+        i = int(np.searchsorted(upto, at, side="right"))
+        low, high = (lo if i == 0 else edges[i - 1]), (hi if i == BINS - 1 else edges[i])
+        if (low, high) == (lo, hi) or not low < high:
+            return float(low)  # no number lies between: all are equal
+        if got[1 + i] <= SENT:
+            break
+        lo, hi = low, high
+
+    def inside(g, x, y):
+        s = m.strength(x)
+        return s[(s >= low) & ((s < high) if i < BINS - 1 else (s <= high))]
+
+    found = np.sort(np.concatenate(_each(groups, inside)))
+    return float(found[at - int(upto[i] - got[1 + i])])
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = statistics(*flat(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled texts; only their statistics reach the driver."""
+def _packed(rows: pa.Table) -> pa.Table:
+    """A group of rows (g, doc_id, y, x) as one."""
+    x = np.asarray(rows.column("x").combine_chunks().values).reshape(-1, N_FEATURES)
+    y, ids = rows.column("y").to_numpy().astype(np.int8), rows.column("doc_id").to_numpy()
+    order = np.lexsort((*x.T[::-1], ids))
+    return pa.table({"g": rows.column("g").slice(0, 1), "x": pa.array([x[order].tobytes()], pa.binary()), "y": pa.array([y[order].tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on all labelled texts that aren't held out. Their statistics are dealt by doc_id
+    into groups of some ``GROUP`` rows; the driver gets sums over these."""
     spark = ship(docs.sparkSession)
-    ids = labelled_sample(labels, "quality", rows)
-    y = dict(ids)
-    if len(set(y.values())) < 2:
-        return None
-    # bounded: at most ``rows`` ids
-    picked = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": np.array(sorted(y), np.int64)})))
-    got = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").mapInArrow(_rows, "doc_id long, x array<double>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.x))
-    target = np.array([y[r.doc_id] for r in got])
-    if len(set(target)) < 2:
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y")).where("y in (0, 1)")
+    text = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # statistics before the join: they are small beside the texts
+    rows = materialise(text.mapInArrow(_rows, "doc_id long, x array<double>").join(known, "doc_id"), "quality")
+    count = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(count) < 2:
+        forget(rows)
         return None
-    share = labels.where(F.col("quality").isNotNull() & ~held_out()).agg(F.avg(1 - F.col("quality").cast("double"))).first()[0]
-    return fit(np.array([r.x for r in got]), target, share)
+    n = max(1, min(-(-sum(count.values()) // GROUP), min(count.values()) // LEAST))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long")).select("g", "doc_id", "y", "x")
+    groups = materialise(dealt.groupBy("g").applyInArrow(_packed, "g long, x binary, y binary"), "quality")
+    model = fit(groups)
+    forget(rows, groups)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
