@@ -46,6 +46,8 @@ COMMON = 0.005
 HIT_COST, VERIFY_COST = 1.5e-7, 1.5e-4
 #: Share of a probe's words that a candidate's window must hold to be verified.
 OVERLAP = 0.4
+#: Probes whose words are counted together.
+GROUP = 512
 #: Words that are worked on at once.
 AT_ONCE = 1 << 16
 
@@ -134,6 +136,23 @@ def _rare(t: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     return t, piece, np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]][: len(piece)])
 
 
+def _sums(x: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``x`` that are named, over the pieces that begin at ``first``: all
+    pieces take a row at a time, the longest first; what long ones have left is added by itself."""
+    n = np.diff(np.r_[first, len(rows)])
+    order = np.argsort(-n, kind="stable")
+    begin, n = first[order], n[order]
+    some = np.take(x, rows[begin], axis=0)
+    for k in range(1, int(min(n[0], PASSAGE)) if len(n) else 0):
+        m = int(np.searchsorted(-n, -k))
+        some[:m] += np.take(x, rows[begin[:m] + k], axis=0)
+    for i in range(int(np.searchsorted(-n, -PASSAGE))):
+        some[i] += np.take(x, rows[begin[i] + PASSAGE : begin[i] + n[i]], axis=0).sum(0)
+    out = np.empty_like(some)
+    out[order] = some
+    return out
+
+
 def _summed(table: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
     """A'A @ basis, or basis'A'A @ basis where ``gram`` holds, for the TF-IDF matrix A."""
     wide = basis.shape[1]
@@ -147,14 +166,15 @@ def _summed(table: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) ->
                     t, piece, first = _rare(t, start, idf)
                     if not len(t):
                         continue
-                    y = np.add.reduceat(weighted[t], first, axis=0)
+                    y = _sums(weighted, t, first)
                     if gram:
                         total += y.T @ y
                         continue
                     own = np.cumsum(np.r_[False, piece[1:] != piece[:-1]])
-                    order = np.argsort(t, kind="stable")
-                    at = np.flatnonzero(np.r_[True, np.diff(t[order]) > 0])
-                    total[t[order][at]] += np.add.reduceat(y[own[order]], at, axis=0)
+                    order = np.argsort(t.astype(np.uint16), kind="stable")  # by radix
+                    t = t[order]
+                    at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                    total[t[at]] += _sums(y, own[order], at)
         rows = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(total[rows, i].astype(np.float32)) for i in range(wide)]], ["row", *[f"c{i}" for i in range(wide)]])
         del total
@@ -181,11 +201,18 @@ def latent_space(table: DataFrame, rank: int = RANK, seed: int = 11) -> tuple[np
     return (idf[:, None] * basis).astype(np.float32), df / max(n * PASSAGE, 1)
 
 
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, a row of the table at a time in bits."""
+def places(a: list[int]) -> dict[int, int]:
+    """The places of each word, in bits."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
+    return where
+
+
+def lcs(a: list[int], b: list[int], where: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a row of the table at a time in bits;
+    ``where`` may hold the places of the words of ``a``."""
+    where = places(a) if where is None else where
     full = (1 << len(a)) - 1
     v = full
     for x in b:
@@ -226,22 +253,108 @@ _LOW = 1 << 18
 
 
 def _some(known: np.ndarray) -> np.ndarray:
-    """A table over the low bits of words: false where no known word has them."""
-    out = np.zeros(_LOW, bool)
-    out[known.astype(np.int64) & (_LOW - 1)] = True
+    """A table over the low bits of words: a known word that has them, or -1."""
+    out = np.full(_LOW, -1, np.int32)
+    out[known.astype(np.int64) & (_LOW - 1)] = np.arange(len(known))
     return out
 
 
 def _places_of(w: np.ndarray, known: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of words that are known, which they are); ``known`` is sorted."""
-    at = np.flatnonzero(some[w & np.uint32(_LOW - 1)])
-    if not len(at) or not len(known):
-        return at[:0], at[:0]
-    word = np.minimum(np.searchsorted(known, w[at]), len(known) - 1)
-    hit = known[word] == w[at]
+    word = np.take(some, w & np.uint32(_LOW - 1))
+    at = np.flatnonzero(word >= 0)
+    if not len(at):
+        return at, at
+    word, own = word[at].astype(np.int64), w[at]
+    other = np.flatnonzero(known[word] != own)  # of several known words the table has one
+    word[other] = np.minimum(np.searchsorted(known, own[other]), len(known) - 1)
+    hit = known[word] == own
     return at[hit], word[hit]
 
 
+def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, carry) of three bits, in every bit at once."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers in bits, the lowest first, of as many bits each: their sums, of one more."""
+    out, carry = [a[0] ^ b[0]], a[0] & b[0]
+    for x, y in zip(a[1:], b[1:], strict=True):
+        one, carry = _three(x, y, carry)
+        out.append(one)
+    return [*out, carry]
+
+
+def _eight(x: list[np.ndarray]) -> list[np.ndarray]:
+    """How many of eight bits are set, in four bits."""
+    one, two = _three(*x[:3])
+    other, more = _three(*x[3:6])
+    one, last = _three(one, other, x[6])
+    one, most = one ^ x[7], one & x[7]
+    twos, four = _three(two, more, last)
+    twos, other = twos ^ most, twos & most
+    return [one, twos, four ^ other, four & other]
+
+
+class Members:
+    """Counts, for some probes of one size at once, how many words of a window each has: a
+    word is a row of bits with one for each probe, and rows are added bit by bit."""
+
+    def __init__(self, size: int, words_: list[np.ndarray]):
+        self.size, self.n = size, len(words_)
+        both = np.concatenate(words_)
+        probe = np.repeat(np.arange(self.n), [len(x) for x in words_])
+        self.known, word = np.unique(both, return_inverse=True)
+        self.some = _some(self.known)
+        bits = np.zeros((len(self.known) + 1, 64 * -(-self.n // 64)), bool)  # the last row: no probe's word
+        bits[word, probe] = True
+        self.rows = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        need = np.ceil(OVERLAP * np.array([len(x) for x in words_])).astype(np.int64)
+        # with what a count must be increased for a carry beyond its last bit
+        self.top = (size // BLOCK).bit_length() + 3
+        less = np.zeros((self.top, bits.shape[1]), bool)
+        less[:, : self.n] = ((1 << self.top) - need)[None, :] >> np.arange(self.top)[:, None] & 1
+        self.less = np.packbits(less, axis=1, bitorder="little").view("<u8")
+
+    def enough(self, w: np.ndarray, slot: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, probe) of all windows, from that block on, with enough of a probe's words;
+        ``slot`` has the place of each word in blocks that are all full."""
+        n = len(row)
+        at, word = _places_of(w, self.known, self.some)
+        which = np.full(n * BLOCK, len(self.known), np.int64)
+        which[slot[at]] = word
+        which = which.reshape(n, BLOCK)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        beyond = self.size // BLOCK - 1
+        step = max(256, (1 << 14) // self.rows.shape[1])  # what is added at once stays in the cache
+        for lo in range(0, n, step):
+            own = row[lo : lo + step + beyond]
+            count = _eight([np.take(self.rows, which[lo : lo + step + beyond, k], axis=0) for k in range(BLOCK)])
+            k = 1
+            while k <= beyond:  # a count of twice as many blocks, within a text
+                same = np.zeros(len(own), bool)
+                same[:-k] = own[k:] == own[:-k]
+                mask = np.where(same, ~U64(0), U64(0))[:, None]
+                next_ = []
+                for x in count:
+                    y = np.zeros_like(x)
+                    np.bitwise_and(x[k:], mask[:-k], out=y[:-k])
+                    next_.append(y)
+                count = _added(count, next_)
+                k *= 2
+            carry = count[0] & self.less[0]
+            for x, y in zip(count[1:], self.less[1:], strict=True):
+                carry = (x & y) | (carry & (x | y))
+            carry = carry[:step]
+            hit = np.flatnonzero(carry.any(axis=1))
+            if len(hit):
+                b, p = np.nonzero(np.unpackbits(carry[hit].view(np.uint8), axis=1, bitorder="little"))
+                found.append((lo + hit[b], p))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(2))
+
+
 class Probes:
     """A block of benchmark items, ready to be searched for."""
 
@@ -265,21 +378,10 @@ class Probes:
                 vectors[size].append(space[(w[at : at + size] % TERMS).astype(np.int64)].sum(0))
                 owners[size].append(k)
                 probes[size].append(w[at : at + size])
-        self.keys, self.size, self.index = {}, {}, {}
-        for s, texts in probes.items():
-            keys = [np.unique(x).astype(U64) | U64(i << 32) for i, x in enumerate(texts)]
-            self.keys[s] = np.sort(np.concatenate(keys)) if keys else np.zeros(1, U64)
-            self.size[s] = np.array([len(np.unique(x)) for x in texts], np.int64)
-            rare_words = []
-            for i, x in enumerate(texts):
-                x = np.unique(x)
-                x = x[np.argsort(share[(x % TERMS).astype(np.int64)], kind="stable")]
-                keep = len(x) - int(np.ceil(OVERLAP * len(x) - 1e-9)) + 1
-                rare_words.append(np.column_stack([x[:keep].astype(np.int64), np.full(keep, i)]))
-            flat_ = np.concatenate(rare_words) if rare_words else np.zeros((0, 2), np.int64)
-            flat_ = flat_[np.argsort(flat_[:, 0], kind="stable")]
-            own, first = np.unique(flat_[:, 0], return_index=True)
-            self.index[s] = own.astype("<u4"), flat_[:, 1], np.r_[first, len(flat_)], _some(own)
+        self.probes = {s: [np.unique(x) for x in texts] for s, texts in probes.items()}
+        self._members: dict[int, list[Members]] = {}
+        self.weight = np.abs(space).sum(1)
+        self.where, self.answer_where = [places(x) for x in self.words], [places(x) for x in self.answers]
         rare = [rarest(np.array(x, "<u4"), share) for x in self.words]
         self.need = np.array([c for _, c in rare], np.int64)
         self.within = np.array([2 * len(x) for x in self.words], np.int64)
@@ -299,71 +401,55 @@ class Probes:
         both = self.latent(w, off, space), self.counted(w, off)
         return tuple(np.concatenate([f[i] for f in both]) for i in range(3))
 
+    def members(self) -> dict[int, list[Members]]:
+        """The probes of each size in groups; each worker makes its own."""
+        if not self._members:
+            self._members = {s: [Members(s, x[i : i + GROUP]) for i in range(0, len(x), GROUP)] for s, x in self.probes.items()}
+        return self._members
+
     def latent(self, w: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word of the window, item, cosine) where a window's cosine is enough and it
-        holds enough of the probe's words."""
+        """(first word of the window, item, cosine) where a window holds enough of a probe's
+        words and its cosine is enough. The words are counted first, for all windows and
+        probes; only the windows that pass are summed in the latent space."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         start = _starts(off, BLOCK)
-        if not len(start):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        sums = np.zeros((len(start), space.shape[1]), np.float32)
-        weight = np.abs(space).sum(1)
-        for i in range(0, len(start), AT_ONCE // BLOCK):
-            lo, hi = start[i], start[i + AT_ONCE // BLOCK] if i + AT_ONCE // BLOCK < len(start) else len(w)
-            t, piece, first = _rare((w[lo:hi] % TERMS).astype(np.int64), start[i : i + AT_ONCE // BLOCK] - lo, weight)
-            if len(t):
-                sums[i + piece[first]] = np.add.reduceat(space[t], first, axis=0)
         row = np.searchsorted(off, start, side="right") - 1
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-        for size in self.matrix:
-            if not self.matrix[size].shape[1]:
-                continue
-            at, probe = self.met(w, start, row, size)
-            some = distinct(at)
-            window = sums[some]
-            for k in range(1, size // BLOCK):
-                b = np.minimum(some + k, len(row) - 1)
-                same = (some + k < len(row)) & (row[b] == row[some])
-                window[same] += sums[b[same]]
-            length = np.maximum(np.linalg.norm(window, axis=1), 1e-9)
-            for i in range(0, len(at), AT_ONCE):
-                a, p = at[i : i + AT_ONCE], probe[i : i + AT_ONCE]
-                own = np.searchsorted(some, a)
-                near = np.einsum("ij,ij->i", window[own], self.rows[size][p]) / length[own]
-                a, p, near = a[near >= COSINE], p[near >= COSINE], near[near >= COSINE]
-                if not len(a):
+        short = BLOCK - np.diff(np.r_[start, len(w)])
+        slot = np.arange(len(w)) + np.repeat(np.cumsum(short) - short, BLOCK - short)
+        for size, groups in self.members().items() if len(start) else ():
+            for g, group in enumerate(groups):
+                at, probe = group.enough(w, slot, row)
+                if not len(at):
                     continue
-                # words of the window that the probe has; past a text's end nothing counts
-                place = start[a][:, None] + np.arange(size)
-                inside = place < off[row[a] + 1][:, None]
-                key = p[:, None].astype(U64) << U64(32) | w[np.minimum(place, len(w) - 1)].astype(U64)
-                own = self.keys[size]
-                hit = own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
-                enough = (hit & inside).sum(1) >= OVERLAP * self.size[size][p]
-                found.append((start[a[enough]], self.owner[size][p[enough]], near[enough]))
+                probe += g * GROUP
+                some = distinct(at)
+                window = self.windows(w, off, start, row, some, size, space)
+                length = np.maximum(np.linalg.norm(window, axis=1), 1e-9)
+                for i in range(0, len(at), AT_ONCE):
+                    a, p = at[i : i + AT_ONCE], probe[i : i + AT_ONCE]
+                    own = np.searchsorted(some, a)
+                    near = np.einsum("ij,ij->i", window[own], self.rows[size][p]) / length[own]
+                    enough = near >= COSINE
+                    found.append((start[a[enough]], self.owner[size][p[enough]], near[enough]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
-    def met(self, w: np.ndarray, start: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, probe) pairs that share one of the rarest words of the probe, so many of
-        them that a window with ``OVERLAP`` of its words can't do without all: only these
-        are compared in the latent space."""
-        words_, probes, first, some = self.index[size]
-        at, word = _places_of(w, words_, some)
-        lo, hi = first[word], first[word + 1]
-        n = hi - lo
-        probe = probes[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        many = len(self.size[size])
-        # a block and a probe, once
-        met = distinct(np.repeat(np.searchsorted(start, at, side="right") - 1, n) * many + probe)
-        block, probe = met // many, met % many
-        # the windows that hold a block start at it and at those before it
-        pairs = []
+    def windows(self, w: np.ndarray, off: np.ndarray, start: np.ndarray, row: np.ndarray, some: np.ndarray, size: int, space: np.ndarray) -> np.ndarray:
+        """Latent coordinates of the windows that begin at some blocks; they end with their text."""
+        near = some[:, None] + np.arange(size // BLOCK)
+        same = row[np.minimum(near, len(row) - 1)] == row[some][:, None]
+        same &= near < len(row)
+        blocks = distinct(near[same])
+        place = start[blocks][:, None] + np.arange(BLOCK)
+        inside = place < off[row[blocks] + 1][:, None]
+        n = inside.sum(1)
+        t, piece, first = _rare((w[place[inside]] % TERMS).astype(np.int64), np.cumsum(n) - n, self.weight)
+        sums = np.zeros((len(blocks), space.shape[1]), np.float32)
+        if len(t):
+            sums[piece[first]] = _sums(space, t, first)
+        out = np.zeros((len(some), space.shape[1]), np.float32)
         for k in range(size // BLOCK):
-            b = block - k
-            ok = b >= 0
-            ok[ok] = row[b[ok]] == row[block[ok]]
-            pairs.append(b[ok] * many + probe[ok])
-        both = distinct(np.concatenate(pairs))
-        return both // many, both % many
+            out[same[:, k]] += sums[np.searchsorted(blocks, near[same[:, k], k])]
+        return out
 
     def counted(self, w: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ends of all runs of as many rare words of an item as it needs, within twice
@@ -388,9 +474,8 @@ class Probes:
 
     def verify(self, doc: np.ndarray, at: np.ndarray, item: int) -> tuple[float, float]:
         """Best (share of the item, share of its answer) around windows at ``at``."""
-        own, answer = self.words[item], self.answers[item]
+        own, answer, where = self.words[item], self.answers[item], self.where[item]
         n = len(own)
-        known = np.array(own, "<u4")
         best = (False, 0.0, 0.0)  # what is accepted goes before a greater share that isn't
         reach: list[list[int]] = []
         for a in np.unique(at).tolist():
@@ -401,17 +486,18 @@ class Probes:
                 reach.append([lo, hi])
         for lo, hi in reach:
             step = max(1, n // 4)
-            whole = doc[lo:hi]
-            if lcs(own, whole[np.isin(whole, known)].tolist()) < WEAK * n:
+            # other words can't be common ones
+            known = [(i, x) for i, x in enumerate(doc[lo:hi].tolist(), lo) if x in where]
+            if len(known) < WEAK * n or lcs(own, [x for _, x in known], where) < WEAK * n:
                 continue  # no part of it can have more
             for x in range(lo, max(lo + 1, hi - n), step):  # no part longer than two items
-                part = doc[x : min(hi, x + 2 * n)]
-                part = part[np.isin(part, known)].tolist()  # other words can't be common ones
+                end = min(hi, x + 2 * n)
+                part = [word for i, word in known if x <= i < end]
                 if len(part) < WEAK * n:
                     continue
-                share = lcs(own, part) / n
+                share = lcs(own, part, where) / n
                 if share >= WEAK:
-                    of_answer = lcs(answer, part) / max(1, len(answer))
+                    of_answer = lcs(answer, part, self.answer_where[item]) / max(1, len(answer))
                     best = max(best, (share >= STRONG or of_answer >= ANSWER, share, of_answer))
         return best[1:]
 
@@ -443,19 +529,23 @@ def _search(table: DataFrame, probes: Probes, space: np.ndarray, schema: str) ->
             keys = b.column("doc_id")
             out = []
             for w, off, first in _chunks(b):
-                hits: dict[tuple[int, int], list] = {}
+                hits = []
                 for lo, hi in _slices(off):
                     at, item, cos = probes.candidates(w[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], space)
                     at = at + off[lo]
                     row = np.searchsorted(off, at, side="right") - 1
-                    for r, i, a, c in zip(row.tolist(), item.tolist(), at.tolist(), cos.tolist(), strict=True):
-                        hits.setdefault((r, i), []).append((a, c))
+                    hits.append((row, item, at, cos))
+                row, item, at, cos = (np.concatenate([h[k] for h in hits]) for k in range(4))
+                order = np.lexsort((item, row))
+                row, item, at, cos = row[order], item[order], at[order], cos[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])][: len(row)])
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for (r, i), spots in hits.items():
-                    share, answer = probes.verify(w[off[r] : off[r + 1]], np.array([a for a, _ in spots]) - off[r], i)
+                for x, y in zip(new.tolist(), [*new[1:].tolist(), len(row)], strict=False):
+                    r, i = int(row[x]), int(item[x])
+                    share, answer = probes.verify(w[off[r] : off[r + 1]], at[x:y] - off[r], i)
                     if share >= STRONG or (share >= WEAK and answer >= ANSWER):
                         key = (r, probes.ids[i])
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, max(c for _, c in spots)))
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(cos[x:y].max())))
                 out += [(first + r, i, c, s, a) for (r, i), (s, a, c) in sorted(best.items())]
             at, item, cos, share, answer = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(

@@ -63,6 +63,47 @@ def test_candidates_by_words_are_those_of_all_pairs(planted):
                     assert (s, int(probes.owner[size][p])) in some
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_latent_candidates_are_those_of_all_windows_and_probes(planted, even):
+    """Every window with enough of a probe's words, repeats included, and a cosine that is
+    enough, whichever words of the probe it has; short last blocks and short texts too. In
+    an even space all cosines are one, so that the words alone decide."""
+    docs, items, _ = planted
+    space, share = d.latent_space(d.tokenised(docs))
+    space = np.ones_like(space) if even else space
+    probes = d.Probes([(r.item_id, r.text) for r in items.collect()], space, share)
+    texts = [d.tokens(r.text) for r in docs.limit(20).collect()]
+    texts = [t[: len(t) - i] for i, t in enumerate(texts)]
+    for own in probes.words:  # the commonest words of an item, again and again
+        own = np.array(own, "<u4")
+        size = d.SHORT if len(own) < d.LONG - 4 else d.LONG
+        common = np.unique(own[:size])
+        common = common[np.argsort(share[common % d.TERMS], kind="stable")]
+        few = int(np.ceil(d.OVERLAP * len(common))) - 1  # fewer than enough of them, but often
+        texts += [np.tile(common[len(common) - few :], 9), own[:9]]
+    texts.insert(3, np.zeros(0, "<u4"))
+    w, off = np.concatenate(texts), np.r_[0, np.cumsum([len(x) for x in texts])]
+    got = {tuple(x) for x in zip(*(c.tolist() for c in probes.latent(w, off, space)[:2]), strict=True)}
+    sure, maybe = set(), set()
+    for k, own in enumerate(probes.words):
+        own = np.array(own, "<u4")
+        size = d.SHORT if len(own) < d.LONG - 4 else d.LONG
+        last = max(0, len(own) - size)
+        for at in sorted({*range(0, last + 1, size // 2), last}):
+            probe = own[at : at + size]
+            v = space[(probe % d.TERMS).astype(np.int64)].sum(0)
+            for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                for s in range(lo, hi, d.BLOCK):
+                    part = w[s : min(s + size, hi)]
+                    if np.isin(part, probe).sum() < d.OVERLAP * len(np.unique(probe)):
+                        continue
+                    x = space[(part % d.TERMS).astype(np.int64)].sum(0)
+                    cosine = x @ v / max(np.linalg.norm(x) * np.linalg.norm(v), 1e-9)
+                    sure |= {(s, k)} if cosine >= d.COSINE + 1e-4 else set()
+                    maybe |= {(s, k)} if cosine >= d.COSINE - 1e-4 else set()
+    assert sure <= got <= maybe and len(sure) > 20
+
+
 def test_found_pairs_are_all_planted_ones(planted):
     docs, items, links = planted
     got = {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()}
