@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import KEPT, flat, prefix_sums, release, row_slices, ship, span_hash
+from graphloom.llm.common import KEPT, flat, mix, prefix_sums, release, row_slices, ship, span_hash
 
 #: Bytes of a leaf of the tree, at most, and ids of one when decoding.
 LEAF, DECODE_LEAF = 4, 64
@@ -232,6 +232,7 @@ _LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
 _LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
 _SIGN = np.array([33 <= c <= 126 and not chr(c).isalnum() and c != 39 for c in range(256)])
+_SIGNS = _SIGN.tobytes()
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -239,22 +240,60 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     two characters that aren't white space, and every sign (but an apostrophe) behind a
     letter. Such a space or sign always begins a match of the pattern, as letters and signs
     only share one where the sign comes first; so coding stretches one by one changes nothing."""
-    n = len(data)
-    before, two, after = np.full(n, 32, np.uint8), np.full(n, 32, np.uint8), np.full(n, 32, np.uint8)
-    before[1:], two[2:], after[:-1] = data[:-1], data[:-2], data[1:]
-    cut = (data == 32) & (before > 32) & ~(_LAST[before] & _MIDDLE[two]) & (after > 32) & ~_LEAD[after]
-    full = off[:-1][np.diff(off) > 0]
-    sign = np.flatnonzero(_SIGN[data])
-    cut[sign[_LETTER[before[sign]] | ((two[sign] == 0xC3) & _LATIN[before[sign]])]] = True
-    cut[off[1:][np.diff(off) > 0] - 1] = False
-    cut[full] = True
+    space = np.flatnonzero(data == 32)
+    sign = np.flatnonzero(np.frombuffer(data.tobytes().translate(_SIGNS), bool))
+    space = space[(space > 0) & (space < len(data) - 1)]
+    before, after = data[space - 1], data[np.minimum(space + 1, len(data) - 1)]
+    two = np.where(space > 1, data[space - 2], 32)
+    cut = np.zeros(len(data), bool)
+    cut[space] = (before > 32) & ~(_LAST[before] & _MIDDLE[two]) & (after > 32) & ~_LEAD[after]
+    sign = sign[sign > 0]
+    before = data[sign - 1]
+    cut[sign] = _LETTER[before] | ((np.where(sign > 1, data[sign - 2], 32) == 0xC3) & _LATIN[before])
+    some = np.diff(off) > 0
+    cut[off[1:][some] - 1] = False
+    cut[off[:-1][some]] = True
     return np.flatnonzero(cut)
 
 
+#: Bytes that are hashed eight at a time; of longer stretches the rest is hashed by powers.
+SHORT = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each stretch, the same wherever its bytes stand. Up to eight
+    bytes give two that no other such bytes give."""
+    size = end - start
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,)).copy()
+    h = mix(size.astype(np.uint64))
+    other = h + np.uint64(0x9E3779B97F4A7C15)
+    left, which, at = size, slice(None), start
+    for _ in range(SHORT // 8):
+        word = eight[at] & _MASK[np.minimum(left, 8)]
+        h[which] = mix(h[which] ^ word)
+        x = (other[which] + word) * np.uint64(0xD1342543DE82EF95)
+        other[which] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        which = more if isinstance(which, slice) else which[more]
+        left, at = left[more] - 8, at[more] + 8
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        parts = [data[a + SHORT : z] for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        upto = np.r_[0, np.cumsum([len(x) for x in parts])]
+        rest = np.concatenate(parts)
+        h[long] = mix(h[long] ^ span_hash(prefix_sums(rest), upto[:-1], upto[1:]))
+        other[long] = mix(other[long] + span_hash(prefix_sums(rest, 1), upto[:-1], upto[1:], 1))
+    return h | np.uint64(1), other
+
+
 class Stretches:
-    """Codes texts by their stretches, with a memo in front. A stretch is known by two
-    independent 64-bit hashes; the memo is a table of them with free slots, and the ids of
-    all known stretches stand in one array. A full memo begins anew. ``code`` gives the packed
+    """Codes texts by their stretches, with a memo in front. A stretch is known by a
+    64-bit hash and the upper bits of another; the memo is a table of them with free slots, and the ids of
+    all known stretches stand in one array. A full memo goes on with the stretches that were met
+    again since it was last full. ``code`` gives the packed
     ids of strings; ``words`` those of encoded strings that begin with one space and end with
     no white space, of which any row could be coded as one."""
 
@@ -266,9 +305,10 @@ class Stretches:
 
     def clear(self) -> None:
         n = 1 << self.bits
-        self.first, self.second, self.entry = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        # a slot has the first hash beside the upper bits of the second and the entry
+        self.slots, self.low = np.zeros((n, 2), np.uint64), np.uint64(n - 1)
         self.known, self.used = 0, 0
-        self.begin, self.count = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32)
+        self.begin, self.count, self.again = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, bool)
         self.ids = np.zeros(1 << 12, f"<u{self.width}")
 
     def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -276,23 +316,24 @@ class Stretches:
         out = np.full(len(h), -1, np.int64)
         todo, slot = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(todo):
-            got = self.first[slot]
-            hit = (got == h[todo]) & (self.second[slot] == other[todo])
-            out[todo[hit]] = self.entry[slot[hit]]
-            go = ~hit & (got != 0)
-            todo, slot = todo[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+            got = np.take(self.slots, slot, axis=0)
+            hit = (got[:, 0] == h) & ((got[:, 1] ^ other) <= self.low)
+            out[todo[hit]] = got[hit, 1] & self.low
+            go = np.flatnonzero(~hit & (got[:, 0] != 0))
+            todo, h, other, slot = todo[go], h[go], other[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
     def put(self, h: np.ndarray, other: np.ndarray, entry: np.ndarray) -> None:
         """Give slots to distinct stretches that aren't known."""
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(h):
+        row = np.column_stack([h, (other & ~self.low) | entry.astype(np.uint64)])
+        while len(row):
             at, who = np.unique(slot, return_index=True)
-            who = who[self.first[at] == 0]
-            self.first[slot[who]], self.second[slot[who]], self.entry[slot[who]] = h[who], other[who], entry[who]
-            rest = np.ones(len(h), bool)
+            who = who[self.slots[at, 0] == 0]
+            self.slots[slot[who]] = row[who]
+            rest = np.ones(len(row), bool)
             rest[who] = False
-            h, other, entry, slot = h[rest], other[rest], entry[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+            row, slot = row[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
     def add(self, coded: list[bytes]) -> np.ndarray:
         """New entries for packed ids."""
@@ -301,13 +342,34 @@ class Stretches:
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + n > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+            self.begin, self.count, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.again))
         self.ids[self.used : self.used + total] = np.frombuffer(b"".join(coded), self.ids.dtype)
         self.begin[self.known : self.known + n] = self.used + np.cumsum(size) - size
         self.count[self.known : self.known + n] = size
+        self.again[self.known : self.known + n] = False
         self.known, self.used = self.known + n, self.used + total
         return np.arange(self.known - n, self.known)
 
+    def renew(self) -> None:
+        """Forget what wasn't met again; all, if little would be forgotten."""
+        kept = self.slots[self.slots[:, 0] != 0]
+        kept = kept[self.again[(kept[:, 1] & self.low).astype(np.int64)]]
+        if 4 * len(kept) > 3 * self.size:
+            kept = kept[:0]
+        entry = (kept[:, 1] & self.low).astype(np.int64)
+        begin, count = self.begin[entry].astype(np.int64), self.count[entry].astype(np.int64)
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(begin - upto + count, count) + np.arange(count.sum())]
+        self.clear()
+        n = len(kept)
+        room = max(1 << 10, n)
+        self.begin, self.count, self.again = np.zeros(room, np.int32), np.zeros(room, np.int32), np.zeros(room, bool)
+        self.begin[:n], self.count[:n] = upto - count, count
+        self.ids = ids if len(ids) > len(self.ids) else self.ids
+        self.ids[: len(ids)] = ids
+        self.known, self.used = n, len(ids)
+        self.put(kept[:, 0], kept[:, 1], np.arange(n))
+
     def coded(self, keys: list[bytes]) -> list[bytes]:
         plain, rest = [], []
         for i, k in enumerate(keys):
@@ -333,11 +395,11 @@ class Stretches:
 
     def _piece(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, ids of each stretch) of the stretches of a piece of bytes."""
-        h = span_hash(prefix_sums(data), start, end) | np.uint64(1)
-        other = span_hash(prefix_sums(data, 1), start, end, 1)
+        h, other = names(data, start, end)
         which = self.find(h, other)
         fresh = np.flatnonzero(which < 0)
         known, used = self.known, self.used
+        self.again[which[which >= 0] if len(fresh) else which] = True
         if len(fresh):
             _, first, back = np.unique(h[fresh], return_index=True, return_inverse=True)
             if not np.array_equal(other[fresh[first]][back], other[fresh]):  # tell apart by both
@@ -352,7 +414,7 @@ class Stretches:
         out = self.ids[np.repeat(self.begin[which] - upto + count, count) + np.arange(upto[-1])]
         if len(fresh):
             if self.known > self.size:
-                self.clear()
+                self.renew()
             elif used + MEMO_IDS < self.used:  # what a single piece may leave behind
                 self.known, self.used = known, used
             else:

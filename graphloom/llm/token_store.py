@@ -23,6 +23,7 @@ damaged chunk, recipe or manifest raises ValueError when it is read.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from graphloom.llm.bpe import AT_ONCE, Stretches
 from graphloom.llm.common import KEPT, U64, flat, forget, materialise, mix, partitions, release, row_slices, shared_dir, ship
@@ -48,6 +50,21 @@ USES = 1000
 MEMO, ROW = 780_000, 4096
 
 
+#: The letters by which byte-level vocabularies write bytes: printable ones stand for
+#: themselves, the others follow from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {c: (c if c in _SELF else 256 + sum(x not in _SELF for x in range(c))) for c in range(256)}
+
+
+def _letters_alone(tok: Tokenizer) -> bool:
+    """Whether the tokenizer makes one match of a space and letters, and codes it by its
+    model alone: byte-level, by the usual pattern, with no added token of letters."""
+    told = json.loads(tok.to_str())
+    split = told["pre_tokenizer"] or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    return usual and told["normalizer"] is None and told["model"]["type"] == "BPE" and not any(t["content"].strip().isalpha() for t in told["added_tokens"])
+
+
 _encoders: dict[str, Stretches] = {}
 KEPT.append(_encoders)
 
@@ -56,8 +73,6 @@ def encoder(path: str) -> Stretches:
     """The memo of a worker. Stretches that aren't known go to the library in rows; the
     lengths of the tokens tell them apart."""
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
         vocabulary = tok.get_vocab(with_added_tokens=False)
@@ -72,7 +87,35 @@ def encoder(path: str) -> Stretches:
         def code(stretches: list[str]) -> list[bytes]:
             return [np.array(ids, f"<u{width}").tobytes() for ids in ids_of(stretches)]
 
+        one = tok.model.tokenize
+        dtype = f"<u{width}"
+        plain = _letters_alone(tok)
+
         def code_words(keys: list[bytes]) -> list[bytes]:
+            """Of stretches as below: those of letters alone are one match each, which goes to
+            the library's model as it is; the others go to the library in rows."""
+            out, rest, letters, which = [b""] * len(keys), [], [], []
+            for i, k in enumerate(keys):
+                if plain and k[1:].isalpha():  # of ASCII
+                    letters.append("\u0120" + k[1:].decode())
+                elif plain and (s := k[1:].decode()).isalpha() and max(s) < "\u0250":
+                    letters.append(k.decode("latin-1").translate(_LETTERS))
+                else:
+                    rest.append(i)
+                    continue
+                which.append(i)
+            ids, ends = [], [0]
+            for s in letters:
+                ids += [t.id for t in one(s)]
+                ends.append(width * len(ids))
+            packed = np.array(ids, dtype).tobytes()
+            for i, a, z in zip(which, ends, ends[1:], strict=False):
+                out[i] = packed[a:z]
+            for i, v in zip(rest, code_rows([keys[i] for i in rest]), strict=True):
+                out[i] = v
+            return out
+
+        def code_rows(keys: list[bytes]) -> list[bytes]:
             """Of stretches with one space in front and no white space at their ends: that
             space always begins a match, so the encoding of a row of them is the row of
             their encodings."""
@@ -94,12 +137,15 @@ def boundaries(ids: np.ndarray, at: np.ndarray) -> list[list[int]]:
     """Ends of the chunks of documents whose ids stand in a row from ``at`` on, each with an
     end id behind it: where the rolling hash of the last ``WINDOW`` ids of the document says
     so, at least ``LEAST`` and at most ``MOST`` ids after the previous end."""
-    h = np.zeros(len(ids), U64)
-    x = ids.astype(U64) + U64(1)
-    place = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
-    for k in range(min(WINDOW, len(ids))):
-        h[k:] += x[: len(ids) - k] * _ROLL[k] * (place[k:] >= k)
-    cut = np.flatnonzero(mix(h) >> U64(64 - MEAN_BITS) == 0)
+    # WINDOW zeros in front of each document; sums over 1, 2, 4 ids give those over 2, 4, 8
+    place = np.arange(len(ids)) + np.repeat(WINDOW * np.arange(1, len(at)), np.diff(at))
+    h = np.zeros(len(ids) + WINDOW * (len(at) - 1), U64)
+    h[place] = ids.astype(U64) + U64(1)
+    k = 1
+    while k < WINDOW:
+        h[k:] += h[:-k] * _ROLL[k - 1]
+        k *= 2
+    cut = np.flatnonzero(mix(h[place] * _ROLL[0]) >> U64(64 - MEAN_BITS) == 0)
     first = np.searchsorted(cut, at).tolist()
     cuts, begin = (cut + 1).tolist(), at.tolist()
     out = []
@@ -268,8 +314,6 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
 
 
 def _width(path: str) -> int:
-    from tokenizers import Tokenizer
-
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
@@ -334,17 +378,24 @@ def _chunks_of(row: dict, width: int, lent: dict[int, bytes] | None = None) -> l
     return out
 
 
-def reconstruct(store: Store) -> DataFrame:
+def reconstruct(store: Store, crc: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, put together again from its chunks,
-    each held against its name; ids as packed in the store. Rows that hold all their chunks
-    are read where they stand; the others are sent the chunks they share."""
+    each held against its name; ids as packed in the store, or where ``crc`` holds only
+    ``ids_crc32``, the crc32 of the ids as little-endian unsigned 32-bit integers. Rows that
+    hold all their chunks are read where they stand; the others are sent the chunks they share."""
     spark, width = store.spark, store.width
     rows = store.table("documents")
-    done = "shard int, doc_id long, start long, n_tokens long, ids binary"
+    last = "ids_crc32" if crc else "ids"
+    done = f"shard int, doc_id long, start long, n_tokens long, {last} {'long' if crc else 'binary'}"
+
+    def told(ids: list[bytes]) -> pa.Array:
+        if crc:
+            return pa.array([zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4")) for x in ids], pa.int64())
+        return pa.array(ids, pa.binary())
 
     def finish(out: list) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "doc_id", "start", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)], told(cols[4])], ["shard", "doc_id", "start", "n_tokens", last])
 
     def whole(row: dict, lent: dict[int, bytes] | None = None) -> tuple:
         parts = _chunks_of(row, width, lent)
@@ -358,7 +409,8 @@ def reconstruct(store: Store) -> DataFrame:
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256
         for b in batches:
-            for n, names, sizes, own in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "names", "sizes", "own")), strict=True):
+            packed = b.column("own").to_pylist()
+            for n, names, sizes, own in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "names", "sizes")), packed, strict=True):
                 view = memoryview(own)
                 ends = (np.cumsum(np.frombuffer(sizes, "<u2").astype(np.int64)) * width).tolist()
                 named = b"".join([digest(view[x:y]).digest()[:ID_BYTES] for x, y in zip([0, *ends], ends, strict=False)])
@@ -367,7 +419,7 @@ def reconstruct(store: Store) -> DataFrame:
                     raise ValueError("a chunk doesn't match its name")
                 if at != len(own) or at != n * width:
                     raise ValueError("a document doesn't have the length that its recipe tells")
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("shard", "doc_id", "start", "n_tokens", "own")], ["shard", "doc_id", "start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("shard", "doc_id", "start", "n_tokens")], told(packed) if crc else b.column("own")], ["shard", "doc_id", "start", "n_tokens", last])
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,22 +463,14 @@ def reconstruct(store: Store) -> DataFrame:
     both = got.unionByName(partial.select("rid", "shard", "doc_id", "start", "n_tokens", "names", "sizes", "own", "foreign"), allowMissingColumns=True)
     dealt = both.repartition(partitions(spark), "rid").sortWithinPartitions("rid", F.asc_nulls_last("seq"))
     read = complete.unionByName(dealt.mapInArrow(join, done))
-    return read.join(_starts(store), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return read.join(_starts(store), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", last)
 
 
 def checksums(store: Store) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from its reconstructed ids
     as little-endian unsigned 32-bit integers, after the recipes have been verified."""
     verify(store)
-    kind = f"<u{store.width}"
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(x, kind) for x in b.column("ids").to_pylist()]
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return reconstruct(store).mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return reconstruct(store, crc=True)
 
 
 ROWS = "shard int, ordinal long, rid long, doc_id long, start long, n_tokens long, names binary, sizes binary, own binary, foreign binary, lent binary"

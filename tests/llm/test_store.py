@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import token_store
+from graphloom.llm.bpe import Stretches
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -98,3 +99,83 @@ def test_boundaries_depend_on_their_document_alone():
         sizes = np.diff([0, *got])
         assert got[-1] == len(x) + 1 and (sizes[:-1] >= token_store.LEAST).all() and (sizes <= token_store.MOST).all()
     assert len(together[7]) > 20
+
+
+def bytes_of(coded=None):
+    """A code that gives each byte as an id, so that a text's encoding is its bytes."""
+
+    def code(texts):
+        if coded is not None:
+            coded.extend(texts)
+        return [np.frombuffer(t.encode(), np.uint8).astype("<u2").tobytes() for t in texts]
+
+    return code
+
+
+def arrays(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+
+
+def test_a_full_memo_keeps_what_was_met_again():
+    coded = []
+    memo = Stretches(bytes_of(coded), 2, 300)
+    often = [f" often{i}" for i in range(100)]
+    for r in range(40):
+        texts = ["x" + "".join(often) + "".join(f" once{r}a{i}" for i in range(40)) + " y"]
+        ids, _ = memo.encode(*arrays(texts))
+        assert ids.astype(np.uint8).tobytes().decode() == texts[0]
+        assert memo.known <= 300 + 142
+    assert max(coded.count(x) for x in often) == 1
+    assert len(set(coded)) == 40 * 40 + 102
+
+
+@pytest.mark.parametrize("size", [20, 5000])
+def test_stretches_of_any_length_are_told_apart(size):
+    r = random.Random(3)
+    memo = Stretches(bytes_of(), 2, size)
+    long = "a" * 150
+    some = [long[:n] for n in (*range(1, 20), 63, 64, 65, 66, 72, 80, 150)]
+    some += [x[:-1] + c for x in some for c in ("b", "\0", "\0\0", "é")] + [x[:k] + "b" + x[k + 1 :] for x in some for k in (7, 8, 63, 64) if k < len(x)]
+    for _ in range(12):
+        texts = [" ".join(r.choice(some) for _ in range(r.randint(0, 30))) for _ in range(20)] + ["", " ", ". a", " a b　 c", "é. a.b,c"]
+        data, off = arrays(texts)
+        ids, at = memo.encode(data, off)
+        assert [ids[a:z].astype(np.uint8).tobytes().decode() for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)] == texts
+
+
+def test_words_of_letters_are_coded_as_in_their_text():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = True
+    r = random.Random(4)
+    letters = [chr(c) for c in range(1, 0x300)] + list("abcdeinorst" * 40) + list("'’ʼ٣五ǅªº́‍😀")
+    texts = ["".join((r.choice(" \n.") if r.random() < 0.1 else " ") + "".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(200)) for _ in range(60)]
+    texts += ["<|endoftext|> a<|endoftext|>b", " don't I'LL 'tis", "  a  b ", " ÀÉ ß× ÷ø"]
+    ids, at = token_store.encoder(JSON).encode(*arrays(texts))
+    assert [ids[a:z].tolist() for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_tokenizer_that_splits_otherwise_gets_rows():
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    plain, lower, prefix, added = (Tokenizer.from_file(JSON) for _ in range(4))
+    lower.normalizer = normalizers.Lowercase()
+    prefix.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    added.add_tokens([" word"])
+    assert [token_store._letters_alone(t) for t in (plain, lower, prefix, added)] == [True, False, False, False]
+
+
+def test_boundaries_are_those_of_the_rolling_sum():
+    r = np.random.default_rng(6)
+    docs = [r.integers(0, 50_000, n).astype(np.uint16) for n in (3, 0, 9, 4000, 2500)]
+    for x, got in zip(docs, token_store.boundaries(np.concatenate(docs), np.r_[0, np.cumsum([len(x) for x in docs])]), strict=True):
+        h = [sum((int(x[i - k]) + 1) * int(token_store._ROLL[k]) for k in range(token_store.WINDOW) if i >= k) % (1 << 64) for i in range(len(x))]
+        cut = (np.flatnonzero(token_store.mix(np.array(h, np.uint64)) >> np.uint64(64 - token_store.MEAN_BITS) == 0) + 1).tolist()
+        own, last = [], 0
+        for c in [*cut, len(x) + 1]:
+            if c - last >= token_store.LEAST or c == len(x) + 1:
+                own.append(c)
+                last = c
+        assert got == own
