@@ -238,8 +238,7 @@ def _shared(encoded: DataFrame) -> DataFrame:
     uses = encoded.select("doc_id", "rid", *_named())
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "rid", "seq"))
     owner = uses.groupBy("name").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1")
-    owner = owner.select("name", F.nullif(F.col("o.d"), F.lit(-(1 << 63))).alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts"))
-    return materialise(owner, "shared-chunks")
+    return owner.select("name", F.nullif(F.col("o.d"), F.lit(-(1 << 63))).alias("o_doc"), F.col("o.rid").alias("o_rid"), F.col("o.seq").alias("o_seq"), F.expr(f"cast(n div {USES} + 1 as int)").alias("salts"))
 
 
 def _marks(encoded: DataFrame, owner: DataFrame) -> DataFrame:
@@ -252,16 +251,19 @@ def _marks(encoded: DataFrame, owner: DataFrame) -> DataFrame:
     return own.unionByName(others).groupBy("doc_id", "rid", "kind").agg(F.array_sort(F.collect_list("p")).alias("parts"))
 
 
+#: Ids of a shard, where that gives fewer shards than partitions. Each file that Spark's
+#: writers open in a local folder starts two processes (chmod), whatever it holds.
+SHARD_IDS = 1 << 20
 #: Rows for each shard, of which the splitters between shards are drawn.
 PER_SHARD = 32
 
 
-def _part(encoded: DataFrame, n: int) -> Column:
+def _part(encoded: DataFrame, n: int, count: int) -> Column:
     """The shard of a document, as an expression of its doc_id and row: by splitters from a
     bounded sample, so that ids are read, but no payload."""
     key = lambda: F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("rid").alias("r"))
     place = F.pmod(F.xxhash64("rid"), F.lit(1 << 30))
-    share = min(1.0, 1.5 * n * PER_SHARD / max(1, encoded.count()))
+    share = min(1.0, 1.5 * n * PER_SHARD / max(1, count))
     some = encoded.select("doc_id", "rid").where(place <= int(share * (1 << 30))).select(key().alias("k"), place.alias("p")).orderBy("p").limit(n * PER_SHARD)
     sample = sorted(tuple(r.k) for r in some.collect())
     cuts = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
@@ -275,11 +277,14 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
     """Encode ``docs`` and write the store into ``folder`` (a new one in the shared folder)."""
     spark = ship(docs.sparkSession)
     folder = folder or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    n, width = partitions(spark), _width(path)
+    width = _width(path)
     # the row id is written with the row, so it stays what it is
     encoded = materialise(_encoded(docs, path, end_id).withColumn("rid", F.monotonically_increasing_id()), "encoded")
-    owner = _shared(encoded)
-    marks = materialise(_marks(encoded, owner), "marks")
+    count, ids = encoded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n = min(partitions(spark), ids // SHARD_IDS + 1)
+    few = lambda df: df.repartition(n) if n < partitions(spark) else df
+    owner = materialise(few(_shared(encoded)), "shared-chunks")
+    marks = materialise(few(_marks(encoded, owner)), "marks")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, ordinal = None, 0, 0
@@ -305,10 +310,10 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
         release()
 
     rows = encoded.withColumn("kind", F.lit(2)).unionByName(marks, allowMissingColumns=True)
-    dealt = rows.withColumn("part", _part(encoded, n)).repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "rid", "kind")
+    dealt = rows.withColumn("part", _part(encoded, n, count)).repartitionById(n, "part").sortWithinPartitions("part", "doc_id", "rid", "kind")
     dealt.mapInArrow(shards, ROWS).write.option("compression", "zstd").parquet(f"{folder}/documents")
     store = Store(spark, folder, width)
-    _roots(store).write.parquet(f"{folder}/manifest")
+    _roots(store).repartition(1).write.parquet(f"{folder}/manifest")  # a row for each shard
     forget(encoded, marks, owner)
     return store
 
@@ -462,7 +467,8 @@ def reconstruct(store: Store, crc: bool = False) -> DataFrame:
     got = wanted.join(sent, ["name", "salt"]).select("rid", "seq", "payload")
     both = got.unionByName(partial.select("rid", "shard", "doc_id", "start", "n_tokens", "names", "sizes", "own", "foreign"), allowMissingColumns=True)
     dealt = both.repartition(partitions(spark), "rid").sortWithinPartitions("rid", F.asc_nulls_last("seq"))
-    read = complete.unionByName(dealt.mapInArrow(join, done))
+    # a row of one document each, so few shards need no more tasks
+    read = complete.unionByName(dealt.mapInArrow(join, done).coalesce(max(1, len(store.offsets()))))
     return read.join(_starts(store), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", last)
 
 

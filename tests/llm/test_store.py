@@ -1,5 +1,6 @@
 """The token store: reading back, sharing, and damage."""
 
+import os
 import random
 import zlib
 
@@ -56,6 +57,43 @@ def test_a_chunk_is_stored_once(store):
     assert len(names) == len(set(names)) and lent > 50
 
 
+def files(folder):
+    return [f for _, _, names in os.walk(folder) for f in names if f.endswith(".parquet")]
+
+
+def test_files_go_by_what_they_hold(spark, docs, monkeypatch, tmp_path):
+    """Every file starts processes beside its executor, so partitions alone make none."""
+    shared = []
+
+    def kept(df, name, real=token_store.materialise):
+        out = real(df, name)
+        shared.append((name, len(files(out._graphloom_path.removeprefix("file:")))))
+        return out
+
+    monkeypatch.setattr(token_store, "materialise", kept)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(was, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        store = token_store.write(docs, JSON, folder=str(tmp_path / "store"))
+        token_store.checksums(store).write.parquet(str(tmp_path / "read"))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "read")).collect()), key=lambda r: r[1]) == brute(docs)
+    assert len(files(tmp_path / "store" / "documents")) == len(files(tmp_path / "store" / "manifest")) == 1
+    assert len(files(tmp_path / "read")) == 2  # whole rows, and those put together
+    assert [(name, n) for name, n in shared if name != "encoded"] == [("shared-chunks", 1), ("marks", 1)]
+
+
+def test_many_shards_in_one_manifest(docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 100)
+    store = token_store.write(docs, JSON, folder=str(tmp_path / "store"))
+    assert store.table("manifest").count() == 4
+    assert len(files(tmp_path / "store" / "manifest")) == 1
+    assert sorted((tuple(r) for r in token_store.checksums(store).collect()), key=lambda r: r[1]) == brute(docs)
+
+
 def test_hot_chunks_are_dealt_over_salts(docs, monkeypatch):
     monkeypatch.setattr(token_store, "USES", 2)
     store = token_store.write(docs, JSON)
