@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import additive_ann, bpe, decontaminate, html_extract, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
+from graphloom.llm import additive_ann, bpe, decontaminate, html_extract, merkle, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
 from graphloom.sources.tables import table
 
 QUERIES = {}
@@ -95,3 +95,53 @@ def op1_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered rows (an even crc32 of the decimal doc_id) have lost the newlines of their text."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    fields = [text if f == "text" else F.col(f) for f in merkle.FIELDS]
+    proved = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.leaf(*fields)), "tampered")
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+# the polynomial and start of CRC-32 as in zip files are fixed values
+ORACLES["op11_merkle_manifest"] = """
+WITH RECURSIVE hit AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: ascii(CAST(doc_id AS VARCHAR)[k]))),
+                  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) & 1 = 0 AS tampered
+    FROM documents),
+fields AS (
+    SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS other FROM hit),
+leaves AS (
+    SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS tampered FROM fields),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM leaves),
+low(l, g, i, n, d) AS (
+    SELECT 0, g, i, n, leaf FROM placed
+    UNION ALL
+    SELECT l + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY l, g, i // 3, n),
+high(l, i, n, d) AS (
+    SELECT 0, g, count(*) OVER (), d FROM low WHERE n = 1
+    UNION ALL
+    SELECT l + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY l, i // 3, n),
+steps AS (
+    SELECT p.g, p.i, l.l, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (WHERE o.i < CAST(floor(p.i / 3 ** l.l) AS BIGINT)), '') AS before, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (WHERE o.i > CAST(floor(p.i / 3 ** l.l) AS BIGINT)), '') AS after
+    FROM placed p JOIN (SELECT DISTINCT g, l FROM low WHERE n > 1) l USING (g)
+    JOIN low o ON o.g = p.g AND o.l = l.l AND o.i // 3 = CAST(floor(p.i / 3 ** (l.l + 1)) AS BIGINT) GROUP BY p.g, p.i, l.l
+    UNION ALL
+    SELECT p.g, p.i, 1000 + l.l, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (WHERE o.i < CAST(floor(p.g / 3 ** l.l) AS BIGINT)), ''), coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (WHERE o.i > CAST(floor(p.g / 3 ** l.l) AS BIGINT)), '')
+    FROM placed p CROSS JOIN (SELECT DISTINCT l FROM high WHERE n > 1) l
+    JOIN high o ON o.l = l.l AND o.i // 3 = CAST(floor(p.g / 3 ** (l.l + 1)) AS BIGINT) GROUP BY p.g, p.i, l.l),
+proofs AS (SELECT g, i, list({'l': before, 'r': after} ORDER BY l) AS proof, string_agg(before || after, '' ORDER BY l) AS text FROM steps GROUP BY g, i),
+up(g, i, k, d, proof) AS (
+    SELECT p.g, p.i, 1, p.tampered, coalesce(q.proof, []) FROM placed p LEFT JOIN proofs q USING (g, i)
+    UNION ALL
+    SELECT g, i, k + 1, sha256(proof[k].l || d || proof[k].r), proof FROM up WHERE k <= len(proof))
+SELECT p.doc_id, p.leaf, s.d AS subroot, r.d AS root, sha256(coalesce(q.text, '')) AS proof_sha256, u.d AS folded_root, u.d = r.d AS verified
+FROM placed p LEFT JOIN proofs q USING (g, i) JOIN (SELECT g, d FROM low WHERE n = 1) s USING (g) JOIN (SELECT g, i, d FROM up WHERE k = len(proof) + 1) u USING (g, i)
+CROSS JOIN (SELECT d FROM high WHERE n = 1) r
+"""
