@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import additive_ann, bpe, decontaminate, html_extract, merkle, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
+from graphloom.llm import additive_ann, bpe, decontaminate, fill_middle, html_extract, line_dedup, merkle, quality, simhash, suffix_dedup, token_store, toxicity, urlfilter
 from graphloom.sources.tables import table
 
 QUERIES = {}
@@ -145,3 +145,42 @@ SELECT p.doc_id, p.leaf, s.d AS subroot, r.d AS root, sha256(coalesce(q.text, ''
 FROM placed p LEFT JOIN proofs q USING (g, i) JOIN (SELECT g, d FROM low WHERE n = 1) s USING (g) JOIN (SELECT g, i, d FROM up WHERE k = len(proof) + 1) u USING (g, i)
 CROSS JOIN (SELECT d FROM high WHERE n = 1) r
 """
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.apply(docs, line_dedup.keep_bitmaps(docs))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_dedup"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT n, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM docs),
+keyed AS (SELECT *, translate(trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' '), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM each),
+first AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key),
+marked AS (SELECT k.*, coalesce(k.doc_id > f.first, false) AS gone FROM keyed k LEFT JOIN first f USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY n, doc_id
+"""
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.restore(fill_middle.rearrange(table(spark, sf_dir, "documents")))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op13_fill_middle"] = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS u, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS d FROM docs),
+cuts AS (SELECT *, len(u) AS n, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 AS plain,
+                least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b FROM units),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN d[4] % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
