@@ -17,13 +17,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """``cut`` for a large relation that is read as a whole again: as compressed columns, where
-    there is a shared folder."""
+    there is a shared folder. ``by``: a column whose values are read one at a time."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         return df.persist()
     path = f"{folder.rstrip('/')}/relation-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._graphloom_path = path
+    return read
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The union of relations of one schema; those that were written are one scan."""
+    paths = [getattr(t, "_graphloom_path", None) for t in tables]
+    if all(paths):
+        return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, written
 
 #: Rows of the sample for each range.
 PER_RANGE = 32
@@ -79,3 +79,50 @@ def row_number(df: DataFrame, key: list[Column], name: str) -> DataFrame:
     """``name``: place in ascending order of the key's columns, which must be a total order,
     from 1; nulls come first."""
     return _upto(df, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)]), F.lit(1), name)
+
+
+# columns of a relation that is sorted into ranges
+RANGE, SPOT = "_graphloom_range", "_graphloom_spot"
+
+
+def spots(df: DataFrame, key: list[Column], name: str) -> DataFrame:
+    """``df`` written in ascending order of the key (nulls first), and ``name``: a number that grows with it. The
+    numbers have gaps between ranges, so nothing is counted; ties have numbers of their own."""
+    by = [c.asc_nulls_first() for c in key]
+    return written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+
+
+def _sorted(df: DataFrame, by: list[str], key: list[Column], sums: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``df`` written in ranges of (group, key), and for each group and range that it meets: its
+    first spot, and what the ranges before hold of the group (``_before``, and a sum by each name)."""
+    order = [F.col(b).asc_nulls_first() for b in by] + [c.asc_nulls_first() for c in key]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(dealt.select("*", F.spark_partition_id().alias(RANGE), F.monotonically_increasing_id().alias(SPOT), *[c.alias(f"_w_{n}") for n, c in sums.items()]))
+    parts = dealt.groupBy(RANGE, *by).agg(F.min(SPOT).alias("_first"), F.count("*").alias("_n"), *[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in sums])
+    before = W.partitionBy(*by).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    held = {"_before": "_n"} | {f"_b_{n}": f"_s_{n}" for n in sums}
+    parts = parts.select(F.col(RANGE).alias("_part"), *[F.col(b).alias(f"_by_{b}") for b in by], "_first", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(n) for n, s in held.items()])
+    return dealt, parts
+
+
+def _met(dealt: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    on = F.col(RANGE) == F.col("_part")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return dealt.join(parts, on)
+
+
+def places(df: DataFrame, by: list[str], key: list[Column], name: str) -> DataFrame:
+    """``name``: the place of each row in its group, in ascending order of the key (nulls first), from 0. A group of
+    any size is spread over ranges, of which there is a row each to count those before."""
+    dealt, parts = _sorted(df, by, key, {})
+    return _met(dealt, parts, by).select(*df.columns, (F.col("_before") + F.col(SPOT) - F.col("_first")).alias(name))
+
+
+def running(df: DataFrame, by: list[str], key: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """For each name, the sum of its column over the rows that stand before in the group: windows within
+    ranges, and what the ranges before hold."""
+    dealt, parts = _sorted(df, by, key, sums)
+    own = W.partitionBy(RANGE, *by).orderBy(SPOT).rowsBetween(W.unboundedPreceding, -1)
+    inside = dealt.select("*", *[F.coalesce(F.sum(f"_w_{n}").over(own), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    return _met(inside, parts, by).select(*[c for c in df.columns if c not in sums], *[(F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
