@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from graphloom.operators.lineage import cut, written
 
@@ -18,17 +19,26 @@ PER_RANGE = 32
 
 def _ranges(df: DataFrame, key: Column) -> DataFrame:
     """``df`` with its sort key ``_k`` and range ``_r``."""
-    spark = df.sparkSession
-    n = max(1, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     keyed = cut(df.withColumn("_k", key))
-    place = F.pmod(F.xxhash64("_k"), F.lit(1 << 30))
+    return keyed.withColumn("_r", range_of(F.col("_k"), cuts(keyed, "_k"), keyed.schema["_k"].dataType))
+
+
+def cuts(keyed: DataFrame, key: str) -> list:
+    """Splitters of a struct column, from a sample of at most ``PER_RANGE`` rows for each range."""
+    n = max(1, min(256, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     share = min(1.0, 2.0 * n * PER_RANGE / max(1, keyed.count()))
-    sample = sorted(keyed.where(place <= int(share * (1 << 30))).select("_k", place.alias("p")).orderBy("p").limit(n * PER_RANGE).select("_k").distinct().collect(), key=lambda r: _order(r[0]))
-    cuts = [sample[i * len(sample) // n][0] for i in range(1, n)] if len(sample) > n else []
-    range_ = F.lit(0)
-    for least in cuts:
-        range_ = range_ + (F.col("_k") >= _literal(least, keyed.schema["_k"].dataType)).cast("int")
-    return keyed.withColumn("_r", range_)
+    sample = sorted(keyed.where(place <= int(share * (1 << 30))).select(key, place.alias("p")).orderBy("p").limit(n * PER_RANGE).select(key).distinct().collect(), key=lambda r: _order(r[0]))
+    return [sample[i * len(sample) // n][0] for i in range(1, n)] if len(sample) > n else []
+
+
+def range_of(key: Column, splitters: list, kind: StructType | str) -> Column:
+    """How many splitters a key of type ``kind`` isn't before."""
+    fields = kind if isinstance(kind, StructType) else _parse_datatype_string(kind)
+    out = F.lit(0)
+    for least in splitters:
+        out = out + (key >= _literal(least, fields)).cast("int")
+    return out
 
 
 def _order(v) -> tuple:
