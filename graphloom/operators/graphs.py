@@ -270,6 +270,27 @@ def layers(edges: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
+def reach_counts(edges: DataFrame, depth: int | None = 3, lg_k: int = 12) -> DataFrame:
+    """``node, reached``: for every node at once, how many others need it, within ``depth`` edges backwards (without a depth,
+    until no count grows). Each node holds a mergeable sketch of what reaches it and merges those of the nodes that
+    need it, round by round: work is edges times rounds, and a sketch has a fixed size, whatever it counts. Counts
+    of up to some 2^(lg_k - 4) are exact but for rounding; beyond, the standard error is 1.04 / sqrt(2^lg_k)."""
+    pairs = _kept(edges.select("src", "dst").where("src <> dst").distinct())
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    now = _cut(nodes.groupBy("node").agg(F.hll_sketch_agg("node", F.lit(lg_k)).alias("s")))
+    total, k = -1, 0
+    while depth is None or k < depth:
+        k += 1
+        given = pairs.join(now.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "s")
+        now = _cut(now.unionByName(given).groupBy("node").agg(F.hll_union_agg("s").alias("s")))
+        if depth is None:
+            size = now.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0] or 0
+            if size == total:
+                break
+            total = size
+    return now.select("node", (F.hll_sketch_estimate("s") - 1).alias("reached"))
+
+
 def query(edges: DataFrame, op: str, **params) -> DataFrame:
     """Dispatch of graph queries: node, nodes, neighbors, path, subgraph."""
     if op == "nodes":

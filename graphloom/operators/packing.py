@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import ranking
+from graphloom.operators.lineage import written
+
 #: Fixed part and shares of a budget; fixed values.
 METADATA = 500
 SECTIONS = {"directory_tree": 0.05, "module_map": 0.20, "dependency_graph": 0.15, "key_files": 0.20, "signatures": 0.30, "git_context": 0.10}
@@ -138,3 +141,26 @@ def degrade(files: list[tuple[str, bool, float, list[int]]], budget: int) -> lis
         if used() <= budget:
             break
     return done()
+
+
+def degraded(files: DataFrame, group: str, budget: int) -> DataFrame:
+    """``degrade`` for many selections: ``group, path, level, tokens``. ``files``: group, path, selected, priority, tokens (at each
+    level, an array). A file's loss at a level is a step; all steps of a selection stand in one order (dependencies
+    down to stubs, selected ones down to documented, dependencies left out; the least priority first, ties by path), and
+    those up to the first that fits the budget hold. Running sums by ranges find it, so a selection has no task of its own."""
+    rows = written(files.select(group, "path", "selected", F.coalesce("priority", F.lit(0.0)).cast("double").alias("priority"), F.col("tokens").cast("array<bigint>").alias("t")))
+    lower = F.when(F.col("selected"), F.expr("sequence(1, 2)")).otherwise(F.expr("sequence(1, 4)"))
+    less = rows.select(group, "path", F.when(F.col("selected"), 2).otherwise(1).alias("phase"), "priority", "t", F.explode(lower).alias("level"))
+    less = less.select(group, "path", "phase", "priority", "level", (F.get("t", F.col("level")) - F.get("t", F.col("level") - 1)).alias("delta"))
+    gone = rows.where(~F.col("selected")).select(group, "path", F.lit(3).alias("phase"), "priority", F.lit(len(LEVELS)).alias("level"), (-F.get("t", F.lit(4))).alias("delta"))
+    key = ["phase", "priority", "path", "level"]
+    steps = less.unionByName(gone)
+    summed = written(ranking.running(steps.withColumn("before", F.col("delta")), [group], [F.col(k) for k in key], {"before": F.col("delta")}))
+    whole = rows.groupBy(group).agg(F.sum(F.get("t", F.lit(0))).alias("whole"))
+    fits = summed.join(whole, group).where(F.col("whole") + F.col("before") + F.col("delta") <= budget).groupBy(group).agg(F.min(F.struct(*key)).alias("stop"))
+    over = whole.where(F.col("whole") > budget).join(fits, group, "left")
+    held = summed.join(over, group).where(F.col("stop").isNull() | (F.struct(*key) <= F.col("stop"))).groupBy(group, "path").agg(F.max("level").alias("level"))
+    out = rows.join(held, [group, "path"], "left").select(group, "path", F.coalesce("level", F.lit(0)).alias("level"), "t")
+    at = F.least("level", F.lit(4))
+    tokens = F.when(F.col("level") == len(LEVELS), 0).otherwise(F.get("t", at))
+    return out.select(group, "path", F.get(F.array(*[F.lit(x) for x in LEVELS]), at).alias("level"), tokens.alias("tokens"))

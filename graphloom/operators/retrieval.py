@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators import ranking
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, written
 
 #: Of the set similarity join, fixed sizes: buckets of the counts that put terms in order,
 #: places of the filter of paths, blocks of a class, pairs that are looked at at once.
@@ -337,3 +338,57 @@ def set_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """``change`` and the columns of two sets of rows: what came and what went."""
     a, b = old.distinct(), new.select(*old.columns).distinct()
     return b.subtract(a).select(F.lit("added").alias("change"), "*").unionByName(a.subtract(b).select(F.lit("removed").alias("change"), "*"))
+
+
+#: Rows of a block of queries or vectors: a task holds one of each, and a product of that size in pieces.
+BLOCK, PIECE = 1 << 15, 1 << 10
+
+
+def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 4, block: int = BLOCK) -> DataFrame:
+    """``query, rank, id, similarity``: for each query (``query``, ``vec``) the ``k`` nearest of all vectors (``id``, ``vec``) by cosine, rounded
+    to ``digits``, ties to the smaller id. Both sides are dealt into blocks, and each block of queries meets each block of vectors in a task, so
+    either side travels once for each block of the other; a product leaves ``k`` rows for each query, which are merged by rank. Vectors
+    that are null, or hold a null or a number that isn't finite, and those of another length than a query's, don't meet it; with a vector of
+    zeros the similarity is 0, and a query of zeros finds nothing."""
+    own = written(_usable(vectors.select("id", "vec")))
+    asked = written(_usable(queries.select("query", "vec")))
+    blocks = {side: max(1, -(-df.count() // block)) for side, df in (("v", own), ("q", asked))}
+    numbered = lambda df, key, n, other, name: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))))
+    left = numbered(own, "id", blocks["v"], ("_q", blocks["q"]), "_v")
+    right = numbered(asked, "query", blocks["q"], ("_v", blocks["v"]), "_q")
+    ids, keys = own.schema["id"].dataType.simpleString(), asked.schema["query"].dataType.simpleString()
+
+    def product(key: tuple, v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size, some in q.groupby(q["vec"].map(len)):
+            near = v[v["vec"].map(len) == size]
+            if near.empty:
+                continue
+            a, at = np.stack(near["vec"].to_numpy()).astype(float), near["id"].to_numpy()
+            length = np.sqrt((a * a).sum(1))
+            for lo in range(0, len(some), PIECE):
+                part = some.iloc[lo : lo + PIECE]
+                b = np.stack(part["vec"].to_numpy()).astype(float)
+                norm = np.sqrt((b * b).sum(1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = np.nan_to_num(b @ a.T / (norm[:, None] * length[None, :]))
+                sim = np.round(sim, digits) + 0.0
+                for i in np.flatnonzero(norm):
+                    best = np.lexsort((at, -sim[i]))[:k] if len(at) <= 4 * k else _best(sim[i], at, k)
+                    out.append(pd.DataFrame({"query": part["query"].iloc[i], "id": at[best], "similarity": sim[i][best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "similarity": []})
+
+    met = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(product, f"query {keys}, id {ids}, similarity double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    return df.where(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def _best(sim: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest, ties to the smaller id: all that reach the k-th value are ordered."""
+    least = np.partition(sim, len(sim) - k)[len(sim) - k]
+    some = np.flatnonzero(sim >= least)
+    return some[np.lexsort((at[some], -sim[some]))[:k]]

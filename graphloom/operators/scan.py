@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import code
 from graphloom.operators import predicates as P
+from graphloom.operators.lineage import written
 
 #: Folders that no scan enters; fixed values.
 IGNORED = [".git", "node_modules", "target", "dist", "build", "vendor", "__pycache__", ".venv", "venv", ".next", ".idea", ".vscode"]
@@ -84,6 +85,65 @@ def fingerprint(hashes: DataFrame, head: str = "", buckets: int = 256) -> DataFr
     return of.agg(F.sha2(F.concat(F.lit(head + "\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "h"))), "\n")), 256).alias("fingerprint"))
 
 
+#: Digits of a path's hash that lead through the tree, so sixteen children a node and at most 16^DEPTH leaves.
+DEPTH = 4
+
+
+def _branches(leaves: DataFrame) -> DataFrame:
+    """``prefix, hash`` of the nodes above leaves, up to the root (the empty prefix)."""
+    out, now = leaves, leaves
+    for k in range(DEPTH - 1, -1, -1):
+        now = written(_parents(now, k))
+        out = out.unionByName(now)
+    return out
+
+
+def _parents(children: DataFrame, size: int) -> DataFrame:
+    """A node's hash covers its children's last digits and hashes, in order: at most sixteen."""
+    line = F.concat_ws(":", F.substring("prefix", size + 1, 1), "hash")
+    return children.groupBy(F.substring("prefix", 1, size).alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))
+
+
+def _leaves(hashes: DataFrame) -> DataFrame:
+    line = F.concat_ws(":", "path", "hash")
+    return hashes.groupBy(F.substring(F.sha2("path", 256), 1, DEPTH).alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"))
+
+
+def hash_tree(hashes: DataFrame) -> DataFrame:
+    """``prefix, hash``: a hash tree over files (path, hash). The first digits of a path's hash lead to its leaf, which
+    covers its files in order; a node covers its children. The root has the empty prefix. It depends on the files alone, not on how
+    they came about, and trees of two states differ along the branches of what changed."""
+    return _branches(written(_leaves(hashes)))
+
+
+def update_tree(tree: DataFrame, before: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
+    """The tree after an edit of the files ``before`` (path, hash): ``changed`` (path, hash) are new or have new hashes, ``removed`` (path)
+    are gone. Only the leaves of these and the nodes above them are hashed anew, from their files and their children."""
+    leaf = F.substring(F.sha2("path", 256), 1, DEPTH)
+    edited = changed.select("path").unionByName(removed.select("path")).distinct()
+    hit = written(edited.select(leaf.alias("prefix")).distinct())
+    files = before.withColumn("prefix", leaf).join(hit, "prefix", "left_semi").join(edited, "path", "left_anti").select("path", "hash")
+    files = files.unionByName(changed.join(removed.select("path"), "path", "left_anti").select("path", "hash"))
+    now = written(_leaves(files))
+    level = tree.where(F.length("prefix") == DEPTH).join(hit, "prefix", "left_anti").unionByName(now)
+    out = level
+    for k in range(DEPTH - 1, -1, -1):
+        above = hit.select(F.substring("prefix", 1, k).alias("prefix")).distinct()
+        under = level.join(above.withColumnRenamed("prefix", "up"), F.substring("prefix", 1, k) == F.col("up"), "left_semi")
+        level = tree.where(F.length("prefix") == k).join(above, "prefix", "left_anti").unionByName(written(_parents(under, k)))
+        out = out.unionByName(level)
+    return written(out)
+
+
+def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The leaves (prefix) that differ between two trees, met from the root down: a branch of equal hashes isn't entered."""
+    differ = lambda k: old.where(F.length("prefix") == k).select("prefix", F.col("hash").alias("was")).join(new.where(F.length("prefix") == k), "prefix", "full").where(~F.col("was").eqNullSafe(F.col("hash"))).select("prefix")
+    now = differ(0)
+    for k in range(1, DEPTH + 1):
+        now = differ(k).join(now.withColumnRenamed("prefix", "up"), F.substring("prefix", 1, k - 1) == F.col("up"), "left_semi")
+    return now
+
+
 # ---------------------------------------------------------------- diffs
 
 
