@@ -55,7 +55,19 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src, dst``: files on consecutive lines of an order."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return _consecutive(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def short_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imports that stem from orders of at most three lines: less than one a file, so there are long chains, and
+    some cycles."""
+    lines = table(spark, sf_dir, "lineitem")
+    short = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <= 3")
+    return _consecutive(spark, sf_dir, lines.join(short, "l_orderkey", "left_semi"))
+
+
+def _consecutive(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    line = lines.select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("a"))
     pairs = line.withColumnRenamed("l_partkey", "b").join(a, ["l_orderkey", "l_linenumber"]).where("a <> b").select("a", "b").distinct()
     f = files(spark, sf_dir).select("key", "path")
@@ -90,6 +102,8 @@ SQL = {
         CASE flag WHEN 'A' THEN 'function' WHEN 'R' THEN 'struct' ELSE 'constant' END AS kind, CASE status WHEN 'O' THEN 'public' ELSE 'private' END AS visibility, l_suppkey AS start_line FROM sn JOIN fl ON l_partkey = key)""",
     "im": """il AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem),
     im AS (SELECT x.path AS src, y.path AS dst FROM (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM il a JOIN il b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey) JOIN fl x ON a = x.key JOIN fl y ON b = y.key)""",
+    "sh": """sl AS (SELECT * FROM il WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 3)),
+    sh AS (SELECT x.path AS src, y.path AS dst FROM (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM sl a JOIN sl b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_partkey <> b.l_partkey) JOIN fl x ON a = x.key JOIN fl y ON b = y.key)""",
     "tm": "tm AS (SELECT s.path AS source, t.path AS test FROM fl t JOIN fl s ON s.key = t.key - 1 WHERE t.dir = 'tests')",
 }
 CODE = f"{SQL['cf']}, {SQL['sy']}, {SQL['im']}, {SQL['tm']}"
