@@ -116,7 +116,7 @@ def _ordered(every: DataFrame, steps: DataFrame) -> list[DataFrame]:
     if last is None:
         return [first]
     steps = written(steps, "layer")
-    now = [first.where(F.col("layer") == k) for k in range(last + 1)]
+    now = [written(first.where(F.col("layer") == k)) for k in range(last + 1)]
     for sweep in range(SWEEPS):
         down = sweep % 2 == 0
         for k in range(1, last + 1) if down else range(last - 1, -1, -1):
@@ -124,7 +124,7 @@ def _ordered(every: DataFrame, steps: DataFrame) -> list[DataFrame]:
             fixed = now[k - 1 if down else k + 1].select(F.col("id").alias("fixed"), F.col("place").alias("at"))
             means = near.join(fixed, "fixed").groupBy("id").agg((F.sum("at") / F.count("*")).alias("mean"))
             keyed = now[k].join(means, "id", "left").withColumn("mean", F.coalesce("mean", F.col("place").cast("double"))).drop("place")
-            now[k] = ranking.places(keyed, ["graph"], [F.col("mean"), F.col("id")], "place").select(*first.columns)
+            now[k] = written(ranking.places(keyed, ["graph"], [F.col("mean"), F.col("id")], "place").select(*first.columns))
     return now
 
 

@@ -35,7 +35,8 @@ def onboarding_map(spark, d):
 
 @query()
 def graph_layout(spark, d):
-    edges = cb.short_imports(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    """Imports from orders of two lines: chains of some ten files."""
+    edges = cb.short_imports(spark, d, 2).select(F.col("src").alias("source"), F.col("dst").alias("target"))
     return layout.layout(_files(spark, d).select(F.col("path").alias("id")), edges).nodes.drop("graph", "members")
 
 

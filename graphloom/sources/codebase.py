@@ -58,11 +58,11 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consecutive(spark, sf_dir, table(spark, sf_dir, "lineitem"))
 
 
-def short_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The imports that stem from orders of at most three lines: less than one a file, so there are long chains, and
-    some cycles."""
+def short_imports(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
+    """The imports that stem from orders of at most ``most`` lines: with three there is less than one a file, so there are long
+    chains, and some cycles."""
     lines = table(spark, sf_dir, "lineitem")
-    short = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n <= 3")
+    short = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).where(F.col("n") <= most)
     return _consecutive(spark, sf_dir, lines.join(short, "l_orderkey", "left_semi"))
 
 
