@@ -13,8 +13,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import architecture, code, context, conventions, graphs, health, history, packing, retrieval, scan, schema, signals, surface
+from graphloom.operators import architecture, blast, code, context, conventions, graphs, health, history, intervals, layout, order, packing, retrieval, scan, schema, signals, surface
 from graphloom.operators import predicates as P
+from graphloom.operators import verify as checks
 from graphloom.operators.lineage import cut
 
 
@@ -133,6 +134,10 @@ class Codebase:
     def co_changes(self, least: int = 1) -> DataFrame:
         return history.co_changes(self.past, threshold=least)
 
+    def named(self, paths: list[str]) -> DataFrame:
+        """Paths that a caller named, in that order."""
+        return self.spark.createDataFrame([(P.normal_path(p), k) for k, p in enumerate(paths)], "path string, turn int")
+
     def missing(self, paths: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(P.normal_path(p),) for p in paths], "path string")
 
@@ -240,8 +245,8 @@ def trace(base: Codebase, target: str, focus: str | None = None) -> dict:
 
 @operation
 def blast_radius(base: Codebase, files: list[str], depth: int = 3, focus: str | None = None) -> dict:
-    tested = base.tests.select(F.col("test").alias("path")).distinct()
-    return {"affected": _focus(graphs.blast_radius(base.edges, [P.normal_path(f) for f in files], depth, tested).where("path not like 'col:%'"), focus)}
+    found = cut(blast.radius(base.edges, base.named(files), base.rank, base.tests.select("source", "test"), depth, focus))
+    return {"affected": found, "summary": blast.summary(found)}
 
 
 @operation
@@ -285,9 +290,8 @@ def cross_lang(base: Codebase, file: str | None = None, focus: str | None = None
 
 @operation
 def predict(base: Codebase, files: list[str], depth: int = 3, focus: str | None = None) -> dict:
-    names = [P.normal_path(f) for f in files]
     changed = base.missing(files)
-    structural = graphs.blast_radius(base.edges, names, depth).select("path")
+    structural = blast.radius(base.edges, base.named(files), base.rank, base.tests.select("source", "test"), depth).select("path")
     by_call = history.call_impact(base.calls.where("callee_path is not null").select(F.col("caller_path").alias("caller"), F.col("callee_path").alias("callee"), (F.col("confidence") == "exact").alias("exact")), changed)
     hit = _focus(history.predict(structural, by_call, history.historical_impact(base.co_changes(), changed)), focus)
     return {"impact": hit, "tests": hit.join(base.tests.select(F.col("source").alias("path"), "test"), "path").groupBy("test").agg(F.max("confidence").alias("confidence"))}
@@ -312,18 +316,18 @@ def review(base: Codebase, old: DataFrame, focus: str | None = None) -> dict:
     before = Codebase(old)
     changes = cut(_focus(retrieval.snapshot_diff(old, base.files), focus))
     sets = retrieval.set_diff(before.symbols.select("path", "name"), base.symbols.select("path", "name"))
-    return {"changes": changes, "symbols": _focus(sets, focus), "affected": graphs.blast_radius(base.edges, changes.where("change <> 'new'")).where("path not like 'col:%'")}
+    return {"changes": changes, "symbols": _focus(sets, focus), "affected": blast.radius(base.edges, changes.where("change <> 'new'"), base.rank, base.tests.select("source", "test"))}
 
 
 @operation
 def verify(base: Codebase, old: DataFrame, focus: str | None = None) -> dict:
-    """Symbols on changed lines whose names break the naming that is the rule for their kind."""
-    lines = _focus(scan.changed_lines(old, base.files), focus).select("path", F.explode("added").alias("line"))
-    symbols = base.symbols.withColumn("category", F.concat(F.col("kind"), F.lit("_style")))
-    rule = base.observed.select(F.col("name").alias("category"), "dominant", "strength").where("strength in ('convention', 'trend')")
-    touched = symbols.join(lines, "path").where("line = start_line")
-    broken = touched.join(F.broadcast(rule), "category").withColumn("found", conventions.style(F.col("name"))).where("found <> dominant and dominant in ('snake', 'camel', 'pascal', 'screaming_snake')")
-    return {"violations": broken.select("path", "name", "start_line", "found", "dominant", "strength").distinct()}
+    """What changed since a snapshot held against the conventions: names, unwrapping and imports of the symbols and files
+    that changed lines lie in; a new file counts as a whole."""
+    lines = cut(_focus(scan.changed_lines(old, base.files), focus).select("path", F.explode("added").alias("line")))
+    fresh = base.files.join(old.select("path"), "path", "left_anti").select("path")
+    rules = cut(checks.naming_rules(base.symbols).unionByName(base.observed.select(F.col("name").alias("rule"), "dominant", "n", "total", "pct", "strength").where("name in ('unwrap_in_source', 'result_return_type', 'import_style')")))
+    found = cut(checks.violations(checks.touched_symbols(base.symbols, lines, _focus(fresh, focus)), rules, base.imports.join(lines.select("path").distinct(), "path", "left_semi")))
+    return {"violations": found, "passed": checks.passed(found, rules)}
 
 
 # ---------------------------------------------------------------- judgements
@@ -404,7 +408,9 @@ def visual(base: Codebase, type: str = "graph", format: str = "graphml") -> dict
     if type == "graph":
         return {"lines": {"graphml": scan.to_graphml, "cypher": scan.to_cypher, "canonical": code.canonical}[format](base.edges)}
     if type == "layout":
-        return {"layers": graphs.layers(base.import_edges)}
+        edges = base.import_edges.select(F.col("src").alias("source"), F.col("dst").alias("target"))
+        drawing = layout.layout(base.text.select(F.col("path").alias("id")), edges, layout.LAYER_LIMIT)
+        return {"nodes": drawing.nodes, "edges": drawing.edges, "extents": drawing.extents}
     if type == "heatmap":
         return risks(base, 1 << 30)
     raise ValueError(f"not a picture: {type!r}")
@@ -412,4 +418,7 @@ def visual(base: Codebase, type: str = "graph", format: str = "graphml") -> dict
 
 @operation
 def onboard(base: Codebase, focus: str | None = None) -> dict:
-    return {"order": code.reading_order(base.import_edges.select("src", "dst"), _focus(base.text, focus))}
+    edges, files = base.import_edges.select("src", "dst"), _focus(base.text, focus).select("path", "tokens")
+    ordered = cut(order.reading_order(edges, files))
+    symbols = base.symbols.select("path", "name", F.col("start_line").alias("ord"))
+    return {"order": ordered, "phases": order.phases(ordered, edges, files, base.rank, symbols), "reading_time": files.agg(order.reading_time(F.coalesce(F.sum("tokens"), F.lit(0))).alias("reading_time"))}

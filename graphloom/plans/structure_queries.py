@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import blast, graphs, intervals, layout, order, packing, retrieval, scan, treemap
+from graphloom.operators import blast, graphs, intervals, layout, order, packing, retrieval, scan, treemap, verify
 from graphloom.operators.lineage import written
 from graphloom.plans.queries import query
 from graphloom.sources import codebase as cb
@@ -181,3 +181,20 @@ def fingerprint_tree(spark, d):
     before = written(before.unionByName(gone))
     changed = now.where("key % 7 = 0 or key % 11 = 0").select("path", "hash")
     return scan.update_tree(scan.hash_tree(before), before, changed, gone.select("path")).where(F.length("prefix") <= 2)
+
+
+_STYLE = "CASE WHEN regexp_full_match(name, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)*') THEN 'SCREAMING_SNAKE_CASE' WHEN regexp_full_match(name, '[a-z][a-z0-9]*(_[a-z0-9]+)*') THEN 'snake_case' WHEN regexp_full_match(name, '[A-Z][A-Za-z0-9]*') THEN 'PascalCase' WHEN regexp_full_match(name, '[a-z][A-Za-z0-9]*') THEN 'camelCase' ELSE 'unknown' END"
+_MESSAGE = "kind || ' ' || chr(39) || name || chr(39) || ' uses ' || style || ' but convention is ' || dominant"
+
+
+@query(
+    f"""WITH {CODE}, {_SPANS}, nm AS (SELECT CASE kind WHEN 'function' THEN 'Function' ELSE 'Type' END AS kind, {_STYLE} AS style FROM sy WHERE kind IN ('function', 'struct')), nc AS (SELECT kind, style, count(*) AS n FROM nm GROUP BY 1, 2),
+    rl AS (SELECT kind, arg_max(style, n) AS dominant, max(n) AS n, sum(n) AS total FROM nc GROUP BY 1), rs AS (SELECT *, CASE WHEN n * 100.0 / total >= 90 THEN 'high' WHEN n * 100.0 / total >= 70 THEN 'medium' ELSE 'low' END AS severity FROM rl WHERE n * 100.0 / total >= 50),
+    th AS (SELECT path, name, start_line AS line, CASE kind WHEN 'function' THEN 'Function' ELSE 'Type' END AS kind, {_STYLE} AS style FROM sy WHERE kind IN ('function', 'struct') AND EXISTS (SELECT 1 FROM ln WHERE ln.path = sy.path AND line BETWEEN start_line AND start_line + 10 * length(name)))
+    SELECT path, line, 'naming' AS category, severity, {_MESSAGE} AS message FROM th JOIN rs USING (kind) WHERE style <> dominant"""
+)
+def verify_changes(spark, d):
+    """Names of functions and types on changed lines, against those of most."""
+    symbols = written(cb.symbols(spark, d).withColumn("end_line", F.col("start_line") + 10 * F.length("name")))
+    found = verify.violations(verify.touched_symbols(symbols, _lines(spark, d)), verify.naming_rules(symbols))
+    return found.select("path", "line", "category", "severity", "message")
