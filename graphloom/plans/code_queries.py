@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import code, graphs
-from graphloom.plans.queries import query
+from graphloom.plans.queries import query, written_out
 from graphloom.sources import relations as rel
 
 FILES = [
@@ -277,88 +277,88 @@ def _edges(spark, parsed):
     return code.import_edges(parsed)
 
 
-@query(_expected("language_detection"))
+@written_out(_expected("language_detection"))
 def language_detection(spark, d):
     return files(spark).select("path", code.language(F.col("path")).alias("language"))
 
 
-@query(_expected("parse_symbols"))
+@written_out(_expected("parse_symbols"))
 def parse_symbols(spark, d):
     return code.symbols(_parsed(spark)).drop("body")
 
 
-@query(_expected("import_resolution"))
+@written_out(_expected("import_resolution"))
 def import_resolution(spark, d):
     return _edges(spark, _parsed(spark))
 
 
-@query(_expected("call_graph"))
+@written_out(_expected("call_graph"))
 def call_graph(spark, d):
     p = _parsed(spark)
     return code.call_edges(p, _edges(spark, p))
 
 
-@query(_expected("test_map"))
+@written_out(_expected("test_map"))
 def test_map(spark, d):
     return code.test_map(files(spark), _edges(spark, _parsed(spark)))
 
 
-@query(_expected("dead_code"))
+@written_out(_expected("dead_code"))
 def dead_code(spark, d):
     p = _parsed(spark)
     e = _edges(spark, p)
     return code.dead_code(p, code.call_edges(p, e), code.test_map(files(spark), e), graphs.pagerank(e))
 
 
-@query(_expected("schema_columns"))
+@written_out(_expected("schema_columns"))
 def schema_columns(spark, d):
     return code.db_columns(files(spark))
 
 
-@query(_expected("schema_edges"))
+@written_out(_expected("schema_edges"))
 def schema_edges(spark, d):
     c = code.db_columns(files(spark)).cache()
     return code.foreign_key_edges(c).unionByName(code.embedded_sql_edges(files(spark), c))
 
 
-@query(_expected("route_detection"))
+@written_out(_expected("route_detection"))
 def route_detection(spark, d):
     return code.routes(files(spark))
 
 
-@query(_expected("http_bridges"))
+@written_out(_expected("http_bridges"))
 def http_bridges(spark, d):
     return code.http_bridges(files(spark))
 
 
-@query(_expected("containing_symbol"))
+@written_out(_expected("containing_symbol"))
 def containing_symbol(spark, d):
     lines = files(spark).select("path", F.posexplode(F.split("content", "\n")).alias("i", "t")).select("path", (F.col("i") + 1).alias("line"))
     return code.containing_symbol(lines, code.symbols(_parsed(spark)))
 
 
-@query(_expected("data_flow_paths"))
+@written_out(_expected("data_flow_paths"))
 def data_flow_paths(spark, d):
     p = _parsed(spark)
     return code.data_flow(code.call_edges(p, _edges(spark, p)), "main").withColumn("nodes", F.array_join("nodes", " > "))
 
 
-@query(_expected("onboarding_phases"))
+@written_out(_expected("onboarding_phases"))
 def onboarding_phases(spark, d):
     return code.reading_order(_edges(spark, _parsed(spark)), files(spark), 4)
 
 
-@query(_expected("function_density"))
+@written_out(_expected("function_density"))
 def function_density(spark, d):
     return code.function_density(_parsed(spark))
 
 
-@query(_expected("noise_filter"))
+@written_out(_expected("noise_filter"))
 def noise_filter(spark, d):
     return code.noise(files(spark))
 
 
-@query(_expected("graph_export"))
+@written_out(_expected("graph_export"))
 def graph_export(spark, d):
     return code.canonical(_edges(spark, _parsed(spark)).withColumn("edge_type", F.lit("import")))
 

@@ -9,7 +9,7 @@ from graphloom.operators import context, conventions, graphs, history, retrieval
 from graphloom.operators.lineage import written
 from graphloom.plans import codebase_queries as cq
 from graphloom.plans.code_queries import expected_rows as rows
-from graphloom.plans.queries import query
+from graphloom.plans.queries import query, written_out
 from graphloom.plans.repository_queries import _columns, repository
 from graphloom.sources import codebase as cb
 from graphloom.sources import relations as rel
@@ -119,7 +119,7 @@ def noise_pipeline(spark, d):
     return got.withColumn("score", F.round("score", 6))
 
 
-@query(
+@written_out(
     rows(
         "kind, name, detail",
         ("table", "users", "3 columns"),
@@ -173,14 +173,14 @@ def import_conventions(spark, d):
     return conventions.import_conventions(cb.files(spark, d), _near_imports(spark, d))
 
 
-@query(rows("name, dominant, n, total, pct, strength", ("import_style", "absolute", 3, 4, 75.0, "trend"), ("import_grouping", "single", 2, 3, 66.6667, "mixed")))
+@written_out(rows("name, dominant, n, total, pct, strength", ("import_style", "absolute", 3, 4, 75.0, "trend"), ("import_grouping", "single", 2, 3, 66.6667, "mixed")))
 def import_grouping(spark, d):
     files = spark.createDataFrame([("a.rs", "rust", "use a::{b, c};\npub use d;\nuse e;\n"), ("b.ts", "typescript", "import x from 'x'\n"), ("c.py", "python", "from a import b\nimport c\n"), ("d.md", "markdown", "use me\n")], "path string, language string, content string")
     imports = spark.createDataFrame([("a.rs", "a"), ("a.rs", "d"), ("b.ts", "x"), ("b.ts", "./y")], "path string, source string")
     return conventions.import_conventions(files, imports)
 
 
-@query(rows("name, dominant, n, total, pct, strength", ("result_return_type", "Result<T, E>", 2, 4, 50.0, "mixed"), ("unwrap_in_source", "no .unwrap() in src/", 3, 4, 75.0, "trend"), ("expect_in_source", "no .expect() in src/", 3, 4, 75.0, "trend"), ("question_mark_propagation", "? operator", 2, 3, 66.6667, "mixed")))
+@written_out(rows("name, dominant, n, total, pct, strength", ("result_return_type", "Result<T, E>", 2, 4, 50.0, "mixed"), ("unwrap_in_source", "no .unwrap() in src/", 3, 4, 75.0, "trend"), ("expect_in_source", "no .expect() in src/", 3, 4, 75.0, "trend"), ("question_mark_propagation", "? operator", 2, 3, 66.6667, "mixed")))
 def error_conventions(spark, d):
     body = [("a.rs", "rust", "fn a() -> Result<X, E>", "let x = f()?;\ng.unwrap();"), ("a.rs", "rust", "fn b() -> Result<X, E>", "let y = z?;\n// k.unwrap()"), ("b.rs", "rust", "fn c()", "v.expect(1)"), ("c.py", "python", "def d():", "pass"), ("tests/t.rs", "rust", "fn t()", "x.unwrap()")]
     s = spark.createDataFrame([(p, lang, "function", sig, b) for p, lang, sig, b in body], "path string, language string, kind string, signature string, body string")
@@ -209,7 +209,7 @@ def convention_export(spark, d):
     return conventions.checksum(cq.observations(spark, d).select("category", "dominant", "n", "total"), "category")
 
 
-@query(rows("category, change, before, after", ("constant", "changed", "screaming_snake", "camel"), ("extra", "added", None, "x"), ("visibility", "removed", "public", None)))
+@written_out(rows("category, change, before, after", ("constant", "changed", "screaming_snake", "camel"), ("extra", "added", None, "x"), ("visibility", "removed", "public", None)))
 def convention_diff(spark, d):
     old = spark.createDataFrame([("constant", "screaming_snake"), ("function", "snake"), ("visibility", "public")], "category string, dominant string")
     new = spark.createDataFrame([("constant", "camel"), ("function", "snake"), ("extra", "x")], "category string, dominant string")

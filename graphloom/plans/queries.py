@@ -25,6 +25,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Operators over small written-out repositories, with their expected rows: checks for the tests, as they read none of the tables.
+CHECKS = {}
+EXPECTED: dict[str, str] = {}
+
+
+def written_out(sql: str):
+    def add(f):
+        CHECKS[f.__name__] = f
+        EXPECTED[f.__name__] = sql
+        return f
+
+    return add
+
+
 CO = "co AS (SELECT a.path AS file_a, b.path AS file_b, count(*) AS n, min(a.age) AS age FROM hist a JOIN hist b ON a.sha = b.sha AND a.path < b.path WHERE a.age <= 180 AND b.age <= 180 AND a.sha IN (SELECT sha FROM hist WHERE age <= 180 GROUP BY sha HAVING count(*) BETWEEN 2 AND 200) GROUP BY 1, 2), cw AS (SELECT file_a, file_b, n, round(CASE WHEN age <= 30 THEN 1.0 ELSE 1.0 - 0.7 * (age - 30) / 150.0 END, 6) AS recency_weight FROM co)"
 CHURN = "churn AS (SELECT path, count(*) FILTER (WHERE age <= 30) AS churn_30d, count(*) AS churn_180d, max(day) AS last_commit FROM hist WHERE age <= 180 GROUP BY path)"
 DEG = "deg AS (SELECT path, count(*) AS in_degree FROM (SELECT file_a AS path FROM cw UNION ALL SELECT file_b FROM cw) GROUP BY path)"
@@ -265,7 +279,7 @@ def architecture_map(spark, d):
     return architecture.architecture_map(e, _modules(spark, d), graphs.pagerank(e, 10, tol=None))
 
 
-@query(
+@written_out(
     """WITH code(tab, col, type) AS (VALUES ('orders', 'o_orderkey', 'BIGINT'), ('orders', 'o_total', 'DOUBLE'), ('part', 'p_name', ' text '), ('users', 'id', 'INT')), live(tab, col, type) AS (VALUES ('orders', 'o_orderkey', 'bigint'), ('orders', 'o_total', 'FLOAT'), ('part', 'p_name', 'TEXT'), ('nation', 'n_name', 'TEXT'))
     SELECT tab, col, c.type AS code_type, l.type AS live_type, CASE WHEN c.type IS NULL THEN 'live_only' WHEN l.type IS NULL THEN 'code_only' ELSE 'type_differs' END AS kind FROM code c FULL JOIN live l USING (tab, col) WHERE c.type IS NULL OR l.type IS NULL OR lower(trim(c.type)) <> lower(trim(l.type))"""
 )
@@ -403,7 +417,7 @@ def classify_changes(spark, d):
 COMMITS = [("aaaaaaa1", "Add parser"), ("bbbbbbb2", "Revert aaaaaaa1"), ("ccccccc3", "revert something"), ("ddddddd4", "Reverted by hand"), ("eeeeeee5", "Fix bug")]
 
 
-@query("WITH c(sha, message) AS (VALUES ('aaaaaaa1', 'Add parser'), ('bbbbbbb2', 'Revert aaaaaaa1'), ('ccccccc3', 'revert something'), ('ddddddd4', 'Reverted by hand'), ('eeeeeee5', 'Fix bug')), h AS (SELECT *, regexp_extract(message, '([0-9a-f]{7,40})', 1) AS k FROM c WHERE regexp_matches(message, '(?i)^revert\\b')) SELECT h.sha, o.sha AS reverted, o.message AS original FROM h LEFT JOIN c o ON h.k <> '' AND starts_with(o.sha, h.k)")
+@written_out("WITH c(sha, message) AS (VALUES ('aaaaaaa1', 'Add parser'), ('bbbbbbb2', 'Revert aaaaaaa1'), ('ccccccc3', 'revert something'), ('ddddddd4', 'Reverted by hand'), ('eeeeeee5', 'Fix bug')), h AS (SELECT *, regexp_extract(message, '([0-9a-f]{7,40})', 1) AS k FROM c WHERE regexp_matches(message, '(?i)^revert\\b')) SELECT h.sha, o.sha AS reverted, o.message AS original FROM h LEFT JOIN c o ON h.k <> '' AND starts_with(o.sha, h.k)")
 def revert_detection(spark, d):
     return history.reverts(spark.createDataFrame(COMMITS, "sha string, message string"))
 

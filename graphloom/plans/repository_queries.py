@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import code, scan, schema, surface
 from graphloom.plans.code_queries import expected_rows as rows
-from graphloom.plans.queries import query
+from graphloom.plans.queries import query, written_out
 from graphloom.sources import codebase as cb
 from graphloom.sources import relations as rel
 from graphloom.sources.tables import table
@@ -71,17 +71,17 @@ def _columns(spark):
 # ---------------------------------------------------------------- schema
 
 
-@query(rows("path, tab, col, in_key, fk_table", ("schema/users.sql", "users", "id", True, None), ("schema/users.sql", "users", "name", False, None), ("schema/users.sql", "users", "team_id", False, "teams"), ("schema/teams.sql", "teams", "id", True, None), ("schema/teams.sql", "teams", "title", False, None)))
+@written_out(rows("path, tab, col, in_key, fk_table", ("schema/users.sql", "users", "id", True, None), ("schema/users.sql", "users", "name", False, None), ("schema/users.sql", "users", "team_id", False, "teams"), ("schema/teams.sql", "teams", "id", True, None), ("schema/teams.sql", "teams", "title", False, None)))
 def table_columns(spark, d):
     return _columns(spark).select("path", "tab", "col", "in_key", "fk_table")
 
 
-@query(rows("path, kind, name, tab", ("schema/views.sql", "view", "active", "users"), ("schema/views.sql", "view", "active", "teams"), ("schema/views.sql", "function", "touch", "users")))
+@written_out(rows("path, kind, name, tab", ("schema/views.sql", "view", "active", "users"), ("schema/views.sql", "view", "active", "teams"), ("schema/views.sql", "function", "touch", "users")))
 def view_sources(spark, d):
     return schema.view_sources(repository(spark))
 
 
-@query(rows("src, dst, edge_type", ("schema/views.sql", "schema/users.sql", "view_reference"), ("schema/views.sql", "schema/teams.sql", "view_reference"), ("schema/views.sql", "schema/users.sql", "function_reference")))
+@written_out(rows("src, dst, edge_type", ("schema/views.sql", "schema/users.sql", "view_reference"), ("schema/views.sql", "schema/teams.sql", "view_reference"), ("schema/views.sql", "schema/users.sql", "function_reference")))
 def view_edges(spark, d):
     return schema.view_edges(schema.view_sources(repository(spark)), _columns(spark))
 
@@ -89,7 +89,7 @@ def view_edges(spark, d):
 _MODELS = [("app/models.py", "UserProfile", "django", "users"), ("app/models.py", "AuditLog", "django", "audit_log"), ("app/alchemy.py", "Team", "sqlalchemy", "teams"), ("web/entity.ts", "Person", "typeorm", "users"), ("app/company.rb", "Company", "active_record", "companies"), ("app/company.rb", "Box", "active_record", "boxes")]
 
 
-@query(rows("path, class, framework, tab", *_MODELS))
+@written_out(rows("path, class, framework, tab", *_MODELS))
 def orm_models(spark, d):
     return schema.orm_models(repository(spark)).drop("body")
 
@@ -97,12 +97,12 @@ def orm_models(spark, d):
 _FIELDS = [("app/models.py", "UserProfile", "name", "CharField", False), ("app/models.py", "UserProfile", "team", "ForeignKey", True), ("app/models.py", "AuditLog", "at", "DateField", False), ("app/alchemy.py", "Team", "id", "Integer", False), ("app/alchemy.py", "Team", "title", "String", False), ("app/alchemy.py", "Team", "boss", "Integer", True), ("web/entity.ts", "Person", "id", "PrimaryGeneratedColumn", False), ("web/entity.ts", "Person", "name", "Column", False)]
 
 
-@query(rows("path, class, field, type, is_relation", *_FIELDS))
+@written_out(rows("path, class, field, type, is_relation", *_FIELDS))
 def orm_fields(spark, d):
     return schema.orm_fields(schema.orm_models(repository(spark)))
 
 
-@query(rows("src, dst, edge_type", ("app/models.py", "schema/users.sql", "orm_model"), ("app/alchemy.py", "schema/teams.sql", "orm_model"), ("web/entity.ts", "schema/users.sql", "orm_model")))
+@written_out(rows("src, dst, edge_type", ("app/models.py", "schema/users.sql", "orm_model"), ("app/alchemy.py", "schema/teams.sql", "orm_model"), ("web/entity.ts", "schema/users.sql", "orm_model")))
 def orm_edges(spark, d):
     return schema.orm_edges(schema.orm_models(repository(spark)), _columns(spark))
 
@@ -110,13 +110,13 @@ def orm_edges(spark, d):
 _COLUMN_EDGES = [("col:users.id", "schema/users.sql"), ("col:users.name", "schema/users.sql"), ("col:users.team_id", "schema/users.sql"), ("col:teams.id", "schema/teams.sql"), ("col:teams.title", "schema/teams.sql"), ("app/models.py", "col:users.name"), ("app/alchemy.py", "col:teams.id"), ("app/alchemy.py", "col:teams.title"), ("web/entity.ts", "col:users.id"), ("web/entity.ts", "col:users.name")]
 
 
-@query(rows("src, dst, edge_type", *[(*e, "column_reference") for e in _COLUMN_EDGES]))
+@written_out(rows("src, dst, edge_type", *[(*e, "column_reference") for e in _COLUMN_EDGES]))
 def column_edges(spark, d):
     models = schema.orm_models(repository(spark))
     return schema.column_edges(models, schema.orm_fields(models), _columns(spark))
 
 
-@query(rows("path, hops, category", ("app/models.py", 1, "medium"), ("web/entity.ts", 1, "medium")))
+@written_out(rows("path, hops, category", ("app/models.py", 1, "medium"), ("web/entity.ts", 1, "medium")))
 def column_blast_radius(spark, d):
     from graphloom.operators import graphs
 
@@ -125,7 +125,7 @@ def column_blast_radius(spark, d):
     return graphs.column_blast_radius(edges, "users", "name").select("path", "hops", "category")
 
 
-@query(rows("path, tab", ("infra/db.tf", "aws_rds_cluster.main"), ("infra/db.tf", "google_sql_database.db")))
+@written_out(rows("path, tab", ("infra/db.tf", "aws_rds_cluster.main"), ("infra/db.tf", "google_sql_database.db")))
 def terraform_tables(spark, d):
     return schema.terraform_tables(repository(spark))
 
@@ -146,12 +146,12 @@ _CHAINS = [
 ]
 
 
-@query(rows("directory, framework, path, sequence, name, seq", *_CHAINS))
+@written_out(rows("directory, framework, path, sequence, name, seq", *_CHAINS))
 def migration_chains(spark, d):
     return schema.migrations(repository(spark))
 
 
-@query(rows("src, dst, edge_type", *[(b[2], a[2], "migration_sequence") for a, b in zip(_CHAINS, _CHAINS[1:], strict=False) if a[0] == b[0]]))
+@written_out(rows("src, dst, edge_type", *[(b[2], a[2], "migration_sequence") for a, b in zip(_CHAINS, _CHAINS[1:], strict=False) if a[0] == b[0]]))
 def migration_edges(spark, d):
     return schema.migration_edges(schema.migrations(repository(spark)))
 
@@ -160,22 +160,22 @@ _REFS = [("app/report.py", "teams", "title", False), ("app/report.py", "users",
 _REFS += [("app/raw.py", "users", c, True) for c in ("team_id", "name")] + [("app/raw.py", "users", "id", False)] + [("web/raw.ts", "teams", "id", False)]
 
 
-@query(rows("path, tab, col, inferred", *_REFS))
+@written_out(rows("path, tab, col, inferred", *_REFS))
 def embedded_column_refs(spark, d):
     return schema.column_refs(repository(spark), _columns(spark))
 
 
-@query(rows("path, model, tab, field, type", ("prisma/schema.prisma", "Account", "accounts", "id", "Int"), ("prisma/schema.prisma", "Account", "accounts", "tags", "String[]"), ("prisma/schema.prisma", "Tag", "tag", "name", "String")))
+@written_out(rows("path, model, tab, field, type", ("prisma/schema.prisma", "Account", "accounts", "id", "Int"), ("prisma/schema.prisma", "Account", "accounts", "tags", "String[]"), ("prisma/schema.prisma", "Tag", "tag", "name", "String")))
 def prisma_models(spark, d):
     return schema.prisma_models(repository(spark))
 
 
-@query(rows("path, kind, label", ("graph/schema.cypher", "constraint", "User"), ("graph/schema.cypher", "index", "Team"), ("graph/schema.cypher", "node", "Thing")))
+@written_out(rows("path, kind, label", ("graph/schema.cypher", "constraint", "User"), ("graph/schema.cypher", "index", "Team"), ("graph/schema.cypher", "node", "Thing")))
 def cypher_schema(spark, d):
     return schema.cypher_entries(repository(spark))
 
 
-@query(rows("path, field, type", ("search/mapping.json", "title", "text"), ("search/mapping.json", "by.name", "keyword")))
+@written_out(rows("path, field, type", ("search/mapping.json", "title", "text"), ("search/mapping.json", "by.name", "keyword")))
 def search_mapping(spark, d):
     return schema.index_mapping(repository(spark))
 
@@ -192,39 +192,39 @@ _ROUTES = [
 ]
 
 
-@query(rows("path, framework, method, route, handler", *_ROUTES))
+@written_out(rows("path, framework, method, route, handler", *_ROUTES))
 def api_routes(spark, d):
     return surface.routes(repository(spark))
 
 
-@query(rows("path, framework, method, route, handler", *_ROUTES[1:]))
+@written_out(rows("path, framework, method, route, handler", *_ROUTES[1:]))
 def unprotected_endpoints(spark, d):
     files = repository(spark)
     return surface.unprotected(files, surface.routes(files))
 
 
-@query(rows("path, language, kind, snippet", ("app/raw.py", "python", "f-string", "SELECT * FROM users WHERE id = {x}"), ("app/raw.py", "python", "percent-format", "SELECT name FROM users WHERE id = %s"), ("web/raw.ts", "typescript", "template-literal", "DELETE FROM teams WHERE id = ${id}")))
+@written_out(rows("path, language, kind, snippet", ("app/raw.py", "python", "f-string", "SELECT * FROM users WHERE id = {x}"), ("app/raw.py", "python", "percent-format", "SELECT name FROM users WHERE id = %s"), ("web/raw.ts", "typescript", "template-literal", "DELETE FROM teams WHERE id = ${id}")))
 def sql_injection(spark, d):
     return surface.sql_injection(repository(spark))
 
 
-@query("SELECT 'src/input.rs' AS path, 'save' AS function")
+@written_out("SELECT 'src/input.rs' AS path, 'save' AS function")
 def validation_gaps(spark, d):
     rank = spark.createDataFrame([("src/input.rs", 0.6), ("src/http.rs", 0.1)], "node string, score double")
     return surface.validation_gaps(repository(spark), rank)
 
 
-@query(rows("path, service, method", ("api/user.proto", "Users", "GetUser"), ("api/user.proto", "Users", "ListUsers"), ("api/user.proto", "Teams", "GetTeam")))
+@written_out(rows("path, service, method", ("api/user.proto", "Users", "GetUser"), ("api/user.proto", "Users", "ListUsers"), ("api/user.proto", "Teams", "GetTeam")))
 def grpc_services(spark, d):
     return surface.grpc_methods(repository(spark))
 
 
-@query(rows("path, kind, name", ("api/schema.graphql", "type", "User"), ("api/schema.graphql", "query", "Everyone")))
+@written_out(rows("path, kind, name", ("api/schema.graphql", "type", "User"), ("api/schema.graphql", "query", "Everyone")))
 def graphql_types(spark, d):
     return surface.graphql_types(repository(spark))
 
 
-@query(
+@written_out(
     rows(
         "src, dst, symbol, edge_type",
         ("cmd/client.go", "api/user.proto", "Users.GetUser", "cross_language:GrpcCall"),

@@ -5,7 +5,7 @@ from graphloom.functions import parsing
 
 
 def rows(spark, name):
-    return {tuple(r) for r in catalog.QUERIES[name](spark, "").collect()}
+    return {tuple(r) for r in (catalog.QUERIES | catalog.CHECKS)[name](spark, "").collect()}
 
 
 def test_languages(spark):

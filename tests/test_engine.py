@@ -31,13 +31,13 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES | catalog.EXPECTED))
 def test_query_equals_sql(spark, con, name):
-    df = catalog.QUERIES[name](spark, DATA)
+    df = (catalog.QUERIES | catalog.CHECKS)[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect())
     quoted = ",".join(f'"{c}"' for c in cols)
-    want = sorted(tuple(map(plain, r)) for r in con.execute(f"select {quoted} from ({catalog.ORACLES[name]})").fetchall())
+    want = sorted(tuple(map(plain, r)) for r in con.execute(f"select {quoted} from ({(catalog.ORACLES | catalog.EXPECTED)[name]})").fetchall())
     assert got == want
 
 
