@@ -9,13 +9,22 @@ each other in the page or in one container are joined by smoothness edges, whose
 falls with their distance in the DOM. A minimum cut, found by max-flow, separates content
 from boilerplate. All capacities are log-odds.
 
+What an element says is weighed by how it says it. Menus, footers, asides and the like hold by their tag or
+role. Words of a class or id, and forms, are weaker: an article or main element inside, unless it is
+a mere teaser beside a larger one, overrules all but comments; on a page without an article one that
+holds most of the text (a layout's wrapper, a form around the page) says nothing; names that tell what a
+layout has or lacks (``has-sidebar``, ``no-ads``) say nothing either, and a name that holds such a word among
+others, on a paragraph of its own, only takes away what its article says. So no word overrules an
+article that stands inside or bears it.
+
 The classifier is fitted on the blocks of a bounded sample of pages that mark their article
 (``SAMPLE`` pages): blocks in it are content, all others are not. The weights that it starts
 from, ``PRIOR``, are those of a Gaussian prior, and are what is used without such pages.
 
 Defined results: null or empty html, and a page without content, give an empty text;
 unclosed and stray tags are tolerated; a page cut off in the middle is read as far as it
-goes, an unclosed tag or comment up to the end of the page; depth has no bound, and the work
+goes, an unclosed tag, comment, script or style up to the end of the page, any other unclosed element
+whose text is skipped (a button, a drawing) up to the next tag; depth has no bound, and the work
 grows with a page's size; repeated rows are treated each for itself; further columns are
 ignored.
 """
@@ -57,6 +66,11 @@ BAD_WORDS = frozenset(
     masthead toolbar share sharing social related recommended recommendations popular trending pagination pager modal
     popup overlay dialog alert toast copyright legal skip search form""".split()
 )
+#: Of these, words of comments, which no article inside overrules; and words of names that only tell what a layout has.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+MODIFIERS = frozenset("has have with no without not is show hide enable enabled disable disabled open closed layout free".split())
+#: Elements that end with the page if they aren't closed; the text of others is skipped up to the next tag.
+RAW = frozenset(["script", "style"])
 
 #: What a block's statistics weigh before any page is seen, in order of ``_shape``.
 PRIOR = np.array([-0.5, 1.0, -0.6, -3.0, 0.3, 0.8, 0.8, 0.2, -0.2, 0.0])
@@ -67,6 +81,10 @@ MOST = 2.5
 #: Capacities between a block and the element that says what it holds: one that says
 #: boilerplate, an article, a page that has its article elsewhere, and a hopeful class.
 IN_BAD, IN_MAIN, NOT_MAIN, HALF_MAIN = 6.0, 3.5, 3.2, 1.5
+#: A class or id that is such a word, or holds one.
+WORD_BAD, PART_BAD = 4.0, 3.5
+#: Share of a page's text from which an element is the page; of the largest article, from which one is no teaser.
+WIDE, TEASER = 0.6, 0.5
 
 
 @dataclass
@@ -83,42 +101,101 @@ class Block:
 class _Open:
     """An open element: what it inherits and adds."""
 
-    __slots__ = ("tag", "main", "bad", "container", "link", "leaf")
+    __slots__ = ("tag", "hint", "inside", "container", "link", "leaf")
+
+    def __init__(self, tag, hint, inside, container, link, leaf):
+        self.tag, self.hint, self.inside, self.container, self.link, self.leaf = tag, hint, inside, container, link, leaf
 
-    def __init__(self, tag, main, bad, container, link, leaf):
-        self.tag, self.main, self.bad, self.container, self.link, self.leaf = tag, main, bad, container, link, leaf
 
+@dataclass
+class _Hint:
+    """What an element says of the blocks from ``start`` to ``end``, below what ``up`` says."""
+
+    up: int
+    main: float = 0.0
+    bad: float = 0.0
+    firm: bool = False
+    comment: bool = False
+    own: bool = False
+    start: int = 0
+    end: int = -1
 
-def _hints(tag: str, attributes: str, inside_main: bool) -> tuple[float, float]:
-    """(for content, against it) that an element's tag and attributes say."""
+
+def _hints(tag: str, attributes: str, inside_main: bool) -> _Hint | None:
+    """What an element's tag and attributes say, if they say anything."""
     main = 1.0 if tag in MAIN_TAGS else 0.0
-    bad = 1.0 if tag in BAD_TAGS else 0.0
-    if tag == "header" and not inside_main:
-        bad = 1.0
+    bad, firm, comment, part = 0.0, False, False, False
+    if tag in ("form", "fieldset"):
+        bad = WORD_BAD
+    elif tag in BAD_TAGS or (tag == "header" and not inside_main):
+        bad, firm = IN_BAD, True
     if attributes.strip(" /") and tag not in ("html", "body"):
-        words: set[str] = set()
+        whole: set[str] = set()
+        parts: set[str] = set()
+        hopeful = False
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name not in SAYING:
                 continue
             if name == "role":
-                main, bad = max(main, value.lower() in MAIN_ROLES), max(bad, value.lower() in BAD_ROLES)
+                main = max(main, value.lower() in MAIN_ROLES)
+                if value.lower() in BAD_ROLES:
+                    bad, firm = IN_BAD, True
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-                bad = 1.0
+                bad, firm = IN_BAD, True
             elif name in ("class", "id"):
-                words.update(w.lower() for w in WORD.findall(value))
+                for token in value.split():
+                    words = [w.lower() for w in WORD.findall(token)]
+                    hopeful |= bool(MAIN_WORDS & set(words))
+                    if len(words) == 1:
+                        whole.add(words[0])
+                    elif not MODIFIERS & set(words):
+                        parts.update(words)
             elif name == "itemtype" and value.rstrip("/").endswith("Comment"):
-                bad = 1.0
-        if words & BAD_WORDS or ("header" in words and not inside_main):
-            bad = 1.0
-        elif words & MAIN_WORDS:
+                bad, firm, comment = IN_BAD, True, True
+        if "header" in whole | parts and not inside_main:
+            whole.add("banner")
+        if whole & BAD_WORDS:
+            bad, main = max(bad, WORD_BAD), 0.0
+        elif parts & BAD_WORDS and main < 1:
+            part = not bad
+            bad = max(bad, PART_BAD)
+        elif hopeful:
             main = max(main, 0.5)
-    return main, bad
+        comment |= bad > 0 and bool((whole | parts) & COMMENT_WORDS)
+    if not main and not bad:
+        return None
+    return _Hint(-1, main, bad, firm, comment, part and tag in LEAVES)
+
+
+def _ties(hints: list[_Hint], sizes: list[int]) -> list[float]:
+    """The tie of a block that stands in each element with a hint, from the outermost in."""
+    upto = np.r_[0, np.cumsum(sizes)]
+    held = [int(upto[len(sizes) if h.end < 0 else h.end] - upto[h.start]) for h in hints]
+    largest = max((n for h, n in zip(hints, held, strict=True) if h.main >= 1), default=0)
+    any_main = any(h.main >= 1 for h in hints)
+    states: list[tuple[float, float, bool, bool]] = []
+    ties = []
+    for h, n in zip(hints, held, strict=True):
+        main, bad, firm, comment = states[h.up] if h.up >= 0 else (0.0, 0.0, False, False)
+        own = 0.0
+        if h.main >= 1 and bad and not firm and not comment and n >= TEASER * largest:
+            bad = 0.0
+        main = max(main, h.main)
+        wide = not any_main and not h.firm and not h.comment and n > WIDE * upto[-1]
+        if h.own and not bad and main >= 1:
+            own = h.bad
+        elif h.bad and not wide:
+            bad, firm, comment = max(bad, h.bad), firm or h.firm, comment or h.comment
+        states.append((main, bad, firm, comment))
+        ties.append(-bad if bad else (IN_MAIN - own) if main >= 1 else -NOT_MAIN if any_main else HALF_MAIN if main else 0.0)
+    return ties
 
 
 def blocks(page: str) -> tuple[list[Block], list[int]]:
     """The text blocks of a page, and the container that each container stands in."""
-    stack = [_Open("", 0.0, 0.0, 0, False, "")]
+    hints = [_Hint(-1)]
+    stack = [_Open("", 0, False, 0, False, "")]
     open_tags: Counter[str] = Counter()
     up = [0]
     found: list[tuple[str, int, _Open]] = []
@@ -126,7 +203,6 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     unclosed: set[str] = set()
     linked = 0
     owner = stack[0]
-    any_main = False
 
     def close() -> None:
         nonlocal linked
@@ -149,8 +225,10 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             linked += len(text.strip())
 
     def shut(i: int) -> None:
-        for x in stack[i:]:
+        for x, outer in zip(stack[i:], stack[i - 1 :], strict=False):
             open_tags[x.tag] -= 1
+            if x.hint != outer.hint:
+                hints[x.hint].end = len(found)
         del stack[i:]
 
     at, n = 0, len(page)
@@ -181,9 +259,14 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             over = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
             if over is None:
                 unclosed.add(tag)  # nor will a later one be
-            if tag in ("title", "script", "style", "noscript", "template", "svg", "iframe", "textarea", "button", "select") or over:
-                at = over.end() if over else n
-                continue
+            if over:
+                at = over.end()
+            elif tag in RAW:
+                at = n
+            else:  # its own words end with the next tag, and it holds nothing else
+                after = page.find("<", at)
+                at = n if after < 0 else after
+            continue
         if tag == "br":
             if pieces:
                 pieces.append(" ")
@@ -204,25 +287,19 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         if attributes.endswith("/") and tag not in INLINE:
             continue
         above = stack[-1]
-        main, bad = _hints(tag, attributes, above.main >= 1)
-        any_main |= main >= 1
+        said = _hints(tag, attributes, above.inside)
+        if said:
+            said.up, said.start = above.hint, len(found)
+            hints.append(said)
         container = above.container
         if tag not in INLINE and tag not in LEAVES:
             container = len(up)
             up.append(above.container)
         open_tags[tag] += 1
-        stack.append(_Open(tag, max(above.main, main), max(above.bad, bad), container, above.link or tag == "a", tag if tag in LEAVES else above.leaf if tag in INLINE else ""))
+        stack.append(_Open(tag, len(hints) - 1 if said else above.hint, above.inside or (said is not None and said.main >= 1), container, above.link or tag == "a", tag if tag in LEAVES else above.leaf if tag in INLINE else ""))
     close()
-    out = []
-    for i, (text, links, o) in enumerate(found):
-        if o.bad > 0:
-            tie = -IN_BAD
-        elif o.main >= 1:
-            tie = IN_MAIN
-        else:
-            tie = -NOT_MAIN if any_main else HALF_MAIN if o.main > 0 else 0.0
-        out.append(Block(text, _shape(text, links, o.leaf, i / len(found)), o.container, tie))
-    return out, up
+    ties = _ties(hints, [len(text) for text, _, _ in found])
+    return [Block(text, _shape(text, links, o.leaf, i / len(found)), o.container, ties[o.hint]) for i, (text, links, o) in enumerate(found)], up
 
 
 def _shape(text: str, links: int, leaf: str, place: float) -> list[float]:

@@ -55,6 +55,64 @@ def test_unmarked_pages_are_smoothed_by_neighbours():
     assert cut == [True, True, True] and len(odds) == len(found)
 
 
+PROSE = [
+    "The river rose over its banks in the night, and by morning the lower town stood under water.",
+    "Boats went from house to house with bread and blankets, while the bells were rung every hour.",
+    "Nobody was hurt, the mayor said, but it would take weeks until the last cellar was dry again.",
+]
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in PROSE)
+FRAME = "<html><body><nav><a href=/>Home</a> <a href=/news>News</a></nav>{}<footer>All rights reserved.</footer></body></html>"
+INNER = f"<article><h1>High water</h1>{PARAGRAPHS}</article>"
+FRAMES = {
+    "plain": INNER,
+    "has a sidebar": f'<div class="layout has-sidebar">{INNER}<aside><p>Other things that one may also want to read at some time.</p></aside></div>',
+    "with a menu": f'<div class="page with-nav">{INNER}</div>',
+    "no adverts": f'<main class="content no-ads"><h1>High water</h1>{PARAGRAPHS}</main>',
+    "legal news": INNER.replace("<article>", '<article class="legal-news">'),
+    "comments enabled": INNER.replace("<article>", '<article class="post comments-enabled">'),
+    "a paragraph of related work": INNER.replace(f"<p>{PROSE[1]}", f'<p class="related-work">{PROSE[1]}'),
+    "a form around the page": f'<form id="aspnetForm" action="/">{INNER}</form>',
+    "an unclosed button": f"<button class=burger>Menu{INNER}",
+    "an unclosed drawing": f"<svg width=3>{INNER}",
+    "a wrapper named by its sidebar": f'<div class="sidebar-left">{INNER}</div>',
+    "a teaser beside it": f'{INNER}<div class="related"><article><h2>More</h2><p>A short teaser of another text.</p></article></div>',
+    "comments as articles": f'{INNER}<section class="comments"><article><p>I have lived there for thirty years, and I have never seen anything like that before.</p></article></section>',
+    "an advert in it": INNER.replace("</h1>", "</h1><div class='ad-slot'><p>Buy these boots now, they are waterproof and come in all the sizes that you want.</p></div>"),
+    "a sign-up in it": INNER.replace("</h1>", "</h1><form class=signup><p>Give us your address and we will write to you every single week about all that happens.</p></form>"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FRAMES))
+def test_articles_come_out_of_all_frames(name):
+    assert h.main_text(FRAME.format(FRAMES[name])) == "High water " + " ".join(PROSE)
+
+
+def test_words_on_wrappers_of_pages_without_an_article():
+    for page in (f'<div class="sidebar-left"><h1>High water</h1>{PARAGRAPHS}</div>', f"<form><div><h1>High water</h1>{PARAGRAPHS}</div></form>", f"<select><div><h1>High water</h1>{PARAGRAPHS}</div>"):
+        assert all(t in h.main_text(FRAME.format(page)) for t in PROSE)
+    comments = "".join(f"<p>{t}</p>" for t in PROSE) * 4
+    got = h.main_text(FRAME.format(f"<div><h1>High water</h1>{PARAGRAPHS}</div><div id=comments>{comments}</div>"))
+    assert all(got.count(t) == 1 for t in PROSE)
+
+
+def test_without_an_article_the_cut_beats_the_ties_alone():
+    r = random.Random(11)
+    right = alone = 0
+    for _ in range(40):
+        own = [words(r, r.choice([30, 30, 4])) + "." for _ in range(6)]
+        own[0] = words(r, 30) + "."
+        page = f"<ul><li><a href=/>{words(r, 2)}</a></li><li><a href=/x>{words(r, 3)}</a></li></ul><div>{''.join(f'<p>{t}</p>' for t in own)}</div><div class=sidebar><p>{words(r, 30)}.</p></div><div><a href=/y>{words(r, 3)}</a></div>"
+        found, up = h.blocks(page)
+        want = " ".join(own)
+        right += " ".join(b.text for b, k in zip(found, h.label(found, up, h.PRIOR), strict=True) if k) == want
+        alone += " ".join(b.text for b in found if b.tie > 0) == want
+    assert right >= 36 and alone == 0
+
+
+def test_unclosed_scripts_end_with_the_page():
+    assert h.main_text(f"{INNER}<script>var x = 'one two three';") == "High water " + " ".join(PROSE)
+
+
 def test_minimum_cut_with_ties_is_minimal():
     r = random.Random(3)
     for _ in range(60):
