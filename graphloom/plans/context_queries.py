@@ -286,6 +286,14 @@ def plugin_findings(spark, d):
     return found.groupBy("path", "plugin", "message").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {rel.SQL['docs']}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM docs) SELECT path, 'markers' AS plugin, 'loser' AS message, i::INT AS line, len(regexp_extract_all(line, 'loser'))::BIGINT AS n FROM l WHERE contains(line, 'loser')")
+def plugin_table_function(spark, d):
+    """The detector as a function of SQL, over each document apart."""
+    plugins.as_table_function(spark, plugins.Markers(["loser"]), "find_markers")
+    rel.documents(spark, d).select("path", "content").createOrReplaceTempView("plugin_documents")
+    return spark.sql("SELECT path, plugin, message, line, count(*) AS n FROM find_markers(TABLE(SELECT path, content FROM plugin_documents) PARTITION BY path) GROUP BY path, plugin, message, line")
+
+
 @query(f"WITH {CODE}, {cq.SYMBOL_SQL} SELECT path, round(symbol_match, 6) AS score FROM sm WHERE symbol_match > 0")
 def scorer_hook(spark, d):
     return plugins.score(plugins.SymbolScorer(cq.WORDS), cb.files(spark, d), cb.symbols(spark, d)).withColumn("score", F.round("score", 6))

@@ -10,8 +10,11 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Bytes of findings that a plug-in may return for one file.
 RETURN_CAP = 1 << 20
@@ -108,3 +111,33 @@ def run(detectors: list[Detector], files: DataFrame, patterns: list[str] = ("**"
 
 def score(scorer: Scorer, files: DataFrame, symbols: DataFrame) -> DataFrame:
     return scorer.score(files, symbols).where("score > 0")
+
+
+def as_table_function(spark: SparkSession, detector: Detector, name: str) -> None:
+    """Register a detector as a table function of SQL: ``SELECT * FROM name(TABLE(SELECT path, content ...) PARTITION BY path)``
+    gives ``path, plugin, message, line``. Rows of a partition come one after the other and none is kept, so any partitioning will do;
+    partitions are what the cap holds for. The call names the columns that the detector sees: without ``content``
+    it sees none. Rows without a path are passed over."""
+
+    class Findings:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            columns = {f.name: f.dataType.simpleString() for f in table.dataType.fields} if table.isTable else {}
+            if columns.get("path") != "string" or columns.get("content", "string") != "string":
+                raise ValueError(f"{name} takes a table with a text column path and, if it is to be seen, a text column content")
+            return AnalyzeResult(StructType().add("path", StringType()).add("plugin", StringType()).add("message", StringType()).add("line", IntegerType()))
+
+        def __init__(self) -> None:
+            self.returned = 0
+
+        def eval(self, row: Row) -> Iterator[tuple[str, str, str, int]]:
+            path = row["path"]
+            if path is None:
+                return
+            for message, line in detector.detect(path, row["content"] if detector.needs_content and "content" in row else None):
+                self.returned += len(message.encode()) + 8
+                if self.returned > RETURN_CAP:
+                    raise ValueError(f"plug-in {detector.name} returns too much for {path}")
+                yield path, detector.name, message, line
+
+    spark.udtf.register(name, udtf(Findings))
