@@ -255,6 +255,25 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     index with prefix filtering); two that do must keep the bounds by sizes, places and
     signatures before a row is made of them, and the common terms of what is left are counted.
     A pair of classes of equal sets then stands for all pairs of their members."""
+    return _members(*_alike(sets, threshold), threshold)
+
+
+def similar_classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``path, class, links``: for each text the smallest path with an equal term set, and how many other texts have a similarity over
+    the threshold with it (those of its class among them). The join is that of ``similar_pairs``; its result is a row for each
+    text, however large a class is: the links of a class are the sizes of those that are similar to it."""
+    rows, classes, similar = _alike(sets, threshold)
+    key = ["n", "k1", "k2"]
+    sized = cut(rows.groupBy(*key).agg(F.min("path").alias("path"), F.count("*").alias("size")))
+    both = similar.select("p", "q").unionByName(similar.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    near = both.join(sized.select(F.col("path").alias("q"), "size"), "q").groupBy(F.col("p").alias("path")).agg(F.sum("size").alias("near"))
+    own = F.when(F.lit(threshold < 1.0), F.col("size") - 1).otherwise(0)
+    linked = sized.join(near, "path", "left").select(*key, F.col("path").alias("class"), (own + F.coalesce("near", F.lit(0))).alias("links"))
+    return rows.join(linked, key).select("path", "class", "links")
+
+
+def _alike(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets, their classes by the smallest path, and the similar pairs of classes: ``p, q, jaccard``."""
     rows = _described(sets, threshold)
     classes = rows.groupBy("n", "k1", "k2").agg(F.min("path").alias("path"))
     first = rows.join(classes, ["n", "k1", "k2", "path"], "left_semi").select("path", "n", "signature", "rare", "place")
@@ -263,7 +282,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     held = found.join(some.select(F.col("path").alias("p"), F.col("terms").alias("x")), "p").join(some.select(F.col("path").alias("q"), F.col("terms").alias("y")), "q")
     n = F.size(F.array_intersect("x", "y"))
     similar = held.select("p", "q", F.round(n / (F.size("x") + F.size("y") - n), 6).alias("jaccard")).where(F.col("jaccard") > threshold)
-    return _members(rows, classes, similar, threshold)
+    return rows, classes, similar
 
 
 def _members(rows: DataFrame, classes: DataFrame, similar: DataFrame, threshold: float) -> DataFrame:

@@ -153,7 +153,7 @@ def test_similar_pairs_of_all_documents_equal_brute_force(spark):
         sets.setdefault(r.path, set()).add(r.term)
     paths = sorted(sets)
     want = {(p, q) for i, p in enumerate(paths) for q in paths[i + 1 :] if round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6) > 0.8}
-    got = {(r.p, r.q) for r in catalog.QUERIES["similar_pairs_jaccard"](spark, DATA).collect()}
+    got = {(r.p, r.q) for r in retrieval.similar_pairs(retrieval.term_sets(relations.documents(spark, DATA))).collect()}
     assert got == want and any("/de/" not in p for p, _ in want)
 
 

@@ -59,3 +59,15 @@ def test_other_thresholds_equal_brute_force(spark):
         want = sorted((p, q) for p in sets for q in sets if p < q and round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6) > t)
         got = sorted((r.p, r.q) for r in retrieval.similar_pairs(retrieval.term_sets(spark.createDataFrame(rows, KIND)), t).collect())
         assert got == want
+
+
+def test_classes_and_links_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [*_files()[:60], *_files()[150:200]] + [(f"e{i:02}", " ".join(rng.sample([f"w{k}" for k in range(9)], rng.randint(1, 9)))) for i in range(90)]
+    sets = {p: frozenset(w for w in t.split(" ") if len(w) > 1) for p, t in rows}
+    got = {r.path: (r["class"], r.links) for r in retrieval.similar_classes(retrieval.term_sets(spark.createDataFrame(rows, KIND))).collect()}
+    assert set(got) == set(sets)
+    for p, own in sets.items():
+        links = sum(q != p and round(len(own & o) / len(own | o), 6) > 0.8 for q, o in sets.items())
+        assert got[p] == (min(q for q, o in sets.items() if o == own), links)
+    assert len({c for c, _ in got.values()}) < len(got)
