@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import architecture, blast, code, context, conventions, graphs, health, history, intervals, layout, order, packing, retrieval, scan, schema, signals, surface
+from graphloom.operators import architecture, blast, code, context, conventions, flow, graphs, health, history, intervals, layout, order, packing, retrieval, scan, schema, signals, surface
 from graphloom.operators import predicates as P
 from graphloom.operators import verify as checks
 from graphloom.operators.lineage import cut
@@ -278,8 +278,10 @@ def api_surface(base: Codebase, focus: str | None = None, include: str = "all",
 
 @operation
 def data_flow(base: Codebase, symbol: str, sink: str | None = None, depth: int = 10) -> dict:
-    paths = code.data_flow(base.calls, P.normal_symbol(symbol), min(depth, 10))
-    return {"paths": paths.where(F.element_at("nodes", -1).contains(sink)) if sink else paths}
+    """Paths from all symbols of a name to sinks."""
+    sources = base.symbols.where(F.col("name") == P.normal_symbol(symbol)).select("path", F.col("name").alias("symbol"))
+    paths = cut(flow.trace(base.calls, sources, sink, depth, base.text))
+    return {"paths": paths, "truncated": paths.agg(F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))}
 
 
 @operation

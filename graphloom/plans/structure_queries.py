@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import blast, graphs, intervals, layout, order, packing, retrieval, scan, treemap, verify
+from graphloom.operators import blast, flow, graphs, intervals, layout, order, packing, retrieval, scan, treemap, verify
 from graphloom.operators.lineage import written
 from graphloom.plans.queries import query
 from graphloom.sources import codebase as cb
@@ -198,3 +198,22 @@ def verify_changes(spark, d):
     symbols = written(cb.symbols(spark, d).withColumn("end_line", F.col("start_line") + 10 * F.length("name")))
     found = verify.violations(verify.touched_symbols(symbols, _lines(spark, d)), verify.naming_rules(symbols))
     return found.select("path", "line", "category", "severity", "message")
+
+
+_SINK = "(" + " OR ".join(f"contains(lower(symbol), '{k}')" for k in flow.SINKS) + ")"
+
+
+@query(
+    f"""WITH RECURSIVE {SHORT}, fn AS (SELECT path, min(name) AS symbol FROM sy WHERE kind = 'function' GROUP BY 1), cl AS (SELECT a.path AS caller_path, a.symbol AS caller, b.path AS callee_path, b.symbol AS callee FROM sh JOIN fn a ON a.path = src JOIN fn b ON b.path = dst),
+    tr AS (SELECT [path] AS nodes, path, symbol, false AS cyclic FROM fn WHERE starts_with(symbol, '_load')
+      UNION ALL SELECT list_append(nodes, callee_path), callee_path, callee, list_contains(nodes, callee_path) FROM tr JOIN cl ON caller_path = path AND caller = symbol WHERE NOT cyclic AND NOT (len(nodes) > 1 AND {_SINK}) AND len(nodes) < 6),
+    en AS (SELECT *, CASE WHEN cyclic THEN 'cycle' WHEN len(nodes) > 1 AND {_SINK} THEN 'sink' WHEN len(nodes) >= 6 THEN 'depth' WHEN NOT EXISTS (SELECT 1 FROM cl WHERE caller_path = path AND caller = symbol) THEN 'dead_end' END AS "end" FROM tr)
+    SELECT array_to_string(nodes, ' > ') AS path, len(nodes) AS length, "end", "end" IN ('cycle', 'depth') AS truncated, len(list_distinct(list_transform(nodes, lambda p: array_to_string(string_split(p, '/')[:2], '/')))) > 1 AS crosses_module FROM en WHERE "end" IS NOT NULL"""
+)
+def data_flow_traces(spark, d):
+    """A file's first function calls those of the files that it imports; six nodes at most, from functions that load."""
+    first = written(cb.symbols(spark, d).where("kind = 'function'").groupBy("path").agg(F.min("name").alias("symbol")))
+    a, b = first.select(F.col("path").alias("src"), F.col("symbol").alias("caller")), first.select(F.col("path").alias("dst"), F.col("symbol").alias("callee"))
+    calls = cb.short_imports(spark, d).join(a, "src").join(b, "dst").select(F.col("src").alias("caller_path"), "caller", F.col("dst").alias("callee_path"), "callee", F.lit("exact").alias("confidence"))
+    found = flow.trace(calls, first.where("symbol like '\\_load%'"), depth=6)
+    return found.select(F.array_join(F.transform("nodes", lambda n: n["path"]), " > ").alias("path"), "length", "end", "truncated", "crosses_module")
