@@ -295,8 +295,9 @@ def predict(base: Codebase, files: list[str], depth: int = 3, focus: str | None
     changed = base.missing(files)
     structural = blast.radius(base.edges, base.named(files), base.rank, base.tests.select("source", "test"), depth).select("path")
     by_call = history.call_impact(base.calls.where("callee_path is not null").select(F.col("caller_path").alias("caller"), F.col("callee_path").alias("callee"), (F.col("confidence") == "exact").alias("exact")), changed)
-    hit = _focus(history.predict(structural, by_call, history.historical_impact(base.co_changes(), changed)), focus)
-    return {"impact": hit, "tests": hit.join(base.tests.select(F.col("source").alias("path"), "test"), "path").groupBy("test").agg(F.max("confidence").alias("confidence"))}
+    past = history.historical_impact(base.co_changes(), changed)
+    hit = _focus(history.predict(structural, by_call, past), focus)
+    return {"impact": hit, "tests": _focus(history.predict_tests(changed, structural, by_call, past, base.tests.select("source", "test")), focus, "test")}
 
 
 # ---------------------------------------------------------------- data, reviews

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators import predicates as P
 from graphloom.operators import ranking
 
 BUGFIX = r"(?i)\b(fix|bug|patch|hotfix)\b"
@@ -131,9 +132,25 @@ def predict(structural: DataFrame, by_call: DataFrame, by_history: DataFrame) ->
     flag = lambda df, n: df.select("path").distinct().withColumn(n, F.lit(True))
     rows = flag(structural, "s").join(flag(by_call, "c"), "path", "full").join(flag(by_history, "h"), "path", "full")
     s, c, h = (F.coalesce(F.col(x), F.lit(False)) for x in "sch")
-    # fixed values
-    ladder = F.when(s & c & h, 0.90).when(s & c, 0.85).when(s & h, 0.75).when(c & h, 0.70).when(s, 0.60).when(c, 0.50).when(h, 0.40).otherwise(0.0)
-    return rows.select("path", s.alias("structural"), c.alias("by_call"), h.alias("historical"), ladder.alias("confidence"))
+    return rows.select("path", s.alias("structural"), c.alias("by_call"), h.alias("historical"), confidence(s, c, h).alias("confidence"))
+
+
+def predict_tests(changed: DataFrame, structural: DataFrame, by_call: DataFrame, by_history: DataFrame, tests: DataFrame) -> DataFrame:
+    """``test, by_map, structural, by_call, historical, confidence`` of the tests that a change of ``changed`` (path) concerns: tests of changed
+    files by the test map (source, test), and test files, by their paths, that aren't changed themselves and that one of the three signals
+    (path) names. A mapped test counts as much as a structural one."""
+    flag = lambda df, n: df.select("path").distinct().withColumn(n, F.lit(True))
+    mapped = flag(tests.join(changed.select(F.col("path").alias("source")), "source", "left_semi").select(F.col("test").alias("path")), "m")
+    named = lambda df, n: flag(df.where(P.test_for_blast(F.col("path"))).join(changed.select("path"), "path", "left_anti"), n)
+    rows = mapped.join(named(structural, "s"), "path", "full").join(named(by_call, "c"), "path", "full").join(named(by_history, "h"), "path", "full")
+    m, s, c, h = (F.coalesce(F.col(x), F.lit(False)) for x in "msch")
+    return rows.select(F.col("path").alias("test"), m.alias("by_map"), s.alias("structural"), c.alias("by_call"), h.alias("historical"), confidence(m | s, c, h).alias("confidence"))
+
+
+def confidence(structural: Column, by_call: Column, historical: Column) -> Column:
+    """The eight levels; fixed values."""
+    s, c, h = structural, by_call, historical
+    return F.when(s & c & h, 0.90).when(s & c, 0.85).when(s & h, 0.75).when(c & h, 0.70).when(s, 0.60).when(c, 0.50).when(h, 0.40).otherwise(0.0)
 
 
 def timeline(history: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import blast, flow, graphs, intervals, layout, order, packing, retrieval, scan, treemap, verify
+from graphloom.operators import blast, flow, graphs, history, intervals, layout, order, packing, retrieval, scan, treemap, verify
 from graphloom.operators.lineage import written
 from graphloom.plans.queries import query
 from graphloom.sources import codebase as cb
@@ -217,3 +217,22 @@ def data_flow_traces(spark, d):
     calls = cb.short_imports(spark, d).join(a, "src").join(b, "dst").select(F.col("src").alias("caller_path"), "caller", F.col("dst").alias("callee_path"), "callee", F.lit("exact").alias("confidence"))
     found = flow.trace(calls, first.where("symbol like '\\_load%'"), depth=6)
     return found.select(F.array_join(F.transform("nodes", lambda n: n["path"]), " > ").alias("path"), "length", "end", "truncated", "crosses_module")
+
+
+@query(
+    f"""WITH {SHORT}, ch AS (SELECT key, path FROM fl WHERE key % 50 = 0), st AS (SELECT DISTINCT src AS path FROM im JOIN ch ON dst = path), ca AS (SELECT DISTINCT src AS path FROM sh JOIN ch ON dst = path),
+    hi AS (SELECT DISTINCT f.path FROM lineitem a JOIN ch ON a.l_partkey = ch.key JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_shipdate >= DATE '1998-01-01' JOIN fl f ON f.key = b.l_partkey),
+    mp AS (SELECT DISTINCT test AS path FROM tm JOIN ch ON source = ch.path), al AS (SELECT path FROM mp UNION (SELECT path FROM (SELECT * FROM st UNION SELECT * FROM ca UNION SELECT * FROM hi) WHERE starts_with(path, 'tests/') AND path NOT IN (SELECT path FROM ch))),
+    fg AS (SELECT path AS test, path IN (SELECT path FROM mp) AS by_map, path IN (SELECT path FROM st) AND path NOT IN (SELECT path FROM ch) AS structural, path IN (SELECT path FROM ca) AND path NOT IN (SELECT path FROM ch) AS by_call, path IN (SELECT path FROM hi) AND path NOT IN (SELECT path FROM ch) AS historical FROM al)
+    SELECT *, CASE WHEN (by_map OR structural) AND by_call AND historical THEN 0.90 WHEN (by_map OR structural) AND by_call THEN 0.85 WHEN (by_map OR structural) AND historical THEN 0.75 WHEN by_call AND historical THEN 0.70 WHEN by_map OR structural THEN 0.60 WHEN by_call THEN 0.50 WHEN historical THEN 0.40 ELSE 0.0 END::DOUBLE AS confidence FROM fg"""
+)
+def predicted_tests(spark, d):
+    """All files whose key 50 divides change; imports of short orders stand for calls, late deliveries of the same order for co-changes."""
+    files = _files(spark, d).select("key", "path")
+    changed = written(files.where("key % 50 = 0"))
+    hit = changed.select(F.col("path").alias("dst"))
+    lines = table(spark, d, "lineitem")
+    orders = lines.join(changed.select(F.col("key").alias("l_partkey")), "l_partkey", "left_semi").select("l_orderkey").distinct()
+    late = lines.where("l_shipdate >= date '1998-01-01'").join(orders, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("key")).distinct().join(files, "key").select("path")
+    needs = lambda e: e.join(hit, "dst", "left_semi").select(F.col("src").alias("path"))
+    return history.predict_tests(changed, needs(cb.imports(spark, d)), needs(cb.short_imports(spark, d)), late, cb.test_map(spark, d))
