@@ -20,10 +20,9 @@ def style(name: Column) -> Column:
 
 
 def style_counts(rows: DataFrame, by: str, text: str) -> DataFrame:
-    """``by, style, n`` over the words of a text; only the styles leave the row."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    styles = F.transform(words, lambda w: style(F.regexp_replace(w, "\n", " ")))
-    return rows.select(by, F.explode(styles).alias("style")).groupBy(by, "style").agg(F.count("*").alias("n"))
+    """``by, style, n`` over the words of a text, counted before anything is shuffled."""
+    words = rows.select(by, F.explode(F.split(text, " ")).alias("word")).where("word <> ''")
+    return words.groupBy(by, style(F.translate("word", "\n", " ")).alias("style")).agg(F.count("*").alias("n"))
 
 
 def strength(pct: Column) -> Column:
