@@ -71,3 +71,14 @@ def test_classes_and_links_equal_brute_force(spark):
         links = sum(q != p and round(len(own & o) / len(own | o), 6) > 0.8 for q, o in sets.items())
         assert got[p] == (min(q for q, o in sets.items() if o == own), links)
     assert len({c for c, _ in got.values()}) < len(got)
+
+
+def test_every_document_has_a_row(spark, tmp_path):
+    """A document without terms stands alone; until round 4 it had no row."""
+    from graphloom import catalog
+
+    rows = [(1, "one two", "en", "web"), (2, "one two", "en", "web"), (3, "", "en", "web"), (4, None, "en", "web"), (5, "a - b", "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as long) n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.path, r["class"], r.links) for r in catalog.QUERIES["similar_pairs_jaccard"](spark, str(tmp_path)).collect()}
+    name = lambda i: f"web/en/{i}.txt"
+    assert got == {(name(1), name(1), 1), (name(2), name(1), 1)} | {(name(i), name(i), 0) for i in (3, 4, 5)}
