@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators import code, packing, signals
@@ -53,12 +52,10 @@ def trace(files: DataFrame, symbols: DataFrame, edges: DataFrame, target: str) -
 
 def palette(files: DataFrame, symbols: DataFrame, most: int = 20_000, quota: dict[str, float] | None = None) -> DataFrame:
     """``kind, label, path`` of a search palette: files and symbols by name, each kind up to its
-    share of the entries, which is the feature."""
+    share of the entries, which is the feature. Tasks keep no more than that of a kind, so no task reads a kind as a whole."""
     quota = quota or {"file": 0.3, "symbol": 0.7}
-    rows = files.select(F.lit("file").alias("kind"), F.col("path").alias("label"), "path").unionByName(symbols.select(F.lit("symbol").alias("kind"), F.col("name").alias("label"), "path").distinct())
-    place = F.row_number().over(W.partitionBy("kind").orderBy("label", "path"))
-    limit = F.when(F.col("kind") == "file", int(most * quota["file"])).otherwise(int(most * quota["symbol"]))
-    return rows.withColumn("i", place).where(F.col("i") <= limit).drop("i")
+    of = lambda kind, rows: rows.orderBy("label", "path").limit(int(most * quota[kind])).select(F.lit(kind).alias("kind"), "label", "path")
+    return of("file", files.select(F.col("path").alias("label"), "path")).unionByName(of("symbol", symbols.select(F.col("name").alias("label"), "path").distinct()))
 
 
 def pack_context(files: DataFrame, edges: DataFrame, wanted: list[str], budget: int, dependencies: bool = False, tests: bool = True) -> tuple[DataFrame, list[str]]:
