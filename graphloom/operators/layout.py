@@ -4,7 +4,8 @@ Cycles are condensed, nodes stand in layers by the longest path from a source, e
 layers are led through a point on each, four sweeps order the layers by the mean place of their
 neighbours, and running sums of widths give coordinates. Nodes of a layer are ranked by ranges of
 their key, so a layer of any size is dealt out; a sweep goes from layer to layer, each step a join of
-two layers (all graphs at once), and steps number four times the layers.
+two layers (all graphs at once), and steps number four times the layers. Graphs of few points, as those
+with a limit of nodes a layer are, are swept each in a task instead.
 
 ``nodes``: ``id`` and, where they are there, ``graph``, ``width``, ``height``. ``edges``: ``source, target``. Ids are unique
 over all graphs; edges between graphs, or to ids that aren't nodes, don't count; parallel ones count once."""
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from graphloom.operators.lineage import written
 #: sweeps; and the width of a grid in heights. Fixed values.
 NODE_SEP, LAYER_SEP, WIDTH, HEIGHT = 60.0, 120.0, 160.0, 48.0
 LAYER_LIMIT, SWEEPS, GRID, GRID_LEAST = 9, 4, 1.6, 4
+#: Points, and steps between them, of a graph that one task sweeps; a larger one goes by ranges. A plan only: the result is the same.
+FEW = 200_000
 
 
 @dataclass(frozen=True)
@@ -110,11 +115,45 @@ def _steps(chains: DataFrame) -> DataFrame:
 
 
 def _ordered(every: DataFrame, steps: DataFrame) -> list[DataFrame]:
-    """For each layer, its nodes and points with their places after the sweeps: graph, id, width, height, layer, place."""
-    first = written(ranking.places(every, ["graph", "layer"], [F.col("id")], "place"), "layer")
+    """The nodes and points with their places after the sweeps: graph, id, width, height, layer, place."""
+    first = written(ranking.places(every, ["graph", "layer"], [F.col("id")], "place"))
+    sizes = first.select("graph", F.lit(1).alias("point"), F.lit(0).alias("step")).unionByName(steps.select("graph", F.lit(0).alias("point"), F.lit(1).alias("step")))
+    few = written(sizes.groupBy("graph").agg(F.sum("point").alias("points"), F.sum("step").alias("steps")).where((F.col("points") <= FEW) & (F.col("steps") <= FEW)).select("graph"))
+    of = lambda df, how: df.join(few, "graph", how)
+    small = of(first, "left_semi").groupBy("graph").cogroup(of(steps, "left_semi").groupBy("graph")).applyInPandas(_swept, first.schema)
+    return [small, *_by_ranges(of(first, "left_anti"), of(steps, "left_anti"))]
+
+
+def _swept(points: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+    """The points of one graph (with places by id) with their places after the sweeps."""
+    points = points.sort_values(["layer", "place"], ignore_index=True)
+    layer, first = points["layer"].to_numpy(), points["place"].to_numpy()
+    place, number = first.copy(), points[["layer", "id"]].assign(i=np.arange(len(points)))
+    met = steps.merge(number.rename(columns={"id": "upper", "i": "a"}), on=["layer", "upper"])
+    met = met.assign(layer=met["layer"] + 1).merge(number.rename(columns={"id": "lower", "i": "b"}), on=["layer", "lower"]).sort_values("layer")
+    a, b, below = met["a"].to_numpy(), met["b"].to_numpy(), met["layer"].to_numpy()
+    last = int(layer.max(initial=0))
+    at, step = np.searchsorted(layer, np.arange(last + 2)), np.searchsorted(below, np.arange(last + 2))
+    for sweep in range(SWEEPS):
+        down = sweep % 2 == 0
+        for k in range(1, last + 1) if down else range(last - 1, -1, -1):
+            own, near = slice(at[k], at[k + 1]), slice(step[k], step[k + 1]) if down else slice(step[k + 1], step[k + 2])
+            fixed, mine = (a[near], b[near]) if down else (b[near], a[near])
+            n = at[k + 1] - at[k]
+            count = np.bincount(mine - at[k], minlength=n)
+            mean = np.where(count > 0, np.bincount(mine - at[k], place[fixed], n) / np.maximum(count, 1), place[own])
+            ranked = np.empty(n, place.dtype)
+            ranked[np.lexsort((first[own], mean))] = np.arange(n)
+            place[own] = ranked
+    return points.assign(place=place)
+
+
+def _by_ranges(points: DataFrame, steps: DataFrame) -> list[DataFrame]:
+    """For each layer, its nodes and points with their places after the sweeps."""
+    first = written(points, "layer")
     last = first.agg(F.max("layer")).first()[0]
     if last is None:
-        return [first]
+        return []
     steps = written(steps, "layer")
     now = [written(first.where(F.col("layer") == k)) for k in range(last + 1)]
     for sweep in range(SWEEPS):

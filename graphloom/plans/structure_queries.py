@@ -47,7 +47,7 @@ def file_layouts(spark, d):
     scale = F.least(F.col("size") / F.greatest("most", F.lit(1e-6)), F.lit(1.0))
     sized = files.join(files.groupBy("dir").agg(F.max("size").alias("most")), "dir")
     nodes = sized.select(F.col("dir").alias("graph"), F.col("path").alias("id"), (layout.WIDTH * (0.7 + 0.7 * scale)).alias("width"), (layout.HEIGHT * (0.9 + 0.3 * scale)).alias("height"))
-    edges = cb.imports(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    edges = cb.imports(spark, d, inside=True).select(F.col("src").alias("source"), F.col("dst").alias("target"))
     return layout.layout(nodes, edges, layout.LAYER_LIMIT).nodes.withColumn("members", F.size(F.coalesce("members", F.array())))
 
 
