@@ -22,9 +22,10 @@ def conventions_score(observations: DataFrame) -> DataFrame:
 def coverage_score(files: DataFrame, tests: DataFrame) -> DataFrame:
     """Share of source files in programming languages that a test maps to or that hold
     tests themselves, times 10; 10 without source files."""
-    source = files.where(P.code_language(F.col("language")) & ~P.test_for_health(F.col("path")))
+    own = P.inline_tests(F.col("language"), F.col("content")).alias("own")  # before the join, which then sorts no contents
+    source = files.where(P.code_language(F.col("language")) & ~P.test_for_health(F.col("path"))).select("path", own)
     mapped = tests.select(F.col("source").alias("path"), F.lit(True).alias("mapped")).distinct()
-    covered = F.coalesce("mapped", F.lit(False)) | P.inline_tests(F.col("language"), F.col("content"))
+    covered = F.coalesce("mapped", F.lit(False)) | F.col("own")
     return source.join(mapped, "path", "left").agg(F.coalesce(F.avg(covered.cast("double")) * 10, F.lit(10.0)).alias("score"))
 
 
@@ -45,6 +46,23 @@ def dead_code_score(symbols: DataFrame, dead: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("n") == 0, 10.0).otherwise(10 * (1 - F.col("k") / F.col("n"))).alias("score"))
 
 
+#: Parts of one name's symbols, so that a name of many has no task for itself.
+SALTS = 16
+
+
+def unused_score(symbols: DataFrame, tasks: int) -> DataFrame:
+    """``dead_code_score`` where the dead are the private functions of a name that no public symbol has: symbols (path, name, kind,
+    visibility) are counted by name in ``tasks`` tasks, so that none are sorted and joined with the names in use."""
+    public, private = F.col("visibility") == "public", (F.col("kind") == "function") & (F.col("visibility") == "private")
+    rows = symbols.select(F.lower("name").alias("k"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"), public.alias("used"), private.alias("private"))
+    by = lambda df, n, dead: df.agg(F.sum(n).alias("n"), F.sum(dead).alias("dead"), F.max(F.coalesce("used", F.lit(False))).alias("used"))
+    some = by(rows.repartition(tasks, "k", "salt").groupBy("k", "salt"), F.lit(1), F.when(F.col("private"), 1).otherwise(0))
+    names = by(some.repartition(tasks, "k").groupBy("k"), "n", "dead")
+    dead = F.when(F.col("k").isNull() | ~F.col("used"), F.col("dead")).otherwise(0)
+    both = names.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(dead).alias("dead"))
+    return both.select(F.when(F.col("n") == 0, 10.0).otherwise(10 * (1 - F.col("dead") / F.col("n"))).alias("score"))
+
+
 def composite(scores: dict[str, Column]) -> Column:
     """The weighted mean of the dimensions that are given."""
     total = sum(WEIGHTS[k] for k in scores)
