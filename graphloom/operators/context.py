@@ -80,17 +80,17 @@ def mentions(task: str) -> list[str]:
     return list(dict.fromkeys(MENTION.findall(task)))
 
 
-def context(files: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFrame, tests: DataFrame, last_change: DataFrame, rank: DataFrame, task: str, budget: int = 50_000, focus: str | None = None, include_tests: bool = True, expand: dict[str, list[str]] | None = None) -> DataFrame:
+def context(files: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFrame, tests: DataFrame, last_change: DataFrame, rank: DataFrame, task: str, budget: int = 50_000, focus: str | None = None, include_tests: bool = True, expand: dict[str, list[str]] | None = None, proximity: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """``section, path, score, tokens, level``: the files for a task: score all, seeds with
     their neighbours, the noise pipeline, the focus, then their tests; files are packed
-    first, tests into what is left."""
+    first, tests into what is left. ``names`` (key, path): edges are of keys; ``proximity``: that signal, where the caller has it."""
     words = signals.expand(signals.query_tokens(task), expand or {})
-    scored = written(signals.score_all(files, symbols, imports, last_change, rank, words).select("path", "score"))
-    chosen = cut(signals.seeds(scored, edges).select("path", "score"))
+    scored = written(signals.score_all(files, symbols, imports, last_change, rank, words, proximity=proximity).select("path", "score"))
+    chosen = cut(signals.seeds(scored, edges, names=names).select("path", "score"))
     # bounded: ``signals.SEEDS`` rows travel to the relations, which stay where they are
     seeds = F.broadcast(chosen.select("path"))
     near = rank.join(seeds.withColumnRenamed("path", "node"), "node", "left_semi")
-    noise = code.filter_noise(chosen, files.join(seeds, "path", "left_semi"), symbols.join(seeds, "path", "left_semi"), near)
+    noise = code.filter_noise(chosen, files.join(seeds, "path", "left_semi"), cut(symbols.join(seeds, "path", "left_semi")), near)
     kept = F.broadcast(cut(noise.where("reason is null").select("path", "score")))
     if focus:
         kept = kept.where(P.focused(F.col("path"), focus))
